@@ -135,10 +135,12 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             )
 
     members = save(source.mapInArrow(ship, "id bigint, key bigint, sha256 string, text binary").join(hits, "key"), "hits")
-    stay = members.filter(F.col("id").eqNullSafe(F.col("keep_id"))).groupBy("key").agg(F.max("text").alias("stay_text"))
-    compared = members.join(stay, "key").withColumn("same", F.col("text") == F.col("stay_text"))
-    sizes = compared.filter("same").groupBy("key").agg(F.count("*").alias("group_size"))
-    same = compared.filter("same").select("key", "id", "sha256", "keep_id").join(sizes, "key").select("id", "keep_id", "group_size", "sha256")
+    # written, not only aggregated, so that both sides of the joins below come straight from a shuffle that a hot key can be split in
+    stay = save(members.filter(F.col("id").eqNullSafe(F.col("keep_id"))).groupBy("key").agg(F.max("text").alias("stay_text")), "stay")
+    same = F.col("text") == F.col("stay_text")
+    compared = save(members.join(stay, "key").select("key", "id", "sha256", "keep_id", same.alias("same"), F.when(~same, F.col("text")).alias("text")), "compared")
+    sizes = save(compared.filter("same").groupBy("key").agg(F.count("*").alias("group_size")), "sizes")
+    same = compared.filter("same").join(sizes, "key").select("id", "keep_id", "group_size", "sha256")
     # texts under a key that another text already holds: grouped by their own bytes
     other = compared.filter("not same").select("id", "sha256", "text")
     groups = other.groupBy("text").agg((F.min(F.col("id") * sign) * sign).alias("keep_id"), F.count("*").alias("group_size"))

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from timelode.llm import exact, licenses, pii
+from timelode.llm import exact, langid, licenses, pii, simhash, warc
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
+    "op2_simhash": simhash.op2_simhash,
+    "op6_langid": langid.op6_langid,
     "op7_exact_dedup": exact.op7_exact_dedup,
     "op9_licenses": licenses.op9_licenses,
+    "op10_warc": warc.op10_warc,
 }
 
 ORACLES = {
     "op7_exact_dedup": exact.OP7_SQL,
+    "op10_warc": warc.OP10_SQL,
 }
