@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
-from timelode.llm import exact, langid, licenses, pii, simhash, warc
+from timelode.llm import exact, langid, licenses, lines, mixing, nndescent, packing, pii, simhash, warc
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
     "op2_simhash": simhash.op2_simhash,
+    "op3_mixing": mixing.op3_mixing,
+    "op4_line_dedup": lines.op4_line_dedup,
+    "op5_embedding_dedup": nndescent.op5_embedding_dedup,
     "op6_langid": langid.op6_langid,
     "op7_exact_dedup": exact.op7_exact_dedup,
+    "op8_packing": packing.op8_packing,
     "op9_licenses": licenses.op9_licenses,
     "op10_warc": warc.op10_warc,
 }
 
 ORACLES = {
+    "op4_line_dedup": lines.OP4_SQL,
     "op7_exact_dedup": exact.OP7_SQL,
     "op10_warc": warc.OP10_SQL,
 }
