@@ -32,10 +32,13 @@ from pyspark.sql import functions as F
 from timelode.llm.common import checkpoint, picked, save
 from timelode.llm.components import connected_components
 
+#: Fingerprints of the similarity search (of the set of words, by mixed hashes) and the bits they may differ in.
+PRINTS, RADIUS, PIVOT_ROUNDS = 4, 3, 3
+
 SEED = 42
-#: Widths of the three segments, from the low bit; each is padded with zeros to 23 bits.
-WIDTHS = (22, 21, 21)
-SHIFTS = (0, 22, 43)
+#: Widths of the segments by radius, from the low bit; each is padded with zeros to 23 bits. Of radius + 1
+#: segments in a circle, one is equal and followed by one with at most one differing bit.
+WIDTHS = {2: (22, 21, 21), 3: (16, 16, 16, 16)}
 #: Generator polynomial of the cyclic (23, 12) Golay code.
 GENERATOR = 0b110001110101
 BUCKET_LIMIT = 200
@@ -86,14 +89,14 @@ def decoder() -> np.ndarray:
     return table
 
 
-def golay_keys(prints: np.ndarray, near: bool) -> tuple[np.ndarray, np.ndarray]:
-    """(row, key) of all keys of int64 fingerprints: home keys, or with `near` those to probe."""
-    table, u = decoder(), prints.view(np.uint64)
-    segments = [((u >> np.uint64(s)) & np.uint64((1 << w) - 1)).astype(np.int64) for s, w in zip(SHIFTS, WIDTHS, strict=True)]
+def golay_keys(prints: np.ndarray, near: bool, radius: int = 2) -> tuple[np.ndarray, np.ndarray]:
+    """(row, key) of all keys of int64 fingerprints: home keys, or with `near` those to probe. Keys are below 2 ** 36."""
+    table, u, widths = decoder(), prints.view(np.uint64), WIDTHS[radius]
+    segments = [((u >> np.uint64(sum(widths[:i]))) & np.uint64((1 << w) - 1)).astype(np.int64) for i, w in enumerate(widths)]
     rows, keys = [], []
-    for k in range(3):
-        j = (k + 1) % 3
-        flips = np.array([0, *(1 << i for i in range(WIDTHS[j]))] if near else [0])
+    for k in range(len(widths)):
+        j = (k + 1) % len(widths)
+        flips = np.array([0, *(1 << i for i in range(widths[j]))] if near else [0])
         index = np.sort(table[segments[j][:, None] ^ flips], axis=1)
         first = np.ones(index.shape, dtype=bool)
         first[:, 1:] = index[:, 1:] != index[:, :-1]
@@ -157,3 +160,96 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def op2_simhash(spark, sf_dir: str) -> DataFrame:
     found = near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def _word_prints(words: list[bytes]) -> list[int]:
+    """PRINTS SimHashes of the set of words; edits of a text change few of them."""
+    hashes = np.unique(np.fromiter((xxhash.xxh64_intdigest(w, SEED) for w in set(words)), np.uint64))
+    found = []
+    for i in range(PRINTS):
+        mixed = (hashes ^ np.uint64((i + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) * np.uint64(0xBF58476D1CE4E5B9)
+        mixed = (mixed ^ (mixed >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
+        octets = (mixed ^ (mixed >> np.uint64(29))).view(np.uint8).reshape(-1, 8)
+        bits = (np.bincount((octets + _BYTE_AT).ravel(), minlength=2048).reshape(8, 256) @ _BYTE_BITS).ravel() * 2 > len(hashes)
+        found.append(int(np.packbits(bits, bitorder="little").view(np.int64)[0]))
+    return found
+
+
+def _print_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        words = [words_of(t.as_py() or b"") for t in batch.column("text")]
+        same = [xxhash.xxh3_128_digest(b" ".join(w)) for w in words]
+        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(same), pa.array([_word_prints(w) for w in words], pa.list_(pa.int64()))], ["id", "same", "prints"])
+
+
+def _print_keys(nodes: DataFrame, near: bool) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in (batch.slice(i, 4096) for i in range(0, batch.num_rows, 4096)):
+                prints = part.column("prints").flatten().to_numpy().reshape(-1, PRINTS)
+                for i in range(PRINTS):
+                    rows, keys = golay_keys(np.ascontiguousarray(prints[:, i]), near, RADIUS)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.int64(i) << 36 | keys), pa.array(prints[rows, i]), part.column("node").take(pa.array(rows))], ["key", "fp", "node"])
+
+    return nodes.mapInArrow(run, "key bigint, fp bigint, node bigint")
+
+
+def _shingle_sets(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = []
+        for t in batch.column("text"):
+            words = words_of(t.as_py() or b"")
+            shingles = set(map(b" ".join, zip(*(words[i:] for i in range(size)), strict=False))) or {b" ".join(words)}
+            found.append([xxhash.xxh64_intdigest(s, SEED) - (1 << 63) for s in shingles])
+        yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(found, pa.list_(pa.int64()))], ["node", "shingles"])
+
+
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, bucket_limit: int = 64) -> DataFrame:
+    """(id, component_id): groups of texts linked by a Jaccard similarity of word shingles, verified in full.
+
+    Candidates are texts of which one of several SimHashes of the word set differs in at most RADIUS bits,
+    found by Golay keys. Equal word sequences are folded first. Under keys with very many texts only
+    pairs of different components are compared: with pivots first, then whatever is left, so a family of
+    copies costs a few comparisons per member. Rows with a null id are left out.
+    """
+    rows = picked(docs, id=F.col(f"`{id_col}`").cast("long"), text=F.col(f"`{text_col}`").cast("binary")).filter("id IS NOT NULL")
+    found = save(rows.mapInArrow(_print_rows, "id bigint, same binary, prints array<bigint>"), "word-prints")
+    nodes = save(found.groupBy("same").agg(F.min("id").alias("node"), F.min("prints").alias("prints")), "word-nodes")
+
+    home, probe = _print_keys(nodes, near=False), _print_keys(nodes, near=True)
+    hot = checkpoint(home.groupBy("key").count().filter(F.col("count") > bucket_limit).select("key"))
+    if hot.count() <= BROADCAST_ROWS:
+        hot = F.broadcast(hot)
+    near = F.expr(f"h.key = p.key AND bit_count(h.fp ^ p.fp) <= {RADIUS}")
+    cold = home.join(hot, "key", "left_anti").alias("h").join(probe.join(hot, "key", "left_anti").alias("p"), near & F.expr("h.node <> p.node"))
+    pairs = checkpoint(cold.select(F.greatest("h.node", "p.node").alias("a"), F.least("h.node", "p.node").alias("b")).distinct())
+    crowd = save(probe.join(hot, "key", "left_semi"), "crowd")
+
+    # shingle sets of candidates only; a repeated id keeps one text
+    wanted = checkpoint(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).unionByName(crowd.select("node")).distinct())
+    if wanted.count() <= BROADCAST_ROWS:
+        wanted = F.broadcast(wanted)
+    texts = rows.withColumnRenamed("id", "node").join(wanted, "node", "left_semi")
+    sets = save(texts.mapInArrow(lambda batches: _shingle_sets(batches, shingle), "node bigint, shingles array<bigint>").dropDuplicates(["node"]), "shingle-sets")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        left, right = (sets.select(F.col("node").alias(c), F.col("shingles").alias(f"s{c}")) for c in "ab")
+        joined = pairs.join(left, "a").join(right, "b").withColumn("both", F.size(F.array_intersect("sa", "sb")))
+        return joined.filter(F.col("both") >= similarity * (F.size("sa") + F.size("sb") - F.col("both"))).select("a", "b")
+
+    groups = checkpoint(connected_components(verified(pairs)))
+    for turn in range(PIVOT_ROUNDS + 1):
+        placed = crowd.join(groups, "node", "left").select("key", "fp", "node", F.coalesce("component", "node").alias("component"))
+        open_keys = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("key")
+        placed = checkpoint(placed.join(open_keys, "key"))
+        if placed.isEmpty():
+            break
+        if turn < PIVOT_ROUNDS:
+            pivots = placed.groupBy("key").agg(F.min_by(F.struct("node", "component", "fp"), F.struct(F.xxhash64("node", F.lit(turn)), "node")).alias("pivot"))
+            pairs = placed.join(pivots, "key").filter("component <> pivot.component").select(F.greatest("node", "pivot.node").alias("a"), F.least("node", "pivot.node").alias("b"))
+        else:
+            pairs = placed.alias("h").join(placed.alias("p"), near & F.expr("h.node > p.node AND h.component <> p.component")).select(F.col("h.node").alias("a"), F.col("p.node").alias("b"))
+        more = verified(pairs.distinct())
+        groups = checkpoint(connected_components(more.unionByName(groups.select(F.col("node").alias("a"), F.col("component").alias("b")))))
+    known = nodes.join(groups, "node", "left").select("same", F.coalesce("component", "node").alias("component_id"))
+    return found.join(known, "same").select(F.col("id").alias(id_col), "component_id")
