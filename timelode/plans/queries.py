@@ -490,7 +490,7 @@ def ocr_phase_verdict(t):
 
 @query
 def replace_for_videos(t):
-    new = t.segments().filter("video_id % 3 = 0").withColumn("text", F.upper("text"))
+    new = t.segments().filter("video_id % 3 = 0").withColumn("text", F.concat(F.lit("new "), "text"))
     done = t.segments().filter("video_id % 3 = 0 OR video_id % 7 = 0").select("video_id")
     return sinks.replace_for_videos(t.segments(), new, done).select("video_id", "segment_id", "text")
 
@@ -537,7 +537,7 @@ def parse_diarization(t):
 def parse_ocr(t):
     line = F.struct("line_no", F.concat(F.lit(" "), "text").alias("transcription"), F.col("confidence").alias("score"), F.array(F.array(F.lit(1.0), F.lit(2.0)), F.array(F.lit(3.0), F.lit(4.0))).alias("bbox"))
     raw = t.ocr().groupBy("frame_id").agg(F.to_json(F.struct(F.array_sort(F.collect_list(line)).alias("lines"))).alias("json"))
-    return parsers.parse_ocr(raw, "en").select("frame_id", "line_no", "text", F.round("confidence", 4).cast("double").alias("confidence"), F.size("bbox").alias("n_points"), "language")
+    return parsers.parse_ocr(raw, "en").select("frame_id", "line_no", "text", F.round(F.col("confidence").cast("double"), 4).alias("confidence"), F.size("bbox").alias("n_points"), "language")
 
 
 @query
