@@ -130,6 +130,8 @@ SQUEEZED = "trim(regexp_replace({}, '[ \\t\\n\\v\\f\\r]+', ' ', 'g'))"
 
 NOT_LIVE = "(lease_expires_at IS NULL OR lease_expires_at <= {})"
 
+_HOUR = "date_trunc('hour', occurred_at)"
+
 ORACLES = {
     "timeline_extent": sql("SELECT * FROM extents", "extents"),
     "sliding_windows": sql("SELECT * FROM windows", "windows"),
@@ -254,4 +256,31 @@ ORACLES = {
         '{{' || CASE WHEN doc_id % 5 > 0 THEN '"salience":' || (doc_id % 10) / 10.0::DOUBLE || ',' ELSE '' END || '"source_segment_indices":[' || doc_id % 7 || '],"prompt_version":3,"chat_model":"model"}}' AS metadata
       FROM (SELECT doc_id, 'The video explains how to ' || substr(text, 1, 80) AS body, substr(text, 1, 80) AS rest, CASE WHEN doc_id % 3 > 0 THEN {_strip('substr(text, 1, 60)')} END AS kept FROM documents)""",
     "classify_frame": sql("SELECT frame_id, CASE WHEN least((ts::DOUBLE * 1.03::DOUBLE) % 10, 10 - (ts::DOUBLE * 1.03::DOUBLE) % 10) <= 0.5 THEN 'INTERVAL' ELSE 'SCENE_CHANGE' END AS reason FROM frames", "frames"),
+    "stream_events": sql("SELECT event_id, item_id, event_type FROM ev", "ev"),
+    "stream_event_counts": sql(f"SELECT * FROM (SELECT event_type, {_HOUR} AS \"start\", {_HOUR} + INTERVAL 1 HOUR AS \"end\", count(*) AS n FROM ev GROUP BY ALL) WHERE \"end\" <= (SELECT max(occurred_at) - INTERVAL 1 HOUR FROM ev)", "ev"),
+    "stream_sliding_counts": sql(f"SELECT * FROM (SELECT event_type, {_HOUR} - to_hours(k) AS \"start\", {_HOUR} + to_hours(2 - k) AS \"end\", count(*) AS n FROM ev, (SELECT unnest([0, 1]) AS k) GROUP BY ALL) WHERE \"end\" <= (SELECT max(occurred_at) - INTERVAL 1 HOUR FROM ev)", "ev"),
+    "stream_sessions": sql("""SELECT * FROM (SELECT item_id, min(occurred_at) AS "start", max(occurred_at) + INTERVAL 12 HOUR AS "end", count(*) AS n FROM (SELECT *, sum(fresh) OVER (PARTITION BY item_id ORDER BY occurred_at, event_id) AS g FROM (SELECT *, CASE WHEN occurred_at - lag(occurred_at) OVER (PARTITION BY item_id ORDER BY occurred_at, event_id) < INTERVAL 12 HOUR THEN 0 ELSE 1 END AS fresh FROM ev)) GROUP BY item_id, g)
+      WHERE "end" <= (SELECT max(occurred_at) - INTERVAL 1 HOUR FROM ev)""", "ev"),
+    "stream_phase_durations": sql("""SELECT e.item_id, e.attempt::INT AS attempt, e.p AS phase, epoch_us(c.occurred_at) // 1000 - epoch_us(e.occurred_at) // 1000 AS millis FROM (SELECT ev.*, ((props->>'k')::INT % 10)::VARCHAR AS p FROM ev JOIN events x USING (event_id) WHERE ev.event_type = 'ITEM_PHASE_ENTERED') e JOIN (SELECT ev.*, ((props->>'k')::INT % 10)::VARCHAR AS p FROM ev JOIN events x USING (event_id) WHERE ev.event_type = 'ITEM_PHASE_COMPLETED') c
+      ON e.item_id = c.item_id AND e.attempt = c.attempt AND e.p = c.p AND c.occurred_at >= e.occurred_at AND c.occurred_at <= e.occurred_at + INTERVAL 6 HOUR""", "ev"),
+    "stream_stuck_items": sql("""SELECT item_id, e.event_type AS last_event, date_trunc('millisecond', e.occurred_at) AS last_at FROM (SELECT item_id, arg_max(struct_pack(event_type, occurred_at), (occurred_at, event_id)) AS e FROM ev GROUP BY 1)
+      WHERE e.event_type NOT IN ('ITEM_COMPLETED', 'ITEM_FAILED') AND e.occurred_at + INTERVAL 36 HOUR < (SELECT max(occurred_at) - INTERVAL 10 MINUTE FROM ev)""", "ev"),
+    "stream_channel_sync": sql("""SELECT coalesce(c.channel_id, n.channel_id) AS channel_id, coalesce(c.youtube_video_id, n.id) AS youtube_video_id, CASE WHEN n.id IS NOT NULL THEN 'new' ELSE 'video ' || c.youtube_video_id END AS title, CASE WHEN n.id IS NOT NULL THEN n.p ELSE c.published_at END AS published_at
+      FROM cat c FULL JOIN (SELECT l_suppkey AS channel_id, l_partkey::VARCHAR AS id, arg_min(l_shipdate, (l_orderkey, l_linenumber, l_partkey)) AS p FROM lineitem WHERE l_linenumber <= 3 GROUP BY ALL) n ON n.channel_id = c.channel_id AND n.id = c.youtube_video_id""", "cat"),
+    "write_transcript_artifacts": "SELECT doc_id AS video_id, lang AS language, text FROM documents",
+    "append_events": sql("SELECT item_id, 'ITEM_PHASE_ENTERED' AS event_type, attempt::INT AS attempt, phase FROM laneitems", "laneitems"),
+    "write_replaced": sql("SELECT video_id, segment_id, CASE WHEN video_id % 10 = 0 THEN 'again' ELSE text END AS text FROM segments WHERE video_id % 5 > 0 OR video_id % 10 = 0", "segments"),
+    "read_url_list": "SELECT url FROM pages WHERE page_id % 5 > 0 AND page_id % 7 > 0",
+    "parse_scalars_json": "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'vimeo' ELSE 'unknown' END AS source, CASE WHEN doc_id % 2 = 0 THEN doc_id::VARCHAR WHEN doc_id % 3 = 0 THEN 'https://vimeo.com/1' ELSE 'https://x.org/1' END AS video, source AS channel, '20240229' AS day FROM documents",
+    "ingest_job": sql("""SELECT 'youtube:' || page_id AS video_id, 'DOWNLOADED' AS status, 'a title' AS title FROM pages WHERE page_id % 5 > 0 AND page_id NOT IN (SELECT doc_id FROM documents WHERE doc_id % 2 = 0)"""),
+    "knowledge_job": sql("SELECT video_id, count(*) AS n_units FROM fused GROUP BY 1", "fused"),
+    "ocr_job": sql("SELECT video_id, frame_id, line_no FROM ocr JOIN frames USING (frame_id) WHERE NOT regexp_matches(text, '^\\s*$') AND confidence >= 0.5 AND video_id % 7 > 0", "ocr", "frames"),
 }
+
+ORACLES["context_job"] = f"SELECT video_id, count(*) AS n_chunks, 64 AS dims FROM ({ORACLES['build_chunks']}) GROUP BY 1"
+ORACLES["fuse_job"] = sql(
+    """SELECT f.video_id, f.segment_index, f.transcript_text, g.labels AS speaker_labels FROM fused f LEFT JOIN (SELECT video_id, k, string_agg(label, ',' ORDER BY p) AS labels FROM (SELECT w.video_id, w.k, a.label, min((a.s, a.segment_id)) AS p FROM windows w JOIN (
+      SELECT g.video_id, g.segment_id, g.s, g.e, CASE WHEN max(least(g.e, t.e) - greatest(g.s, t.s)) >= 0.25 THEN arg_max(t.label, (least(g.e, t.e) - greatest(g.s, t.s), -t.seq)) END AS label FROM segments g LEFT JOIN turns t ON t.video_id = g.video_id AND least(g.e, t.e) > greatest(g.s, t.s) GROUP BY ALL) a
+      ON a.video_id = w.video_id AND a.e > w.window_start AND a.s < w.window_end WHERE a.label IS NOT NULL GROUP BY ALL) GROUP BY ALL) g ON g.video_id = f.video_id AND g.k = f.start_seconds / 25""",
+    "fused", "windows", "segments", "turns",
+)

@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from timelode.functions import scalars as s
 from timelode.operators import catalog, events, fusion, knowledge, runs, search, sinks, videos
+from timelode.plans import jobs as plans
 from timelode.plans.adapters import Tables, now
 from timelode.sources import parsers
+from timelode.streaming import jobs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -606,3 +608,197 @@ def classify_frame(t):
 def storage_path(t):
     rows = t.videos().select("video_id", "channel_name", F.substring("title", 1, 8).alias("title"), F.col("created_at").alias("published_at"), F.lit("mkv").alias("ext"))
     return s.storage_path(rows, "/lib").select("video_id", "path")
+
+
+# streams: the event table read as a stream to its end, results read back from the sink
+
+
+def _stream_root(t: Tables, label: str) -> str:
+    """A new folder in the shared checkpoint folder, or in the session's temporary folder where none is named."""
+    import tempfile
+    import uuid
+
+    shared = t.spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='timelode-')}"
+    return f"{shared.rstrip('/')}/{label}-{uuid.uuid4().hex[:12]}"
+
+
+def _raw_stream(t: Tables) -> DataFrame:
+    """The events as a stream; NTZ times are read as UTC, which event time needs."""
+    schema = t.raw("events").schema
+    rows = t.spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(t.root)
+    names = {"signup": "ITEM_CREATED", "view": "ITEM_PHASE_ENTERED", "click": "ITEM_PHASE_COMPLETED", "error": "ITEM_FAILED", "purchase": "ITEM_COMPLETED"}
+    kind = F.element_at(F.create_map(*[F.lit(x) for pair in names.items() for x in pair]), F.col("event_type"))
+    day = F.dayofmonth("ts")
+    return rows.select("event_id", F.col("user_id").alias("item_id"), (F.col("user_id") % 20).alias("run_id"), kind.alias("event_type"), (F.get_json_object("props", "$.k").cast("int") % 10).cast("string").alias("phase"), (1 + F.floor(day / 10)).cast("int").alias("attempt"), F.col("ts").cast("timestamp").alias("occurred_at"))
+
+
+def _run_stream(t: Tables, df: DataFrame, label: str) -> DataFrame:
+    root = _stream_root(t, label)
+    df.writeStream.format("parquet").option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start(f"{root}/out").awaitTermination()
+    return t.spark.read.schema(df.schema).parquet(f"{root}/out")
+
+
+def _plain_times(df: DataFrame) -> DataFrame:
+    return df.select(*[F.col(f.name).cast("timestamp_ntz").alias(f.name) if f.dataType.typeName() == "timestamp" else F.col(f.name) for f in df.schema])
+
+
+@query
+def stream_events(t):
+    rows = _raw_stream(t).withWatermark("occurred_at", "1 hour").dropDuplicatesWithinWatermark(["event_id"])
+    return _run_stream(t, rows.select("event_id", "item_id", "event_type"), "events")
+
+
+@query
+def stream_event_counts(t):
+    return _plain_times(_run_stream(t, jobs.stream_event_counts(_raw_stream(t), "1 hour"), "counts"))
+
+
+@query
+def stream_sliding_counts(t):
+    return _plain_times(_run_stream(t, jobs.stream_event_counts(_raw_stream(t), "2 hours", "1 hour"), "sliding"))
+
+
+@query
+def stream_sessions(t):
+    return _plain_times(_run_stream(t, jobs.stream_event_counts(_raw_stream(t), session_gap="12 hours"), "sessions"))
+
+
+@query
+def stream_phase_durations(t):
+    return _run_stream(t, jobs.stream_phase_durations(_raw_stream(t), "6 hours"), "durations").select("item_id", "attempt", "phase", "millis")
+
+
+@query
+def stream_stuck_items(t):
+    return _plain_times(_run_stream(t, jobs.stream_stuck_items(_raw_stream(t), "36 hours"), "stuck"))
+
+
+@query
+def stream_run_status(t):
+    """Runs rolled up from an item table that every micro-batch is merged into."""
+    root, last = _stream_root(t, "status"), []
+
+    def write(items: DataFrame) -> None:
+        path = f"{root}/items-{len(last)}"
+        items.write.parquet(path)
+        last.append(path)
+
+    apply = jobs.run_status_batch(lambda: t.spark.read.parquet(last[-1]) if last else None, write)
+    _raw_stream(t).writeStream.option("checkpointLocation", f"{root}/state").foreachBatch(apply).trigger(availableNow=True).start().awaitTermination()
+    return jobs.runs_of(t.spark.read.parquet(last[-1])).select("run_id", "status", "phase")
+
+
+@query
+def stream_channel_sync(t):
+    """The catalog after candidates that arrive as a stream are merged."""
+    root, last = _stream_root(t, "sync"), []
+    schema = t.raw("lineitem").schema
+    rows = t.spark.readStream.schema(schema).option("pathGlobFilter", "lineitem.parquet").parquet(t.root).filter("l_linenumber <= 3")
+    candidates = rows.select(F.col("l_suppkey").alias("channel_id"), F.struct("l_orderkey", "l_linenumber", "l_partkey").alias("pos"), F.col("l_partkey").cast("string").alias("youtube_video_id"), F.lit("new").alias("title"), F.col("l_shipdate").alias("published_at"), F.lit("w").alias("watch_url"), F.lit("{}").alias("metadata"))
+
+    def write(merged: DataFrame) -> None:
+        path = f"{root}/catalog-{len(last)}"
+        merged.write.parquet(path)
+        last.append(path)
+
+    apply = jobs.channel_sync_batch(lambda: t.spark.read.parquet(last[-1]) if last else t.catalog(), write, now())
+    candidates.writeStream.option("checkpointLocation", f"{root}/state").foreachBatch(apply).trigger(availableNow=True).start().awaitTermination()
+    return t.spark.read.parquet(last[-1]).select("channel_id", "youtube_video_id", "title", "published_at")
+
+
+# whole jobs
+
+
+@query
+def fuse_job(t):
+    segments = t.segments().groupBy("video_id").agg(F.array_sort(F.collect_list(F.struct(F.col("segment_id").alias("n"), F.col("start_seconds").cast("double").alias("start"), F.col("end_seconds").cast("double").alias("end"), "text"))).alias("segments"))
+    turns = t.turns().groupBy("video_id").agg(F.array_sort(F.collect_list(F.struct("seq", F.col("start_seconds").cast("double").alias("start"), F.col("end_seconds").cast("double").alias("end"), "label"))).alias("segments"))
+    tables = {"raw_transcripts": segments.select("video_id", F.to_json(F.struct("segments")).alias("json")), "raw_diarization": turns.select("video_id", F.to_json(F.struct("segments")).alias("json")), "videos": t.videos(), "video_frames": t.frames(), "ocr_results": t.ocr()}
+    return plans.fuse_job(tables)["multimodal_segments"].select("video_id", "segment_index", "transcript_text", F.array_join("speaker_labels", ",").alias("speaker_labels"))
+
+
+def _claims(system: str, prompt: str) -> str:
+    """A stand-in for a model: one claim per segment of the prompt."""
+    import json
+
+    return json.dumps({"units": [{"type": "claim", "title": f"segment {i}", "content": part.strip()[:80], "salience": 0.5, "source_segment_indices": [i]} for i, part in enumerate(prompt.split("---\n")[1:-1])]})
+
+
+@query
+def knowledge_job(t):
+    if t.spark.sparkContext.getCheckpointDir() is None:
+        t.spark.sparkContext.setCheckpointDir(_stream_root(t, "replies"))
+    units = plans.knowledge_job({"multimodal_segments": _fused(t)}, _claims)["knowledge_units"]
+    return units.groupBy("video_id").agg(F.count("*").alias("n_units"))
+
+
+@query
+def context_job(t):
+    done = plans.context_job({"multimodal_segments": _fused(t), "transcriptions": t.transcriptions(), "videos": t.videos()}, search.hash_embedder(64), dims=64)["context_chunks"]
+    return done.groupBy("video_id").agg(F.count("*").alias("n_chunks"), F.min(F.size("embedding")).alias("dims"))
+
+
+@query
+def ocr_job(t):
+    line = F.struct("line_no", "text", "confidence")
+    raw = t.ocr().groupBy("frame_id").agg(F.to_json(F.struct(F.array_sort(F.collect_list(line)).alias("lines"))).alias("json"))
+    broken = F.when(F.col("frame_id") % 700_000 < 100_000, F.lit("{")).otherwise(F.col("json"))
+    return plans.ocr_job({"video_frames": t.frames()}, raw.withColumn("json", broken))["ocr_results"].select("video_id", "frame_id", "line_no")
+
+
+@query
+def ingest_job(t):
+    meta = t.raw("pages").select("url", F.to_json(F.struct(F.lit("youtube").alias("extractor"), F.col("page_id").cast("string").alias("id"), F.lit("a title").alias("title"))).alias("json"), F.lit("f").alias("file_path"))
+    done = plans.ingest_job({"videos": t.videos().withColumn("source", F.when(F.col("video_id") % 2 == 0, "youtube").otherwise("vimeo"))}, t.requests(), meta, now())
+    return done["videos"].select("video_id", "status", "title")
+
+
+@query
+def channel_job(t):
+    known = t.catalog().withColumn("channel_id", F.col("channel_id").cast("string"))
+    named = t.channels().withColumn("channel_id", F.col("channel_id").cast("string"))
+    listed = _listings(t).filter(F.endswith("channel_url", F.lit("/7")))
+    return plans.channel_job({"youtube_channel_videos": known, "youtube_channels": named, "videos": t.part_videos()}, listed, now())["not_ingested"].select("channel_id", "youtube_video_id")
+
+
+@query
+def write_transcript_artifacts(t):
+    root = _stream_root(t, "artifacts")
+    sinks.write_transcript_artifacts(t.transcriptions(), t.segments(), root)
+    return t.spark.read.schema("video_id bigint, language string, text string").json(f"{root}/json")
+
+
+@query
+def append_events(t):
+    root = _stream_root(t, "log")
+    made = sinks.transition_events(t.lane_items(), "ITEM_PHASE_ENTERED", now())
+    for i in range(2):
+        sinks.append_events(made.filter(F.col("item_id") % 2 == i), root)
+    return t.spark.read.parquet(root).select("item_id", "event_type", "attempt", "phase")
+
+
+@query
+def write_replaced(t):
+    """The table on disk after only some of its hash buckets were written anew."""
+    root = _stream_root(t, "buckets")
+    old, everyone = t.segments(), t.segments().select("video_id")
+    sinks.write_replaced(old, old.limit(0), everyone, root, 8)
+    done = everyone.filter("video_id % 5 = 0")
+    sinks.write_replaced(old.filter("video_id % 10 = 0").withColumn("text", F.lit("again")), old, done, root, 8)
+    return t.spark.read.parquet(root).select("video_id", "segment_id", "text")
+
+
+@query
+def read_url_list(t):
+    root = _stream_root(t, "urls")
+    lines = F.when(F.col("page_id") % 5 == 0, F.concat(F.lit("# "), F.col("url"))).when(F.col("page_id") % 7 == 0, "").otherwise(F.concat(F.lit("  "), F.col("url")))
+    t.raw("pages").select(lines.alias("value")).write.text(root)
+    return parsers.read_url_list(t.spark, root)
+
+
+@query
+def parse_scalars_json(t):
+    """Source, channel and date rules over metadata with other keys filled."""
+    i = F.col("doc_id")
+    meta = F.to_json(F.struct(F.when(i % 2 == 0, "").alias("channel"), F.col("source").alias("uploader_id"), F.when(i % 3 == 0, "https://vimeo.com/1").otherwise("https://x.org/1").alias("webpage_url"), F.when(i % 2 == 0, i.cast("string")).alias("display_id"), F.lit("20240231").alias("release_date")))
+    return t.raw("documents").select("doc_id", s.source_of(meta).alias("source"), s.source_video_id_of(meta).alias("video"), s.channel_of(meta).alias("channel"), s.date_string_of(meta, F.lit("2024-05-01").cast("date")).alias("day"))
