@@ -21,11 +21,11 @@ from timelode.llm.common import save
 
 RATIO, MIN_PAGES, MIN_COPIES = 0.1, 20, 5
 BROADCAST_BYTES = 8 << 20
-BLANKS = "^[\\t-\\r ]+|[\\t-\\r ]+$"
+BLANKS = "\t\n\x0b\x0c\r "
 
 
 def _hash(line: Column) -> Column:
-    plain = F.regexp_replace(line, BLANKS, "")
+    plain = F.trim(line, F.lit(BLANKS))
     return F.struct(F.xxhash64(plain).alias("x"), F.xxhash64(F.lit(7), plain).alias("y"), (plain != "").alias("real"))
 
 
