@@ -71,9 +71,9 @@ def schedule(totals: DataFrame, block_chars: int, round_slots: int, weights: dic
     phases = phases.withColumn("start", F.coalesce(before, F.lit(0).cast("long")))
     spread = phases.repartition("phase").select("phase", "s", "counts", "n", "start", "p", F.posexplode(earliest_deadline_first(F.col("counts"))).alias("slot", "run"))
     of = F.element_at("s", F.col("run.src") + 1)
-    rows = spread.select(of["s"]["source"].alias("source"), of["a"].alias("a"), "phase", F.col("p.first").alias("first"), "n", "start", "slot", F.element_at("counts", F.col("run.src") + 1).alias("c"))
-    by_phase = rows.groupBy("source", "a", "phase", "first", "n", "start", "c").agg(F.array_sort(F.collect_list("slot")).alias("slots"))
-    return by_phase.groupBy(F.col("source").alias("_source"), "a").agg(F.array_sort(F.collect_list(F.struct("first", "n", "start", "c", "slots"))).alias("phases"))
+    rows = spread.select(of["s"]["source"].alias("source"), of["a"].alias("a"), "phase", F.col("p.first").alias("first"), F.col("p.next").alias("next"), "n", "start", "slot", F.element_at("counts", F.col("run.src") + 1).alias("c"))
+    by_phase = rows.groupBy("source", "a", "phase", "first", "next", "n", "start", "c").agg(F.array_sort(F.collect_list("slot")).alias("slots"))
+    return by_phase.groupBy(F.col("source").alias("_source"), "a").agg(F.array_sort(F.collect_list(F.struct("first", "next", "n", "start", "c", "slots"))).alias("phases"))
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", weights: dict[str, float] | None = None, block_chars: int = BLOCK_CHARS, round_slots: int = ROUND_SLOTS, tempering: float = TEMPERING) -> DataFrame:
@@ -100,7 +100,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
 
     rows = rows.join(hint(plan), F.col("source").eqNullSafe(F.col("_source")))
     # empty texts at the very end of a source belong to its last block
-    last = F.aggregate("phases", F.lit(0).cast("long"), lambda acc, p: F.greatest(acc, p["first"].cast("long") * F.col("a") + p["c"] - 1))
+    last = F.aggregate("phases", F.lit(0).cast("long"), lambda acc, p: F.greatest(acc, (p["next"] - 1).cast("long") * F.col("a") + p["c"] - 1))
     rows = rows.withColumn("last", last).withColumn("block", F.least(F.floor(F.col("at") / block_chars), F.greatest("last", F.lit(0).cast("long"))))
     rows = rows.withColumn("round", F.floor(F.col("block") / F.col("a"))).withColumn("j", (F.col("block") - F.col("round") * F.col("a")).cast("int"))
     rows = rows.withColumn("p", F.element_at(F.filter("phases", lambda p: p["first"] <= F.col("round")), -1))
