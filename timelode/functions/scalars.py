@@ -132,6 +132,14 @@ def chunk_text(c: Column | str, target: int = 900, overlap: int = 150) -> Column
     return cut(F.coalesce(c, F.lit("")))
 
 
+@F.udtf(returnType="pos int, chunk string")
+class ChunkText:
+    """`chunk_text` as a table function, for SQL and lateral joins: one row per chunk."""
+
+    def eval(self, text: str) -> Iterator[tuple[int, str]]:
+        yield from enumerate(cut_chunks(text))
+
+
 # Answers that say nothing, and the verbs of a describing opening.
 NON_ANSWERS = "none|none specified|not specified|not stated|not mentioned|not given|n/?a|unspecified|unknown|none given|no|nothing"
 VERBS = "explains|describes|discusses|covers|teaches|demonstrates|shows|presents|outlines|introduces|walks\\s+through|goes\\s+over"

@@ -104,12 +104,19 @@ def _nearest(corpus: DataFrame, queries: pa.Table, k: int, metric: str) -> Calla
                 continue
             batch = batch.take(pa.array(good))
             x, out = _matrix(batch.column("embedding")), []
-            for i in range(len(q)):
-                # differences, not the expanded square: exact for equal vectors
-                d = 1 - (x @ q[i]) / np.linalg.norm(x, axis=1) if metric == "cosine" else np.sqrt(((x - q[i]) ** 2).sum(axis=1))
-                last = np.partition(d, min(k, len(d)) - 1)[min(k, len(d)) - 1]
-                best = np.flatnonzero(d <= last)  # ties stay for the ranking by id
-                out.append((np.full(len(best), i), best, d[best]))
+            norms = (x * x).sum(axis=1)
+            if metric == "cosine":
+                rough = -(q @ x.T) / np.sqrt(norms)
+            else:
+                rough = norms - 2 * (q @ x.T)
+            slack = 1e-9 * (1 + np.abs(rough).max())
+            most = min(k, len(x))
+            for i, row in enumerate(rough):
+                # one matrix product finds who may be near; their distances are then taken anew, exact for equal vectors
+                near = np.flatnonzero(row <= np.partition(row, most - 1)[most - 1] + slack)
+                d = 1 + row[near] if metric == "cosine" else np.sqrt(((x[near] - q[i]) ** 2).sum(axis=1))
+                best = d <= np.partition(d, most - 1)[most - 1]  # ties stay for the ranking by id
+                out.append((np.full(best.sum(), i), near[best], d[best]))
             rows, at, d = (np.concatenate([o[j] for o in out]) for j in range(3))
             yield pa.RecordBatch.from_arrays([ids.take(pa.array(rows)), batch.column("id").take(pa.array(at)), pa.array(d)], ["query_id", "id", "distance"])
 

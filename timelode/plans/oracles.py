@@ -277,6 +277,7 @@ ORACLES = {
     "ocr_job": sql("SELECT video_id, frame_id, line_no FROM ocr JOIN frames USING (frame_id) WHERE NOT regexp_matches(text, '^\\s*$') AND confidence >= 0.5 AND video_id % 7 > 0", "ocr", "frames"),
 }
 
+ORACLES["chunk_text_udtf"] = ORACLES["chunk_text"]
 ORACLES["context_job"] = f"SELECT video_id, count(*) AS n_chunks, 64 AS dims FROM ({ORACLES['build_chunks']}) GROUP BY 1"
 ORACLES["fuse_job"] = sql(
     """SELECT f.video_id, f.segment_index, f.transcript_text, g.labels AS speaker_labels FROM fused f LEFT JOIN (SELECT video_id, k, string_agg(label, ',' ORDER BY p) AS labels FROM (SELECT w.video_id, w.k, a.label, min((a.s, a.segment_id)) AS p FROM windows w JOIN (
@@ -284,3 +285,10 @@ ORACLES["fuse_job"] = sql(
       ON a.video_id = w.video_id AND a.e > w.window_start AND a.s < w.window_end WHERE a.label IS NOT NULL GROUP BY ALL) GROUP BY ALL) g ON g.video_id = f.video_id AND g.k = f.start_seconds / 25""",
     "fused", "windows", "segments", "turns",
 )
+ORACLES["stream_run_status"] = f"""SELECT run_id, CASE WHEN live THEN 'IN_PROGRESS' WHEN failed THEN 'FAILED' ELSE 'COMPLETED' END AS status, CASE WHEN live THEN 'CREATED' ELSE 'DONE' END AS phase
+  FROM (SELECT run_id, bool_or(status IN ('PENDING', 'IN_PROGRESS')) AS live, bool_or(status = 'FAILED') AS failed FROM ({ORACLES['items_from_events']}) GROUP BY 1)"""
+ORACLES["channel_job"] = sql(
+    """SELECT channel_id, youtube_video_id FROM (SELECT channel_id::VARCHAR AS channel_id, youtube_video_id FROM cat
+      UNION SELECT l_suppkey::VARCHAR, CASE WHEN l_partkey % 5 > 0 THEN l_partkey::VARCHAR ELSE 'u' || l_partkey END FROM lineitem WHERE l_orderkey % 50 = 7 AND l_partkey % 10 > 0) ANTI JOIN ing USING (youtube_video_id)""",
+    "cat", "ing",
+)

@@ -192,6 +192,11 @@ def chunk_text(t):
     return t.raw("documents").select("doc_id", F.posexplode(s.chunk_text("text")).alias("pos", "chunk"))
 
 
+@query
+def chunk_text_udtf(t):
+    return t.raw("documents").select("doc_id", "text").lateralJoin(s.ChunkText(F.col("text").outer())).select("doc_id", "pos", "chunk")
+
+
 @query
 def build_chunks(t):
     return search.build_chunks(_fused(t), t.transcriptions())[0]
