@@ -31,7 +31,10 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates (five-word shingles, similarity 0.8 or more) the smallest doc_id stays."""
+    """Of each group of near-duplicates (five-word shingles, similarity 0.8 or more) the smallest doc_id stays.
+
+    Rows that share a doc_id count as one document and stay or go together; rows with a null doc_id stay.
+    """
     groups = simhash.similar_groups(docs)
     gone = groups.filter(F.col("component_id") != F.col("doc_id")).select("doc_id")
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
