@@ -34,6 +34,8 @@ from timelode.llm.components import connected_components
 
 #: Fingerprints of the similarity search (of the set of words, by mixed hashes) and the bits they may differ in.
 PRINTS, RADIUS, PIVOT_ROUNDS = 4, 3, 3
+#: Longs of a text's sketch: one bit per hash range that holds any of its shingles.
+SKETCH_WORDS = 32
 
 SEED = 42
 #: Widths of the segments by radius, from the low bit; each is padded with zeros to 23 bits. Of radius + 1
@@ -196,12 +198,16 @@ def _print_keys(nodes: DataFrame, near: bool) -> DataFrame:
 
 def _shingle_sets(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        found = []
+        found, sketches = [], []
         for t in batch.column("text"):
             words = words_of(t.as_py() or b"")
             shingles = set(map(b" ".join, zip(*(words[i:] for i in range(size)), strict=False))) or {b" ".join(words)}
-            found.append([xxhash.xxh64_intdigest(s, SEED) - (1 << 63) for s in shingles])
-        yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(found, pa.list_(pa.int64()))], ["node", "shingles"])
+            hashes = np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in shingles), np.uint64)
+            found.append(hashes.view(np.int64))
+            bits = np.zeros(64 * SKETCH_WORDS, dtype=bool)
+            bits[(hashes >> np.uint64(32)) % np.uint64(len(bits))] = True
+            sketches.append(np.packbits(bits).view(np.int64))
+        yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(found, pa.list_(pa.int64())), pa.array(sketches, pa.list_(pa.int64()))], ["node", "shingles", "sketch"])
 
 
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, bucket_limit: int = 64) -> DataFrame:
@@ -209,8 +215,8 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     Candidates are texts of which one of several SimHashes of the word set differs in at most RADIUS bits,
     found by Golay keys. Equal word sequences are folded first. Under keys with very many texts only
-    pairs of different components are compared: with pivots first, then whatever is left, so a family of
-    copies costs a few comparisons per member. Rows with a null id are left out.
+    pairs of different components that pass an exact bound on their difference are compared: with
+    pivots first, then whatever is left, so a family of copies costs a few comparisons per member. Rows with a null id are left out.
     """
     rows = picked(docs, id=F.col(f"`{id_col}`").cast("long"), text=F.col(f"`{text_col}`").cast("binary")).filter("id IS NOT NULL")
     found = save(rows.mapInArrow(_print_rows, "id bigint, same binary, prints array<bigint>"), "word-prints")
@@ -230,25 +236,31 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     if wanted.count() <= BROADCAST_ROWS:
         wanted = F.broadcast(wanted)
     texts = rows.withColumnRenamed("id", "node").join(wanted, "node", "left_semi")
-    sets = save(texts.mapInArrow(lambda batches: _shingle_sets(batches, shingle), "node bigint, shingles array<bigint>").dropDuplicates(["node"]), "shingle-sets")
+    sets = save(texts.mapInArrow(lambda batches: _shingle_sets(batches, shingle), "node bigint, shingles array<bigint>, sketch array<bigint>").dropDuplicates(["node"]), "shingle-sets")
 
     def verified(pairs: DataFrame) -> DataFrame:
         left, right = (sets.select(F.col("node").alias(c), F.col("shingles").alias(f"s{c}")) for c in "ab")
         joined = pairs.join(left, "a").join(right, "b").withColumn("both", F.size(F.array_intersect("sa", "sb")))
         return joined.filter(F.col("both") >= similarity * (F.size("sa") + F.size("sb") - F.col("both"))).select("a", "b")
 
+    # each bit in which the sketches differ needs a shingle that only one text has, so this bound drops no link
+    differ = " + ".join(f"bit_count(h.sketch[{i}] ^ p.sketch[{i}])" for i in range(SKETCH_WORDS))
+    bound = f"h.component <> p.component AND {differ} <= {(1 - similarity) / (1 + similarity)} * (h.size + p.size)"
+    crowd = save(crowd.join(sets.select("node", "sketch", F.size("shingles").alias("size")), "node"), "crowd-sketches")
     groups = checkpoint(connected_components(verified(pairs)))
     for turn in range(PIVOT_ROUNDS + 1):
-        placed = crowd.join(groups, "node", "left").select("key", "fp", "node", F.coalesce("component", "node").alias("component"))
+        placed = crowd.join(groups, "node", "left").select("key", "fp", "node", "sketch", "size", F.coalesce("component", "node").alias("component"))
         open_keys = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("key")
-        placed = checkpoint(placed.join(open_keys, "key"))
+        placed = save(placed.join(open_keys, "key"), "placed")
         if placed.isEmpty():
             break
         if turn < PIVOT_ROUNDS:
-            pivots = placed.groupBy("key").agg(F.min_by(F.struct("node", "component", "fp"), F.struct(F.xxhash64("node", F.lit(turn)), "node")).alias("pivot"))
-            pairs = placed.join(pivots, "key").filter("component <> pivot.component").select(F.greatest("node", "pivot.node").alias("a"), F.least("node", "pivot.node").alias("b"))
+            first = F.min_by(F.struct("node", "component", "sketch", "size"), F.struct(F.xxhash64("node", F.lit(turn)), "node"))
+            pivots = placed.groupBy("key").agg(first.alias("p")).select("key", "p.*")
+            pairs = placed.alias("h").join(pivots.alias("p"), F.expr(f"h.key = p.key AND {bound}"))
         else:
-            pairs = placed.alias("h").join(placed.alias("p"), near & F.expr("h.node > p.node AND h.component <> p.component")).select(F.col("h.node").alias("a"), F.col("p.node").alias("b"))
+            pairs = placed.alias("h").join(placed.alias("p"), near & F.expr(f"h.node > p.node AND {bound}"))
+        pairs = pairs.select(F.greatest("h.node", "p.node").alias("a"), F.least("h.node", "p.node").alias("b"))
         more = verified(pairs.distinct())
         groups = checkpoint(connected_components(more.unionByName(groups.select(F.col("node").alias("a"), F.col("component").alias("b")))))
     known = nodes.join(groups, "node", "left").select("same", F.coalesce("component", "node").alias("component_id"))
