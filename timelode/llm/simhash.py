@@ -36,6 +36,8 @@ from timelode.llm.components import connected_components
 PRINTS, RADIUS, PIVOT_ROUNDS = 4, 3, 3
 #: Longs of a text's sketch: one bit per hash range that holds any of its shingles.
 SKETCH_WORDS = 32
+#: Rows for which keys or shingles are held at a time.
+SLICE = 1024
 
 SEED = 42
 #: Widths of the segments by radius, from the low bit; each is padded with zeros to 23 bits. Of radius + 1
@@ -122,7 +124,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def _keyed(prints: DataFrame, near: bool) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in (batch.slice(i, 4096) for i in range(0, batch.num_rows, 4096)):
+            for part in (batch.slice(i, SLICE) for i in range(0, batch.num_rows, SLICE)):
                 rows, keys = golay_keys(part.column("fp").to_numpy(), near)
                 at = pa.array(rows)
                 yield pa.RecordBatch.from_arrays([pa.array(keys), part.column("fp").take(at), part.column("rep").take(at)], ["key", "fp", "rep"])
@@ -179,15 +181,18 @@ def _word_prints(words: list[bytes]) -> list[int]:
 
 def _print_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        words = [words_of(t.as_py() or b"") for t in batch.column("text")]
-        same = [xxhash.xxh3_128_digest(b" ".join(w)) for w in words]
-        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(same), pa.array([_word_prints(w) for w in words], pa.list_(pa.int64()))], ["id", "same", "prints"])
+        same, prints = [], []
+        for t in batch.column("text"):  # the words of one text at a time
+            words = words_of(t.as_py() or b"")
+            same.append(xxhash.xxh3_128_digest(b" ".join(words)))
+            prints.append(_word_prints(words))
+        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(same), pa.array(prints, pa.list_(pa.int64()))], ["id", "same", "prints"])
 
 
 def _print_keys(nodes: DataFrame, near: bool) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in (batch.slice(i, 4096) for i in range(0, batch.num_rows, 4096)):
+            for part in (batch.slice(i, SLICE) for i in range(0, batch.num_rows, SLICE)):
                 prints = part.column("prints").flatten().to_numpy().reshape(-1, PRINTS)
                 for i in range(PRINTS):
                     rows, keys = golay_keys(np.ascontiguousarray(prints[:, i]), near, RADIUS)
@@ -197,7 +202,7 @@ def _print_keys(nodes: DataFrame, near: bool) -> DataFrame:
 
 
 def _shingle_sets(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in (b.slice(i, SLICE) for b in batches for i in range(0, b.num_rows, SLICE)):
         found, sketches = [], []
         for t in batch.column("text"):
             words = words_of(t.as_py() or b"")
