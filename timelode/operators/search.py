@@ -18,17 +18,19 @@ def build_chunks(fused: DataFrame, transcriptions: DataFrame, max_chunks: int =
 
     A fused row of at most `whole` characters is one chunk; videos without fused text fall back to the transcript.
     """
-    text = fused.select("video_id", "segment_index", format_fused("transcript_text", "ocr_text").alias("text")).filter("text <> ''")
-    short = text.filter(F.length("text") <= whole).select("video_id", "segment_index", F.lit(0).alias("pos"), F.col("text").alias("content"))
-    long = text.filter(F.length("text") > whole).select("video_id", "segment_index", F.posexplode(chunk_text("text")).alias("pos", "content"))
-    bare = transcriptions.join(text.select("video_id").distinct(), "video_id", "left_anti")
-    spoken = bare.select("video_id", F.lit(0).cast(fused.schema["segment_index"].dataType).alias("segment_index"), F.posexplode(chunk_text("full_text")).alias("pos", "content"))
-    every = short.unionByName(long).unionByName(spoken)
-    sizes = every.groupBy("video_id").agg(F.count("*").alias("n"))
-    refused = sizes.filter(F.col("n") > max_chunks)
-    kept = every.join(refused.select("video_id"), "video_id", "left_anti")
-    index = F.row_number().over(Window.partitionBy("video_id").orderBy("segment_index", "pos")) - 1
-    return kept.select("video_id", index.alias("chunk_index"), "content"), refused
+    text = fused.select("video_id", "segment_index", format_fused("transcript_text", "ocr_text").alias("text"), F.lit(False).alias("fallback")).filter("text <> ''")
+    kind = fused.schema["segment_index"].dataType.simpleString()
+    spoken = transcriptions.select("video_id", F.lit(0).cast(kind).alias("segment_index"), F.col("full_text").alias("text"), F.lit(True).alias("fallback"))
+    # one pass over the fused rows: each video's rows meet once, and either its fused rows or its transcript stay
+    by = Window.partitionBy("video_id")
+    kept = text.unionByName(spoken).withColumn("fused", F.bool_or(~F.col("fallback")).over(by)).filter("fused <> fallback")
+    cut = F.col("fallback") | (F.length("text") > whole)
+    pieces = F.when(cut, chunk_text(F.when(cut, F.col("text")))).otherwise(F.array("text"))
+    rows = kept.select("video_id", "segment_index", F.posexplode(pieces).alias("pos", "content"))
+    index = F.row_number().over(by.orderBy("segment_index", "pos")) - 1
+    rows = rows.select("video_id", index.alias("chunk_index"), "content", F.count("*").over(by).alias("n"))
+    refused = rows.filter(F.col("n") > max_chunks).select("video_id", "n").distinct()
+    return rows.filter(F.col("n") <= max_chunks).drop("n"), refused
 
 
 def distance(vector: Column | str, query: list[float], metric: str = "l2") -> Column:
