@@ -215,7 +215,7 @@ def _shingle_sets(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.R
         yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(found, pa.list_(pa.int64())), pa.array(sketches, pa.list_(pa.int64()))], ["node", "shingles", "sketch"])
 
 
-def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, bucket_limit: int = 64) -> DataFrame:
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, bucket_limit: int = 16) -> DataFrame:
     """(id, component_id): groups of texts linked by a Jaccard similarity of word shingles, verified in full.
 
     Candidates are texts of which one of several SimHashes of the word set differs in at most RADIUS bits,
@@ -254,14 +254,13 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     crowd = save(crowd.join(sets.select("node", "sketch", F.size("shingles").alias("size")), "node"), "crowd-sketches")
     groups = checkpoint(connected_components(verified(pairs)))
     for turn in range(PIVOT_ROUNDS + 1):
-        placed = crowd.join(groups, "node", "left").select("key", "fp", "node", "sketch", "size", F.coalesce("component", "node").alias("component"))
-        open_keys = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("key")
-        placed = save(placed.join(open_keys, "key"), "placed")
-        if placed.isEmpty():
+        placed = save(crowd.join(groups, "node", "left").select("key", "fp", "node", "sketch", "size", F.coalesce("component", "node").alias("component")), "placed")
+        first = F.min_by(F.struct("node", "component", "sketch", "size"), F.struct(F.xxhash64("node", F.lit(turn)), "node"))
+        # keys whose texts are all in one component have nothing left to compare
+        pivots = save(placed.groupBy("key").agg(first.alias("p"), F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("key", "p.*"), "pivots")
+        if pivots.isEmpty():
             break
         if turn < PIVOT_ROUNDS:
-            first = F.min_by(F.struct("node", "component", "sketch", "size"), F.struct(F.xxhash64("node", F.lit(turn)), "node"))
-            pivots = placed.groupBy("key").agg(first.alias("p")).select("key", "p.*")
             pairs = placed.alias("h").join(pivots.alias("p"), F.expr(f"h.key = p.key AND {bound}"))
         else:
             pairs = placed.alias("h").join(placed.alias("p"), near & F.expr(f"h.node > p.node AND {bound}"))
