@@ -175,6 +175,31 @@ def test_similar_groups(spark):
         assert got == {**{i: i for i in range(20)}, **{20 + i: i for i in range(10)}, 30: 0, 31: 1, 32: 2, 33: 33, 34: 34, 35: 35, 36: 35}
 
 
+def test_similar_groups_finds_every_kind_of_edit(spark):
+    """Appended and replaced passages, cut ends and scattered edits down to a similarity of exactly 0.8."""
+    rng = np.random.default_rng(8)
+    words = [f"w{i}" for i in range(3000)]
+    rank = 1 / np.arange(1, 3001)
+    texts = []
+    for i in range(60):
+        base = list(rng.choice(words, 204, p=rank / rank.sum()))
+        fresh = [f"n{i}x{j}" for j in range(60)]
+        texts += [base, [base + fresh[:48], base + fresh[:22], base[:165], base[:80] + fresh[:16] + base[96:], base[:60] + fresh[:1] + base[61:]][i % 5]]
+    texts += [[f"e{j}" for j in range(n)] for n in (14, 12, 19, 16)]
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    sets = [{tuple(t[j : j + 5]) for j in range(len(t) - 4)} for t in texts]
+    reach = list(range(len(sets)))
+    for _ in range(3):
+        for i, a in enumerate(sets):
+            for j, b in enumerate(sets):
+                if 9 * len(a & b) >= 4 * (len(a) + len(b)):
+                    reach[i] = reach[j] = min(reach[i], reach[j])
+    assert sum(r != i for i, r in enumerate(reach)) >= 60
+    for limit in (16, 1):
+        got = {r.doc_id: r.component_id for r in simhash.similar_groups(df, bucket_limit=limit).collect()}
+        assert [got[i] for i in range(len(texts))] == reach
+
+
 def test_lines(spark):
     page = lambda i, host, *more: (i, host, "\n".join(["  Cookie notice ", *more, f"own {i}"]), 5)
     rows = [page(i, "a", "", "often" if i < 3 else "") for i in range(30)] + [page(100 + i, "b") for i in range(10)] + [(200, None, None, 1), (201, "a", "Cookie notice", 1), (202, "a", "", 1)]
