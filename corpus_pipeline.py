@@ -40,16 +40,27 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 
+def _in_mixed_order(docs: DataFrame) -> DataFrame:
+    """docs sorted by their places in the schedule, which depend on the rows alone, not on files or partitions."""
+    order = mixing.mix(docs).select("_id", "_source", "_hash", "_slot", "_start").dropDuplicates(["_id", "_source", "_hash"])
+    same = (F.xxhash64("doc_id", "text") == F.col("_hash")) & F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").cast("string").eqNullSafe(F.col("_source"))
+    return docs.join(order, same, "left").orderBy("_slot", "_start", "_hash").select(*docs.columns)
+
+
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Puts the documents in an order in which the sources keep to their target weights all along."""
-    order = mixing.mix(docs).select(F.col("_id").alias("doc_id"), "_slot", "_start", "_hash").dropDuplicates(["doc_id"])
-    placed = docs.join(order, "doc_id", "left")
-    return placed.orderBy("_slot", "_start", "_hash").select(*docs.columns)
+    """Puts the documents in an order in which the sources keep to their target weights all along.
+
+    Readers of Parquet need not keep the order of its rows, so `pack` finds it again by the same schedule.
+    """
+    return _in_mixed_order(docs)
+
 
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str, shard_pieces: int = packing.SHARD_PIECES) -> DataFrame:
+    """Packs the documents into sequences of the permitted lengths, in runs of the mixed order.
 
-def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs the documents into sequences of the permitted lengths, in runs of the mixed order."""
-    return packing.pack_documents(docs)
+    The mixed order of the sequences is that of (shard_place, bin_place).
+    """
+    return packing.pack_documents(_in_mixed_order(docs), shard_pieces=shard_pieces, ordered=True)
 
 
 STAGES = [("language", language), ("line_dedup", line_dedup), ("near_dedup", near_dedup), ("mix", mix), ("pack", pack)]

@@ -167,3 +167,19 @@ def test_pipeline(spark):
     empty = docs.limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, DATA).count() == 0
+
+
+def test_packed_order_keeps_to_the_weights(spark):
+    """Documents in several files in order of their sources: prefixes of the packed output still hold each source's share."""
+    sizes = {"a": 1600, "b": 400, None: 100}
+    rows = [(i, " ".join(["word"] * 400), s) for i, s in enumerate(s for s, n in sizes.items() for _ in range(n))]
+    docs = common.save(spark.createDataFrame(rows, "doc_id long, text string, source string").repartitionByRange(5, "doc_id"), "test-order")
+    got = corpus_pipeline.pack(spark, docs, DATA, shard_pieces=64).toPandas()
+    assert sorted(got.doc_id) == list(range(len(rows)))
+    assert (got.groupby("bin_id")[["shard_place", "bin_place"]].nunique() == 1).all(axis=None)
+    of = got.sort_values(["shard_place", "bin_place", "bin_offset"]).doc_id.map(lambda i: rows[i][2] or "none").to_numpy()
+    # weights are square roots of sizes: 4, 2 and 1; with less than a block (8 documents) and a shard of 64 of deviation
+    n = np.arange(1, 601)
+    for source, share in (("a", 4 / 7), ("b", 2 / 7), ("none", 1 / 7)):
+        assert np.abs(np.cumsum(of == source)[:600] - n * share).max() < 8 + 64
+    assert (of[:600] == "none").sum() > 0 and (of[:600] == "b").sum() > 100

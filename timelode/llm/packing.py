@@ -2,8 +2,9 @@
 
 Documents are measured in words. One longer than the largest length is cut into pieces of that length and
 a rest; nothing is dropped. Pieces are packed in shards of at most `shard_pieces` consecutive pieces of an
-input partition, so packing needs no shuffle, memory is bounded by a shard, and a mixed order of the input
-stays within its shards. In a shard pieces go, longest first, to the open bin that they fill best; where
+input partition, so packing needs no shuffle and memory is bounded by a shard. Of an input that is sorted
+as a whole the order is carried on, if asked for: shards are numbered along it, and the bins of a shard by
+the average place of their words in it. In a shard pieces go, longest first, to the open bin that they fill best; where
 none has room a new one is opened. Which size to open at is decided for the permitted lengths jointly: for
 each length as the least size to open at, the shard is packed and every bin downsized to the smallest
 permitted length that holds its contents; the packing of least cost is taken. A bin costs its length, a
@@ -18,8 +19,10 @@ from __future__ import annotations
 import uuid
 from bisect import bisect_left, insort
 from collections.abc import Iterator, Sequence
+from itertools import count
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -53,12 +56,27 @@ def pack(sizes: Sequence[int], lengths: Sequence[int] = LENGTHS, bin_cost: int =
 _COLUMNS = "piece int, start bigint, length bigint, bin_id string, bin_length int, bin_offset int"
 
 
-def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lengths: Sequence[int] = LENGTHS, shard_pieces: int = SHARD_PIECES, bin_cost: int = BIN_COST) -> DataFrame:
-    """One row per piece: id, piece number, its first word and length, and the bin, its length and the piece's place in it."""
+def bin_places(bins: Sequence[int], sizes: Sequence[int]) -> list[int]:
+    """Per piece the number of its bin, from 0, in the order of the average place of the bins' words."""
+    words, places = [0] * (max(bins) + 1), [0] * (max(bins) + 1)
+    for i, (b, n) in enumerate(zip(bins, sizes, strict=True)):
+        words[b] += max(n, 1)
+        places[b] += max(n, 1) * i
+    rank = {b: k for k, b in enumerate(sorted(range(len(words)), key=lambda b: (places[b] / words[b], b)))}
+    return [rank[b] for b in bins]
+
+
+def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lengths: Sequence[int] = LENGTHS, shard_pieces: int = SHARD_PIECES, bin_cost: int = BIN_COST, ordered: bool = False) -> DataFrame:
+    """One row per piece: id, piece number, its first word and length, and the bin, its length and the piece's place in it.
+
+    `ordered`: docs are sorted as a whole (orderBy), and two columns follow. In the order of (shard_place,
+    bin_place) the shards are consecutive runs of docs.
+    """
     kind, most, lengths = docs.schema[id_col].dataType.simpleString(), max(lengths), tuple(sorted(lengths))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
+        shards = count(TaskContext.get().partitionId() << 32) if ordered else None
 
         def flush(part: list[tuple], id_type: pa.DataType) -> pa.RecordBatch:
             bins, offsets, sizes = pack([x[3] for x in part], lengths, bin_cost)
@@ -67,7 +85,11 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             name = uuid.uuid5(uuid.NAMESPACE_OID, repr(part)).hex[:16]
             columns = [pa.array(ids, id_type), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64())]
             columns += [pa.array([f"{name}-{b}" for b in bins]), pa.array([sizes[b] for b in bins], pa.int32()), pa.array(offsets, pa.int32())]
-            return pa.RecordBatch.from_arrays(columns, ["id", "piece", "start", "length", "bin_id", "bin_length", "bin_offset"])
+            names = ["id", "piece", "start", "length", "bin_id", "bin_length", "bin_offset"]
+            if ordered:
+                columns += [pa.array([next(shards)] * len(part), pa.int64()), pa.array(bin_places(bins, length), pa.int32())]
+                names += ["shard_place", "bin_place"]
+            return pa.RecordBatch.from_arrays(columns, names)
 
         id_type = None
         for batch in batches:
@@ -81,7 +103,7 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         if held:
             yield flush(held, id_type)
 
-    return picked(docs, id=id_col, text=F.col(f"`{text_col}`").cast("binary")).mapInArrow(run, f"id {kind}, {_COLUMNS}").withColumnRenamed("id", id_col)
+    return picked(docs, id=id_col, text=F.col(f"`{text_col}`").cast("binary")).mapInArrow(run, f"id {kind}, {_COLUMNS}{', shard_place bigint, bin_place int' if ordered else ''}").withColumnRenamed("id", id_col)
 
 
 def op8_packing(spark, sf_dir: str) -> DataFrame:
