@@ -88,6 +88,14 @@ def test_license_expressions():
     assert "mit" in licenses.scan(b"x\nSPDX-License-Identifier: MIT OR Apache-2.0\n")["labels"]
 
 
+def test_license_expressions_of_any_length():
+    many = [f"x-{i}-1.0" for i in range(300)]
+    line = f"# SPDX-License-Identifier: {' AND '.join(many)} AND (GPL-2.0-only OR MIT)".encode()
+    got = licenses.scan(line + b" is what holds\nand isc")["labels"]
+    assert len(line) > 400 and got == sorted([*many, "gpl-2", "mit"])
+    assert licenses.scan(f"{'SPDX-License-Identifier: MIT OR ISC; ' * 3}".encode())["labels"] == ["isc", "mit"]
+
+
 def test_exact(spark):
     rows = [(1, "A"), (2, "a"), (3, "á"), (4, "Á"), (5, None), (6, ""), (7, "b"), (7, "b"), (None, "c"), (9, "x" * 100_000), (10, "X" * 100_000)]
     df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS key", "2 AS copies")

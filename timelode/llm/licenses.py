@@ -3,7 +3,7 @@
 Texts are lower-cased (A-Z only) and cut into words; the automaton runs over the words joined by
 single spaces, so a phrase is found wherever its words stand consecutively. ``SPDX-License-Identifier``
 tags are found in the text itself and the expression behind them (``and``, ``or``, ``with``, brackets)
-is evaluated to the set of licences it names. One Arrow map, no shuffle. Null counts as empty.
+is evaluated, to the end of its line, to the set of licences it names. One Arrow map, no shuffle. Null counts as empty.
 """
 
 from __future__ import annotations
@@ -38,7 +38,7 @@ TAG = "spdx-license-identifier:"
 #: Families of identifiers: the label for an identifier that starts so.
 FAMILIES = {"mit": "mit", "apache-2": "apache-2", "cc-by-nc": "cc-by-nc", "gpl-2": "gpl-2", "gpl-3": "gpl-3", "lgpl": "lgpl", "agpl": "agpl", "mpl-2": "mpl-2", "bsd": "bsd", "isc": "isc", "unlicense": "unlicense"}
 PRECEDENCE = {"or": 1, "and": 2, "with": 3}
-TOKEN = re.compile(r"[()]|[a-z0-9.+-]+")
+TOKEN = re.compile(rb"[()]|[a-z0-9.+-]+")
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _WORDS = bytes(c if 48 <= (c := _LOWER[b]) <= 57 or 97 <= c <= 122 or c >= 128 else 32 for b in range(256))
@@ -59,12 +59,17 @@ def family(identifier: str) -> str:
     return next((v for k, v in FAMILIES.items() if identifier.startswith(k)), identifier)
 
 
-def postfix(expression: str) -> list[str]:
+def tokens(line: bytes, start: int = 0, end: int | None = None) -> Iterator[str]:
+    """The tokens of line[start:end], found as they are asked for, as an expression may end long before its line."""
+    return (m[0].decode() for m in TOKEN.finditer(line, start, len(line) if end is None else end))
+
+
+def postfix(expression: str | Iterator[str]) -> list[str]:
     """Shunting-yard: the expression's identifiers and operators in postfix order, up to the first token that does not fit."""
     out: list[str] = []
     stack: list[str] = []
     operand = True  # what is expected next
-    for token in TOKEN.findall(expression):
+    for token in tokens(expression.encode()) if isinstance(expression, str) else expression:
         if token == "(":
             if not operand:
                 break
@@ -89,7 +94,7 @@ def postfix(expression: str) -> list[str]:
     return out + [t for t in reversed(stack) if t != "("]
 
 
-def evaluate(expression: str) -> tuple[set[str], bool]:
+def evaluate(expression: str | Iterator[str]) -> tuple[set[str], bool]:
     """The licences that an expression names (exceptions behind ``with`` are none), and whether all of them bind at once."""
     stack: list[tuple[set[str], bool]] = []
     for token in postfix(expression):
@@ -97,7 +102,11 @@ def evaluate(expression: str) -> tuple[set[str], bool]:
             stack.append(({family(token.rstrip(".+"))}, True))
         elif len(stack) >= 2:
             right, left = stack.pop(), stack.pop()
-            stack.append(left if token == "with" else (left[0] | right[0], token == "and" and left[1] and right[1]))
+            if token != "with":
+                more, less = sorted((left[0], right[0]), key=len, reverse=True)
+                more |= less  # in place, as long expressions name many
+                left = (more, token == "and" and left[1] and right[1])
+            stack.append(left)
     return (set().union(*(s[0] for s in stack)), all(s[1] for s in stack)) if stack else (set(), True)
 
 
@@ -116,8 +125,8 @@ def scan(text: bytes | None) -> dict:
     tags, lowered = [], raw.translate(_LOWER) if b":" in raw else b""
     at = lowered.find(TAG.encode())
     while at >= 0:
-        line = lowered[at + len(TAG) :].split(b"\n", 1)[0][:400]
-        tags.append(evaluate(line.decode("utf-8", "replace")))
+        end = lowered.find(b"\n", at)
+        tags.append(evaluate(tokens(lowered, at + len(TAG), None if end < 0 else end)))
         at = lowered.find(TAG.encode(), at + len(TAG))
     named = set().union(*(t[0] for t in tags)) if tags else set()
     more |= named
