@@ -53,6 +53,15 @@ def test_pii(docs):
     assert kinds("DE89370400440532013000 and DE89370400440532013001") == ["iban"]
 
 
+def test_ibans_end_where_they_fit():
+    de, gb = "DE89 3704 0044 0532 0130 00", "GB82WEST12345698765432"
+    for after in ("", " BIC COBADEFFXXX", " 2024", " EUR 12", ". Then", " to me", f" {gb}"):
+        found = [f"IBAN {de}{after}"[a:b] for k, a, b, _ in pii.spans_of(f"IBAN {de}{after}") if k == "iban"]
+        assert found == ([de, gb] if gb in after else [de])
+    for text in ("DE89 3704 0044 0532 0130 01 BIC", "DE89 3704 0044 0532 0130 00X", f"A{gb}", f"{gb}7"):
+        assert not [s for s in pii.spans_of(text) if s[0] == "iban"]
+
+
 def test_redaction(docs):
     found = docs.drop("spans").join(pii.find_pii(docs), "doc_id").filter("doc_id = 13")
     assert found.select(pii.redacted(found["text"], found["spans"])).first()[0] == "café [EMAIL] [IP]"

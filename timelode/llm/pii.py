@@ -40,7 +40,12 @@ DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
+IBAN = re.compile(r"(?<![A-Za-z0-9])([A-Z]{2})[0-9]{2}(?=((?: ?[A-Z0-9]){11,30}))")
+#: Characters of an IBAN by country; of other countries every length that the pattern allows is tried.
+IBAN_LENGTHS = {k[:2]: int(k[2:]) for k in (
+    "AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BI27 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DJ27 DK18 DO28 EE20 EG29 ES24 FI18 FK18 FO18 FR27 GB22 GE22 GI23 GL18 GR27 GT28 HN28 HR21 HU28 IE22 IL23 IQ23 IS26 IT27 JO30 "
+    "KW30 KZ20 LB28 LC32 LI21 LT20 LU20 LV21 LY25 MC27 MD24 ME22 MK19 MN20 MR27 MT31 MU30 NI28 NL18 NO15 OM23 PK24 PL28 PS29 PT25 QA29 RO24 RS22 RU33 SA24 SC31 SD18 SE24 SI19 SK24 SM27 SO23 ST25 SV28 TL23 TN24 TR26 UA29 VA22 VG24 XK20 YE30"
+).split()}
 SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 DIGIT = re.compile(r"[0-9]")
 
@@ -66,6 +71,23 @@ def emails(text: str) -> Iterator[tuple[int, int]]:
         at = text.find("@", floor)
 
 
+def ibans(text: str) -> Iterator[tuple[int, int]]:
+    """What follows an IBAN may look like more of it, so its end is the first border of a word at which length and checksum fit."""
+    floor = 0
+    for m in IBAN.finditer(text):
+        if m.start() < floor:
+            continue
+        length, end, known = 4, m.end(), IBAN_LENGTHS.get(m[1])
+        for c in m[2]:
+            end += 1
+            length += c != " "
+            border = c != " " and not (text[end : end + 1].isascii() and text[end : end + 1].isalnum())
+            if border and length >= 15 and known in (None, length) and mod97(text[m.start() : end].replace(" ", "")):
+                yield m.start(), end
+                floor = end
+                break
+
+
 def _digits(text: str) -> str:
     return "".join(c for c in text if "0" <= c <= "9")
 
@@ -87,9 +109,8 @@ def propose(text: str) -> Iterator[tuple[str, int, int]]:
         for m in PHONE.finditer(text):
             if 9 <= len(_digits(m[0])) <= 15:
                 yield "phone", *m.span()
-    for m in IBAN.finditer(text):
-        if mod97(m[0].replace(" ", "")):
-            yield "iban", *m.span()
+    for start, end in ibans(text):
+        yield "iban", start, end
     for m in SSN.finditer(text):
         yield "ssn", *m.span()
 
