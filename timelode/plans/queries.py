@@ -577,12 +577,16 @@ def parse_frame_log(t):
     return parsers.parse_frame_log(rows).select("video_id", "n", "pts_time", "width", "height")
 
 
-@query
-def parse_url_paste(t):
+def _pastes(t) -> DataFrame:
+    """Ten requests of pasted urls, in pieces of at most a hundred, so that the pieces grow in number, not in size."""
     u = F.col("url")
     line = F.when(F.col("page_id") % 5 == 0, F.concat(u, F.lit(" nonsense"))).when(F.col("page_id") % 4 == 0, F.concat(u, F.lit(", "), u)).otherwise(F.concat(F.lit("  "), u))
-    raw = t.raw("pages").groupBy((F.col("page_id") % 10).alias("req_id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_id", line.alias("line")))), lambda x: x["line"]), "\n").alias("raw"))
-    return parsers.parse_url_paste(raw)[0].select("req_id", "url")
+    return t.raw("pages").groupBy((F.col("page_id") % 10).alias("req_id"), F.floor(F.col("page_id") / 1000).alias("piece")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_id", line.alias("line")))), lambda x: x["line"]), "\n").alias("raw"))
+
+
+@query
+def parse_url_paste(t):
+    return parsers.parse_url_paste(_pastes(t).select("req_id", "raw"))[0].select("req_id", "url")
 
 
 # column functions
