@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from timelode.llm import langid, lines, mixing, packing, simhash
+from timelode.llm import langid, lines, mixing, packing, similar
 from timelode.llm.common import save
 
 #: Documents whose best language scores below this are rejected, as are those without a letter.
@@ -35,7 +35,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Rows that share a doc_id count as one document and stay or go together; rows with a null doc_id stay.
     """
-    groups = simhash.similar_groups(docs)
+    groups = similar.similar_groups(docs)
     gone = groups.filter(F.col("component_id") != F.col("doc_id")).select("doc_id")
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from timelode.llm import exact, licenses, lines, pii, simhash
+from timelode.llm import exact, licenses, lines, pii, similar, simhash
 
 TEXTS = [
     None, "", " ", "a@b.c_d@e.fr and x@y", "@a.b a@@b.c", "1.2.3.4.5.6.7.8 and 256.1.1.1 and 01.02.03.04", "4111 1111 1111 1111", "4111-1111-1111-1112", "x 5500005555555559 y", "12 4111111111111111",
@@ -69,7 +69,7 @@ def test_redaction(docs):
 
 def test_empty_tables(docs):
     none = docs.filter("doc_id < 0").selectExpr("doc_id", "text", "'h' source")
-    for f in (pii.find_pii, licenses.scan_licenses, exact.exact_dedup, simhash.near_duplicates, simhash.similar_groups, lines.drop_boilerplate):
+    for f in (pii.find_pii, licenses.scan_licenses, exact.exact_dedup, simhash.near_duplicates, similar.similar_groups, lines.drop_boilerplate):
         assert f(none).count() == 0
 
 
@@ -188,7 +188,7 @@ def test_similar_groups(spark):
     texts = [" ".join(b) for b in base] + [" ".join([*b[:100], "changed", *b[101:]]) for b in base[:10]] + [" ".join(b).upper() for b in base[:3]] + ["a b", "b a", "", None]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     for limit in (64, 1):
-        got = {r.doc_id: r.component_id for r in simhash.similar_groups(df, bucket_limit=limit).collect()}
+        got = {r.doc_id: r.component_id for r in similar.similar_groups(df, bucket_limit=limit).collect()}
         assert got == {**{i: i for i in range(20)}, **{20 + i: i for i in range(10)}, 30: 0, 31: 1, 32: 2, 33: 33, 34: 34, 35: 35, 36: 35}
 
 
@@ -213,7 +213,7 @@ def test_similar_groups_finds_every_kind_of_edit(spark):
                     reach[i] = reach[j] = min(reach[i], reach[j])
     assert sum(r != i for i, r in enumerate(reach)) >= 60
     for limit in (16, 1):
-        got = {r.doc_id: r.component_id for r in simhash.similar_groups(df, bucket_limit=limit).collect()}
+        got = {r.doc_id: r.component_id for r in similar.similar_groups(df, bucket_limit=limit).collect()}
         assert [got[i] for i in range(len(texts))] == reach
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from timelode.llm.common import checkpoint
+from timelode.llm.common import save
 
 
 def _signature(edges: DataFrame) -> tuple:
@@ -15,19 +15,19 @@ def _signature(edges: DataFrame) -> tuple:
 def connected_components(links: DataFrame) -> DataFrame:
     """(node, component) for every node in `links` (long columns a and b); the component is its smallest node.
 
-    Each round is two aggregations and two joins over the remaining edges; the edges are checkpointed,
-    and only a count and a hash of them reach the driver. The number of rounds grows with the logarithm
-    of the longest path. Self-links and nulls are ignored; nodes without links don't appear.
+    Each round is two aggregations and two joins over the remaining edges; the edges are written to the
+    shared folder, and only a count and a hash of them reach the driver. The number of rounds grows with
+    the logarithm of the longest path. Self-links and nulls are ignored; nodes without links don't appear.
     """
-    edges = checkpoint(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct())
+    edges = save(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), "edges")
     last = None
-    while (now := _signature(edges)) != last:
+    while (now := _signature(edges)) != last and now[0]:
         last = now
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least("a", F.min("b")).alias("m"))
         large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        edges = checkpoint(small.unionByName(least.select("a", F.col("m").alias("b"))).filter("a <> b").distinct())
+        edges = save(small.unionByName(least.select("a", F.col("m").alias("b"))).filter("a <> b").distinct(), "edges")
     roots = edges.select("b").distinct()
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots.select(F.col("b").alias("node"), F.col("b").alias("component")))

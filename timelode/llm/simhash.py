@@ -15,13 +15,14 @@ one bit away from each, as two fingerprints differ in at most two bits exactly i
 word. Each word links its fingerprints to the smallest one, so links stay linear and none is lost
 between components.
 
-Null and empty texts have fingerprint zero. Rows with a null id get their group's component as well.
+Null and empty texts have fingerprint zero, whatever their number. Repeated rows and rows that share an id
+are linked like any other; very long texts are read whole. Rows with a null id get the component of the
+rows with their fingerprint, and a null one where no row with an id has it. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from fractions import Fraction
 from functools import lru_cache
 
 import numpy as np
@@ -30,14 +31,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from timelode.llm.common import checkpoint, picked, save
+from timelode.llm.common import picked, save
 from timelode.llm.components import connected_components
 
-PIVOT_ROUNDS = 3
-#: Texts of the sample that tells which shingles are common, the least number of them that must hold one, and how many are told.
-SAMPLE_TEXTS, COMMON_TEXTS, COMMON_SHINGLES = 8_192, 3, 500_000
-#: Longs of a text's sketch: one bit per hash range that holds any of its shingles.
-SKETCH_WORDS = 32
 #: Rows for which keys or shingles are held at a time.
 SLICE = 1024
 
@@ -62,11 +58,17 @@ def words_of(text: bytes) -> list[bytes]:
 
 def simhash(words: list[bytes], shingle: int) -> int:
     """A bit is set if it is set in over half of the shingles' XXH64; repeats count."""
-    if not words:
-        return 0
+    return fingerprint(shingle_hashes(words, shingle)) if words else 0
+
+
+def shingle_hashes(words: list[bytes], shingle: int) -> np.ndarray:
+    """XXH64 of every word shingle, repeats included; fewer words are one shingle."""
     shingles = map(b" ".join, zip(*(words[i:] for i in range(shingle)), strict=False)) if len(words) >= shingle else [b" ".join(words)]
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(s, SEED) for s in shingles), np.uint64)
+    return np.fromiter((digest(s, SEED) for s in shingles), np.uint64)
+
+
+def fingerprint(hashes: np.ndarray) -> int:
     counts = np.zeros((8, 256))
     for i in range(0, len(hashes), _BLOCK):
         octets = hashes[i : i + _BLOCK].view(np.uint8).reshape(-1, 8)
@@ -140,7 +142,7 @@ def fingerprint_links(prints: DataFrame, bucket_limit: int = BUCKET_LIMIT) -> Da
     `prints`: different fingerprints fp, each with its node rep.
     """
     home, probe = _keyed(prints, near=False), _keyed(prints, near=True)
-    hot = checkpoint(home.groupBy("key").count().filter(F.col("count") > bucket_limit).select("key"))
+    hot = save(home.groupBy("key").count().filter(F.col("count") > bucket_limit).select("key"), "hot-keys")
     if hot.count() <= BROADCAST_ROWS:
         hot = F.broadcast(hot)
     cold = home.join(hot, "key", "left_anti").alias("h").join(
@@ -166,143 +168,3 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def op2_simhash(spark, sf_dir: str) -> DataFrame:
     found = near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
-
-
-def _shingle_hashes(text: bytes | None, size: int) -> np.ndarray:
-    """The different hashes of a text's word shingles, in ascending order; a shorter text is one shingle."""
-    words = words_of(text or b"")
-    shingles = set(map(b" ".join, zip(*(words[i:] for i in range(size)), strict=False))) or {b" ".join(words)}
-    return np.unique(np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in shingles), np.uint64, len(shingles)))
-
-
-def _same_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        same = [xxhash.xxh3_128_digest(b" ".join(words_of(t.as_py() or b""))) for t in batch.column("text")]  # the words of one text at a time
-        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(same, pa.binary())], ["id", "same"])
-
-
-def common_shingles(texts: DataFrame, n: int, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the shingles that many texts of a sample hold, ascending, and how many hold them. `texts`: n rows (node, text)."""
-    sample = texts.filter(F.pmod(F.xxhash64("node"), F.lit(-(-max(n, 1) // SAMPLE_TEXTS))) == 0)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for t in batch.column("text"):
-                yield pa.RecordBatch.from_arrays([pa.array(_shingle_hashes(t.as_py(), size).view(np.int64))], ["key"])
-
-    counts = sample.mapInArrow(run, "key bigint").groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") >= COMMON_TEXTS)
-    found = counts.orderBy(F.desc("n"), "key").limit(COMMON_SHINGLES).toArrow()
-    keys, counts = found["key"].to_numpy().view(np.uint64), found["n"].to_numpy()
-    order = np.argsort(keys)
-    return keys[order], counts[order]
-
-
-def prefix(hashes: np.ndarray, common: tuple[np.ndarray, np.ndarray], share: Fraction) -> np.ndarray:
-    """The rarest of a text's ascending hashes, as many as it takes to share one with every text of at least that similarity.
-
-    A text that is so similar holds share * n of the n hashes or more, so it can't miss n - ceil(share * n) + 1 of
-    them; as both texts take theirs by one order of all hashes, one of these is the same. The order is by the
-    count in `common`, then by hash: which shingles the sample happens to tell changes the work, not the result.
-    """
-    counts = np.zeros(len(hashes), np.int64)
-    if len(common[0]):
-        at = np.minimum(np.searchsorted(common[0], hashes), len(common[0]) - 1)
-        counts = np.where(common[0][at] == hashes, common[1][at], 0)
-    most = len(hashes) - -(-share.numerator * len(hashes) // share.denominator) + 1
-    return hashes[np.argsort(counts, kind="stable")[:most]]
-
-
-def _sketch(hashes: np.ndarray) -> np.ndarray:
-    bits = np.zeros(64 * SKETCH_WORDS, dtype=bool)
-    bits[(hashes >> np.uint64(32)) % np.uint64(len(bits))] = True
-    return np.packbits(bits).view(np.int64)
-
-
-def _prefix_rows(texts: DataFrame, common: tuple[np.ndarray, np.ndarray], size: int, share: Fraction) -> DataFrame:
-    """Per text the number of its shingles, their sketch, and the keys under which it meets similar texts."""
-    told = texts.sparkSession.sparkContext.broadcast(common)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (b.slice(i, SLICE) for b in batches for i in range(0, b.num_rows, SLICE)):
-            sizes, sketches, keys = [], [], []
-            for t in batch.column("text"):
-                hashes = _shingle_hashes(t.as_py(), size)
-                sizes.append(len(hashes))
-                sketches.append(_sketch(hashes))
-                keys.append(prefix(hashes, told.value, share).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(sizes, pa.int32()), pa.array(sketches, pa.list_(pa.int64())), pa.array(keys, pa.list_(pa.int64()))], ["node", "size", "sketch", "keys"])
-
-    return texts.mapInArrow(run, "node bigint, size int, sketch array<bigint>, keys array<bigint>")
-
-
-def _shingle_sets(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
-    for batch in (b.slice(i, SLICE) for b in batches for i in range(0, b.num_rows, SLICE)):
-        found = [_shingle_hashes(t.as_py(), size).view(np.int64) for t in batch.column("text")]
-        yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(found, pa.list_(pa.int64()))], ["node", "shingles"])
-
-
-def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, bucket_limit: int = 16) -> DataFrame:
-    """(id, component_id): groups of texts linked by a Jaccard similarity of word shingles, verified in full.
-
-    Candidates are texts that share one of their rarest shingles (a prefix filter), which loses no pair of at
-    least the similarity. Equal word sequences are folded first. Under keys with very many texts only
-    pairs of different components that pass an exact bound on their difference are compared: with
-    pivots first, then whatever is left, so a family of copies costs a few comparisons per member. Rows with a null id are left out.
-    """
-    share = Fraction(str(similarity))
-    rows = picked(docs, id=F.col(f"`{id_col}`").cast("long"), text=F.col(f"`{text_col}`").cast("binary")).filter("id IS NOT NULL")
-    found = save(rows.mapInArrow(_same_rows, "id bigint, same binary"), "same-words")
-    nodes = save(found.groupBy("same").agg(F.min("id").alias("node")), "word-nodes")
-
-    # one text of each node; a repeated id keeps one text
-    texts = rows.withColumnRenamed("id", "node").join(nodes.select("node").distinct(), "node", "left_semi")
-    if not found.groupBy("id").count().filter("count > 1").isEmpty():
-        texts = texts.groupBy("node").agg(F.min("text").alias("text"))
-    prints = save(_prefix_rows(texts, common_shingles(texts, nodes.count(), shingle), shingle, share), "prefixes")
-    keyed = prints.select("node", F.explode("keys").alias("key"))
-    sketches = prints.select("node", "sketch", "size")
-    sizes = checkpoint(keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"))
-    shared = save(keyed.join(F.broadcast(sizes) if sizes.count() <= BROADCAST_ROWS else sizes, "key"), "shared-keys")
-    cold = shared.filter(F.col("n") <= bucket_limit).select("key", "node")
-    crowd = shared.filter(F.col("n") > bucket_limit).select("key", "node")
-
-    # each bit in which the sketches differ needs a shingle that only one text has, so this bound drops no link
-    differ = " + ".join(f"bit_count(h.sketch[{i}] ^ p.sketch[{i}])" for i in range(SKETCH_WORDS))
-    near = f"{share.numerator + share.denominator} * ({differ}) <= {share.denominator - share.numerator} * (h.size + p.size)"
-    bound = f"h.component <> p.component AND {near}"
-    pairs = cold.alias("h").join(cold.alias("p"), F.expr("h.key = p.key AND h.node > p.node"))
-    pairs = pairs.select(F.col("h.node").alias("a"), F.col("p.node").alias("b")).distinct()
-    pairs = pairs.join(sketches.alias("h"), F.col("a") == F.col("h.node")).join(sketches.alias("p"), F.expr(f"b = p.node AND {near}"))
-    pairs = save(pairs.select("a", "b"), "pairs")
-
-    # shingle sets of candidates only
-    wanted = checkpoint(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).unionByName(crowd.select("node")).distinct())
-    if wanted.count() <= BROADCAST_ROWS:
-        wanted = F.broadcast(wanted)
-    sets = save(texts.join(wanted, "node", "left_semi").mapInArrow(lambda batches: _shingle_sets(batches, shingle), "node bigint, shingles array<bigint>"), "shingle-sets")
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        left, right = (sets.select(F.col("node").alias(c), F.col("shingles").alias(f"s{c}")) for c in "ab")
-        joined = pairs.join(left, "a").join(right, "b").withColumn("both", F.size(F.array_intersect("sa", "sb")))
-        return joined.filter((share.numerator + share.denominator) * F.col("both") >= share.numerator * (F.size("sa") + F.size("sb"))).select("a", "b")
-
-    crowd = save(crowd.join(sketches, "node"), "crowd-sketches")
-    # one pair of each text first, as most of the others are within the groups that these make
-    groups = checkpoint(connected_components(verified(pairs.groupBy("a").agg(F.min("b").alias("b")))))
-    ends = [groups.select(F.col("node").alias(c), F.col("component").alias(f"of_{c}")) for c in "ab"]
-    rest = pairs.join(ends[0], "a", "left").join(ends[1], "b", "left").filter(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b")
-    groups = checkpoint(connected_components(verified(rest).unionByName(groups.select(F.col("node").alias("a"), F.col("component").alias("b")))))
-    for turn in range(PIVOT_ROUNDS + 1):
-        placed = save(crowd.join(groups, "node", "left").select("key", "node", "sketch", "size", F.coalesce("component", "node").alias("component")), "placed")
-        first = F.min_by(F.struct("node", "component", "sketch", "size"), F.struct(F.xxhash64("node", F.lit(turn)), "node"))
-        # keys whose texts are all in one component have nothing left to compare
-        pivots = save(placed.groupBy("key").agg(first.alias("p"), F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("key", "p.*"), "pivots")
-        if pivots.isEmpty():
-            break
-        other = pivots if turn < PIVOT_ROUNDS else placed
-        pairs = placed.alias("h").join(other.alias("p"), F.expr(f"h.key = p.key AND {'h.node > p.node AND ' if turn == PIVOT_ROUNDS else ''}{bound}"))
-        pairs = pairs.select(F.greatest("h.node", "p.node").alias("a"), F.least("h.node", "p.node").alias("b"))
-        more = verified(pairs.distinct())
-        groups = checkpoint(connected_components(more.unionByName(groups.select(F.col("node").alias("a"), F.col("component").alias("b")))))
-    known = nodes.join(groups, "node", "left").select("same", F.coalesce("component", "node").alias("component_id"))
-    return found.join(known, "same").select(F.col("id").alias(id_col), "component_id")
