@@ -1,8 +1,10 @@
 """Mixing, packing, language, embeddings, archives, pipeline: against plain versions on small tables."""
 
 import hashlib
+import math
 import os
 import zlib
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -36,7 +38,7 @@ def test_mix_keeps_shares(spark, sizes):
 
 
 def test_mix_given_weights_and_odd_rows(spark):
-    got = mixed(spark, {"a": 100, "b": 100}, weights={"a": 3.0, "b": 1.0}, round_slots=4)
+    got = mixed(spark, {"a": 100, "b": 100}, weights={"a": 3.0, "b": 1.0})
     first = got.sort_values("_slot").head(80)
     assert (first["_source"] == "a").sum() == 60
     df = spark.createDataFrame([(1, "a", None), (1, "a", None), (None, None, ""), (2, "a", "y" * 1000)], "doc_id long, source string, text string")
@@ -44,6 +46,38 @@ def test_mix_given_weights_and_odd_rows(spark):
     assert mixing.mix(df.limit(0)).count() == 0
 
 
+def plain_edf(weights, n):
+    """The source of each of the first n slots, by a plain loop over exact windows."""
+    done, out = dict.fromkeys(weights, 0), []
+    for t in range(n):
+        ready = [(math.ceil((done[s] + 1) / w), k, s) for k, (s, w) in enumerate(weights.items()) if math.floor(done[s] / w) <= t]
+        out.append(min(ready)[2])
+        done[out[-1]] += 1
+    return out
+
+
+@pytest.mark.parametrize("weights", [{"a": 0.999, "b": 0.001}, {"a": 0.5, "b": 0.3, "c": 0.15, "d": 0.05}, {"a": 7, "b": 2.5, "c": 1}])
+def test_mix_follows_the_given_weights_exactly(spark, weights):
+    total = sum(Fraction(str(w)) for w in weights.values())
+    exact = {s: Fraction(str(w)) / total for s, w in weights.items()}
+    n = 2000
+    got = mixed(spark, {s: int(n * w) + 40 for s, w in exact.items()}, weights=weights).sort_values("_slot").head(n)["_source"].tolist()
+    assert got == plain_edf(exact, n)
+    for s, w in exact.items():
+        assert max(abs(k - w * (i + 1)) for i, k in enumerate(np.cumsum([x == s for x in got]).tolist())) < 1
+
+
+def test_mix_many_sources(spark):
+    sizes = {f"s{i:03d}": 3 + i % 5 for i in range(120)}
+    got = mixed(spark, sizes, weights=dict.fromkeys(sizes, 1)).sort_values("_slot")
+    assert sorted(got["_slot"]) == list(range(sum(sizes.values())))
+    assert all(got["_source"].iloc[k * 120 : k * 120 + 120].nunique() == 120 for k in range(3))
+    with pytest.raises(ValueError):
+        mixing.parts_of({"a": 0.123456789, "b": 1})
+    with pytest.raises(ValueError):
+        mixing.parts_of({"a": 0, "b": 1})
+
+
 def test_packing(spark):
     rng = np.random.default_rng(1)
     sizes = [*rng.integers(0, 300, 500), 5000, 4096, 4097, 0]

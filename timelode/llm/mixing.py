@@ -1,7 +1,9 @@
 """Mixing sources to target weights by proportionate-fair (Pfair) scheduling, in DataFrame functions only.
 
-Each source is laid out as blocks of `block_chars` characters. A round gives source i a fixed number of
-slots a_i, its target weight in parts of about `round_slots`; in a round of L slots the j-th block of a
+Each source is laid out as blocks of `block_chars` characters. A round gives source i a whole number of
+slots a_i. Given weights are exact: the slots of a round are in exactly their ratio (0.999 to 0.001 makes
+rounds of 1000 slots), and weights that would take more than MOST_SLOTS slots are an error. Without given
+weights the target is size ** tempering in whole parts of about `round_slots`, at least one. In a round of L slots the j-th block of a
 source with c blocks is released at slot floor((j - 1) L / c) and due before slot ceil(j L / c). Filling
 the slots earliest deadline first among the released blocks meets every window, so after any number of
 slots each source is less than one block from its share, and exactly at it after each round. When a
@@ -14,32 +16,40 @@ about sqrt(n) hash buckets of the source's n documents, and over the buckets; no
 The order within a source is that of a hash of id and text.
 
 All rows stay. A null source is a source of its own; a null text is empty; empty texts go to the block in
-which they fall. Sources without a given weight get none other than size ** tempering. The schedule, of
-(2 sources + 1) * (round_slots + sources) slots at most, is broadcast behind a check of its rows.
+which they fall. Where weights are given, a source that they don't name gets one slot a round. The schedule, of
+(2 sources + 1) * (slots of a round) slots at most, is broadcast behind a check of its sources; it is meant for
+up to some hundred sources. Repeated rows are placed one behind the other. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import math
+from fractions import Fraction
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from timelode.llm.common import picked, save
 
-BLOCK_CHARS, ROUND_SLOTS, TEMPERING = 16_384, 200, 0.5
+BLOCK_CHARS, ROUND_SLOTS, TEMPERING = 16_384, 1_000, 0.5
+#: Most slots of a round of given weights; slots that are scheduled at a stretch.
+MOST_SLOTS, STRETCH = 10_000, 64
 BROADCAST_SOURCES = 2_000
 
 
-def _weights(weights: dict[str, float] | None, tempering: float) -> Column:
-    by_size = F.pow(F.greatest(F.col("chars"), F.lit(1)).cast("double"), F.lit(tempering))
+def _slots(weights: dict[str, float] | None, round_slots: int) -> Column:
+    """Slots of a round for each of the sources s: those given, or by size."""
+    by_size = F.transform("s", lambda x: F.greatest(F.round(x["w"] / F.col("all") * round_slots), F.lit(1)).cast("int"))
     if not weights:
         return by_size
-    given = F.create_map(*[F.lit(x) for pair in weights.items() for x in pair])
-    return F.coalesce(F.element_at(given, F.col("source")), by_size)
+    given = F.create_map(*[F.lit(x) for pair in parts_of(weights).items() for x in pair])
+    return F.transform("s", lambda x: F.coalesce(F.try_element_at(given, F.coalesce(x["source"], F.lit(""))), F.lit(1)))
 
 
 def earliest_deadline_first(counts: Column) -> Column:
     """array<struct<src, j>>: per slot of a round, the source (from 0) and which of its blocks (from 1) runs."""
     length = F.aggregate(counts, F.lit(0), lambda acc, c: acc + c)
+    none = F.expr("cast(array() as array<struct<src:int,j:int>>)")
 
     def step(state: Column, t: Column) -> Column:
         def due(c: Column, i: Column) -> Column:
@@ -51,16 +61,36 @@ def earliest_deadline_first(counts: Column) -> Column:
         done = F.transform(state["done"], lambda d, i: F.when(i == pick["src"], d + 1).otherwise(d))
         return F.struct(done.alias("done"), state["n"].alias("n"), F.concat(state["plan"], F.array(F.struct(pick["src"].alias("src"), pick["j"].alias("j")))).alias("plan"))
 
-    start = F.struct(F.transform(counts, lambda c: F.lit(0)).alias("done"), length.alias("n"), F.expr("cast(array() as array<struct<src:int,j:int>>)").alias("plan"))
-    return F.aggregate(F.sequence(F.lit(0), length - 1), start, step, lambda s: s["plan"])
+    def stretch(state: Column, k: Column) -> Column:
+        # by stretches of slots, as an array that grows slot by slot is copied each time
+        slots = F.sequence(k * STRETCH, F.least((k + 1) * STRETCH, state["n"]) - 1)
+        begin = F.struct(state["done"].alias("done"), state["n"].alias("n"), none.alias("plan"))
+        return F.aggregate(slots, begin, step, lambda s: F.struct(s["done"].alias("done"), s["n"].alias("n"), F.concat(state["plans"], F.array(s["plan"])).alias("plans")))
+
+    start = F.struct(F.transform(counts, lambda c: F.lit(0)).alias("done"), length.alias("n"), F.expr("cast(array() as array<array<struct<src:int,j:int>>>)").alias("plans"))
+    stretches = F.sequence(F.lit(0), F.floor((length - 1) / STRETCH).cast("int"))
+    return F.aggregate(stretches, start, stretch, lambda s: F.flatten(s["plans"]))
+
+
+def parts_of(weights: dict[str, float]) -> dict[str, int]:
+    """The given weights as whole slots of a round, in exactly their ratio; up to MOST_SLOTS slots."""
+    exact = {k: Fraction(str(w)) for k, w in weights.items()}
+    if any(w <= 0 for w in exact.values()):
+        raise ValueError("weights must be above zero")
+    unit = math.lcm(*(w.denominator for w in exact.values()))
+    whole = {k: int(w * unit) for k, w in exact.items()}
+    common = math.gcd(*whole.values())
+    if sum(whole.values()) // common > MOST_SLOTS:
+        raise ValueError(f"the weights need a round of more than {MOST_SLOTS} slots; give them with fewer digits")
+    return {k: w // common for k, w in whole.items()}
 
 
 def schedule(totals: DataFrame, block_chars: int, round_slots: int, weights: dict[str, float] | None, tempering: float) -> DataFrame:
     """Per source: slots per round, and for each phase its first round, slots a round, first slot, blocks and their slots."""
-    share = totals.withColumn("w", _weights(weights, tempering)).select("source", "w", F.greatest(F.ceil(F.col("chars") / block_chars), F.lit(1)).cast("int").alias("blocks"))
+    by_size = F.pow(F.greatest(F.col("chars"), F.lit(1)).cast("double"), F.lit(tempering))
+    share = totals.withColumn("w", by_size).select("source", "w", F.greatest(F.ceil(F.col("chars") / block_chars), F.lit(1)).cast("int").alias("blocks"))
     whole = share.agg(F.array_sort(F.collect_list(F.struct(F.col("source").isNull().alias("none"), "source", "w", "blocks"))).alias("s"), F.sum("w").alias("all"))
-    slots = F.transform("s", lambda x: F.greatest(F.round(x["w"] / F.col("all") * round_slots), F.lit(1)).cast("int"))
-    whole = whole.withColumn("a", slots).withColumn("s", F.arrays_zip(F.col("s"), F.col("a")))
+    whole = whole.withColumn("a", _slots(weights, round_slots)).withColumn("s", F.arrays_zip(F.col("s"), F.col("a")))
     bounds = F.flatten(F.transform("s", lambda x: F.array(F.floor(x["s"]["blocks"] / x["a"]).cast("int"), F.ceil(x["s"]["blocks"] / x["a"]).cast("int"))))
     phases = whole.withColumn("bounds", F.array_sort(F.array_distinct(F.concat(F.array(F.lit(0)), bounds))))
     phases = phases.select("s", F.posexplode(F.expr("transform(slice(bounds, 1, size(bounds) - 1), (b, i) -> struct(b AS first, bounds[i + 1] AS next))")).alias("phase", "p"))
