@@ -26,7 +26,7 @@ def test_mix_keeps_shares(spark, sizes):
     got = mixed(spark, sizes, round_slots=40)
     n = sum(sizes.values())
     assert sorted(got["_slot"]) == list(range(n))  # one document a block, every slot filled once
-    assert ((got["_release"] <= got["_slot"]) & (got["_slot"] < got["_deadline"])).all()
+    assert ((got["_release"] <= got["_turn"]) & (got["_turn"] < got["_deadline"])).all() and got.sort_values("_slot")["_turn"].is_monotonic_increasing
     weight = {s: max(k * 10, 1) ** 0.5 for s, k in sizes.items()}
     a = {s: max(1, int(np.floor(w / sum(weight.values()) * 40 + 0.5))) for s, w in weight.items()}
     length = sum(a.values())
@@ -61,7 +61,7 @@ def test_mix_follows_the_given_weights_exactly(spark, weights):
     total = sum(Fraction(str(w)) for w in weights.values())
     exact = {s: Fraction(str(w)) / total for s, w in weights.items()}
     n = 2000
-    got = mixed(spark, {s: int(n * w) + 40 for s, w in exact.items()}, weights=weights).sort_values("_slot").head(n)["_source"].tolist()
+    got = mixed(spark, {s: math.ceil(n * w) for s, w in exact.items()}, weights=weights).sort_values("_slot").head(n)["_source"].tolist()
     assert got == plain_edf(exact, n)
     for s, w in exact.items():
         assert max(abs(k - w * (i + 1)) for i, k in enumerate(np.cumsum([x == s for x in got]).tolist())) < 1
@@ -92,11 +92,47 @@ def test_packing(spark):
     assert packing.pack_documents(df.limit(0)).count() == 0
 
 
+def cost(lengths):
+    return sum(c + c * c * packing.SQUARE + packing.BIN_COST for c in lengths)
+
+
 def test_packing_takes_the_cheapest_opening():
     sizes = [200] * 64
-    cost = lambda x: sum(c + c * c * packing.SQUARE + packing.BIN_COST for c in x[2])
-    every = [packing.best_fit(sizes, packing.LENGTHS, least) for least in packing.LENGTHS]
-    assert cost(packing.pack(sizes)) == min(map(cost, every)) < max(map(cost, every))
+    every = [packing.best_fit(sizes, packing.LENGTHS, least)[2] for least in (None, *packing.LENGTHS)]
+    assert cost(packing.pack(sizes)[2]) == min(map(cost, every)) < max(map(cost, every))
+    # 1500 + 500 fill a bin of 2048, 300 + 200 one of 512: no common least length gives both
+    assert sorted(packing.pack([1500, 500, 300, 200], bin_cost=100)[2]) == [512, 2048]
+
+
+def partitions(items):
+    if not items:
+        yield []
+        return
+    for rest in partitions(items[1:]):
+        yield [[items[0]], *rest]
+        for k in range(len(rest)):
+            yield [*rest[:k], [items[0], *rest[k]], *rest[k + 1 :]]
+
+
+def test_packing_against_every_partition():
+    """Small inputs: never below the optimum, seldom much above it."""
+    rng = np.random.default_rng(6)
+    ratios = []
+    for _ in range(60):
+        sizes = [int(n) for n in rng.integers(1, 1400, rng.integers(1, 8))]
+        got = packing.pack(sizes)
+        for b, length in enumerate(got[2]):
+            assert sum(s for s, x in zip(sizes, got[0], strict=True) if x == b) <= length
+        fit = [[min(c for c in packing.LENGTHS if c >= sum(p)) for p in parts] for parts in partitions(sizes) if all(sum(p) <= max(packing.LENGTHS) for p in parts)]
+        ratios.append(cost(got[2]) / min(map(cost, fit)))
+    assert min(ratios) >= 1 - 1e-9 and np.mean(ratios) < 1.03 and max(ratios) < 1.35, (np.mean(ratios), max(ratios))
+
+
+def test_equal_shards_have_bins_of_their_own(spark):
+    df = spark.createDataFrame([(i, "w " * (300 + i)) for i in range(50)], "doc_id long, text string").coalesce(1)
+    got = packing.pack_documents(df.unionByName(df).unionByName(df.repartition(1)), shard_pieces=50).toPandas()
+    bins = got.groupby("bin_id").agg(used=("length", "sum"), most=("bin_length", "first"))
+    assert (bins.used <= bins.most).all() and got.length.sum() == 3 * sum(300 + i for i in range(50))
 
 
 def test_language(spark):

@@ -3,11 +3,12 @@
 Each source is laid out as blocks of `block_chars` characters. A round gives source i a whole number of
 slots a_i. Given weights are exact: the slots of a round are in exactly their ratio (0.999 to 0.001 makes
 rounds of 1000 slots), and weights that would take more than MOST_SLOTS slots are an error. Without given
-weights the target is size ** tempering in whole parts of about `round_slots`, at least one. In a round of L slots the j-th block of a
-source with c blocks is released at slot floor((j - 1) L / c) and due before slot ceil(j L / c). Filling
-the slots earliest deadline first among the released blocks meets every window, so after any number of
-slots each source is less than one block from its share, and exactly at it after each round. When a
-source runs out its slots fall away, which leaves the others' weights to one another as they were. Rounds
+weights the target is size ** tempering in whole parts of about `round_slots`, at least one. In a round of L turns
+the j-th block of a source with a turns is released at turn floor((j - 1) L / a) and due before turn
+ceil(j L / a). Giving the turns to the earliest deadline among the released blocks meets every window, so
+after any number of turns each source is less than one block from its share, and exactly at it after each
+round. When a source runs out its turns are left out, and the others keep their weights to one another;
+the turns that are left are the slots of the mixed order. Rounds
 with the same blocks of each source form a phase; there are at most two phases per source and one more,
 so only that many rounds are ever scheduled, by a fold over at most round_slots + sources slots each.
 
@@ -46,20 +47,27 @@ def _slots(weights: dict[str, float] | None, round_slots: int) -> Column:
     return F.transform("s", lambda x: F.coalesce(F.try_element_at(given, F.coalesce(x["source"], F.lit(""))), F.lit(1)))
 
 
-def earliest_deadline_first(counts: Column) -> Column:
-    """array<struct<src, j>>: per slot of a round, the source (from 0) and which of its blocks (from 1) runs."""
-    length = F.aggregate(counts, F.lit(0), lambda acc, c: acc + c)
-    none = F.expr("cast(array() as array<struct<src:int,j:int>>)")
+RUNS = "array<struct<src:int,j:int,turn:int>>"
+
+
+def earliest_deadline_first(counts: Column, slots: Column) -> Column:
+    """Per slot of a round: the source (from 0), which of its blocks (from 1) runs, and at which turn.
+
+    Sources have `slots` turns a round and `counts` blocks, as many or fewer; turns without a released block are left out.
+    """
+    length = F.aggregate(slots, F.lit(0), lambda acc, a: acc + a)
+    none, have = F.expr(f"cast(array() as {RUNS})"), F.arrays_zip(slots.alias("a"), counts.alias("c"))
 
     def step(state: Column, t: Column) -> Column:
-        def due(c: Column, i: Column) -> Column:
+        def due(x: Column, i: Column) -> Column:
             j = F.element_at(state["done"], i + 1) + 1
-            released = F.floor((j - 1) * state["n"] / c) <= t
-            return F.when((j <= c) & released, F.struct(F.ceil(j * state["n"] / c).alias("deadline"), i.alias("src"), j.alias("j")))
+            released = F.floor((j - 1) * state["n"] / x["a"]) <= t
+            return F.when((j <= x["c"]) & released, F.struct(F.ceil(j * state["n"] / x["a"]).alias("deadline"), i.alias("src"), j.alias("j")))
 
-        pick = F.array_min(F.transform(counts, due))
+        pick = F.array_min(F.transform(have, due))
         done = F.transform(state["done"], lambda d, i: F.when(i == pick["src"], d + 1).otherwise(d))
-        return F.struct(done.alias("done"), state["n"].alias("n"), F.concat(state["plan"], F.array(F.struct(pick["src"].alias("src"), pick["j"].alias("j")))).alias("plan"))
+        run = F.array(F.struct(pick["src"].alias("src"), pick["j"].alias("j"), t.cast("int").alias("turn")))
+        return F.struct(done.alias("done"), state["n"].alias("n"), F.when(pick.isNull(), state["plan"]).otherwise(F.concat(state["plan"], run)).alias("plan"))
 
     def stretch(state: Column, k: Column) -> Column:
         # by stretches of slots, as an array that grows slot by slot is copied each time
@@ -67,7 +75,7 @@ def earliest_deadline_first(counts: Column) -> Column:
         begin = F.struct(state["done"].alias("done"), state["n"].alias("n"), none.alias("plan"))
         return F.aggregate(slots, begin, step, lambda s: F.struct(s["done"].alias("done"), s["n"].alias("n"), F.concat(state["plans"], F.array(s["plan"])).alias("plans")))
 
-    start = F.struct(F.transform(counts, lambda c: F.lit(0)).alias("done"), length.alias("n"), F.expr("cast(array() as array<array<struct<src:int,j:int>>>)").alias("plans"))
+    start = F.struct(F.transform(counts, lambda c: F.lit(0)).alias("done"), length.alias("n"), F.expr(f"cast(array() as array<{RUNS}>)").alias("plans"))
     stretches = F.sequence(F.lit(0), F.floor((length - 1) / STRETCH).cast("int"))
     return F.aggregate(stretches, start, stretch, lambda s: F.flatten(s["plans"]))
 
@@ -99,18 +107,18 @@ def schedule(totals: DataFrame, block_chars: int, round_slots: int, weights: dic
     # a bounded table: two rows per source and one more
     before = F.sum((F.col("p.next") - F.col("p.first")).cast("long") * F.col("n")).over(Window.orderBy("phase").rowsBetween(Window.unboundedPreceding, -1))
     phases = phases.withColumn("start", F.coalesce(before, F.lit(0).cast("long")))
-    spread = phases.repartition("phase").select("phase", "s", "counts", "n", "start", "p", F.posexplode(earliest_deadline_first(F.col("counts"))).alias("slot", "run"))
+    spread = phases.repartition("phase").select("phase", "s", "counts", "n", "start", "p", F.posexplode(earliest_deadline_first(F.col("counts"), F.transform("s", lambda x: x["a"]))).alias("slot", "run"))
     of = F.element_at("s", F.col("run.src") + 1)
-    rows = spread.select(of["s"]["source"].alias("source"), of["a"].alias("a"), "phase", F.col("p.first").alias("first"), F.col("p.next").alias("next"), "n", "start", "slot", F.element_at("counts", F.col("run.src") + 1).alias("c"))
-    by_phase = rows.groupBy("source", "a", "phase", "first", "next", "n", "start", "c").agg(F.array_sort(F.collect_list("slot")).alias("slots"))
-    return by_phase.groupBy(F.col("source").alias("_source"), "a").agg(F.array_sort(F.collect_list(F.struct("first", "next", "n", "start", "c", "slots"))).alias("phases"))
+    rows = spread.select(of["s"]["source"].alias("source"), of["a"].alias("a"), "phase", F.col("p.first").alias("first"), F.col("p.next").alias("next"), "n", "start", "slot", F.element_at("counts", F.col("run.src") + 1).alias("c"), F.aggregate("s", F.lit(0), lambda acc, x: acc + x["a"]).alias("length"), F.col("run.turn").alias("turn"))
+    by_phase = rows.groupBy("source", "a", "length", "phase", "first", "next", "n", "start", "c").agg(F.array_sort(F.collect_list(F.struct("slot", "turn"))).alias("slots"))
+    return by_phase.groupBy(F.col("source").alias("_source"), "a", "length").agg(F.array_sort(F.collect_list(F.struct("first", "next", "n", "start", "c", "slots"))).alias("phases"))
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", weights: dict[str, float] | None = None, block_chars: int = BLOCK_CHARS, round_slots: int = ROUND_SLOTS, tempering: float = TEMPERING) -> DataFrame:
-    """One row per document: _id, _source, _hash, _block (in its source), _release, _deadline, _slot and _start.
+    """One row per document: _id, _source, _hash, _block (in its source), _release, _deadline, _turn, _slot and _start.
 
-    The mixed order is that of (_slot, _start, _hash): _slot is the block's place among all blocks, _start
-    the document's first character within its source.
+    A block's turn lies from its release to before its deadline. The mixed order is that of (_slot, _start,
+    _hash): _slot is the block's place among all blocks, _start the document's first character within its source.
     """
     rows = picked(docs, id=id_col, source=F.col(f"`{source_col}`").cast("string"), n=F.coalesce(F.length(F.col(f"`{text_col}`")), F.lit(0)).cast("long"), hash=F.xxhash64(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")))
     rows = save(rows, "mix-rows")
@@ -134,16 +142,17 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
     rows = rows.withColumn("last", last).withColumn("block", F.least(F.floor(F.col("at") / block_chars), F.greatest("last", F.lit(0).cast("long"))))
     rows = rows.withColumn("round", F.floor(F.col("block") / F.col("a"))).withColumn("j", (F.col("block") - F.col("round") * F.col("a")).cast("int"))
     rows = rows.withColumn("p", F.element_at(F.filter("phases", lambda p: p["first"] <= F.col("round")), -1))
-    base = F.col("p.start") + (F.col("round") - F.col("p.first")) * F.col("p.n")
+    base, run = F.col("p.start") + (F.col("round") - F.col("p.first")) * F.col("p.n"), F.element_at("p.slots", F.col("j") + 1)
     return rows.select(
         F.col("id").alias("_id"), F.col("source").alias("_source"), F.col("hash").alias("_hash"), F.col("block").alias("_block"),
-        (base + F.floor(F.col("j") * F.col("p.n") / F.col("p.c"))).alias("_release"),
-        (base + F.ceil((F.col("j") + 1) * F.col("p.n") / F.col("p.c"))).alias("_deadline"),
-        (base + F.element_at("p.slots", F.col("j") + 1)).alias("_slot"),
+        (F.col("round") * F.col("length") + F.floor(F.col("j") * F.col("length") / F.col("a"))).alias("_release"),
+        (F.col("round") * F.col("length") + F.ceil((F.col("j") + 1) * F.col("length") / F.col("a"))).alias("_deadline"),
+        (F.col("round") * F.col("length") + run["turn"]).alias("_turn"),
+        (base + run["slot"]).alias("_slot"),
         F.col("at").alias("_start"),
     )
 
 
 def op3_mixing(spark, sf_dir: str) -> DataFrame:
     found = mix(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text"))
-    return found.select(F.col("_id").alias("doc_id"), F.col("_source").alias("source"), *[F.col(f"_{c}").alias(c) for c in ("block", "release", "deadline", "slot", "start")])
+    return found.select(F.col("_id").alias("doc_id"), F.col("_source").alias("source"), *[F.col(f"_{c}").alias(c) for c in ("block", "release", "deadline", "turn", "slot", "start")])
