@@ -91,12 +91,36 @@ def test_licenses(spark):
 def test_license_expressions():
     assert licenses.postfix("(a or b) and c with d") == ["a", "b", "or", "c", "d", "with", "and"]
     assert licenses.evaluate("(gpl-2.0-only or mit) and bsd-3-clause with x")[0] == {"gpl-2", "mit", "bsd"}
-    assert licenses.evaluate("mit and apache-2.0") == ({"mit", "apache-2"}, True) and licenses.evaluate("mit or isc")[1] is False
+    both = {"mit", "apache-2"}
+    assert licenses.evaluate("mit and apache-2.0") == (both, both) and licenses.evaluate("mit or apache-2.0") == (both, set())
+    assert licenses.evaluate("(mit or isc) and (mit or bsd)") == ({"mit", "isc", "bsd"}, set()) and licenses.evaluate("mit and isc or mit")[1] == {"mit"}
+    scans = [licenses.scan(f"SPDX-License-Identifier: MIT {op} Apache-2.0".encode()) for op in ("OR", "AND")]
+    assert [x["labels"] for x in scans] == [["apache-2", "mit"]] * 2 and [x["required"] for x in scans] == [[], ["apache-2", "mit"]]
     for broken in ("", "and", "(", ")", "mit and", "mit mit", "((mit)"):
         licenses.evaluate(broken)
     assert "mit" in licenses.scan(b"x\nSPDX-License-Identifier: MIT OR Apache-2.0\n")["labels"]
 
 
+def plain_licenses(text):
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    found = sorted((i, label) for phrase, label in licenses.BASE_PHRASES.items() for k in [phrase.split()] for i in range(len(words)) if words[i : i + len(k)] == k)
+    return len(words), len(found), found[0][0] if found else None, found[-1][0] if found else None, ",".join(sorted({x[1] for x in found}))
+
+
+def test_license_query(spark, tmp_path):
+    """The query on random texts, null, empty, very long and repeated ones, against a plain loop."""
+    rng = np.random.default_rng(11)
+    pieces = ["under the MIT license", "Under", "the", "mit", "license", "apache license", "version 2", "cc by-nc", "CC", "by", "nc", "é", "ünder", ".", "\n", "all rights reserved", "x:"]
+    texts = [" ".join(rng.choice(pieces, n)) for n in rng.integers(0, 40, 300)] + [None, "", "word " * 300_000 + "under the mit license", "under the mit license " * 20_000, "SPDX-License-Identifier: " * 20_000]
+    rows = [(i, t, "x", "y") for i, t in enumerate(texts)] + [(0, texts[0], "x", "y")]
+    spark.createDataFrame(rows, "doc_id long, text string, labels string, id string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = licenses.op9_licenses(spark, str(tmp_path)).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) == plain_licenses(texts[r.doc_id])
+        assert set(filter(None, r.base_labels.split(","))) <= set(r.labels.split(",")) and 0 <= r.score <= 1
+
+
 def test_license_expressions_of_any_length():
     many = [f"x-{i}-1.0" for i in range(300)]
     line = f"# SPDX-License-Identifier: {' AND '.join(many)} AND (GPL-2.0-only OR MIT)".encode()

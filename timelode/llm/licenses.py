@@ -1,9 +1,14 @@
-"""Licence scans: an Aho-Corasick automaton finds notices and tags, a shunting-yard parser reads expressions.
+"""Licence scans: Aho-Corasick automata find notices and tags, a shunting-yard parser reads expressions.
 
-Texts are lower-cased (A-Z only) and cut into words; the automaton runs over the words joined by
-single spaces, so a phrase is found wherever its words stand consecutively. ``SPDX-License-Identifier``
-tags are found in the text itself and the expression behind them (``and``, ``or``, ``with``, brackets)
-is evaluated, to the end of its line, to the set of licences it names. One Arrow map, no shuffle. Null counts as empty.
+Texts are lower-cased (A-Z only) and cut into words; an automaton runs over the words joined by single
+spaces, so a phrase is found wherever its words stand consecutively. Another finds the identifier tags in
+the text itself; the expression behind a tag (``and``, ``or``, ``with``, brackets) is evaluated, to the end
+of its line, to the licences that it names and to those that bind whichever alternative is taken
+(``required``, which notices always are). One Arrow map, no shuffle.
+
+Null and empty texts have no words and no labels. Repeated rows get a result each; labels are sorted, so
+ties have no say; texts are read whole, in time linear in their length; an empty table gives no rows. No
+column of the input but id and text is read.
 """
 
 from __future__ import annotations
@@ -34,7 +39,8 @@ NOTICES = {
     "this is free and unencumbered software released into the public domain": "unlicense",
     "all rights reserved": "proprietary",
 }
-TAG = "spdx-license-identifier:"
+#: Tags in front of an expression; they are looked for in the text itself.
+TAGS = ("spdx-license-identifier:", "spdx-licence-identifier:")
 #: Families of identifiers: the label for an identifier that starts so.
 FAMILIES = {"mit": "mit", "apache-2": "apache-2", "cc-by-nc": "cc-by-nc", "gpl-2": "gpl-2", "gpl-3": "gpl-3", "lgpl": "lgpl", "agpl": "agpl", "mpl-2": "mpl-2", "bsd": "bsd", "isc": "isc", "unlicense": "unlicense"}
 PRECEDENCE = {"or": 1, "and": 2, "with": 3}
@@ -55,6 +61,15 @@ def automaton() -> ahocorasick.Automaton:
     return found
 
 
+@lru_cache(1)
+def tag_automaton() -> ahocorasick.Automaton:
+    found = ahocorasick.Automaton()
+    for tag in TAGS:
+        found.add_word(tag, tag)
+    found.make_automaton()
+    return found
+
+
 def family(identifier: str) -> str:
     return next((v for k, v in FAMILIES.items() if identifier.startswith(k)), identifier)
 
@@ -94,20 +109,45 @@ def postfix(expression: str | Iterator[str]) -> list[str]:
     return out + [t for t in reversed(stack) if t != "("]
 
 
-def evaluate(expression: str | Iterator[str]) -> tuple[set[str], bool]:
-    """The licences that an expression names (exceptions behind ``with`` are none), and whether all of them bind at once."""
-    stack: list[tuple[set[str], bool]] = []
+def evaluate(expression: str | Iterator[str]) -> tuple[set[str], set[str]]:
+    """The licences that an expression names, and those that bind whichever alternative is taken.
+
+    ``and`` binds both sides, ``or`` only what both sides bind; exceptions behind ``with`` are no licences.
+    Operands are joined in place, the smaller into the larger, as long expressions name many.
+    """
+    stack: list[tuple[set[str], set[str]]] = []
     for token in postfix(expression):
         if token not in PRECEDENCE:
-            stack.append(({family(token.rstrip(".+"))}, True))
+            label = family(token.rstrip(".+"))
+            stack.append(({label}, {label}))
         elif len(stack) >= 2:
             right, left = stack.pop(), stack.pop()
             if token != "with":
-                more, less = sorted((left[0], right[0]), key=len, reverse=True)
-                more |= less  # in place, as long expressions name many
-                left = (more, token == "and" and left[1] and right[1])
+                binding = _joined(left[1], right[1]) if token == "and" else left[1] & right[1]
+                left = (_joined(left[0], right[0]), binding)
             stack.append(left)
-    return (set().union(*(s[0] for s in stack)), all(s[1] for s in stack)) if stack else (set(), True)
+    # an expression that breaks off in an operator leaves several operands
+    return (set().union(*(s[0] for s in stack)), set().union(*(s[1] for s in stack)))
+
+
+def _joined(one: set[str], other: set[str]) -> set[str]:
+    more, less = (one, other) if len(one) >= len(other) else (other, one)
+    more |= less
+    return more
+
+
+def expressions(raw: bytes) -> tuple[set[str], set[str]]:
+    """What the tagged expressions of a text name and bind; each ends with its line or where a token does not fit."""
+    named: set[str] = set()
+    bound: set[str] = set()
+    line_end = -1
+    for at, _ in tag_automaton().iter(raw.decode("latin-1")):
+        if line_end <= at:
+            line_end = end if (end := raw.find(b"\n", at)) >= 0 else len(raw)
+        names, binding = evaluate(tokens(raw, at + 1, line_end))
+        named |= names
+        bound |= binding
+    return named, bound
 
 
 def scan(text: bytes | None) -> dict:
@@ -122,28 +162,21 @@ def scan(text: bytes | None) -> dict:
             base.add(label)
         else:
             more.add(label)
-    tags, lowered = [], raw.translate(_LOWER) if b":" in raw else b""
-    at = lowered.find(TAG.encode())
-    while at >= 0:
-        end = lowered.find(b"\n", at)
-        tags.append(evaluate(tokens(lowered, at + len(TAG), None if end < 0 else end)))
-        at = lowered.find(TAG.encode(), at + len(TAG))
-    named = set().union(*(t[0] for t in tags)) if tags else set()
-    more |= named
     for general in ("gpl", "lgpl", "agpl"):
         if any(x.startswith(f"{general}-") for x in more):
             more.discard(general)
-    labels = base | more
+    named, bound = expressions(raw.translate(_LOWER)) if b":" in raw else (set(), set())
+    labels = base | more | named
     places = sorted(joined.count(" ", 1, s) for s in (min(starts), max(starts))) if starts else [None, None]
     return {
         "n_words": len(words), "n_base": len(starts), "first_word": places[0], "last_word": places[1],
-        "base_labels": sorted(base), "labels": sorted(labels),
+        "base_labels": sorted(base), "labels": sorted(labels), "required": sorted(base | more | bound),
         "score": 1.0 if named else 0.9 if base else 0.7 if labels else 0.0,
     }
 
 
-_SCHEMA = pa.schema([("n_words", pa.int64()), ("n_base", pa.int64()), ("first_word", pa.int64()), ("last_word", pa.int64()), ("base_labels", pa.list_(pa.string())), ("labels", pa.list_(pa.string())), ("score", pa.float64())])
-_DDL = "n_words bigint, n_base bigint, first_word bigint, last_word bigint, base_labels array<string>, labels array<string>, score double"
+_SCHEMA = pa.schema([("n_words", pa.int64()), ("n_base", pa.int64()), ("first_word", pa.int64()), ("last_word", pa.int64()), ("base_labels", pa.list_(pa.string())), ("labels", pa.list_(pa.string())), ("required", pa.list_(pa.string())), ("score", pa.float64())])
+_DDL = "n_words bigint, n_base bigint, first_word bigint, last_word bigint, base_labels array<string>, labels array<string>, required array<string>, score double"
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,4 +193,4 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 def op9_licenses(spark, sf_dir: str) -> DataFrame:
     found = scan_licenses(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return found.withColumns({c: F.array_join(c, ",") for c in ("base_labels", "labels")})
+    return found.withColumns({c: F.array_join(c, ",") for c in ("base_labels", "labels", "required")})
