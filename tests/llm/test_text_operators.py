@@ -151,6 +151,26 @@ def test_exact_with_colliding_keys(spark, monkeypatch):
     assert got == [(1, 3, 2), (2, 2, 1), (3, 3, 2), (4, 4, 1)]
 
 
+def test_exact_with_many_runs_and_scans(spark, monkeypatch):
+    monkeypatch.setattr(exact, "RUN_KEYS", 3)
+    monkeypatch.setattr(exact, "RUNS_PER_SCAN", 2)
+    df = spark.createDataFrame([(i, f"t{i % 40}") for i in range(100)], "doc_id long, text string")
+    got = {r.doc_id: (r.keep_id, r.group_size) for r in exact.exact_dedup(df).collect()}
+    assert got == {i: (i % 40 + (80 if i % 40 < 20 else 40), 3 if i % 40 < 20 else 2) for i in range(100)}
+
+
+def test_filters_of_runs():
+    rng = np.random.default_rng(12)
+    keys, others = (rng.integers(-(2**63), 2**63 - 1, 5000, dtype=np.int64) for _ in range(2))
+    filters = {}
+    for run in range(3):
+        bits = np.zeros(exact.FILTER_BITS, dtype=bool)
+        bits[exact._positions(keys[exact._run_of(keys, 3) == run]).ravel()] = True
+        filters[run] = np.packbits(bits, bitorder="little")
+    assert exact.might_hold(filters, keys, 3).all() and exact.might_hold(filters, others, 3).mean() < 0.01
+    assert not exact.might_hold({}, keys, 3).any()
+
+
 def test_runs_are_sorted_and_merged(spark):
     log = spark.createDataFrame([(i % 5, i) for i in range(50)], "key long, best long").coalesce(1)
     runs = exact.flush_runs(log)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -12,11 +13,13 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by spark.checkpoint.dir, which the driver and all executors see.
 
-    Where the setting is absent (a local session, as in tests) a fresh temporary folder is set for
-    the session and reused from then on.
+    Where the setting is absent in a local session, as in tests, a fresh temporary folder is set for the
+    session and reused from then on; on a cluster its absence is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='timelode-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -36,12 +39,26 @@ def save(df: DataFrame, label: str, **options: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the shared folder; Spark removes it once nothing refers to it."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
-
-
 def picked(df: DataFrame, **columns: str | Column) -> DataFrame:
     """Only the named columns, under internal names, so that no other column of the input can clash."""
-    return df.select(*[(F.col(f"`{c}`") if isinstance(c, str) else c).alias(name) for name, c in columns.items()])
+    return df.select(*[(quoted(c) if isinstance(c, str) else c).alias(name) for name, c in columns.items()])
+
+
+def quoted(name: str) -> Column:
+    """The column of exactly that name, which may hold dots."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def columns_of(df: DataFrame) -> list[Column]:
+    return [quoted(c) for c in df.columns]
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores in front as it takes not to clash with a column of df."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out

@@ -3,22 +3,26 @@
 1. Log: one scan writes (id, key, sha256) of every text, A-Z lower-cased; the key is the first eight
    bytes of the SHA-256.
 2. Memtables: each task folds its share of the log into a bounded table key -> (best id, copies) and
-   flushes it as sorted runs, written with a Parquet Bloom filter on the key, so that a point lookup
-   skips the runs that can't hold it.
-3. Compaction: runs are merged per key; the smallest identifier under the chosen order stays.
-4. Hits (keys with several copies) ship their bytes once, to be compared with the bytes of the copy
-   that stays. A Bloom filter of fixed size over the hit keys decides which texts the scan ships. Texts
-   that share a key without being equal are grouped by their bytes instead.
+   flushes it as sorted runs.
+3. Compaction: runs are merged per key; the smallest identifier under the chosen order stays. The keys of
+   several copies, the hits, make runs of their own, each of at most RUN_KEYS keys by a range of key hashes
+   and with a Bloom filter of its keys, sized for them.
+4. Hits ship their bytes once, to be compared with the bytes of the copy that stays. The filters of the hit
+   runs decide which texts a scan ships: a scan looks into the filters of as many runs as FILTER_BYTES
+   hold, and more runs take more scans, so the filters neither fill up nor outgrow a worker. Texts that
+   share a key without being equal are grouped by their bytes instead.
 
 Work is one narrow shuffle of keys plus the bytes of repeated texts; no group is gathered in one task.
 Null counts as the empty text, so nulls and empty texts are copies of one another. Rows with a null id
-take part; they stay only where a group has no other id. An empty table gives no rows.
+take part; they stay only where a group has no other id. Rows that share a group's chosen id all stay, as
+nothing tells them apart. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -28,10 +32,9 @@ from pyspark.sql import functions as F
 from timelode.llm.common import picked, save
 
 MEMTABLE_ROWS = 100_000
-#: Bits of the filter over hit keys: 1 MB whatever the input; a fuller filter ships more, and loses nothing.
-FILTER_BITS, FILTER_PROBES = 1 << 23, 4
+#: Keys of a hit run, bits of its filter (16 a key), and runs whose filters one scan looks into: 2 MB each, 32 MB in all.
+RUN_KEYS, FILTER_BITS, FILTER_PROBES, RUNS_PER_SCAN = 1 << 20, 1 << 24, 6, 16
 WORDS = FILTER_BITS // 64
-RUN_OPTIONS = {"parquet.bloom.filter.enabled#key": "true", "parquet.bloom.filter.expected.ndv#key": str(MEMTABLE_ROWS)}
 
 
 def _digests(batch: pa.RecordBatch) -> tuple[list[bytes], list[bytes]]:
@@ -74,7 +77,7 @@ def _memtables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def flush_runs(log: DataFrame) -> DataFrame:
     """Sorted runs (key, best, copies) of a log of (key, best); `best` is the identifier to keep the smallest of."""
-    return save(log.select("key", "best", F.lit(1).cast("long").alias("copies")).mapInArrow(_memtables, "key bigint, best bigint, copies bigint"), "runs", **RUN_OPTIONS)
+    return save(log.select("key", "best", F.lit(1).cast("long").alias("copies")).mapInArrow(_memtables, "key bigint, best bigint, copies bigint"), "runs")
 
 
 def compact(*runs: DataFrame) -> DataFrame:
@@ -82,7 +85,7 @@ def compact(*runs: DataFrame) -> DataFrame:
     merged = runs[0]
     for run in runs[1:]:
         merged = merged.unionByName(run)
-    return save(merged.groupBy("key").agg(F.min("best").alias("best"), F.sum("copies").alias("copies")).sortWithinPartitions("key"), "compacted", **RUN_OPTIONS)
+    return save(merged.groupBy("key").agg(F.min("best").alias("best"), F.sum("copies").alias("copies")).sortWithinPartitions("key"), "compacted")
 
 
 def _positions(keys: np.ndarray) -> np.ndarray:
@@ -93,20 +96,41 @@ def _positions(keys: np.ndarray) -> np.ndarray:
 
 
 def _bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    bits = np.zeros(FILTER_BITS, dtype=bool)
+    filters: dict[int, np.ndarray] = {}
     for batch in batches:
-        bits[_positions(batch.column("key").to_numpy()).ravel()] = True
-    words = np.packbits(bits, bitorder="little").view(np.int64)
-    used = np.flatnonzero(words)
-    yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(words[used])], ["word", "bits"])
+        keys, runs = batch.column("key").to_numpy(), batch.column("run").to_numpy()
+        for run in np.unique(runs).tolist():
+            filters.setdefault(run, np.zeros(FILTER_BITS, dtype=bool))[_positions(keys[runs == run]).ravel()] = True
+    for run, bits in filters.items():
+        words = np.packbits(bits, bitorder="little").view(np.int64)
+        used = np.flatnonzero(words)
+        yield pa.RecordBatch.from_arrays([pa.array([run] * len(used), pa.int32()), pa.array(used.astype(np.int32)), pa.array(words[used])], ["run", "word", "bits"])
 
 
-def hit_filter(hits: DataFrame) -> np.ndarray:
-    """The Bloom filter over the hit keys; at most WORDS rows reach the driver."""
-    words = np.zeros(WORDS, dtype=np.int64)
-    merged = hits.select("key").mapInArrow(_bits, "word int, bits bigint").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
-    words[merged["word"].to_numpy()] = merged["bits"].to_numpy()
-    return np.unpackbits(words.view(np.uint8), bitorder="little").astype(bool)
+def run_filters(hits: DataFrame, runs: range) -> dict[int, np.ndarray]:
+    """The Bloom filters of some hit runs, packed; at most WORDS rows a run reach the driver."""
+    own = hits.filter(F.col("run").between(runs[0], runs[-1])).select("key", "run").repartitionByRange(len(runs), "run")
+    filters = {run: np.zeros(WORDS, dtype=np.int64) for run in runs}
+    merged = own.mapInArrow(_bits, "run int, word int, bits bigint").groupBy("run", "word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    at, words, bits = (merged[c].to_numpy() for c in ("run", "word", "bits"))
+    for run in runs:
+        filters[run][words[at == run]] = bits[at == run]
+    return {run: words.view(np.uint8) for run, words in filters.items()}
+
+
+def _run_of(keys: np.ndarray, runs: int) -> np.ndarray:
+    """The hit run of each key, as `pmod(shiftright(key, 20), runs)` in SQL; keys are bits of a digest."""
+    return (keys >> 20) % runs
+
+
+def might_hold(filters: dict[int, np.ndarray], keys: np.ndarray, runs: int) -> np.ndarray:
+    """Whether each key's run, if its filter is given, may hold the key."""
+    at, out = _run_of(keys, runs), np.zeros(len(keys), dtype=bool)
+    for run, packed in filters.items():
+        mine = np.flatnonzero(at == run)
+        place = _positions(keys[mine])
+        out[mine] = ((packed[place >> 3] >> (place & 7).astype(np.uint8)) & 1).all(axis=1)
+    return out
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "largest") -> DataFrame:
@@ -120,21 +144,26 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     index = compact(flush_runs(log.select("key", (F.col("id") * sign).alias("best"))))
 
     single = index.filter("copies = 1").select("key")
-    hits = index.filter("copies > 1").select("key", (F.col("best") * sign).alias("keep_id"))
-    shipped = spark.sparkContext.broadcast(np.packbits(hit_filter(hits)))
-
-    def ship(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted = np.unpackbits(shipped.value).astype(bool)
-        for batch in batches:
-            texts, digests = _digests(batch)
-            keys = _keys(digests)
-            rows = np.flatnonzero(wanted[_positions(keys)].all(axis=1))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("id").take(pa.array(rows)), pa.array(keys[rows]), pa.array([digests[i].hex() for i in rows], pa.string()), pa.array([texts[i] for i in rows], pa.binary())],
-                ["id", "key", "sha256", "text"],
-            )
-
-    members = save(source.mapInArrow(ship, "id bigint, key bigint, sha256 string, text binary").join(hits, "key"), "hits")
+    runs = max(1, -(-index.filter("copies > 1").count() // RUN_KEYS))
+    hits = save(index.filter("copies > 1").select("key", (F.col("best") * sign).alias("keep_id"), F.expr(f"CAST(pmod(shiftright(key, 20), {runs}) AS INT)").alias("run")), "hit-runs")
+
+    def shipped(some: range) -> DataFrame:
+        filters = spark.sparkContext.broadcast(run_filters(hits, some))
+
+        def ship(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                texts, digests = _digests(batch)
+                keys = _keys(digests)
+                rows = np.flatnonzero(might_hold(filters.value, keys, runs))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("id").take(pa.array(rows)), pa.array(keys[rows]), pa.array([digests[i].hex() for i in rows], pa.string()), pa.array([texts[i] for i in rows], pa.binary())],
+                    ["id", "key", "sha256", "text"],
+                )
+
+        return source.mapInArrow(ship, "id bigint, key bigint, sha256 string, text binary")
+
+    scans = [shipped(range(i, min(runs, i + RUNS_PER_SCAN))) for i in range(0, runs, RUNS_PER_SCAN)]
+    members = save(reduce(DataFrame.unionByName, scans).join(hits.drop("run"), "key"), "hits")
     # written, not only aggregated, so that both sides of the joins below come straight from a shuffle that a hot key can be split in
     stay = save(members.filter(F.col("id").eqNullSafe(F.col("keep_id"))).groupBy("key").agg(F.max("text").alias("stay_text")), "stay")
     same = F.col("text") == F.col("stay_text")

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from timelode.llm.common import checkpoint, picked, save
+from timelode.llm.common import picked, save
 from timelode.llm.components import connected_components
 
 THRESHOLD, NEIGHBOURS, LONGEST, BLOCK = 0.93, 12, 48, 128
@@ -191,8 +191,8 @@ def crowd_counts(nodes: DataFrame, members: DataFrame, full: DataFrame, threshol
     rows = members.join(sizes, "component").join(nodes.select("node", "vec", "copies"), "node").withColumn("block", F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / crowd)))
     item = F.collect_list(F.struct("node", "vec", "copies"))
     # by component and block, as a whole component may be very large
-    data = checkpoint(rows.groupBy("component", "block").agg(item.alias("data")))
-    asked = checkpoint(rows.join(full, "node", "left_semi").groupBy("component", "block").agg(item.alias("asked")))
+    data = save(rows.groupBy("component", "block").agg(item.alias("data")), "crowd-data")
+    asked = save(rows.join(full, "node", "left_semi").groupBy("component", "block").agg(item.alias("asked")), "crowd-asked")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -236,7 +236,7 @@ def embedding_groups(rows: DataFrame, id_col: str = "vec_id", vec_col: str = "em
     links = graph.filter(F.col("sim") >= threshold).select("node", "other")
     links = save(links.unionByName(links.select(F.col("other").alias("node"), F.col("node").alias("other"))).distinct(), "links")
     members = connected_components(links.select(F.col("node").alias("a"), F.col("other").alias("b")))
-    full = checkpoint(saturated(graph, threshold, keep).select("node"))
+    full = save(saturated(graph, threshold, keep).select("node"), "saturated")
     exact = crowd_counts(nodes, members, full, threshold)
     listed = links.join(nodes.select(F.col("node").alias("other"), "copies"), "other").groupBy("node").agg(F.sum("copies").alias("listed"))
     found = nodes.select("node", "label", "vec", "copies").join(members, "node", "left").join(listed, "node", "left").join(exact, "node", "left")
