@@ -3,6 +3,8 @@
 import hashlib
 import math
 import os
+import re
+import uuid
 import zlib
 from fractions import Fraction
 
@@ -186,6 +188,23 @@ def test_embeddings(spark):
     assert nndescent.embedding_groups(df.limit(0)).count() == 0
 
 
+def read_by_the_rules(raw):
+    """The record ids of an archive, read member by member by what the format demands of records."""
+    keys = set()
+    while raw:
+        unzip = zlib.decompressobj(31)
+        text, raw = unzip.decompress(raw) + unzip.flush(), unzip.unused_data
+        head, body = text.split(b"\r\n\r\n", 1)
+        version, *lines = head.decode().split("\r\n")
+        fields = {k.lower(): v for k, v in (x.split(": ", 1) if ": " in x else (x.rstrip(": "), "") for x in lines)}
+        assert version == "WARC/1.1" and fields["warc-type"] in ("response", "revisit")
+        assert re.fullmatch(r"\d{4}-\d\d-\d\dT\d\d:\d\d:\d\dZ", fields["warc-date"]) and re.fullmatch(r"<urn:uuid:[0-9a-f-]{36}>", fields["warc-record-id"])
+        assert body[int(fields["content-length"]) :] == b"\r\n\r\n" and ("warc-profile" in fields) == (fields["warc-type"] == "revisit")
+        assert fields["warc-record-id"] not in keys
+        keys.add(fields["warc-record-id"])
+    return keys
+
+
 def test_archives(spark):
     big, small = "é" * 700, "tiny"
     rows = [(1, "u1", big), (2, "u2\r\n", big), (3, "u3", small), (4, "u4", small), (5, None, None), (6, "u6", "x" * 200_000), (6, "u6", "x" * 200_000), (None, "n", big)] + [(10 + i, "v", f"<p>\r\n\r\nContent-Length: {i}</p>" * 90) for i in range(40)]
@@ -200,16 +219,22 @@ def test_archives(spark):
     for i, _, html in rows:
         raw = (html or "").encode()
         assert (by[i].payload_bytes, by[i].payload_digest) == (len(raw), hashlib.sha1(raw).hexdigest())
+    # with many groups of equal payloads, kinds come by another join
+    rows_of = pages.selectExpr("page_id", "url", "CAST(coalesce(html, '') AS BINARY) payload")
+    one, other = (sorted(map(repr, warc.record_kinds(rows_of, broadcast_rows=n).collect())) for n in (50_000, 0))
+    assert one == other
     # every archive is a chain of gzip members at the offsets of the index
-    path = f"{folder}/warc".removeprefix("file://")
+    path, keys = f"{folder}/warc".removeprefix("file://"), set()
     for name in {r.archive for r in index.collect()}:
         parts = sorted((r.offset, r.length) for r in index.filter(F.col("archive") == name).collect())
+        keys |= read_by_the_rules(open(f"{path}/{name}", "rb").read())
         assert parts[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(parts, parts[1:], strict=False)) and sum(parts[-1]) == os.path.getsize(f"{path}/{name}")
+    assert len(keys) == len(rows)
     assert warc.read_archives(warc.archive_pages(pages.limit(0), common.scratch(spark, "warc")), folder).count() == 0
 
 
 def test_damaged_archives_are_noticed():
-    raw = warc.record(1, "u", b"payload", hashlib.sha1(b"payload").hexdigest(), "response", None)
+    raw = warc.record(uuid.UUID(int=1), "2024-01-01T00:00:00Z", 1, "u", b"payload", hashlib.sha1(b"payload").hexdigest(), "response", None)
     assert warc.parse(raw)[1] == b"payload"
     with pytest.raises(ValueError):
         warc.parse(raw.replace(b"payload\r", b"paylord\r"))

@@ -12,6 +12,7 @@ Archives are written through pyarrow's filesystems under an attempt's own name,
 archives names only those of successful attempts, so a lost executor leaves at most unused files. No
 archive, record list or page group passes through the driver. Null html is an empty payload; null urls
 are written as an empty target; repeated page ids are separate records; an empty table gives no archives.
+Records are dated by the run that wrote them.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ import hashlib
 import uuid
 import zlib
 from collections.abc import Iterator
+from datetime import UTC, datetime
 
 import pyarrow as pa
 from pyarrow import fs
@@ -38,15 +40,18 @@ def _open(uri: str):
     return found, path
 
 
-def record(page_id: int | None, url: str, payload: bytes, sha1: str, kind: str, refers_to: int | None) -> bytes:
-    """One WARC record. A revisit has no payload of its own but states the length and digest of it."""
+def record(key: uuid.UUID, date: str, page_id: int | None, url: str, payload: bytes, sha1: str, kind: str, refers_to: int | None) -> bytes:
+    """One WARC record. A revisit has no payload of its own but states the length and digest of it.
+
+    Page ids are headers of our own, as they may be null or repeat and a record's id may not.
+    """
     body = payload if kind == "response" else b""
     head = [
-        "WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}>", f"WARC-Target-URI: {url}",
-        f"WARC-Payload-Digest: sha1:{sha1}", f"X-Payload-Length: {len(payload)}", "Content-Type: text/html", f"Content-Length: {len(body)}",
+        "WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:uuid:{key}>", f"WARC-Date: {date}", f"WARC-Target-URI: {url}",
+        f"WARC-Payload-Digest: sha1:{sha1}", f"X-Page-ID: {'' if page_id is None else page_id}", f"X-Payload-Length: {len(payload)}", "Content-Type: text/html", f"Content-Length: {len(body)}",
     ]
     if kind == "revisit":
-        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:page:{refers_to}>"]
+        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"X-Refers-To-Page: {refers_to}"]
     return "\r\n".join([*head, "", ""]).encode() + body + b"\r\n\r\n"
 
 
@@ -92,7 +97,7 @@ def inflate(source) -> Iterator[bytes]:
         raise ValueError("the gzip stream is cut short")
 
 
-def record_kinds(pages: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
+def record_kinds(pages: DataFrame, least_bytes: int = LEAST_BYTES, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """`pages` (page_id, url, payload) with record_type and refers_to.
 
     Repeated rows of the largest page id are responses all; null page ids refer to a page that has one.
@@ -100,15 +105,19 @@ def record_kinds(pages: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
     keyed = pages.withColumn("sha1", F.sha1("payload")).withColumn("bytes", F.length("payload"))
     groups = keyed.filter(F.col("bytes") >= least_bytes).groupBy("sha1", "bytes").agg(F.max("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1")
     groups = save(groups.select("sha1", "bytes", "first"), "payload-groups")
-    if groups.count() <= BROADCAST_ROWS:
-        groups = F.broadcast(groups)
     again = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
-    found = keyed.join(groups, ["sha1", "bytes"], "left")
+    if groups.count() <= broadcast_rows:
+        found = keyed.join(F.broadcast(groups), ["sha1", "bytes"], "left")
+    else:  # payloads move by their page, not by a digest that very many pages may share
+        told = keyed.select("page_id", "sha1", "bytes").join(groups, ["sha1", "bytes"]).filter(again).distinct()
+        told = told.select(F.col("page_id").alias("of_page"), F.col("sha1").alias("of_sha1"), F.col("bytes").alias("of_bytes"), "first")
+        found = keyed.join(told, F.col("page_id").eqNullSafe(F.col("of_page")) & (F.col("sha1") == F.col("of_sha1")) & (F.col("bytes") == F.col("of_bytes")), "left")
     return found.select("page_id", "url", "payload", F.when(again, "revisit").otherwise("response").alias("record_type"), F.when(again, F.col("first")).alias("refers_to"))
 
 
 def write_archives(pages: DataFrame, folder: str, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
     """Writes rows (page_id, url, payload, record_type, refers_to) as monolithic archives; (archive, n_records)."""
+    date = datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         where, path = _open(folder)
@@ -127,7 +136,8 @@ def write_archives(pages: DataFrame, folder: str, archive_bytes: int = ARCHIVE_B
                 if sink is None:
                     name, count, size = f"{uuid.uuid4().hex}.warc.gz", 0, 0
                     sink, pack = where.open_output_stream(f"{path}/{name}", compression=None), zlib.compressobj(LEVEL, wbits=GZIP)
-                raw = record(page_id, (url or "").replace("\r", "%0D").replace("\n", "%0A"), payload, hashlib.sha1(payload).hexdigest(), kind, refers_to)
+                key = uuid.uuid5(uuid.NAMESPACE_URL, f"{name}/{count}")
+                raw = record(key, date, page_id, (url or "").replace("\r", "%0D").replace("\n", "%0A"), payload, hashlib.sha1(payload).hexdigest(), kind, refers_to)
                 sink.write(pack.compress(raw))
                 count, size = count + 1, size + len(raw)
                 if size >= archive_bytes:
@@ -171,8 +181,7 @@ RECORDS = "page_id bigint, url string, payload_bytes bigint, payload_digest stri
 def read_archives(index: DataFrame, folder: str) -> DataFrame:
     """Every indexed record, fetched at its offset, inflated alone and verified against its digest."""
 
-    def number(urn: str | None) -> int | None:
-        text = (urn or "")[len("<urn:page:") : -1]
+    def number(text: str | None) -> int | None:
         return int(text) if text else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,8 +197,8 @@ def read_archives(index: DataFrame, folder: str) -> DataFrame:
                 source.seek(offset)
                 headers, _ = parse(zlib.decompress(source.read(length), GZIP))
                 rows.append({
-                    "page_id": number(headers["WARC-Record-ID"]), "url": headers["WARC-Target-URI"], "payload_bytes": int(headers["X-Payload-Length"]),
-                    "payload_digest": headers["WARC-Payload-Digest"].removeprefix("sha1:"), "record_type": headers["WARC-Type"], "refers_to": number(headers.get("WARC-Refers-To")),
+                    "page_id": number(headers["X-Page-ID"]), "url": headers["WARC-Target-URI"], "payload_bytes": int(headers["X-Payload-Length"]),
+                    "payload_digest": headers["WARC-Payload-Digest"].removeprefix("sha1:"), "record_type": headers["WARC-Type"], "refers_to": number(headers.get("X-Refers-To-Page")),
                 })
             schema = pa.schema([(c, pa.string() if k == "string" else pa.int64()) for c, k in (x.split() for x in RECORDS.split(", "))])
             yield pa.RecordBatch.from_pylist(rows, schema=schema)
