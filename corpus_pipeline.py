@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from timelode.llm import langid, lines, mixing, packing, similar
-from timelode.llm.common import save
+from timelode.llm.common import columns_of, fresh, quoted, save
 
 #: Documents whose best language scores below this are rejected, as are those without a letter.
 MIN_LANGUAGE_SCORE = 0.4
@@ -19,15 +19,17 @@ MIN_LANGUAGE_SCORE = 0.4
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the documents whose language is recognised; repeated rows are kept or rejected alike."""
-    model = langid.train(docs, F.lit(True))
-    found = langid.identify(docs, model)
-    return found.filter((F.col("_lang_pred") != langid.UNKNOWN) & (F.col("_score") >= MIN_LANGUAGE_SCORE)).select(*docs.columns)
+    lang, score = fresh(docs, "_lang_pred", "_score")
+    found = langid.identify(docs, langid.train(docs, F.lit(True)), lang_name=lang, score_name=score)
+    return found.filter((F.col(lang) != langid.UNKNOWN) & (F.col(score) >= MIN_LANGUAGE_SCORE)).select(*columns_of(docs))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Removes lines that are boilerplate of their source; n_chars follows the text. No document goes."""
-    found = lines.drop_boilerplate(docs)
-    return found.withColumn("n_chars", F.when(F.col("_n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+    n_lines, n_dropped = fresh(docs, "_n_lines", "_n_dropped")
+    found = lines.drop_boilerplate(docs, counts=(n_lines, n_dropped))
+    n_chars = F.when(F.col(n_dropped) > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")).alias("n_chars")
+    return found.select(*[n_chars if c == "n_chars" else quoted(c) for c in docs.columns])
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,14 +39,19 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     groups = similar.similar_groups(docs)
     gone = groups.filter(F.col("component_id") != F.col("doc_id")).select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(gone, "doc_id", "left_anti").select(*columns_of(docs))
 
 
 def _in_mixed_order(docs: DataFrame) -> DataFrame:
-    """docs sorted by their places in the schedule, which depend on the rows alone, not on files or partitions."""
-    order = mixing.mix(docs).select("_id", "_source", "_hash", "_slot", "_start").dropDuplicates(["_id", "_source", "_hash"])
-    same = (F.xxhash64("doc_id", "text") == F.col("_hash")) & F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").cast("string").eqNullSafe(F.col("_source"))
-    return docs.join(order, same, "left").orderBy("_slot", "_start", "_hash").select(*docs.columns)
+    """docs sorted by their places in the schedule, which depend on the rows alone, not on files or partitions.
+
+    Rows with the same id, source and text take the first of their places together; null ids are ids like any other.
+    """
+    names = fresh(docs, "_id", "_source", "_hash", "_place")
+    key, source, digest, place = (F.col(c) for c in names)
+    order = mixing.mix(docs).groupBy("_id", "_source", "_hash").agg(F.min(F.struct("_slot", "_start")).alias("_place")).toDF(*names)
+    same = (F.xxhash64("doc_id", "text") == digest) & F.col("doc_id").eqNullSafe(key) & F.col("source").cast("string").eqNullSafe(source)
+    return docs.join(order, same, "left").orderBy(place, digest, "doc_id").select(*columns_of(docs))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -153,6 +153,49 @@ def test_language(spark):
     assert {r["_lang_pred"] for r in langid.identify(df.limit(3), langid.train(df.limit(0), F.lit(True))).collect()} == {"und"}
 
 
+def grams_of(text):
+    letters = [c if c.isalpha() else " " for c in f" {text.lower()} "]
+    return {tuple(letters[i : i + n]) for n in (1, 2, 3) for i in range(len(letters) - n + 1)}
+
+
+def test_language_model_is_the_kernel_ridge_solution():
+    """The weights give what the kernel, its landmarks and the ridge equations give, worked out from sets of n-grams."""
+    rng = np.random.default_rng(9)
+    words = {"en": "the and of with this", "de": "der und die nicht eine", "ru": "и в не на что"}
+    data = [(" ".join(rng.choice(words[k].split(), rng.integers(2, 12))), k) for k in ["en", "de", "ru"] * 12]
+    texts, labels = [t for t, _ in data], [k for _, k in data]
+    model = langid.fit(texts, labels, per_lang=5, ridge=0.01)
+    sets = [grams_of(t) for t in texts]
+    marks = [sets[i] for lang in model.langs for i in [i for i, x in enumerate(labels) if x == lang][:5]]
+    known = set().union(*marks)
+    kernel = lambda a, b: len(a & b & known) / np.sqrt(len(a & known) * len(b & known))
+    k = np.array([[kernel(a, b) for b in marks] for a in marks])
+    value, vector = np.linalg.eigh(k)
+    good = value > 1e-6 * value.max()
+    feature = lambda s: np.array([kernel(s, m) for m in marks]) @ (vector[:, good] / np.sqrt(value[good]))
+    x = np.array([feature(s) for s in sets])
+    centre, y = x.mean(axis=0), np.where(np.array(labels)[:, None] == np.array(model.langs), 1.0, -1.0)
+    a = (x - centre) / np.sqrt(12)
+    coef = np.linalg.solve(a.T @ a + 0.01 * np.eye(a.shape[1]), a.T @ (y / np.sqrt(12)))
+    asked = ["the und", "не", "nicht this der", texts[3]]
+    symbols, slots = langid._symbols(model.letters, model.scripts), langid._slots(model.grams)
+    got = langid._normal(langid._presence(asked, symbols, slots, len(model.grams))) @ model.weights + model.bias
+    assert np.allclose(got, [(feature(grams_of(t)) - centre) @ coef for t in asked], atol=1e-4)
+
+
+def test_languages_with_odd_rows_are_learned(spark):
+    """One id for all rows, null ids, repeated rows, only very long texts; and rare scripts stay apart."""
+    rows = [(7, f"der und die nicht {i}x", "de") for i in range(60)] + [(None, f"the and of {i}q", "en") for i in range(60)] + [(i, "le et les une dans", "fr") for i in range(40)]
+    rows += [(1000 + i, "ja nee het een " * 3000, "nl") for i in range(3)]
+    cjk, kana = ["".join(chr(0x4E00 + (i * 37 + j * 11) % 900) for j in range(40)) for i in range(30)], ["".join(chr(0xAC00 + (i * 41 + j * 13) % 900) for j in range(40)) for i in range(30)]
+    rows += [(2000 + i, t, "zh") for i, t in enumerate(cjk)] + [(3000 + i, t, "ko") for i, t in enumerate(kana)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").selectExpr("*", "1 AS _score", "2 AS _lang_pred", "3 AS `a.b`")
+    model = langid.train(df, F.lit(True), train_rows=20)
+    assert model.langs == ["de", "en", "fr", "ko", "nl", "zh"]
+    got = langid.identify(df, model, lang_name="found", score_name="sure").filter("lang <> found OR `a.b` <> 3").count()
+    assert got == 0
+
+
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="the test tables are not here")
 def test_language_held_out(spark):
     root = DATA.replace("0.001", "0.01")

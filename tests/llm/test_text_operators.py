@@ -265,8 +265,20 @@ def test_lines(spark):
     page = lambda i, host, *more: (i, host, "\n".join(["  Cookie notice ", *more, f"own {i}"]), 5)
     rows = [page(i, "a", "", "often" if i < 3 else "") for i in range(30)] + [page(100 + i, "b") for i in range(10)] + [(200, None, None, 1), (201, "a", "Cookie notice", 1), (202, "a", "", 1)]
     df = spark.createDataFrame(rows, "doc_id long, source string, text string, host int")
-    got = {r.doc_id: r for r in lines.drop_boilerplate(df, min_copies=2).collect()}
+    got = {r.doc_id: r for r in lines.drop_boilerplate(df, min_pages=11).collect()}
     assert got[0].text == "\noften\nown 0" and got[0]["_n_lines"] == 4 and got[0]["_n_dropped"] == 1
     assert got[100].text == rows[30][2]  # too few pages on that host
     assert got[200].text is None and got[201].text == "" and got[202].text == "" and len(got) == len(rows)
     assert got[0].host == 5
+    # a host of ten pages is cleaned as well: what stands on two of them exceeds a tenth, what stands on one is no repetition
+    few = {r.doc_id: r for r in lines.drop_boilerplate(df).collect()}
+    assert few[100].text == "own 100" and few[100]["_n_dropped"] == 1 and few[0].text == got[0].text
+    odd = df.selectExpr("*", "1 AS _bad", "2 AS _n_dropped", "3 AS _host", "4 AS `a.b`")
+    assert lines.drop_boilerplate(odd, counts=("n1", "n2")).filter("doc_id = 100").select("_bad", "_n_dropped", "`a.b`", "n2").first() == (1, 2, 4, 1)
+
+
+def test_share_at_the_ratio(spark):
+    """Ten of a hundred pages are not more than a tenth, eleven are."""
+    rows = [(i, "h", f"own {i}\n{'ten' if i < 10 else ''}\n{'eleven' if i < 11 else ''}") for i in range(100)]
+    got = lines.drop_boilerplate(spark.createDataFrame(rows, "doc_id long, source string, text string")).filter("doc_id = 0").first()
+    assert got.text == "own 0\nten\n" and got["_n_dropped"] == 1

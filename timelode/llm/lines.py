@@ -7,9 +7,10 @@ ratio, so the boilerplate of a host is a bounded list, which is joined to the ho
 removed inside each row; texts are never taken apart and put together again by a shuffle.
 
 Rules: lines are cut at newlines and compared without outer white space; blank lines are neither counted
-nor dropped. Hosts of fewer than `min_pages` pages, and lines on fewer than `min_copies` pages, are left
-alone. Null hosts form one host of their own. A null text stays null and has no lines; it counts as a
-page. Where every line of a text is boilerplate, an empty text is left. Repeated rows are pages each.
+nor dropped. A line on one page only is no repetition and stays, however few pages the host has;
+`min_pages` and `min_copies` ask for larger hosts or more copies where that is wanted. Null hosts form one host of their own. A null text stays null and has no lines; it counts as a
+page. Where every line of a text is boilerplate, an empty text is left. Repeated rows are pages each. A
+share equal to the ratio does not exceed it. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -17,9 +18,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from timelode.llm.common import save
+from timelode.llm.common import fresh, quoted, save
 
-RATIO, MIN_PAGES, MIN_COPIES = 0.1, 20, 5
+RATIO, MIN_PAGES, MIN_COPIES = 0.1, 1, 2
 BROADCAST_BYTES = 8 << 20
 BLANKS = "\t\n\x0b\x0c\r "
 
@@ -44,26 +45,27 @@ def boilerplate(docs: DataFrame, host: Column, text: Column, ratio: float = RATI
     return over.groupBy(F.col("c.host").alias("host")).agg(F.collect_list(F.struct("x", "y")).alias("bad"))
 
 
-def drop_boilerplate(docs: DataFrame, host_col: str | Column = "source", text_col: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES, min_copies: int = MIN_COPIES) -> DataFrame:
-    """The input with boilerplate lines removed from `text_col`, and _n_lines and _n_dropped."""
-    host = F.col(f"`{host_col}`") if isinstance(host_col, str) else host_col
-    text = F.col(f"`{text_col}`")
-    found = save(boilerplate(docs, host, text, ratio, min_pages, min_copies).withColumnsRenamed({"host": "_host", "bad": "_bad"}), "boilerplate")
-    lines = found.agg(F.coalesce(F.sum(F.size("_bad")), F.lit(0)), F.count("*")).first()
+def drop_boilerplate(docs: DataFrame, host_col: str | Column = "source", text_col: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES, min_copies: int = MIN_COPIES, counts: tuple[str, str] = ("_n_lines", "_n_dropped")) -> DataFrame:
+    """The input with boilerplate lines removed from `text_col`, and the columns of `counts`: lines, and how many were removed."""
+    host = quoted(host_col) if isinstance(host_col, str) else host_col
+    text = quoted(text_col)
+    key, listed = fresh(docs, "_host", "_bad")
+    found = save(boilerplate(docs, host, text, ratio, min_pages, min_copies).withColumnsRenamed({"host": key, "bad": listed}), "boilerplate")
+    lines = found.agg(F.coalesce(F.sum(F.size(listed)), F.lit(0)), F.count("*")).first()
     if 16 * lines[0] + 64 * lines[1] <= BROADCAST_BYTES:
         found = F.broadcast(found)
-    joined = docs.join(found, host.eqNullSafe(F.col("_host")), "left")
+    joined, bad = docs.join(found, host.eqNullSafe(F.col(key)), "left"), F.col(listed)
     # hashing every line once more costs less than carrying lines through a shuffle; hosts without boilerplate skip it
-    kept = F.filter(_lines(text), lambda x: ~_listed(x))
-    clean = F.when(F.col("_bad").isNull() | text.isNull(), text).otherwise(F.array_join(kept, "\n"))
+    kept = F.filter(_lines(text), lambda x: ~_listed(bad, x))
+    clean = F.when(bad.isNull() | text.isNull(), text).otherwise(F.array_join(kept, "\n"))
     n = F.coalesce(F.size(_lines(text)), F.lit(0)).cast("long")
-    left = F.when(F.col("_bad").isNull(), n).otherwise(F.coalesce(F.size(kept), F.lit(0)).cast("long"))
-    return joined.select(*[clean.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns], n.alias("_n_lines"), (n - left).alias("_n_dropped"))
+    left = F.when(bad.isNull(), n).otherwise(F.coalesce(F.size(kept), F.lit(0)).cast("long"))
+    return joined.select(*[clean.alias(c) if c == text_col else quoted(c) for c in docs.columns], n.alias(counts[0]), (n - left).alias(counts[1]))
 
 
-def _listed(line: Column) -> Column:
+def _listed(bad: Column, line: Column) -> Column:
     h = _hash(line)
-    return F.array_contains(F.col("_bad"), F.struct(h["x"].alias("x"), h["y"].alias("y")))
+    return F.array_contains(bad, F.struct(h["x"].alias("x"), h["y"].alias("y")))
 
 
 def op4_line_dedup(spark, sf_dir: str) -> DataFrame:
@@ -75,8 +77,8 @@ OP4_SQL = """
 WITH l AS (
   SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents
 ), p AS (SELECT *, regexp_replace(line, '^[\\t\\n\\v\\f\\r ]+|[\\t\\n\\v\\f\\r ]+$', '', 'g') AS plain FROM l),
-c AS (SELECT source, plain, count(DISTINCT doc_id) AS copies FROM p WHERE plain <> '' GROUP BY ALL HAVING count(DISTINCT doc_id) >= 5),
-s AS (SELECT source, count(*) AS pages FROM documents GROUP BY ALL HAVING count(*) >= 20),
+c AS (SELECT source, plain, count(DISTINCT doc_id) AS copies FROM p WHERE plain <> '' GROUP BY ALL HAVING count(DISTINCT doc_id) >= 2),
+s AS (SELECT source, count(*) AS pages FROM documents GROUP BY ALL),
 b AS (SELECT c.source, c.plain FROM c JOIN s ON c.source IS NOT DISTINCT FROM s.source WHERE copies > pages * 0.1)
 SELECT d.doc_id, d.source, coalesce(string_agg(p.line, chr(10) ORDER BY p.pos) FILTER (b.plain IS NULL), CASE WHEN any_value(d.text) IS NOT NULL THEN '' END) AS text,
   count(p.pos) AS n_lines, count(b.plain) AS n_dropped
