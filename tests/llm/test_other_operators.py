@@ -231,6 +231,46 @@ def test_embeddings(spark):
     assert nndescent.embedding_groups(df.limit(0)).count() == 0
 
 
+def brute_groups(vectors, labels):
+    """Links and least reachable row of each vector, by comparing all with all."""
+    u = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    near = (u @ u.T >= 0.93) & (labels[:, None] == labels)
+    np.fill_diagonal(near, False)
+    reach, last = np.arange(len(u)), None
+    while last is None or (reach != last).any():
+        last = reach
+        reach = np.minimum(reach, np.where(near, reach[None, :], len(u)).min(axis=1))
+    return near.sum(axis=1).tolist(), reach.tolist()
+
+
+@pytest.mark.parametrize("rounds", [5, 0])
+def test_crowds_beside_crowds(spark, rounds):
+    """Families larger than any list that link across, doubles, and no round at all, after which everything is compared exactly."""
+    rng = np.random.default_rng(8)
+    centre, side = rng.standard_normal(24), rng.standard_normal(24)
+    side -= centre * (side @ centre) / (centre @ centre)
+    side *= np.linalg.norm(centre) / np.linalg.norm(side)
+    families = [centre + t * side + 0.01 * rng.standard_normal((60, 24)) for t in (0, 0.35)]
+    every = np.concatenate([*families, rng.standard_normal((100, 24))])
+    labels = np.array([0] * 120 + [0, 1] * 50)
+    df = spark.createDataFrame([(i, v.tolist(), int(k)) for i, (v, k) in enumerate(zip(every, labels, strict=True))], "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: r for r in nndescent.embedding_groups(df, rounds=rounds).collect()}
+    n_links, reach = brute_groups(every, labels)
+    assert 100 < max(n_links) and [got[i].n_links for i in range(len(every))] == n_links and [got[i].component_id for i in range(len(every))] == reach
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="the test tables are not here")
+def test_embedding_query_against_all_pairs(spark):
+    root = DATA.replace("0.001", "0.1")
+    rows = spark.read.parquet(f"{root}/embeddings.parquet").orderBy("vec_id").toPandas()
+    got = {r.vec_id: r for r in nndescent.op5_embedding_dedup(spark, root).collect()}
+    good = rows[rows.label.notna() & rows.embedding.map(lambda v: v is not None and np.isfinite(np.array(v, dtype=float)).all() and np.any(v))].reset_index(drop=True)
+    n_links, reach = brute_groups(np.stack(good.embedding.map(lambda v: np.array(v, dtype=np.float64))), good.label.to_numpy())
+    ids = good.vec_id.tolist()
+    assert sum(n_links) > 0 and [got[i].n_links for i in ids] == n_links and [got[i].component_id for i in ids] == [ids[k] for k in reach]
+    assert len(got) == len(rows) and all(r.kept == (r.vec_id == r.component_id) for r in got.values())
+
+
 def read_by_the_rules(raw):
     """The record ids of an archive, read member by member by what the format demands of records."""
     keys = set()

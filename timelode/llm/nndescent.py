@@ -7,11 +7,14 @@ Vectors are compared only within a label, by cosine in double precision.
    neighbours in the order are compared, so a crowd of look-alikes spreads over many blocks and tasks.
 3. Refine: every node's neighbours and reverse neighbours are compared with one another (the
    neighbours-of-neighbours join), and each node keeps its best. Reverse neighbours are limited per round.
-4. Enlarge: a node whose whole list links with it is saturated, and its list grows before the next round.
-5. Audit: a bounded sample of nodes is compared with all nodes, in blocks; while the recall of the kept
-   links is below the target, another seed order and another round follow.
-6. Links of at least the threshold are kept; components come from them. The links of nodes that are
-   still saturated are counted exactly: against all members of their component, block by block.
+4. Enlarge: a node whose whole list links with it is saturated. Its list grows before the next round, it is
+   offered every candidate of at least the threshold then, and what it has grown to it keeps.
+5. Audit: a bounded sample of nodes is compared with all nodes, in blocks; while too few of their links are
+   in the lists, or for saturated nodes in their component, another seed order and another round follow.
+6. Links of at least the threshold are kept; components come from them. Labels with saturated nodes are
+   crowded: their components are brought together, and the links of saturated nodes counted, exactly, by
+   comparing those nodes with the vectors that can reach them, block by block. Where the audit still finds
+   too little after the last round, all nodes of every label are compared so.
 
 Null labels, and vectors that are null, zero or hold a null or non-finite component, link with nothing;
 vectors of different lengths never link. Every row is returned, repeated rows each with the others as
@@ -26,14 +29,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
-from timelode.llm.common import picked, save
+from timelode.llm.common import picked, quoted, save
 from timelode.llm.components import connected_components
 
 THRESHOLD, NEIGHBOURS, LONGEST, BLOCK = 0.93, 12, 48, 128
 SEED_ORDERS, ROUNDS, MOST_ROUNDS, SIGNS = 3, 2, 5, 32
-AUDIT_NODES, AUDIT_RECALL, CROWD = 512, 0.97, 512
+AUDIT_NODES, AUDIT_RECALL, CROWD = 512, 0.97, 1024
 EDGES = "node bigint, other bigint, sim double"
+_LAST = np.iinfo(np.int64).max
 
 
 def _unit(rows: np.ndarray) -> np.ndarray:
@@ -121,11 +126,13 @@ def saturated(graph: DataFrame, threshold: float, keep: int = NEIGHBOURS) -> Dat
     return graph.groupBy("node").agg(F.count("*").alias("held"), F.min("sim").alias("least")).filter((F.col("held") >= keep) & (F.col("least") >= threshold)).select("node", "held")
 
 
-def refine(nodes: DataFrame, graph: DataFrame, keep: int = NEIGHBOURS) -> DataFrame:
-    """Candidates of one round that are better than the last neighbour of the node they are offered to."""
+def refine(nodes: DataFrame, graph: DataFrame, threshold: float, keep: int = NEIGHBOURS) -> DataFrame:
+    """Candidates of one round: better than the last neighbour of the node they are offered to, or links of a saturated one."""
     back = graph.withColumn("rank", F.row_number().over(Window.partitionBy("other").orderBy(F.xxhash64("node", "other"), "node"))).filter(F.col("rank") <= keep)
     around = graph.select("node", "other").unionByName(back.select(F.col("other").alias("node"), F.col("node").alias("other"))).unionByName(nodes.select("node", F.col("node").alias("other"))).distinct()
-    last = graph.groupBy("node").agg(F.when(F.count("*") >= keep, F.min("sim")).otherwise(-2.0).alias("last"))
+    # a full list of links takes any further link, so its bound is the largest double below the threshold
+    bound = F.least(F.min("sim"), F.lit(float(np.nextafter(threshold, 0))))
+    last = graph.groupBy("node").agg(F.when(F.count("*") >= keep, bound).otherwise(-2.0).alias("last"))
     offers = nodes.join(last, "node", "left").select(F.col("node").alias("other"), "vec", F.coalesce("last", F.lit(-2.0)).alias("last"))
     near = around.join(offers, "other").groupBy("node").agg(F.collect_list(F.struct("other", "vec", "last")).alias("near"))
 
@@ -176,50 +183,79 @@ def audit(nodes: DataFrame, graph: DataFrame, threshold: float, keep: int = NEIG
             yield _edges(*out)
 
     truth = nodes.select("node", "label", "vec").mapInArrow(run, EDGES).filter("node <> other")
-    both = graph.select("node", "other").unionByName(graph.select(F.col("other").alias("node"), F.col("node").alias("other"))).distinct()
-    # saturated nodes are counted exactly later on, so their links count as found
+    both = _both_ways(graph.filter(F.col("sim") >= threshold))
+    found = truth.join(both.withColumn("found", F.lit(1)), ["node", "other"], "left")
+    # the links of saturated nodes are counted later on, so it is enough that the graph has led to them
     full = saturated(graph, threshold, keep).select("node", F.lit(1).alias("full"))
-    found = truth.join(both.withColumn("found", F.lit(1)), ["node", "other"], "left").join(full, "node", "left")
-    n, got = found.agg(F.count("*"), F.count(F.coalesce("found", "full"))).first()
+    led = both.join(full, "node", "left_semi").select("node", F.col("other").alias("mid")).join(both.select(F.col("node").alias("mid"), "other"), "mid").select("node", "other").distinct()
+    found = found.join(led.withColumn("led", F.lit(1)), ["node", "other"], "left")
+    n, got = found.agg(F.count("*"), F.count(F.coalesce("found", "led"))).first()
     return got / n if n else 1.0
 
 
-def crowd_counts(nodes: DataFrame, members: DataFrame, full: DataFrame, threshold: float, crowd: int = CROWD) -> DataFrame:
-    """(node, n): exact number of vectors that link with the nodes of `full`, all members of their component asked in blocks."""
-    touched = members.join(full, "node", "left_semi").select("component").distinct()
-    sizes = members.join(touched, "component", "left_semi").groupBy("component").agg(F.count("*").alias("size"))
-    rows = members.join(sizes, "component").join(nodes.select("node", "vec", "copies"), "node").withColumn("block", F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / crowd)))
+def _both_ways(graph: DataFrame) -> DataFrame:
+    return graph.select("node", "other").unionByName(graph.select(F.col("other").alias("node"), F.col("node").alias("other"))).distinct()
+
+
+def compare_blocks(nodes: DataFrame, asked: DataFrame, group: list[str], threshold: float, crowd: int = CROWD) -> tuple[DataFrame, DataFrame]:
+    """Exact comparison of the nodes of `asked` with all others of their group, block by block.
+
+    Returns (node, n), the number of vectors that link with an asked node, its own copies included, and
+    links (a, b) that connect what links do. `nodes` has node, vec, copies and the columns of `group`; of each
+    pair of blocks at most a star per local component is returned, so rows don't grow with the links. Blocks
+    are dealt by group and number, so a large group is many keys.
+    """
+    names = [f"g{i}" for i in range(len(group))]
+    rows = nodes.select(*[F.col(c).alias(n) for c, n in zip(group, names, strict=True)], "node", "vec", "copies").withColumn("width", F.size("vec"))
+    names.append("width")
+    touched = rows.join(asked.select("node"), "node", "left_semi").groupBy(*names).agg(F.count("*").alias("asks"))
+    sizes = rows.join(touched.select(*names), names, "left_semi").groupBy(*names).agg(F.count("*").alias("size"))
+    block = lambda n: F.pmod(F.xxhash64("node"), F.ceil(F.col(n) / crowd)).cast("int")
     item = F.collect_list(F.struct("node", "vec", "copies"))
-    # by component and block, as a whole component may be very large
-    data = save(rows.groupBy("component", "block").agg(item.alias("data")), "crowd-data")
-    asked = save(rows.join(full, "node", "left_semi").groupBy("component", "block").agg(item.alias("asked")), "crowd-asked")
+    data = save(rows.join(sizes, names).withColumn("y", block("size")).groupBy(*names, "y").agg(item.alias("data")), "blocks")
+    asking = rows.join(asked.select("node"), "node", "left_semi").join(touched, names).withColumn("x", block("asks"))
+    asking = save(asking.groupBy(*names, "x").agg(item.alias("asked")), "asking-blocks")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: tuple[list, list] = ([], [])
             for i in range(batch.num_rows):
                 a, d = (batch.column(c).slice(i, 1).flatten() for c in ("asked", "data"))
                 ua, ud = (_unit(np.stack(_vectors(x.field("vec")))) for x in (a, d))
-                out[0].append(a.field("node").to_numpy())
-                out[1].append((ua @ ud.T >= threshold) @ d.field("copies").to_numpy())
-            columns = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in out]
-            yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in columns], ["node", "n"])
-
-    pairs = asked.select("component", "asked").join(data.select("component", "data"), "component")
-    return pairs.select("asked", "data").mapInArrow(run, "node bigint, n bigint").groupBy("node").agg(F.sum("n").alias("n"))
-
-
-def neighbour_graph(nodes: DataFrame, threshold: float = THRESHOLD, keep: int = NEIGHBOURS) -> tuple[DataFrame, float]:
+                who, others = a.field("node").to_numpy(), d.field("node").to_numpy()
+                near = ua @ ud.T >= threshold
+                asks, touched = near.any(axis=1), near.any(axis=0)
+                if not asks.any():
+                    continue
+                counts = near @ d.field("copies").to_numpy()
+                who, others, counts, near = who[asks], others[touched], counts[asks], near[np.ix_(asks, touched)]
+                # local components: labels sink to the least one over rows and columns until nothing changes
+                least, last = who, None
+                while last is None or (least != last).any():
+                    last = least
+                    column = np.minimum(np.where(near, least[:, None], _LAST).min(axis=0), others)
+                    least = np.minimum(np.where(near, column[None, :], _LAST).min(axis=1), least)
+                node, n = np.concatenate((who, who, others)), np.concatenate((counts, np.full(len(who) + len(others), -1)))
+                other = np.concatenate((who, least, column))
+                yield pa.RecordBatch.from_arrays([pa.array(node.astype(np.int64)), pa.array(other.astype(np.int64)), pa.array(n.astype(np.int64))], ["node", "other", "n"])
+
+    grid = asking.select(*names, "x").join(data.select(*names, "y"), names).repartition(*names, "x", "y")
+    pairs = grid.join(asking, [*names, "x"]).join(data, [*names, "y"])
+    found = save(pairs.select("asked", "data").mapInArrow(run, "node bigint, other bigint, n bigint"), "compared")
+    return found.filter("n >= 0").groupBy("node").agg(F.sum("n").alias("n")), found.filter("n < 0 AND node <> other").select(F.col("node").alias("a"), F.col("other").alias("b")).distinct()
+
+
+def neighbour_graph(nodes: DataFrame, threshold: float = THRESHOLD, keep: int = NEIGHBOURS, rounds: int = MOST_ROUNDS) -> tuple[DataFrame, float]:
     """(node, other, sim) after seeding and refining, and the audited recall of its links."""
     graph = seed_edges(nodes, 0, keep)
     for order in range(1, SEED_ORDERS):
         graph = graph.unionByName(seed_edges(nodes, order, keep))
     graph = save(best_of(graph, keep=keep), "graph")
     recall = 0.0
-    for turn in range(MOST_ROUNDS):
-        # the lists of saturated nodes may be four times as long from now on
-        limits = saturated(graph, threshold, keep).select("node", F.least(F.col("held") * 4, F.lit(LONGEST)).alias("most"))
-        offers = graph.unionByName(refine(nodes, graph, keep))
+    for turn in range(rounds):
+        # the lists of saturated nodes may be four times as long from now on, and a list stays as long as it has grown
+        held = graph.groupBy("node").agg(F.count("*").alias("held"), F.min("sim").alias("least")).filter(F.col("held") >= keep)
+        limits = held.select("node", F.when(F.col("least") >= threshold, F.least(F.col("held") * 4, F.lit(LONGEST))).otherwise(F.col("held")).alias("most"))
+        offers = graph.unionByName(refine(nodes, graph, threshold, keep))
         if turn >= ROUNDS:
             offers = offers.unionByName(seed_edges(nodes, SEED_ORDERS + turn, keep))
         graph = save(best_of(offers, limits, keep), "graph")
@@ -228,16 +264,20 @@ def neighbour_graph(nodes: DataFrame, threshold: float = THRESHOLD, keep: int =
     return graph, recall
 
 
-def embedding_groups(rows: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label", threshold: float = THRESHOLD, keep: int = NEIGHBOURS) -> DataFrame:
+def embedding_groups(rows: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label", threshold: float = THRESHOLD, keep: int = NEIGHBOURS, rounds: int = MOST_ROUNDS) -> DataFrame:
     """One row per input row: id, n_links, component_id, kept."""
-    rows = save(picked(rows, id=F.col(f"`{id_col}`").cast("long"), label=label_col, vec=F.col(f"`{vec_col}`").cast("array<float>")), "vectors")
+    flat = quoted(vec_col)
+    if rows.select(flat).schema[0].dataType != ArrayType(FloatType()):
+        flat = flat.cast("array<double>")
+    rows = save(picked(rows, id=quoted(id_col).cast("long"), label=label_col, vec=flat), "vectors")
     nodes = save(fold(rows), "nodes")
-    graph, _ = neighbour_graph(nodes, threshold, keep)
-    links = graph.filter(F.col("sim") >= threshold).select("node", "other")
-    links = save(links.unionByName(links.select(F.col("other").alias("node"), F.col("node").alias("other"))).distinct(), "links")
-    members = connected_components(links.select(F.col("node").alias("a"), F.col("other").alias("b")))
+    graph, recall = neighbour_graph(nodes, threshold, keep, rounds)
+    links = save(_both_ways(graph.filter(F.col("sim") >= threshold)), "links")
     full = save(saturated(graph, threshold, keep).select("node"), "saturated")
-    exact = crowd_counts(nodes, members, full, threshold)
+    if recall < AUDIT_RECALL:
+        full = nodes.select("node")
+    exact, stars = compare_blocks(nodes, full, ["label"], threshold)
+    members = connected_components(links.select(F.col("node").alias("a"), F.col("other").alias("b")).unionByName(stars))
     listed = links.join(nodes.select(F.col("node").alias("other"), "copies"), "other").groupBy("node").agg(F.sum("copies").alias("listed"))
     found = nodes.select("node", "label", "vec", "copies").join(members, "node", "left").join(listed, "node", "left").join(exact, "node", "left")
     # the exact count holds the node's own copies
