@@ -7,11 +7,11 @@ components of that relation.
    its shingle set, and the rarest of its shingles. Equal word sequences are folded to one node.
 2. Candidates by SimHash: fingerprints at most two bits apart, found through their Golay keys (`simhash`).
 3. Candidates by prefix: texts that share one of their rarest shingles. This loses no pair of at least the
-   similarity, whatever the kind of edit. Of two texts under a key neither can hold a shingle that comes
-   before the key in the other's order and is among nobody else's rarest; rows that can't reach the
-   similarity for the number of those go before any pair is made.
+   similarity, whatever the kind of edit. Under the first key that two texts have in common neither holds a
+   shingle that comes before it in the other's order; rows that can't reach the similarity for the number of
+   those go before any pair is made, and a pair that could is made under that key if under no other.
 4. Under a key with few texts all pairs are asked. Under a crowded one every text is first asked against a
-   pivot, the text with the least share of such shingles, so that a family of copies costs a few
+   pivot, the text in which the key comes first, so that a family of copies costs a few
    comparisons per member; of what is then still in different components, those outside the pivot's component
    are asked against the others, after further pivots where that would be many.
 5. Pairs whose sketches differ in too many bits go; the rest is decided on whole shingle sets, in integers.
@@ -25,9 +25,11 @@ from fractions import Fraction
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from timelode.llm.bloom import bloom, might_hold
 from timelode.llm.common import picked, save
 from timelode.llm.components import connected_components
 from timelode.llm.simhash import SLICE, fingerprint, fingerprint_links, shingle_hashes, words_of
@@ -116,6 +118,19 @@ def profiles(texts: DataFrame, size: int, share: Fraction) -> DataFrame:
     return texts.mapInArrow(run, PROFILE)
 
 
+def _met_keys(batches: Iterator[pa.RecordBatch], told: Broadcast) -> Iterator[pa.RecordBatch]:
+    """A row for each key of a text that other texts may have too, with the number of shingles from there on."""
+    for batch in (b.slice(i, SLICE) for b in batches for i in range(0, b.num_rows, SLICE)):
+        keys, counts = batch.column("keys").flatten().to_numpy(), batch.column("keys").value_lengths().to_numpy()
+        row = np.repeat(np.arange(batch.num_rows), counts)
+        place = np.arange(len(keys)) - np.repeat(np.cumsum(counts) - counts, counts)
+        kept = np.flatnonzero(might_hold(told.value, keys))
+        at = pa.array(row[kept])
+        sizes = batch.column("size").to_numpy()[row[kept]]
+        columns = [batch.column("node").take(at), batch.column("same").take(at), pa.array(sizes), pa.array((sizes - place[kept]).astype(np.int32)), pa.array(keys[kept])]
+        yield pa.RecordBatch.from_arrays(columns, ["node", "same", "size", "rest", "key"])
+
+
 def _shingle_sets(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
     for batch in (b.slice(i, SLICE) for b in batches for i in range(0, b.num_rows, SLICE)):
         same, found = [], []
@@ -140,18 +155,22 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     one = save(found.groupBy("id").agg(F.min("same").alias("same")), "one-text")
     nodes = save(one.groupBy("same").agg(F.min("id").alias("node")), "word-nodes")
     repeated = one.count() < found.count()
-    found = found.withColumnRenamed("id", "node").join(nodes, ["same", "node"], "left_semi")
+    stands = found.withColumnRenamed("id", "node")
+    found = stands.join(nodes, ["same", "node"], "left_semi")
     if repeated:
         found = found.dropDuplicates(["node"])
     sketches = found.select("node", "sketch", "size")
 
-    # rows under keys that several texts have, with the `rest` of a text's shingles that it can share with another text under the key
-    keyed = found.select("node", "size", F.posexplode("keys").alias("pos", "key"))
-    sizes = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("size").alias("least")).filter("n > 1")
-    shared = keyed.join(_small(save(sizes, "key-sizes")), "key")
-    of_text = shared.groupBy("node", "size").agg(F.array_sort(F.collect_list(F.struct("pos", "key", "n", "least"))).alias("under"))
-    under = of_text.select("node", "size", F.posexplode("under").alias("ahead", "u")).select("u.key", "u.n", "u.least", "node", "size", (F.col("size") - F.col("u.pos") + F.col("ahead")).alias("rest"))
-    rows_of = save(under.filter((num + den) * F.col("rest") >= num * (F.col("size") + F.col("least"))).drop("least"), "under-keys")
+    # rows under keys that several texts have; `rest` is what a text can share with one that it first meets under the key
+    sizes = found.select("size", F.explode("keys").alias("key")).groupBy("key").agg(F.count("*").alias("n"), F.min("size").alias("least"))
+    sizes = save(sizes.filter("n > 1"), "key-sizes")
+    told = bloom(sizes.select("key"), sizes.count())
+    under = stands.select("node", "same", "size", "keys").mapInArrow(lambda batches: _met_keys(batches, told), "node bigint, same binary, size int, rest int, key bigint")
+    under = under.join(nodes, ["same", "node"], "left_semi").drop("same")
+    if repeated:
+        under = under.distinct()
+    under = under.join(_small(sizes), "key").filter((num + den) * F.col("rest") >= num * (F.col("size") + F.col("least")))
+    rows_of = save(under.select("key", "n", "node", "size", "rest"), "under-keys")
     cold, crowd = rows_of.filter(F.col("n") <= bucket_limit), rows_of.filter(F.col("n") > bucket_limit).drop("n")
 
     # bounds that drop no link: on what both can share, and as each bit in which sketches differ needs a shingle that only one has
@@ -178,7 +197,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         return pairs.join(left, "a").join(right, "b").filter((num + den) * both >= num * (F.size("sa") + F.size("sb"))).select("a", "b")
 
     def pivots(placed: DataFrame, turn: int) -> DataFrame:
-        """Per key: the text with the least share of shingles that none of the others can hold (later on: one by hash), and the range of components."""
+        """Per key: the text in which it comes first (later on: one by hash), and the range of components."""
         order = F.struct((F.lit(0) if turn else (F.col("size") - F.col("rest")) / F.col("size")).alias("own"), F.xxhash64("node", F.lit(turn)).alias("h"), "node")
         first = F.min_by(F.struct("node", "size", "rest", "component"), order)
         return placed.groupBy("key").agg(first.alias("p"), F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("key", "p.*")
@@ -199,8 +218,11 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         crowd, inside = placed.drop("component", "main"), F.count(F.when(F.col("component") == F.col("main"), 1))
         work = placed.groupBy("key").agg(F.count("*").alias("n"), inside.alias("k")).agg(F.sum(F.col("n") * (F.col("n") - F.col("k"))).alias("asked"), F.sum("n").alias("n")).first()
         last = turn == PIVOT_ROUNDS or work["asked"] <= ASKED_PER_ROW * work["n"]
-        side, other = (placed.filter("component <> main"), placed) if last else (placed, asked)
-        pairs = likely(pairs_of("h.node", "p.node", side.alias("h").join(other.alias("p"), F.expr(f"h.key = p.key AND h.component <> p.component AND {fits}"))))
+        side, other, bound = placed, asked, fits
+        if last:  # sketches on both sides, so that rows come only of pairs that pass all bounds
+            drawn = save(placed.join(sketches.drop("size"), "node"), "drawn")
+            side, other, bound = drawn.filter("component <> main"), drawn, f"{fits} AND {near}"
+        pairs = likely(pairs_of("h.node", "p.node", side.alias("h").join(other.alias("p"), F.expr(f"h.key = p.key AND h.component <> p.component AND {bound}"))))
         links = save(verified(pairs), "links")
         if not links.isEmpty():
             groups = save(connected_components(links.unionByName(groups.select(F.col("node").alias("a"), F.col("component").alias("b")))), "groups")
