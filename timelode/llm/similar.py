@@ -35,7 +35,9 @@ from timelode.llm.components import connected_components
 from timelode.llm.simhash import SLICE, fingerprint, fingerprint_links, shingle_hashes, words_of
 
 #: Rounds of pivots after the first, unless no row of the crowded keys has more than so many others to be asked against.
-PIVOT_ROUNDS, ASKED_PER_ROW = 3, 256
+PIVOT_ROUNDS, ASKED_PER_ROW = 3, 16
+#: Pivots of a key in a later round.
+PIVOTS = 4
 #: Texts of the sample that tells which shingles are common, the least number of them that must hold one, and how many are told.
 SAMPLE_TEXTS, COMMON_TEXTS, COMMON_SHINGLES = 8_192, 3, 500_000
 #: Longs of a text's sketch: one bit per hash range that holds any of its shingles.
@@ -162,13 +164,14 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     sketches = found.select("node", "sketch", "size")
 
     # rows under keys that several texts have; `rest` is what a text can share with one that it first meets under the key
-    sizes = found.select("size", F.explode("keys").alias("key")).groupBy("key").agg(F.count("*").alias("n"), F.min("size").alias("least"))
-    sizes = save(sizes.filter("n > 1"), "key-sizes")
-    told = bloom(sizes.select("key"), sizes.count())
+    met = save(found.select(F.explode("keys").alias("key")).groupBy("key").count().filter("count > 1").select("key"), "met-keys")
+    told = bloom(met, met.count())
     under = stands.select("node", "same", "size", "keys").mapInArrow(lambda batches: _met_keys(batches, told), "node bigint, same binary, size int, rest int, key bigint")
     under = under.join(nodes, ["same", "node"], "left_semi").drop("same")
     if repeated:
         under = under.distinct()
+    under = save(under, "under-some-keys")
+    sizes = save(under.groupBy("key").agg(F.count("*").alias("n"), F.min("size").alias("least")).filter("n > 1"), "key-sizes")
     under = under.join(_small(sizes), "key").filter((num + den) * F.col("rest") >= num * (F.col("size") + F.col("least")))
     rows_of = save(under.select("key", "n", "node", "size", "rest"), "under-keys")
     cold, crowd = rows_of.filter(F.col("n") <= bucket_limit), rows_of.filter(F.col("n") > bucket_limit).drop("n")
@@ -197,24 +200,35 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         return pairs.join(left, "a").join(right, "b").filter((num + den) * both >= num * (F.size("sa") + F.size("sb"))).select("a", "b")
 
     def pivots(placed: DataFrame, turn: int) -> DataFrame:
-        """Per key: the text in which it comes first (later on: one by hash), and the range of components."""
-        order = F.struct((F.lit(0) if turn else (F.col("size") - F.col("rest")) / F.col("size")).alias("own"), F.xxhash64("node", F.lit(turn)).alias("h"), "node")
-        first = F.min_by(F.struct("node", "size", "rest", "component"), order)
-        return placed.groupBy("key").agg(first.alias("p"), F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("key", "p.*")
+        """Per key whose texts are in several components: the text in which it comes first, or later on some by hash, with the component of one."""
+        early = [(F.col("size") - F.col("rest")) / F.col("size")]
+        orders = [F.struct(*([] if turn else early), F.xxhash64("node", F.lit(turn), F.lit(i)), "node") for i in range(PIVOTS if turn else 1)]
+        some = F.array_distinct(F.array(*[F.min_by(F.struct("node", "size", "rest", "component"), x) for x in orders]))
+        found = placed.groupBy("key").agg(some.alias("some"), F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y")
+        return found.select("key", F.col("some")[0]["component"].alias("main"), F.explode("some").alias("p")).select("key", "main", "p.*")
+
+    def joined(groups: DataFrame, links: DataFrame) -> DataFrame:
+        links = save(links, "links")
+        return groups if links.isEmpty() else save(connected_components(links.unionByName(groups.select(F.col("node").alias("a"), F.col("component").alias("b")))), "groups")
 
     prints = save(found.groupBy("fp").agg(F.min("node").alias("rep")), "prints")
     by_print = pairs_of("node", "rep", found.select("node", "fp").join(prints, "fp")).unionByName(pairs_of("a", "b", fingerprint_links(prints)))
     by_key = pairs_of("h.node", "p.node", cold.alias("h").join(cold.alias("p"), F.expr(f"h.key = p.key AND h.node > p.node AND {fits}")))
     first = _small(save(pivots(crowd.withColumn("component", F.col("node")), 0), "pivots"))
     by_pivot = pairs_of("h.node", "p.node", crowd.alias("h").join(first.alias("p"), F.expr(f"h.key = p.key AND {fits}")))
-    groups = save(connected_components(verified(likely(by_print.unionByName(by_key).unionByName(by_pivot)))), "groups")
+    pairs = likely(by_print.unionByName(by_key).unionByName(by_pivot))
+    # one pair of each text first, as most others are within the groups that these make
+    groups = save(connected_components(verified(pairs.groupBy("a").agg(F.min("b").alias("b")))), "groups")
+    ends = [groups.select(F.col("node").alias(c), F.col("component").alias(f"of_{c}")) for c in "ab"]
+    rest = pairs.join(ends[0], "a", "left").join(ends[1], "b", "left").filter(F.coalesce("of_a", "a") != F.coalesce("of_b", "b"))
+    groups = joined(groups, verified(save(rest.select("a", "b"), "other-pairs")))
 
     for turn in range(1, PIVOT_ROUNDS + 1):
         placed = crowd.join(groups, "node", "left").select("key", "node", "size", "rest", F.coalesce("component", "node").alias("component"))
         asked = _small(save(pivots(placed, turn), "pivots"))
         if asked.isEmpty():  # every key's texts are in one component
             break
-        placed = save(placed.join(asked.select("key", F.col("component").alias("main")), "key"), "placed")
+        placed = save(placed.join(asked.select("key", "main").distinct(), "key"), "placed")
         crowd, inside = placed.drop("component", "main"), F.count(F.when(F.col("component") == F.col("main"), 1))
         work = placed.groupBy("key").agg(F.count("*").alias("n"), inside.alias("k")).agg(F.sum(F.col("n") * (F.col("n") - F.col("k"))).alias("asked"), F.sum("n").alias("n")).first()
         last = turn == PIVOT_ROUNDS or work["asked"] <= ASKED_PER_ROW * work["n"]
@@ -223,9 +237,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             drawn = save(placed.join(sketches.drop("size"), "node"), "drawn")
             side, other, bound = drawn.filter("component <> main"), drawn, f"{fits} AND {near}"
         pairs = likely(pairs_of("h.node", "p.node", side.alias("h").join(other.alias("p"), F.expr(f"h.key = p.key AND h.component <> p.component AND {bound}"))))
-        links = save(verified(pairs), "links")
-        if not links.isEmpty():
-            groups = save(connected_components(links.unionByName(groups.select(F.col("node").alias("a"), F.col("component").alias("b")))), "groups")
+        groups = joined(groups, verified(pairs))
         if last:
             break
     of_node = nodes.join(groups, "node", "left").select("same", F.coalesce("component", "node").alias("component_id"))
