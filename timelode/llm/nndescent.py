@@ -187,7 +187,7 @@ def audit(nodes: DataFrame, graph: DataFrame, threshold: float, keep: int = NEIG
     found = truth.join(both.withColumn("found", F.lit(1)), ["node", "other"], "left")
     # the links of saturated nodes are counted later on, so it is enough that the graph has led to them
     full = saturated(graph, threshold, keep).select("node", F.lit(1).alias("full"))
-    led = both.join(full, "node", "left_semi").select("node", F.col("other").alias("mid")).join(both.select(F.col("node").alias("mid"), "other"), "mid").select("node", "other").distinct()
+    led = both.join(full, "node", "left_semi").join(truth.select("node").distinct(), "node", "left_semi").select("node", F.col("other").alias("mid")).join(both.select(F.col("node").alias("mid"), "other"), "mid").select("node", "other").distinct()
     found = found.join(led.withColumn("led", F.lit(1)), ["node", "other"], "left")
     n, got = found.agg(F.count("*"), F.count(F.coalesce("found", "led"))).first()
     return got / n if n else 1.0
