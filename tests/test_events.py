@@ -84,3 +84,14 @@ def test_replace_and_cascade(spark):
     tables = {"videos": old, "video_frames": spark.createDataFrame([("f", "a"), ("g", "c")], "frame_id string, video_id string"), "ocr_results": spark.createDataFrame([("f",), ("g",)], "frame_id string"), "pipeline_run_items": spark.createDataFrame([("i", "a")], "item_id string, video_id string")}
     left = sinks.cascade_delete(tables, "videos", done)
     assert [r.frame_id for r in left["ocr_results"].collect()] == ["g"] and left["pipeline_run_items"].first().video_id is None
+
+
+def test_written_videos_can_end_empty(spark, tmp_path):
+    """A wiped video leaves nothing, whether or not others share its bucket."""
+    old = spark.createDataFrame([("a", 1), ("b", 2), ("c", 3)], "video_id string, n int")
+    root, none = str(tmp_path / "t"), old.limit(0)
+    sinks.write_replaced(old, none, old, root, 64)
+    assert spark.read.parquet(root).count() == 3
+    kept = [tuple(r) for r in spark.read.parquet(root).select("video_id", "n").collect()]
+    sinks.write_replaced(none, spark.createDataFrame(kept, old.schema), spark.createDataFrame([("a",)], "video_id string"), root, 64)
+    assert sorted(tuple(r) for r in spark.read.parquet(root).select("video_id", "n").collect()) == [("b", 2), ("c", 3)]

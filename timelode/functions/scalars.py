@@ -66,14 +66,21 @@ def date_of_digits(c: Column) -> Column:
     return F.when(fit, F.make_date(year, month, F.least(day, last)))
 
 
+def utc_midnight(date: Column) -> Column:
+    """The moment at which a date begins in UTC, whatever the session's time zone."""
+    return F.timestamp_seconds(F.unix_date(date).cast("long") * 86_400)
+
+
 def publish_date_of(meta: Column | str) -> Column:
     """Midnight UTC of upload or release date, else the moment of a numeric epoch `timestamp`."""
     epoch = F.when(_json(meta, "timestamp").rlike("^-?[0-9]+(\\.[0-9]+)?$"), F.timestamp_seconds(_json(meta, "timestamp").cast("double").cast("long")))
-    return F.coalesce(date_of_digits(_json(meta, "upload_date")).cast("timestamp"), date_of_digits(_json(meta, "release_date")).cast("timestamp"), epoch)
+    return F.coalesce(utc_midnight(date_of_digits(_json(meta, "upload_date"))), utc_midnight(date_of_digits(_json(meta, "release_date"))), epoch)
 
 
 def date_string_of(meta: Column | str, today: Column | str) -> Column:
-    return F.coalesce(F.date_format(publish_date_of(meta), "yyyyMMdd"), F.date_format(today, "yyyyMMdd"))
+    """yyyyMMdd of the publish date in UTC, else of today."""
+    day = F.date_from_unix_date(F.floor(F.unix_seconds(publish_date_of(meta)) / 86_400).cast("int"))
+    return F.coalesce(F.date_format(day, "yyyyMMdd"), F.date_format(today, "yyyyMMdd"))
 
 
 def sanitize_filename(c: Column | str) -> Column:

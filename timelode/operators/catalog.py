@@ -47,7 +47,7 @@ def sync_channel_catalog(catalog: DataFrame, candidates: DataFrame, now: Column)
 
 def name_channels(channels: DataFrame, names: DataFrame) -> DataFrame:
     """Display names from a listing (channel_id, display_name), only where none is set."""
-    found = names.groupBy("channel_id").agg(F.first("display_name", ignorenulls=True).alias("found"))
+    found = names.groupBy("channel_id").agg(F.min("display_name").alias("found"))
     return channels.join(found, "channel_id", "left").withColumn("display_name", F.coalesce("display_name", "found")).drop("found")
 
 
@@ -59,7 +59,7 @@ def channels_with_counts(channels: DataFrame, catalog: DataFrame) -> DataFrame:
 def expand_channel_selection(catalog: DataFrame, request: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(urls in the order asked, unknown ids) of a request (pos, youtube_video_id); with unknown ids it is to be refused."""
     asked = request.withColumn("youtube_video_id", java_trim("youtube_video_id")).filter(~is_blank("youtube_video_id"))
-    known = catalog.select("youtube_video_id", "watch_url").dropDuplicates(["youtube_video_id"])
+    known = catalog.groupBy("youtube_video_id").agg(F.min("watch_url").alias("watch_url"))
     urls = asked.join(known, "youtube_video_id").select("pos", "youtube_video_id", "watch_url").orderBy("pos")
     return urls, asked.join(known, "youtube_video_id", "left_anti").select("youtube_video_id").distinct()
 

@@ -149,4 +149,4 @@ def speaker_labels(segments: DataFrame, speakers: DataFrame) -> DataFrame:
 def speakers_from_turns(speakers: DataFrame, turns: DataFrame) -> DataFrame:
     """(video_id, label, voiceprint): declared labels and those seen only in turns."""
     every = speakers.select("video_id", "label", "voiceprint").unionByName(turns.select("video_id", "label", F.lit(None).cast("array<float>").alias("voiceprint")))
-    return every.filter("label IS NOT NULL").groupBy("video_id", "label").agg(F.first("voiceprint", ignorenulls=True).alias("voiceprint"))
+    return every.filter("label IS NOT NULL").groupBy("video_id", "label").agg(F.min("voiceprint").alias("voiceprint"))

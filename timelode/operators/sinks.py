@@ -12,11 +12,19 @@ def replace_for_videos(old: DataFrame, new: DataFrame, processed_ids: DataFrame)
 
 
 def write_replaced(new: DataFrame, old: DataFrame, processed_ids: DataFrame, path: str, buckets: int = 64) -> None:
-    """On disk: rows lie in hash buckets of the video id, and only buckets of processed videos are written anew."""
+    """On disk: rows lie in hash buckets of the video id, and only buckets of processed videos are written anew.
+
+    A dynamic overwrite leaves folders alone that get no row, so those of buckets that end empty are removed after it.
+    """
     bucket = F.pmod(F.xxhash64("video_id"), F.lit(buckets))
     touched = processed_ids.select(bucket.alias("bucket")).distinct()
     rows = replace_for_videos(old, new, processed_ids).withColumn("bucket", bucket).join(touched, "bucket", "left_semi")
+    emptied = [r.bucket for r in touched.join(rows.select("bucket").distinct(), "bucket", "left_anti").collect()]  # at most `buckets` numbers
     rows.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+    session = new.sparkSession
+    for number in emptied:
+        folder = session._jvm.org.apache.hadoop.fs.Path(f"{path}/bucket={number}")
+        folder.getFileSystem(session._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def upsert_videos(existing: DataFrame, incoming: DataFrame, now: Column) -> DataFrame:

@@ -85,7 +85,7 @@ def video_counts(videos: DataFrame, speakers: DataFrame, frames: DataFrame, ocr:
 
 
 def video_detail(videos: DataFrame, transcriptions: DataFrame, counts: DataFrame) -> DataFrame:
-    text = transcriptions.groupBy("video_id").agg(F.first("full_text").alias("full_text"))
+    text = transcriptions.groupBy("video_id").agg(F.min("full_text").alias("full_text"))
     found = videos.select("video_id", "title", "channel_name").join(text.withColumn("has_transcript", F.lit(True)), "video_id", "left").join(counts, "video_id", "left")
     chars = F.coalesce(F.length("full_text"), F.lit(0))
     return found.withColumn("has_transcript", F.coalesce("has_transcript", F.lit(False))).withColumn("n_chars", chars).withColumn("snippet", transcript_snippet("full_text")).drop("full_text")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from timelode.functions.scalars import channel_of, date_of_digits, is_blank, java_trim, publish_date_of, source_of, source_video_id_of
+from timelode.functions.scalars import channel_of, date_of_digits, is_blank, java_trim, publish_date_of, source_of, source_video_id_of, utc_midnight
 from timelode.schemas import TABLES, UNIT_TYPES
 
 
@@ -96,7 +96,7 @@ def parse_channel_listing(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     each = v.select("channel_url", _text(c, "channel_id", "uploader_id").alias("channel_id"), F.posexplode(_list(c, "entries")).alias("pos", "e"))
     e = F.col("e")
     epoch = F.try_variant_get(e, "$.timestamp", "variant")
-    published = F.coalesce(date_of_digits(F.try_variant_get(e, "$.upload_date", "string")).cast("timestamp"), F.when(_is_number(epoch), F.timestamp_seconds(F.try_variant_get(e, "$.timestamp", "long"))))
+    published = F.coalesce(utc_midnight(date_of_digits(F.try_variant_get(e, "$.upload_date", "string"))), F.when(_is_number(epoch), F.timestamp_seconds(F.try_variant_get(e, "$.timestamp", "long"))))
     video = _text(e, "id", "url")
     rows = each.select("channel_url", "channel_id", "pos", video.alias("youtube_video_id"), F.try_variant_get(e, "$.title", "string").alias("title"), published.alias("published_at"), F.concat(F.lit("https://www.youtube.com/watch?v="), video).alias("watch_url"), F.to_json(e).alias("metadata"))
     return channels, rows.filter("youtube_video_id IS NOT NULL")
