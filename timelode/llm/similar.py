@@ -133,14 +133,27 @@ def _met_keys(batches: Iterator[pa.RecordBatch], told: Broadcast) -> Iterator[pa
         yield pa.RecordBatch.from_arrays(columns, ["node", "same", "size", "rest", "key"])
 
 
-def _shingle_sets(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in (b.slice(i, SLICE) for b in batches for i in range(0, b.num_rows, SLICE)):
-        same, found = [], []
-        for t in batch.column("text"):
-            words = words_of(t.as_py() or b"")
-            same.append(xxhash.xxh3_128_digest(b" ".join(words)))
-            found.append(np.unique(shingle_hashes(words, size)).view(np.int64))
-        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(same, pa.binary()), pa.array(found, pa.list_(pa.int64()))], ["node", "same", "shingles"])
+        same = [xxhash.xxh3_128_digest(b" ".join(words_of(t.as_py() or b""))) for t in batch.column("text")]
+        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(same, pa.binary()), batch.column("text")], ["node", "same", "text"])
+
+
+def _similar_pairs(batches: Iterator[pa.RecordBatch], size: int, share: Fraction) -> Iterator[pa.RecordBatch]:
+    """Of pairs (a, b) with their texts, those whose shingle sets are similar enough; a set serves the next rows of its text too."""
+    num, den = share.numerator, share.denominator
+    held = {"a": (None, None), "b": (None, None)}
+    for batch in (b.slice(i, SLICE) for b in batches for i in range(0, b.num_rows, SLICE)):
+        kept = []
+        for i in range(batch.num_rows):
+            for c in "ab":
+                node = batch.column(c)[i].as_py()
+                if held[c][0] != node:
+                    held[c] = node, _shingle_set(batch.column(f"t{c}")[i].as_py(), size)
+            a, b = held["a"][1], held["b"][1]
+            if (num + den) * len(np.intersect1d(a, b, assume_unique=True)) >= num * (len(a) + len(b)):
+                kept.append(i)
+        yield batch.select(["a", "b"]).take(pa.array(kept, pa.int64()))
 
 
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, bucket_limit: int = 16) -> DataFrame:
@@ -189,15 +202,14 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         return save(pairs.join(sketches.alias("p"), F.expr(f"b = p.node AND {near}")).select("a", "b"), "pairs")
 
     def verified(pairs: DataFrame) -> DataFrame:
-        # shingle sets of candidates only
+        # texts of candidates only; they move as they are, which takes less of disks than their shingle sets
         wanted = save(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "wanted")
-        sets = rows.join(_small(wanted), "id", "left_semi").mapInArrow(lambda batches: _shingle_sets(batches, shingle), "node bigint, same binary, shingles array<bigint>")
+        texts = rows.join(_small(wanted), "id", "left_semi")
         if repeated:
-            sets = sets.join(nodes, ["same", "node"], "left_semi").dropDuplicates(["node"])
-        sets = save(sets.select("node", "shingles"), "shingle-sets")
-        left, right = (sets.select(F.col("node").alias(c), F.col("shingles").alias(f"s{c}")) for c in "ab")
-        both = F.size(F.array_intersect("sa", "sb"))
-        return pairs.join(left, "a").join(right, "b").filter((num + den) * both >= num * (F.size("sa") + F.size("sb"))).select("a", "b")
+            texts = texts.mapInArrow(_digests, "node bigint, same binary, text binary").join(nodes, ["same", "node"], "left_semi")
+            texts = texts.dropDuplicates(["node"]).select(F.col("node").alias("id"), "text")
+        left, right = (texts.select(F.col("id").alias(c), F.col("text").alias(f"t{c}")) for c in "ab")
+        return pairs.join(left, "a").join(right, "b").mapInArrow(lambda batches: _similar_pairs(batches, shingle, share), "a bigint, b bigint")
 
     def pivots(placed: DataFrame, turn: int) -> DataFrame:
         """Per key whose texts are in several components: the text in which it comes first, or later on some by hash, with the component of one."""
