@@ -236,6 +236,17 @@ def test_similar_groups(spark):
         assert got == {**{i: i for i in range(20)}, **{20 + i: i for i in range(10)}, 30: 0, 31: 1, 32: 2, 33: 33, 34: 34, 35: 35, 36: 35}
 
 
+def test_similar_groups_with_shared_ids(spark):
+    """Of rows with one id the text with the least digest counts; repeated rows change nothing."""
+    rng = np.random.default_rng(5)
+    first, second = (" ".join(rng.choice([f"w{i}" for i in range(500)], 100)) for _ in range(2))
+    least, most = sorted((first, second), key=lambda t: xxhash.xxh3_128_digest(t.encode()))
+    rows = [(7, most), (7, least), (7, least), (3, f"{least} end"), (4, f"{most} end"), (9, least.upper()), (9, least.upper()), (None, least)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = similar.similar_groups(df).collect()
+    assert sorted((r.doc_id, r.component_id) for r in got) == [(3, 3), (4, 4), (7, 3), (9, 3)]
+
+
 def test_similar_groups_finds_every_kind_of_edit(spark):
     """Appended and replaced passages, cut ends and scattered edits down to a similarity of exactly 0.8."""
     rng = np.random.default_rng(8)
