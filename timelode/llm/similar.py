@@ -13,7 +13,9 @@ components of that relation.
 4. Under a key with few texts all pairs are asked. Under a crowded one every text is first asked against a
    pivot, the text in which the key comes first, so that a family of copies costs a few
    comparisons per member; of what is then still in different components, those outside the pivot's component
-   are asked against the others, after further pivots where that would be many.
+   are asked against the others, after further pivots where that would be many. Texts that share a long passage
+   have many keys in common, one after the other; they are asked under the first of such a run only, where the
+   bounds let the pair pass if they do under any later one.
 5. Pairs whose sketches differ in too many bits go; the rest is decided on whole shingle sets, in integers.
 """
 
@@ -26,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from timelode.llm.bloom import bloom, might_hold
@@ -38,6 +40,8 @@ from timelode.llm.simhash import SLICE, fingerprint, fingerprint_links, shingle_
 PIVOT_ROUNDS, ASKED_PER_ROW = 3, 256
 #: Pivots of a key in a later round.
 PIVOTS = 1
+#: Keys of a text before each of its keys that are looked at for an earlier one in common.
+KEYS_BEFORE = 8
 #: Texts of the sample that tells which shingles are common, the least number of them that must hold one, and how many are told.
 SAMPLE_TEXTS, COMMON_TEXTS, COMMON_SHINGLES = 8_192, 3, 500_000
 #: Longs of a text's sketch: one bit per hash range that holds any of its shingles.
@@ -245,9 +249,11 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         work = placed.groupBy("key").agg(F.count("*").alias("n"), inside.alias("k")).agg(F.sum(F.col("n") * (F.col("n") - F.col("k"))).alias("asked"), F.sum("n").alias("n")).first()
         last = turn == PIVOT_ROUNDS or (turn > 1 and work["asked"] <= ASKED_PER_ROW * work["n"])
         side, other, bound = placed, asked, fits
-        if last:  # sketches on both sides, so that rows come only of pairs that pass all bounds
-            drawn = save(placed.join(sketches.drop("size"), "node"), "drawn")
-            side, other, bound = drawn.filter("component <> main"), drawn, f"{fits} AND {near}"
+        if last:  # sketches on both sides, so that rows come only of pairs that pass all bounds, once where their keys follow one another
+            drawn = placed.withColumn("before", F.collect_list("key").over(Window.partitionBy("node").orderBy(F.desc("rest")).rowsBetween(-KEYS_BEFORE, -1)))
+            drawn = save(drawn.join(sketches.drop("size"), "node"), "drawn")
+            once = "(h.node > p.node OR p.component = p.main) AND NOT arrays_overlap(h.before, p.before)"
+            side, other, bound = drawn.filter("component <> main"), drawn, f"{fits} AND {once} AND {near}"
         pairs = likely(pairs_of("h.node", "p.node", side.alias("h").join(other.alias("p"), F.expr(f"h.key = p.key AND h.component <> p.component AND {bound}"))))
         groups = joined(groups, verified(pairs))
         if last:
