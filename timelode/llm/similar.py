@@ -36,7 +36,7 @@ from timelode.llm.common import picked, save
 from timelode.llm.components import connected_components
 from timelode.llm.simhash import SLICE, fingerprint, fingerprint_links, shingle_hashes, words_of
 
-#: Rounds after the first pivots, the last of them without pivots; the second is the last where no row of the crowded keys has more than so many others to be asked against.
+#: Rounds after the first pivots, the last of them without pivots; an earlier one is the last where no row of the crowded keys has more than so many others to be asked against on average.
 PIVOT_ROUNDS, ASKED_PER_ROW = 3, 256
 #: Pivots of a key in a later round.
 PIVOTS = 1
@@ -247,7 +247,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         placed = save(placed.join(asked.select("key", "main").distinct(), "key"), "placed")
         crowd, inside = placed.drop("component", "main"), F.count(F.when(F.col("component") == F.col("main"), 1))
         work = placed.groupBy("key").agg(F.count("*").alias("n"), inside.alias("k")).agg(F.sum(F.col("n") * (F.col("n") - F.col("k"))).alias("asked"), F.sum("n").alias("n")).first()
-        last = turn == PIVOT_ROUNDS or (turn > 1 and work["asked"] <= ASKED_PER_ROW * work["n"])
+        last = turn == PIVOT_ROUNDS or work["asked"] <= ASKED_PER_ROW * work["n"]
         side, other, bound = placed, asked, fits
         if last:  # sketches on both sides, so that rows come only of pairs that pass all bounds, once where their keys follow one another
             drawn = placed.withColumn("before", F.collect_list("key").over(Window.partitionBy("node").orderBy(F.desc("rest")).rowsBetween(-KEYS_BEFORE, -1)))
