@@ -59,7 +59,8 @@ def test_run_status(spark):
 def test_sweep(spark):
     items = spark.createDataFrame([item("a", "PENDING", updated=-7200), item("b", "IN_PROGRESS", updated=-7200, lease=10), item("c", "PENDING", updated=-60), item("d", "COMPLETED", updated=-9000)], ITEM)
     vids = spark.createDataFrame([], "video_id string, status string")
-    failed, evs, _ = events.stuck_items(items, vids, F.lit(at(0)))
+    rs = spark.createDataFrame([], "run_id string, status string, phase string, error_code string, error string")
+    failed, evs, _, _ = events.stuck_items(items, vids, rs, F.lit(at(0)))
     assert [(r.item_id, r.status, r.failed_phase, r.phase) for r in failed.collect()] == [("a", "FAILED", "OCR", "DONE")]
     assert [r.event_type for r in evs.collect()] == ["ITEM_FAILED"]
 

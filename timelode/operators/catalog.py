@@ -57,10 +57,10 @@ def channels_with_counts(channels: DataFrame, catalog: DataFrame) -> DataFrame:
 
 
 def expand_channel_selection(catalog: DataFrame, request: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(urls in the order asked, unknown ids) of a request (pos, youtube_video_id); with unknown ids it is to be refused."""
+    """(urls in the order asked, unknown ids) of a request (pos, youtube_video_id, perhaps req_id); with unknown ids it is to be refused."""
     asked = request.withColumn("youtube_video_id", java_trim("youtube_video_id")).filter(~is_blank("youtube_video_id"))
     known = catalog.groupBy("youtube_video_id").agg(F.min("watch_url").alias("watch_url"))
-    urls = asked.join(known, "youtube_video_id").select("pos", "youtube_video_id", "watch_url").orderBy("pos")
+    urls = asked.join(known, "youtube_video_id").select(*[c for c in ("req_id",) if c in request.columns], "pos", "youtube_video_id", "watch_url").orderBy("pos")
     return urls, asked.join(known, "youtube_video_id", "left_anti").select("youtube_video_id").distinct()
 
 

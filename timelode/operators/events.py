@@ -12,13 +12,17 @@ LIVE = ("PENDING", "IN_PROGRESS")
 
 
 def page_of(df: DataFrame, page: int, size: int, most: int, *order: Column) -> DataFrame:
-    """One page of an ordered listing; a deep page sorts all that is before it."""
+    """One page of an ordered listing, each row with the `total` of the whole listing; a deep page sorts all that is before it.
+
+    The total is a scalar subquery, so it is counted in the same job, and a page past the end has no row to tell it.
+    """
     size = max(1, min(size, most))
-    return df.orderBy(*order).offset(max(page, 0) * size).limit(size)
+    rows = df.orderBy(*order).offset(max(page, 0) * size).limit(size)
+    return rows.withColumn("total", df.agg(F.count("*")).scalar())
 
 
 def filter_events(events: DataFrame, run_id=None, event_type=None, status=None, phase=None, error_code=None, from_ts=None, to_ts=None, page: int | None = None, size: int = 100) -> DataFrame:
-    """Events that meet all given conditions; a value outside its closed set meets none. Newest first where paged."""
+    """Events that meet all given conditions; a value outside its closed set meets none. Newest first, with the total, where paged."""
     found = events
     if run_id is not None:
         found = found.filter(F.col("run_id") == run_id)
@@ -170,15 +174,26 @@ def _leased(now: Column) -> Column:
     return F.col("lease_expires_at").isNotNull() & (F.col("lease_expires_at") > now)
 
 
-def stuck_items(items: DataFrame, videos: DataFrame, now: Column, stale_after: str = "1 hour") -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(items, events, videos) after the sweep: live items without news and lease are failed, and their videos with them."""
+def _replaced(items: DataFrame, changed: DataFrame) -> DataFrame:
+    """All items of the runs that have a changed one, the changed ones as they are now."""
+    touched = items.join(changed.select("run_id").distinct(), "run_id", "left_semi")
+    return touched.join(changed.select("item_id"), "item_id", "left_anti").select(*items.columns).unionByName(changed.select(*items.columns))
+
+
+def refreshed_runs(runs: DataFrame, items: DataFrame, changed: DataFrame) -> DataFrame:
+    """The runs of the changed items, rolled up anew."""
+    return run_status(runs.join(changed.select("run_id").distinct(), "run_id", "left_semi"), _replaced(items, changed)).select(*runs.columns)
+
+
+def stuck_items(items: DataFrame, videos: DataFrame, runs: DataFrame, now: Column, stale_after: str = "1 hour") -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(items, events, videos, runs) after the sweep: live items without news and lease are failed, their videos with them, and their runs rolled up anew."""
     stuck = items.filter(F.col("status").isin(*LIVE) & (F.col("phase_updated_at") < now - F.expr(f"INTERVAL {stale_after}")) & ~_leased(now))
     reason = F.concat(F.lit("no progress since "), F.date_format("phase_updated_at", "yyyy-MM-dd HH:mm:ss"))
     new = {"status": F.lit("FAILED"), "failed_phase": F.col("phase"), "phase": F.lit("DONE"), "error_code": F.lit("UNEXPECTED"), "error": reason, "phase_updated_at": now.cast(items.schema["phase_updated_at"].dataType)}
     failed = stuck.select(*[new[c].alias(c) if c in new else F.col(c) for c in items.columns])
     events = failed.select("item_id", "run_id", F.lit("ITEM_FAILED").alias("event_type"), F.coalesce("attempt", F.lit(1)).alias("attempt"), F.col("failed_phase").alias("phase"), "status", "error_code", now.alias("occurred_at"))
     ended = videos.join(failed.select("video_id").distinct(), "video_id", "left_semi").filter(~F.col("status").isin("COMPLETED", "FAILED")).withColumn("status", F.lit("FAILED"))
-    return failed, events, ended
+    return failed, events, ended, refreshed_runs(runs, items, failed)
 
 
 def reconcile_runs(runs: DataFrame, items: DataFrame, now: Column) -> DataFrame:
@@ -198,6 +213,21 @@ def retry_eligibility(runs: DataFrame, items: DataFrame, now: Column) -> DataFra
     return of.select("run_id", "item_id", reason.isNull().alias("accepted"), reason.alias("reason"), attempt.alias("attempt"), F.when(reason.isNull(), F.col("error_code")).alias("previous_error_code"))
 
 
+def retry_items(runs: DataFrame, items: DataFrame, now: Column) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(items, events, runs) after a retry of what is eligible: a further attempt from the start, without errors and video.
+
+    The event of each item tells the phase and the error of the failure before; the runs are rolled up anew.
+    """
+    verdict = retry_eligibility(runs, items, now).filter("accepted").select("item_id", F.col("attempt").alias("_attempt"))
+    old = items.join(verdict, "item_id")
+    failed_phase = F.coalesce(*[F.col(c) for c in ("failed_phase", "phase") if c in items.columns])
+    events = old.select("item_id", "run_id", F.lit("ITEM_RETRY_REQUESTED").alias("event_type"), F.col("_attempt").alias("attempt"), failed_phase.alias("phase"), F.lit("PENDING").alias("status"), "error_code", "error", now.alias("occurred_at"))
+    new = {"attempt": F.col("_attempt"), "status": F.lit("PENDING"), "phase": F.lit("CREATED"), "phase_updated_at": now}
+    cleared = ("failed_phase", "error_code", "error", "video_id")
+    changed = old.select(*[(F.lit(None) if c in cleared else new.get(c, F.col(c))).cast(items.schema[c].dataType).alias(c) for c in items.columns])
+    return changed, events, refreshed_runs(runs, items, changed)
+
+
 def intake_urls(requests: DataFrame) -> DataFrame:
     """(req_id, pos, url, verdict): per request in its order, bad URLs and later copies are refused."""
     trimmed = requests.withColumn("url", java_trim("url")).withColumn("bad", validate_url("url"))

@@ -29,13 +29,13 @@ def run_previews(items: DataFrame, videos: DataFrame) -> DataFrame:
 
 
 def run_details(runs: DataFrame, items: DataFrame, videos: DataFrame) -> DataFrame:
-    """One row per item with its video's channel and title; a run without items gets one row made of itself."""
+    """One row per item with its video's channel and title, by run and created_at; a run without items gets one row made of itself."""
     known = videos.select("video_id", "channel_name", "title")
     real = items.join(runs.select("run_id"), "run_id", "left_semi").join(known, "video_id", "left")
-    real = real.select("run_id", "item_id", "url", "status", "phase", F.coalesce("attempt", F.lit(1)).alias("attempt"), "channel_name", "title")
+    real = real.select("run_id", "item_id", "url", "status", "phase", F.coalesce("attempt", F.lit(1)).alias("attempt"), "channel_name", "title", "created_at")
     bare = runs.join(items.select("run_id"), "run_id", "left_anti")
-    made = bare.select("run_id", F.lit(None).cast(items.schema["item_id"].dataType).alias("item_id"), F.col("video_url").alias("url"), "status", "phase", F.lit(1).alias("attempt"), F.lit(None).cast("string").alias("channel_name"), F.lit(None).cast("string").alias("title"))
-    return real.unionByName(made)
+    made = bare.select("run_id", F.lit(None).cast(items.schema["item_id"].dataType).alias("item_id"), F.col("video_url").alias("url"), "status", "phase", F.lit(1).alias("attempt"), F.lit(None).cast("string").alias("channel_name"), F.lit(None).cast("string").alias("title"), "created_at")
+    return real.unionByName(made).orderBy("run_id", "created_at", "item_id")
 
 
 def live_summaries(runs: DataFrame, ids: DataFrame) -> DataFrame:

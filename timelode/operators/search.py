@@ -55,7 +55,7 @@ def search_chunks(chunks: DataFrame, videos: DataFrame, query_vec: list[float],
     near = chunks.withColumn("distance", distance("embedding", query_vec, metric)).orderBy(F.asc_nulls_last("distance"), "video_id", "chunk_index").limit(limit)
     near = near.select("video_id", "chunk_index", snippet("content").alias("snippet"), "distance")
     # at most 50 rows are broadcast
-    return videos.select("video_id", "title", "channel_name").join(F.broadcast(near), "video_id", "right").orderBy(F.asc_nulls_last("distance"), "video_id", "chunk_index")
+    return videos.select("video_id", "title", "channel_name", "file_path").join(F.broadcast(near), "video_id", "right").orderBy(F.asc_nulls_last("distance"), "video_id", "chunk_index")
 
 
 def search_units(units: DataFrame, videos: DataFrame, query_vec: list[float] | None, type: str | None = None, limit: int | None = None, metric: str = "l2") -> DataFrame:

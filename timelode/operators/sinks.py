@@ -51,11 +51,15 @@ def append_events(new: DataFrame, path: str) -> None:
 
 
 def write_transcript_artifacts(transcriptions: DataFrame, segments: DataFrame, path: str) -> None:
-    """Per video a JSON document and the plain text of its transcript; a null text is empty."""
+    """Per video a pretty JSON document and the plain text of its transcript, in folders named by the video; a null text is empty.
+
+    The text keeps its line breaks. Each video is written by one task, so many videos mean many small files, as asked.
+    """
     parts = segments.groupBy("video_id").agg(F.array_sort(F.collect_list(F.struct("start_seconds", "end_seconds", "text"))).alias("segments"))
     rows = transcriptions.select("video_id", "language", F.coalesce("full_text", F.lit("")).alias("text")).join(parts, "video_id", "left")
-    rows.write.mode("overwrite").json(f"{path}/json")
-    rows.select(F.concat_ws("\t", "video_id", F.replace("text", F.lit("\n"), F.lit(" "))).alias("value")).write.mode("overwrite").text(f"{path}/text")
+    document = F.to_json(F.struct("video_id", "language", "text", "segments"), {"pretty": "true"})
+    for name, value in (("json", document), ("text", F.col("text"))):
+        rows.select("video_id", value.alias("value")).repartition("video_id").write.mode("overwrite").partitionBy("video_id").text(f"{path}/{name}")
 
 
 #: What hangs on what: table, its column, and whether a row goes or only forgets its parent.

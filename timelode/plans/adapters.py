@@ -47,7 +47,7 @@ class Tables:
         i = F.col("doc_id")
         return self.raw("documents").select(
             i.alias("video_id"), F.col("lang").alias("source"), i.cast("string").alias("source_video_id"), F.col("source").alias("channel_name"), F.substring("text", 1, 40).alias("title"),
-            _pick(VIDEO_STATUSES, i).alias("status"), F.lit(None).cast("double").alias("duration_seconds"), _moment(F.lit(1_700_000_000) + i * 7919 % 1_000_003).alias("created_at"),
+            _pick(VIDEO_STATUSES, i).alias("status"), F.lit(None).cast("double").alias("duration_seconds"), _moment(F.lit(1_700_000_000) + i * 7919 % 1_000_003).alias("created_at"), F.format_string("/files/%d.mp4", i).alias("file_path"),
         )
 
     def _lines(self) -> DataFrame:
@@ -97,7 +97,7 @@ class Tables:
         return self.raw("events").select("user_id").distinct().select(
             i.alias("item_id"), (i % 20).alias("run_id"), status.alias("status"), _pick(WORK_PHASES, i).alias("phase"), F.when(ended & (i % 7 == 0), "CREATED").when(ended, _pick(WORK_PHASES, i)).alias("failed_phase"),
             (1 + i % 4).cast("int").alias("attempt"), (now() - F.expr("make_dt_interval(0, cast(user_id % 48 as int), 0, 0)")).alias("phase_updated_at"),
-            F.when(i % 3 == 0, F.lit("2024-01-31 06:00:00").cast("timestamp_ntz")).alias("lease_expires_at"), i.alias("video_id"), F.when(status == "FAILED", _pick(ERROR_CODES, i)).alias("error_code"), F.lit(None).cast("string").alias("error"),
+            F.when(i % 3 == 0, F.lit("2024-01-31 06:00:00").cast("timestamp_ntz")).alias("lease_expires_at"), i.alias("video_id"), F.when(status == "FAILED", _pick(ERROR_CODES, i)).alias("error_code"), F.lit(None).cast("string").alias("error"), now().alias("created_at"),
         )
 
     def runs(self) -> DataFrame:

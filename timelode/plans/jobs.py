@@ -8,18 +8,20 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from timelode.functions.scalars import java_trim
 from timelode.operators import catalog, events, fusion, knowledge, search, sinks, videos
 from timelode.sources import parsers
 
 
-def fuse_job(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
-    """Raw transcripts (and optionally diarization) with frames and lines, fused; rows of the processed videos are replaced."""
+def fuse_job(tables: dict[str, DataFrame], default_lang: str = "en") -> dict[str, DataFrame]:
+    """Raw transcripts and diarization with frames and lines (raw, or parsed already), fused; rows of the processed videos are replaced."""
     heads, segments = parsers.parse_transcripts(tables["raw_transcripts"])
     turns, declared = parsers.parse_diarization(tables["raw_diarization"])
     speakers = fusion.speakers_from_turns(declared, turns).withColumn("speaker_id", F.col("label"))
     segments = fusion.assign_speakers(segments, turns).withColumnRenamed("speaker_label", "speaker_id")
-    fused = fusion.fuse_segments(tables["videos"], segments, speakers, tables["video_frames"], tables["ocr_results"])
-    out = {"transcriptions": heads, "transcription_segments": segments, "speakers": speakers, "multimodal_segments": fused}
+    lines = parsers.parse_ocr(tables["raw_ocr"], default_lang) if "raw_ocr" in tables else tables["ocr_results"]
+    fused = fusion.fuse_segments(tables["videos"], segments, speakers, tables["video_frames"], lines)
+    out = {"transcriptions": heads, "transcription_segments": segments, "speakers": speakers, "ocr_results": lines, "multimodal_segments": fused}
     if "multimodal_segments" in tables:
         out["multimodal_segments"] = sinks.replace_for_videos(tables["multimodal_segments"], fused, tables["videos"])
     return out
@@ -85,12 +87,24 @@ def ingest_job(tables: dict[str, DataFrame], requests: DataFrame, metadata: Data
     return {"verdicts": verdicts, "items": items, "videos": inserted, "cancelled": cancelled, "events": created.unionByName(sinks.transition_events(cancelled, "ITEM_CANCELLED", now), allowMissingColumns=True)}
 
 
-def channel_job(tables: dict[str, DataFrame], listings: DataFrame, now: Column) -> dict[str, DataFrame]:
-    """Listings merged into the catalog, channels named, and what is not ingested yet."""
+def channel_job(tables: dict[str, DataFrame], listings: DataFrame, now: Column, selection: DataFrame | None = None) -> dict[str, DataFrame]:
+    """Listings merged into the catalog, channels named, and what is not ingested yet.
+
+    A `selection` (req_id, pos, youtube_video_id) is expanded to urls of the merged catalog and taken in as run items;
+    a request with an unknown id is refused whole.
+    """
     channels, candidates = parsers.parse_channel_listing(listings)
     merged = catalog.sync_channel_catalog(tables["youtube_channel_videos"], candidates, now)
-    return {
+    out = {
         "youtube_channels": catalog.name_channels(tables["youtube_channels"], channels),
         "youtube_channel_videos": merged,
         "not_ingested": catalog.not_ingested(merged, tables["videos"]),
     }
+    if selection is not None:
+        _, unknown = catalog.expand_channel_selection(merged, selection)
+        refused = selection.withColumn("youtube_video_id", java_trim("youtube_video_id")).join(unknown, "youtube_video_id").select("req_id").distinct()
+        urls, _ = catalog.expand_channel_selection(merged, selection.join(refused, "req_id", "left_anti"))
+        verdicts = events.intake_urls(urls.select("req_id", "pos", F.col("watch_url").alias("url")))
+        items, created = events.intake_items(verdicts, now)
+        out |= {"refused": refused, "verdicts": verdicts, "items": items, "events": created}
+    return out

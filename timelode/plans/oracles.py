@@ -129,6 +129,7 @@ CUTS = """cuts AS (
 SQUEEZED = "trim(regexp_replace({}, '[ \\t\\n\\v\\f\\r]+', ' ', 'g'))"
 
 NOT_LIVE = "(lease_expires_at IS NULL OR lease_expires_at <= {})"
+RETRIED = f"""SELECT * FROM items WHERE run_id IN (SELECT run_id FROM runs WHERE status = 'FAILED') AND status NOT IN ('COMPLETED', 'CANCELLED') AND {NOT_LIVE.format("TIMESTAMP '1996-01-01'")}"""
 
 _HOUR = "date_trunc('hour', occurred_at)"
 
@@ -170,7 +171,7 @@ ORACLES = {
         recursive=f"""src AS (SELECT [video_id, segment_index] AS key, {SQUEEZED.format('text')} AS t FROM fusedtext WHERE length(text) > 1050
           UNION ALL SELECT [doc_id, 0], {SQUEEZED.format('text')} FROM documents WHERE doc_id NOT IN (SELECT video_id FROM fusedtext WHERE text <> '')), {CUTS}"""),
     "format_fused": sql("SELECT * FROM fusedtext", "fusedtext"),
-    "search_chunks": sql("""SELECT n.video_id, title, channel_name, chunk_index, 'chunk ' || chunk_index AS snippet, distance FROM (SELECT label::BIGINT AS video_id, vec_id AS chunk_index, round(list_distance(embedding::DOUBLE[], q), 6) AS distance FROM embeddings, asked ORDER BY list_distance(embedding::DOUBLE[], q), 1, 2 LIMIT 20) n LEFT JOIN videos v ON v.video_id = n.video_id""", "asked", "videos"),
+    "search_chunks": sql("""SELECT n.video_id, title, channel_name, '/files/' || v.video_id || '.mp4' AS file_path, chunk_index, 'chunk ' || chunk_index AS snippet, distance FROM (SELECT label::BIGINT AS video_id, vec_id AS chunk_index, round(list_distance(embedding::DOUBLE[], q), 6) AS distance FROM embeddings, asked ORDER BY list_distance(embedding::DOUBLE[], q), 1, 2 LIMIT 20) n LEFT JOIN videos v ON v.video_id = n.video_id""", "asked", "videos"),
     "search_units": sql("""SELECT n.*, title, channel_name FROM (SELECT unit_id, video_id, type, content AS snippet, start_seconds, end_seconds, round(list_distance(x, q), 6) AS distance FROM units, asked WHERE type = 'TOPIC' ORDER BY list_distance(x, q), unit_id LIMIT 50) n LEFT JOIN videos v ON v.video_id = n.video_id""", "units", "asked", "videos"),
     "search_batch": "SELECT query_id, id, round(d, 6) AS distance, rank FROM (SELECT a.vec_id AS query_id, b.vec_id AS id, list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS d, row_number() OVER (PARTITION BY a.vec_id ORDER BY list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), b.vec_id) AS rank FROM embeddings a, embeddings b WHERE a.vec_id % 20 = 0) WHERE rank <= 10",
     "latest_attempt": sql("SELECT event_id, item_id, attempt FROM latest", "latest"),
@@ -187,11 +188,17 @@ ORACLES = {
     "retry_eligibility": sql("""SELECT run_id, item_id, reason IS NULL AS accepted, reason, coalesce(attempt, 1) + (reason IS NULL)::INT AS attempt, CASE WHEN reason IS NULL THEN error_code END AS previous_error_code
       FROM (SELECT *, CASE WHEN status = 'COMPLETED' THEN 'item is completed' WHEN status = 'CANCELLED' THEN 'item is cancelled' WHEN lease_expires_at > TIMESTAMP '1996-01-01' THEN 'item is leased' END AS reason FROM items WHERE run_id IN (SELECT run_id FROM runs WHERE status = 'FAILED'))""", "items", "runs"),
     "stuck_items": sql(f"SELECT item_id, 'FAILED' AS status, phase AS failed_phase, 'DONE' AS phase, 'UNEXPECTED' AS error_code, TIMESTAMP '{NOW}' AS phase_updated_at FROM laneitems WHERE status IN ('PENDING', 'IN_PROGRESS') AND phase_updated_at < TIMESTAMP '{NOW}' - INTERVAL 1 HOUR AND {NOT_LIVE.format(f'''TIMESTAMP '{NOW}' ''')}", "laneitems"),
+    "retry_items": sql(f"SELECT item_id, run_id, 'PENDING' AS status, 'CREATED' AS phase, coalesce(attempt, 1) + 1 AS attempt, NULL::VARCHAR AS error_code, NULL::BIGINT AS video_id FROM ({RETRIED})", "items", "runs"),
+    "retry_events": sql(f"SELECT item_id, 'ITEM_RETRY_REQUESTED' AS event_type, coalesce(attempt, 1) + 1 AS attempt, 'METADATA' AS phase, error_code, error FROM ({RETRIED})", "items", "runs"),
+    "retry_runs": sql(f"SELECT DISTINCT run_id, 'IN_PROGRESS' AS status FROM ({RETRIED})", "items", "runs"),
+    "stuck_runs": sql(f"""SELECT run_id, CASE WHEN bool_or(live AND NOT stuck) THEN 'IN_PROGRESS' ELSE 'FAILED' END AS status, CASE WHEN bool_or(live AND NOT stuck) THEN 'METADATA' ELSE 'DONE' END AS phase
+      FROM (SELECT *, status IN ('PENDING', 'IN_PROGRESS') AS live, live AND phase_updated_at < TIMESTAMP '{NOW}' - INTERVAL 1 HOUR AND {NOT_LIVE.format(f"TIMESTAMP '{NOW}'")} AS stuck FROM laneitems) GROUP BY 1 HAVING bool_or(stuck)""", "laneitems"),
     "events_per_item_phase": sql("SELECT item_id, phase, count(*) AS n FROM ev GROUP BY ALL", "ev"),
     "events_per_day": sql("SELECT occurred_at::DATE AS day, count(*) AS n FROM ev GROUP BY 1", "ev"),
     "filter_events": sql("SELECT event_id, item_id, phase, error_code FROM ev WHERE event_type = 'ITEM_FAILED' AND phase = 'OCR' AND occurred_at >= TIMESTAMP '2024-01-05' AND occurred_at < TIMESTAMP '2024-01-20'", "ev"),
-    "item_events": sql("SELECT event_id, item_id, event_type FROM ev WHERE item_id = 7 ORDER BY occurred_at, event_id LIMIT 20 OFFSET 20", "ev"),
-    "run_events": sql("SELECT event_id, run_id, event_type FROM ev WHERE run_id = 7 ORDER BY occurred_at, event_id LIMIT 100", "ev"),
+    "filter_events_page": sql("SELECT event_id, item_id, count(*) OVER () AS total FROM ev WHERE event_type = 'ITEM_FAILED' AND phase = 'OCR' AND occurred_at >= TIMESTAMP '2024-01-05' AND occurred_at < TIMESTAMP '2024-01-20' ORDER BY occurred_at DESC, event_id DESC LIMIT 100", "ev"),
+    "item_events": sql("SELECT event_id, item_id, event_type, count(*) OVER () AS total FROM ev WHERE item_id = 7 ORDER BY occurred_at, event_id LIMIT 20 OFFSET 20", "ev"),
+    "run_events": sql("SELECT event_id, run_id, event_type, count(*) OVER () AS total FROM ev WHERE run_id = 7 ORDER BY occurred_at, event_id LIMIT 100", "ev"),
     "event_tail": sql("SELECT event_id, item_id FROM (SELECT *, row_number() OVER (ORDER BY occurred_at, event_id) - 1 AS r, count(*) OVER () AS n FROM ev WHERE run_id = 7) WHERE r >= greatest(0, (n + 49) // 50 - 4) * 50", "ev"),
     "items_from_events": sql("""SELECT item_id, e.run_id, status, CASE WHEN status IN ('COMPLETED', 'FAILED') THEN 'DONE' WHEN status = 'PENDING' THEN 'CREATED' ELSE e.phase END AS phase, CASE WHEN status = 'FAILED' THEN e.phase END AS failed_phase, e.attempt::INT AS attempt, e.occurred_at AS phase_updated_at
       FROM (SELECT item_id, e, CASE e.event_type WHEN 'ITEM_COMPLETED' THEN 'COMPLETED' WHEN 'ITEM_FAILED' THEN 'FAILED' WHEN 'ITEM_CREATED' THEN 'PENDING' ELSE 'IN_PROGRESS' END AS status FROM (SELECT item_id, arg_max(struct_pack(run_id, event_type, phase, attempt, occurred_at), (occurred_at, event_id)) AS e FROM ev GROUP BY 1))""", "ev"),
@@ -199,15 +206,15 @@ ORACLES = {
     "transition_events": sql("SELECT item_id, 'ITEM_FAILED' AS event_type, attempt::INT AS attempt, coalesce(failed_phase, phase) AS phase, status FROM laneitems WHERE status = 'FAILED'", "laneitems"),
     "run_previews": sql("""SELECT run_id, count(*) AS n_videos, arg_min(video_id, o) AS video_id, arg_min(title, o) AS title FROM (SELECT i.run_id, i.video_id, v.title, (CASE v.status WHEN 'COMPLETED' THEN 0 WHEN 'PROCESSING' THEN 1 WHEN 'TRANSCRIBING' THEN 2 WHEN 'DOWNLOADED' THEN 3 WHEN 'DOWNLOADING' THEN 4 WHEN 'EXTRACTING' THEN 5 WHEN 'PENDING' THEN 6 ELSE 7 END, v.created_at IS NULL, coalesce(v.created_at, TIMESTAMP '2000-01-01'), i.video_id) AS o
       FROM items i JOIN partvideos v USING (video_id)) GROUP BY 1""", "items", "partvideos"),
-    "run_details": sql("""SELECT i.run_id, item_id, url, i.status, 'METADATA' AS phase, coalesce(attempt, 1) AS attempt, channel_name, title FROM items i SEMI JOIN runs r ON r.run_id = i.run_id LEFT JOIN partvideos v USING (video_id)
-      UNION ALL SELECT run_id, NULL, 'https://v/' || run_id, status, phase, 1, NULL, NULL FROM runs ANTI JOIN items USING (run_id)""", "items", "runs", "partvideos"),
+    "run_details": sql("""SELECT i.run_id, item_id, url, i.status, 'METADATA' AS phase, coalesce(attempt, 1) AS attempt, channel_name, title, i.created_at FROM items i SEMI JOIN runs r ON r.run_id = i.run_id LEFT JOIN partvideos v USING (video_id)
+      UNION ALL SELECT run_id, NULL, 'https://v/' || run_id, status, phase, 1, NULL, NULL, created_at FROM runs ANTI JOIN items USING (run_id)""", "items", "runs", "partvideos"),
     "live_summaries": sql("SELECT a.run_id, pos, status FROM (SELECT o_orderkey * 2 AS run_id, min(o_custkey) AS pos FROM orders GROUP BY 1) a JOIN runs USING (run_id)", "runs"),
-    "list_runs": sql("SELECT run_id, status, created_at FROM runs WHERE status = 'PENDING' ORDER BY created_at DESC, run_id DESC LIMIT 30 OFFSET 30", "runs"),
+    "list_runs": sql("SELECT run_id, status, created_at, count(*) OVER () AS total FROM runs WHERE status = 'PENDING' ORDER BY created_at DESC, run_id DESC LIMIT 30 OFFSET 30", "runs"),
     "live_runs": sql("SELECT run_id, status, created_at FROM runs WHERE status IN ('PENDING', 'IN_PROGRESS')", "runs"),
     "live_elsewhere": sql("SELECT run_id, status FROM runs WHERE status IN ('PENDING', 'IN_PROGRESS') AND run_id NOT IN (SELECT run_id FROM runs ORDER BY created_at DESC, run_id DESC LIMIT 100)", "runs"),
     "not_ingested": sql("SELECT channel_id, youtube_video_id FROM cat ANTI JOIN ing USING (youtube_video_id)", "cat", "ing"),
     "ingested_flag": sql("SELECT channel_id, youtube_video_id, youtube_video_id IN (SELECT youtube_video_id FROM ing) AS ingested FROM cat", "cat", "ing"),
-    "list_channel_videos": sql("SELECT youtube_video_id, published_at, false AS ingested FROM cat ANTI JOIN ing USING (youtube_video_id) WHERE channel_id = 3 ORDER BY published_at DESC NULLS LAST, youtube_video_id LIMIT 40", "cat", "ing"),
+    "list_channel_videos": sql("SELECT youtube_video_id, published_at, false AS ingested, count(*) OVER () AS total FROM cat ANTI JOIN ing USING (youtube_video_id) WHERE channel_id = 3 ORDER BY published_at DESC NULLS LAST, youtube_video_id LIMIT 40", "cat", "ing"),
     "sync_channel_catalog": sql(f"""SELECT coalesce(c.channel_id, n.channel_id) AS channel_id, coalesce(c.youtube_video_id, n.youtube_video_id) AS youtube_video_id, CASE WHEN n.k IS NOT NULL THEN 'new ' || n.youtube_video_id ELSE 'video ' || c.youtube_video_id END AS title, CASE WHEN n.k IS NOT NULL THEN n.p ELSE c.published_at END AS published_at,
         CASE WHEN n.k IS NOT NULL THEN 'https://n/' || n.youtube_video_id ELSE c.watch_url END AS watch_url, CASE WHEN n.k IS NOT NULL THEN '{{"n": 1}}' ELSE '{{}}' END AS metadata, CASE WHEN c.channel_id IS NOT NULL THEN TIMESTAMP '1999-01-01' ELSE TIMESTAMP '{NOW}' END AS first_seen_at, CASE WHEN n.k IS NOT NULL THEN TIMESTAMP '{NOW}' ELSE TIMESTAMP '1999-01-01' END AS last_seen_at
       FROM cat c FULL JOIN (SELECT l_suppkey AS channel_id, (l_partkey + CASE WHEN l_linenumber = 1 THEN 1000000 ELSE 0 END)::VARCHAR AS youtube_video_id, 1 AS k, arg_min(l_shipdate, (l_orderkey, l_linenumber, l_partkey)) AS p FROM lineitem WHERE l_linenumber <= 3 AND l_partkey % 11 > 0 GROUP BY ALL) n
@@ -218,14 +225,14 @@ ORACLES = {
     "unknown_selection": "SELECT DISTINCT (p_partkey * 3)::VARCHAR AS youtube_video_id FROM part WHERE p_partkey * 3 NOT IN (SELECT l_partkey FROM lineitem)",
     "duplicate_videos": sql("""SELECT item_id, source, source_video_id, CASE WHEN e IS NOT NULL OR claim > 1 THEN 'CANCELLED' ELSE 'IN_PROGRESS' END AS status, CASE WHEN e IS NOT NULL OR claim > 1 THEN 'DUPLICATE_VIDEO' END AS error_code, e AS existing_video_id
       FROM (SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS item_id, 'youtube' AS source, l_partkey::VARCHAR AS source_video_id, row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey) AS claim, v.video_id AS e FROM lineitem LEFT JOIN partvideos v ON v.video_id = l_partkey AND v.source = 'youtube')""", "partvideos"),
-    "list_videos": sql("SELECT video_id, status, channel_name FROM videos WHERE status = 'COMPLETED' AND lower(channel_name) LIKE '%src1_%' ORDER BY created_at DESC, video_id DESC LIMIT 60", "videos"),
-    "list_segments": sql("SELECT segment_id, text FROM segments WHERE video_id = 7", "segments"),
+    "list_videos": sql("SELECT video_id, status, channel_name, count(*) OVER () AS total FROM videos WHERE status = 'COMPLETED' AND lower(channel_name) LIKE '%src1_%' ORDER BY created_at DESC, video_id DESC LIMIT 60", "videos"),
+    "list_segments": sql("SELECT segment_id, text, count(*) OVER () AS total FROM segments WHERE video_id = 7", "segments"),
     "list_units": sql("SELECT unit_id, start_seconds FROM units WHERE video_id = 3", "units"),
     "speakers_with_counts": sql("SELECT s.video_id, s.label, count(g.segment_id) AS n_segments FROM speakers s LEFT JOIN segments g ON g.video_id = s.video_id AND g.speaker_id = s.speaker_id GROUP BY ALL", "speakers", "segments"),
     "rename_speakers": sql("SELECT video_id, speaker_id, CASE WHEN video_id % 4 = 0 THEN NULL WHEN video_id % 2 = 0 THEN 'Ann' ELSE speaker_id END AS display_name FROM speakers", "speakers"),
     "filter_ocr_lines": sql("SELECT video_id, frame_id, line_no FROM (SELECT video_id, frame_id, line_no, row_number() OVER (PARTITION BY video_id ORDER BY ts, frame_id, line_no) AS r FROM ocr JOIN frames USING (frame_id) WHERE NOT regexp_matches(text, '^\\s*$') AND confidence >= 0.5) WHERE r <= 50", "ocr", "frames"),
     "ocr_by_frame": sql("SELECT video_id, frame_id, string_agg(text, chr(10) ORDER BY line_no) AS lines FROM frames JOIN ocr USING (frame_id) GROUP BY ALL", "frames", "ocr"),
-    "ocr_frame_page": sql("SELECT frame_id, string_agg(text, chr(10) ORDER BY line_no) AS lines FROM ocr WHERE frame_id IN (SELECT frame_id FROM frames WHERE video_id = 7 ORDER BY ts, frame_id LIMIT 3 OFFSET 3) GROUP BY 1", "frames", "ocr"),
+    "ocr_frame_page": sql("SELECT frame_id, string_agg(text, chr(10) ORDER BY line_no) AS lines, (SELECT count(DISTINCT frame_id) FROM frames SEMI JOIN ocr USING (frame_id) WHERE video_id = 7) AS total FROM ocr WHERE frame_id IN (SELECT frame_id FROM frames WHERE video_id = 7 ORDER BY ts, frame_id LIMIT 3 OFFSET 3) GROUP BY 1", "frames", "ocr"),
     "video_counts": sql("""SELECT v.video_id, coalesce(a.n, 0) AS n_speakers, coalesce(b.n, 0) AS n_ocr_frames, coalesce(c.n, 0) AS n_fused, coalesce(d.n, 0) AS n_segments, coalesce(e.n, 0) AS n_units FROM videos v
       LEFT JOIN (SELECT video_id, count(*) AS n FROM speakers GROUP BY 1) a ON a.video_id = v.video_id LEFT JOIN (SELECT video_id, count(*) AS n FROM frames GROUP BY 1) b ON b.video_id = v.video_id LEFT JOIN (SELECT video_id, count(*) AS n FROM fused GROUP BY 1) c ON c.video_id = v.video_id
       LEFT JOIN (SELECT video_id, count(*) AS n FROM segments GROUP BY 1) d ON d.video_id = v.video_id LEFT JOIN (SELECT video_id, count(*) AS n FROM units GROUP BY 1) e ON e.video_id = v.video_id""", "videos", "speakers", "frames", "fused", "units"),
@@ -267,7 +274,7 @@ ORACLES = {
       WHERE e.event_type NOT IN ('ITEM_COMPLETED', 'ITEM_FAILED') AND e.occurred_at + INTERVAL 36 HOUR < (SELECT max(occurred_at) - INTERVAL 10 MINUTE FROM ev)""", "ev"),
     "stream_channel_sync": sql("""SELECT coalesce(c.channel_id, n.channel_id) AS channel_id, coalesce(c.youtube_video_id, n.id) AS youtube_video_id, CASE WHEN n.id IS NOT NULL THEN 'new' ELSE 'video ' || c.youtube_video_id END AS title, CASE WHEN n.id IS NOT NULL THEN n.p ELSE c.published_at END AS published_at
       FROM cat c FULL JOIN (SELECT l_suppkey AS channel_id, l_partkey::VARCHAR AS id, arg_min(l_shipdate, (l_orderkey, l_linenumber, l_partkey)) AS p FROM lineitem WHERE l_linenumber <= 3 GROUP BY ALL) n ON n.channel_id = c.channel_id AND n.id = c.youtube_video_id""", "cat"),
-    "write_transcript_artifacts": "SELECT doc_id AS video_id, lang AS language, text FROM documents",
+    "write_transcript_artifacts": "SELECT doc_id AS video_id, lang AS language, text, text || chr(10) AS plain FROM documents",
     "append_events": sql("SELECT item_id, 'ITEM_PHASE_ENTERED' AS event_type, attempt::INT AS attempt, phase FROM laneitems", "laneitems"),
     "write_replaced": sql("SELECT video_id, segment_id, CASE WHEN video_id % 10 = 0 THEN 'again' ELSE text END AS text FROM segments WHERE video_id % 5 > 0 OR video_id % 10 = 0", "segments"),
     "read_url_list": "SELECT url FROM pages WHERE page_id % 5 > 0 AND page_id % 7 > 0",
@@ -289,6 +296,6 @@ ORACLES["stream_run_status"] = f"""SELECT run_id, CASE WHEN live THEN 'IN_PROGRE
   FROM (SELECT run_id, bool_or(status IN ('PENDING', 'IN_PROGRESS')) AS live, bool_or(status = 'FAILED') AS failed FROM ({ORACLES['items_from_events']}) GROUP BY 1)"""
 ORACLES["channel_job"] = sql(
     """SELECT channel_id, youtube_video_id FROM (SELECT channel_id::VARCHAR AS channel_id, youtube_video_id FROM cat
-      UNION SELECT l_suppkey::VARCHAR, CASE WHEN l_partkey % 5 > 0 THEN l_partkey::VARCHAR ELSE 'u' || l_partkey END FROM lineitem WHERE l_orderkey % 50 = 7 AND l_partkey % 10 > 0) ANTI JOIN ing USING (youtube_video_id)""",
+      UNION SELECT l_suppkey::VARCHAR, CASE WHEN l_partkey % 5 > 0 THEN l_partkey::VARCHAR ELSE 'u' || l_partkey END FROM lineitem WHERE l_partkey % 10 > 0) ANTI JOIN ing USING (youtube_video_id)""",
     "cat", "ing",
 )

@@ -290,7 +290,37 @@ def retry_eligibility(t):
 @query
 def stuck_items(t):
     known = t.lane_items().select("video_id", F.lit("PROCESSING").alias("status"))
-    return events.stuck_items(t.lane_items(), known, now())[0].select("item_id", "status", "failed_phase", "phase", "error_code", "phase_updated_at")
+    return events.stuck_items(t.lane_items(), known, _lane_runs(t), now())[0].select("item_id", "status", "failed_phase", "phase", "error_code", "phase_updated_at")
+
+
+def _lane_runs(t) -> DataFrame:
+    none = F.lit(None).cast("string")
+    return t.lane_items().select("run_id").distinct().select("run_id", F.lit("IN_PROGRESS").alias("status"), F.lit("METADATA").alias("phase"), none.alias("error_code"), none.alias("error"))
+
+
+@query
+def stuck_runs(t):
+    known = t.lane_items().select("video_id", F.lit("PROCESSING").alias("status"))
+    return events.stuck_items(t.lane_items(), known, _lane_runs(t), now())[3].select("run_id", "status", "phase")
+
+
+def _retried(t) -> tuple[DataFrame, DataFrame, DataFrame]:
+    return events.retry_items(t.runs(), t.items(), F.lit("1996-01-01").cast("timestamp_ntz"))
+
+
+@query
+def retry_items(t):
+    return _retried(t)[0].select("item_id", "run_id", "status", "phase", "attempt", "error_code", "video_id")
+
+
+@query
+def retry_events(t):
+    return _retried(t)[1].select("item_id", "event_type", "attempt", "phase", "error_code", "error")
+
+
+@query
+def retry_runs(t):
+    return _retried(t)[2].select("run_id", "status")
 
 
 @query
@@ -303,20 +333,29 @@ def events_per_day(t):
     return events.events_per_day(t.events())
 
 
+def _failed_ocr(t, page: int | None) -> DataFrame:
+    bounds = [F.lit(f"2024-01-{d}").cast("timestamp_ntz") for d in ("05", "20")]
+    return events.filter_events(t.events(), event_type="ITEM_FAILED", phase="ocr", from_ts=bounds[0], to_ts=bounds[1], page=page)
+
+
 @query
 def filter_events(t):
-    bounds = [F.lit(f"2024-01-{d}").cast("timestamp_ntz") for d in ("05", "20")]
-    return events.filter_events(t.events(), event_type="ITEM_FAILED", phase="ocr", from_ts=bounds[0], to_ts=bounds[1]).select("event_id", "item_id", "phase", "error_code")
+    return _failed_ocr(t, None).select("event_id", "item_id", "phase", "error_code")
+
+
+@query
+def filter_events_page(t):
+    return _failed_ocr(t, 0).select("event_id", "item_id", "total")
 
 
 @query
 def item_events(t):
-    return events.item_events(t.events(), 7, 1, 20).select("event_id", "item_id", "event_type")
+    return events.item_events(t.events(), 7, 1, 20).select("event_id", "item_id", "event_type", "total")
 
 
 @query
 def run_events(t):
-    return events.run_events(t.events(), 7, 0, 100).select("event_id", "run_id", "event_type")
+    return events.run_events(t.events(), 7, 0, 100).select("event_id", "run_id", "event_type", "total")
 
 
 @query
@@ -360,7 +399,7 @@ def live_summaries(t):
 
 @query
 def list_runs(t):
-    return runs.list_runs(t.runs(), status="PENDING", sort_by="updated_at", page=1, size=30).select("run_id", "status", "created_at")
+    return runs.list_runs(t.runs(), status="PENDING", sort_by="updated_at", page=1, size=30).select("run_id", "status", "created_at", "total")
 
 
 @query
@@ -385,7 +424,7 @@ def ingested_flag(t):
 
 @query
 def list_channel_videos(t):
-    return catalog.list_channel_videos(t.catalog(), t.part_videos(), 3, True, 0, 40).select("youtube_video_id", "published_at", "ingested")
+    return catalog.list_channel_videos(t.catalog(), t.part_videos(), 3, True, 0, 40).select("youtube_video_id", "published_at", "ingested", "total")
 
 
 @query
@@ -427,12 +466,12 @@ def duplicate_videos(t):
 
 @query
 def list_videos(t):
-    return videos.list_videos(t.videos(), status="completed", channel="SRC1_", size=60).select("video_id", "status", "channel_name")
+    return videos.list_videos(t.videos(), status="completed", channel="SRC1_", size=60).select("video_id", "status", "channel_name", "total")
 
 
 @query
 def list_segments(t):
-    return videos.list_segments(t.segments(), 7).select("segment_id", "text")
+    return videos.list_segments(t.segments(), 7).select("segment_id", "text", "total")
 
 
 @query
@@ -463,7 +502,7 @@ def ocr_by_frame(t):
 
 @query
 def ocr_frame_page(t):
-    return videos.ocr_frame_page(t.frames(), t.ocr(), 7, 1, 3).select("frame_id", joined("lines", "\n"))
+    return videos.ocr_frame_page(t.frames(), t.ocr(), 7, 1, 3).select("frame_id", joined("lines", "\n"), "total")
 
 
 def _counts(t) -> DataFrame:
@@ -653,8 +692,10 @@ def _plain_times(df: DataFrame) -> DataFrame:
 
 @query
 def stream_events(t):
-    rows = _raw_stream(t).withWatermark("occurred_at", "1 hour").dropDuplicatesWithinWatermark(["event_id"])
-    return _run_stream(t, rows.select("event_id", "item_id", "event_type"), "events")
+    """The log written as Parquet, read by the library's own stream."""
+    root = _stream_root(t, "event-log")
+    t.events().select("event_id", "item_id", "run_id", "event_type", "phase", "attempt", F.col("occurred_at").cast("timestamp").alias("occurred_at")).write.parquet(root)
+    return _run_stream(t, jobs.stream_events(t.spark, root).select("event_id", "item_id", "event_type"), "events")
 
 
 @query
@@ -766,15 +807,15 @@ def ingest_job(t):
 def channel_job(t):
     known = t.catalog().withColumn("channel_id", F.col("channel_id").cast("string"))
     named = t.channels().withColumn("channel_id", F.col("channel_id").cast("string"))
-    listed = _listings(t).filter(F.endswith("channel_url", F.lit("/7")))
-    return plans.channel_job({"youtube_channel_videos": known, "youtube_channels": named, "videos": t.part_videos()}, listed, now())["not_ingested"].select("channel_id", "youtube_video_id")
+    return plans.channel_job({"youtube_channel_videos": known, "youtube_channels": named, "videos": t.part_videos()}, _listings(t), now())["not_ingested"].select("channel_id", "youtube_video_id")
 
 
 @query
 def write_transcript_artifacts(t):
     root = _stream_root(t, "artifacts")
     sinks.write_transcript_artifacts(t.transcriptions(), t.segments(), root)
-    return t.spark.read.schema("video_id bigint, language string, text string").json(f"{root}/json")
+    rows = t.spark.read.text(f"{root}/json", wholetext=True).select(F.from_json("value", "video_id bigint, language string, text string").alias("x")).select("x.*")
+    return rows.join(t.spark.read.text(f"{root}/text", wholetext=True).select(F.col("value").alias("plain"), F.col("video_id").cast("long").alias("video_id")), "video_id")
 
 
 @query
