@@ -97,14 +97,21 @@ def _windows_with_signals(videos, segments, speakers, frames, ocr, window, overl
 def fuse_segments(videos, segments, speakers, frames, ocr, window: float = WINDOW, overlap: float = OVERLAP, min_window: float = LEAST_WINDOW, cap: int = 2000, ratio: float = 0.6, min_windows: int = 4) -> DataFrame:
     """Time-aligned rows of what was said, shown and by whom; lines that stay on screen all along are removed."""
     found = _windows_with_signals(videos, segments, speakers, frames, ocr, window, overlap, min_window, cap)
-    size = found.groupBy("video_id").agg(F.count("*").alias("n"))
-    chrome = chrome_lines(found.select("video_id", "k", "lines"), size, ratio, min_windows).groupBy("video_id").agg(F.collect_set("line").alias("chrome"))
-    found = found.join(chrome, "video_id", "left")
-    kept = F.when(F.col("chrome").isNull(), F.col("lines")).otherwise(F.filter("lines", lambda x: ~F.array_contains("chrome", x)))
-    return found.select(
-        "video_id", "segment_index", F.col("window_start").alias("start_seconds"), F.col("window_end").alias("end_seconds"), "transcript_text",
-        F.nullif(F.array_join(kept, "\n"), F.lit("")).alias("ocr_text"), F.when(F.size("speaker_labels") > 0, F.col("speaker_labels")).alias("speaker_labels"),
+    # one pass: rows are partitioned by video already, which serves the counts per line and the regrouping too
+    rows = found.withColumn("n", F.count("*").over(Window.partitionBy("video_id"))).select("*", F.posexplode_outer("lines").alias("pos", "line"))
+    seen = F.count("line").over(Window.partitionBy("video_id", "line"))
+    chrome = (seen >= F.lit(ratio) * F.col("n")) & (F.col("n") >= max(min_windows, 2)) & F.lit(ratio < 1.0)
+    once = F.coalesce("pos", F.lit(0)) == 0
+    # what a window has once goes with its first line only
+    rows = rows.select(
+        "video_id", "segment_index", "window_start", "window_end", F.when(once, F.col("transcript_text")).alias("transcript_text"), F.when(once & (F.size("speaker_labels") > 0), F.col("speaker_labels")).alias("speaker_labels"),
+        F.when(F.col("line").isNotNull() & ~chrome, F.struct("pos", "line")).alias("kept"),
     )
+    fused = rows.groupBy("video_id", "segment_index", F.col("window_start").alias("start_seconds"), F.col("window_end").alias("end_seconds")).agg(
+        F.max("transcript_text").alias("transcript_text"), F.array_sort(F.collect_list("kept")).alias("kept"), F.max("speaker_labels").alias("speaker_labels")
+    )
+    text = F.nullif(F.array_join(F.transform("kept", lambda x: x["line"]), "\n"), F.lit("")).alias("ocr_text")
+    return fused.select("video_id", "segment_index", "start_seconds", "end_seconds", "transcript_text", text, "speaker_labels")
 
 
 def chrome_savings(window_lines: DataFrame, chrome: DataFrame) -> DataFrame:

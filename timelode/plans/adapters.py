@@ -129,7 +129,7 @@ class Tables:
 
     def candidates(self) -> DataFrame:
         key = F.col("l_partkey") + F.when(F.col("l_linenumber") == 1, 1_000_000).otherwise(0)
-        listed = self.raw("lineitem").filter("l_linenumber <= 3")
+        listed = self.raw("lineitem")
         video = F.when(F.col("l_partkey") % 11 == 0, " ").otherwise(F.concat(F.lit(" "), key.cast("string")))
         return listed.select(F.col("l_suppkey").alias("channel_id"), F.struct("l_orderkey", "l_linenumber", "l_partkey").alias("pos"), video.alias("youtube_video_id"), F.concat(F.lit("new "), key.cast("string")).alias("title"), F.col("l_shipdate").alias("published_at"), F.concat(F.lit("https://n/"), key.cast("string")).alias("watch_url"), F.lit('{"n": 1}').alias("metadata"))
 

@@ -217,7 +217,7 @@ ORACLES = {
     "list_channel_videos": sql("SELECT youtube_video_id, published_at, false AS ingested, count(*) OVER () AS total FROM cat ANTI JOIN ing USING (youtube_video_id) WHERE channel_id = 3 ORDER BY published_at DESC NULLS LAST, youtube_video_id LIMIT 40", "cat", "ing"),
     "sync_channel_catalog": sql(f"""SELECT coalesce(c.channel_id, n.channel_id) AS channel_id, coalesce(c.youtube_video_id, n.youtube_video_id) AS youtube_video_id, CASE WHEN n.k IS NOT NULL THEN 'new ' || n.youtube_video_id ELSE 'video ' || c.youtube_video_id END AS title, CASE WHEN n.k IS NOT NULL THEN n.p ELSE c.published_at END AS published_at,
         CASE WHEN n.k IS NOT NULL THEN 'https://n/' || n.youtube_video_id ELSE c.watch_url END AS watch_url, CASE WHEN n.k IS NOT NULL THEN '{{"n": 1}}' ELSE '{{}}' END AS metadata, CASE WHEN c.channel_id IS NOT NULL THEN TIMESTAMP '1999-01-01' ELSE TIMESTAMP '{NOW}' END AS first_seen_at, CASE WHEN n.k IS NOT NULL THEN TIMESTAMP '{NOW}' ELSE TIMESTAMP '1999-01-01' END AS last_seen_at
-      FROM cat c FULL JOIN (SELECT l_suppkey AS channel_id, (l_partkey + CASE WHEN l_linenumber = 1 THEN 1000000 ELSE 0 END)::VARCHAR AS youtube_video_id, 1 AS k, arg_min(l_shipdate, (l_orderkey, l_linenumber, l_partkey)) AS p FROM lineitem WHERE l_linenumber <= 3 AND l_partkey % 11 > 0 GROUP BY ALL) n
+      FROM cat c FULL JOIN (SELECT l_suppkey AS channel_id, (l_partkey + CASE WHEN l_linenumber = 1 THEN 1000000 ELSE 0 END)::VARCHAR AS youtube_video_id, 1 AS k, arg_min(l_shipdate, (l_orderkey, l_linenumber, l_partkey)) AS p FROM lineitem WHERE l_partkey % 11 > 0 GROUP BY ALL) n
       ON n.channel_id = c.channel_id AND n.youtube_video_id = c.youtube_video_id""", "cat"),
     "name_channels": sql("SELECT channel_id, coalesce(display_name, 'found ' || channel_id) AS display_name FROM channels", "channels"),
     "channels_with_counts": sql("SELECT channel_id, display_name, coalesce(n, 0) AS n_videos FROM channels LEFT JOIN (SELECT channel_id, count(*) AS n FROM cat GROUP BY 1) USING (channel_id)", "channels", "cat"),
@@ -261,7 +261,7 @@ ORACLES = {
       FROM (SELECT video_id, channel_name, strftime(created_at, '%Y%m%d') || '.' || CASE WHEN c = '' THEN 'video' ELSE c END AS name FROM (SELECT *, regexp_replace(trim(regexp_replace(regexp_replace(substr(title, 1, 8), '[<>:"/\\\\|?*]', '_', 'g'), '[\\x00-\\x1f\\x7f]+', '', 'g')), '[.\\s_]+$', '') AS c FROM videos))))""", "videos"),
     "clean_units": f"""SELECT doc_id % 50 AS video_id, doc_id AS pos, 't' || doc_id AS title, CASE WHEN doc_id % 3 = 0 THEN CASE WHEN rest = '' THEN body ELSE upper(substr(rest, 1, 1)) || substr(rest, 2) END ELSE kept END AS content,
         '{{' || CASE WHEN doc_id % 5 > 0 THEN '"salience":' || (doc_id % 10) / 10.0::DOUBLE || ',' ELSE '' END || '"source_segment_indices":[' || doc_id % 7 || '],"prompt_version":3,"chat_model":"model"}}' AS metadata
-      FROM (SELECT doc_id, 'The video explains how to ' || substr(text, 1, 80) AS body, substr(text, 1, 80) AS rest, CASE WHEN doc_id % 3 > 0 THEN {_strip('substr(text, 1, 60)')} END AS kept FROM documents)""",
+      FROM (SELECT doc_id, 'The video explains how to ' || text AS body, text AS rest, CASE WHEN doc_id % 3 > 0 THEN {_strip('text')} END AS kept FROM documents)""",
     "classify_frame": sql("SELECT frame_id, CASE WHEN least((ts::DOUBLE * 1.03::DOUBLE) % 10, 10 - (ts::DOUBLE * 1.03::DOUBLE) % 10) <= 0.5 THEN 'INTERVAL' ELSE 'SCENE_CHANGE' END AS reason FROM frames", "frames"),
     "stream_events": sql("SELECT event_id, item_id, event_type FROM ev", "ev"),
     "stream_event_counts": sql(f"SELECT * FROM (SELECT event_type, {_HOUR} AS \"start\", {_HOUR} + INTERVAL 1 HOUR AS \"end\", count(*) AS n FROM ev GROUP BY ALL) WHERE \"end\" <= (SELECT max(occurred_at) - INTERVAL 1 HOUR FROM ev)", "ev"),
@@ -273,7 +273,7 @@ ORACLES = {
     "stream_stuck_items": sql("""SELECT item_id, e.event_type AS last_event, date_trunc('millisecond', e.occurred_at) AS last_at FROM (SELECT item_id, arg_max(struct_pack(event_type, occurred_at), (occurred_at, event_id)) AS e FROM ev GROUP BY 1)
       WHERE e.event_type NOT IN ('ITEM_COMPLETED', 'ITEM_FAILED') AND e.occurred_at + INTERVAL 36 HOUR < (SELECT max(occurred_at) - INTERVAL 10 MINUTE FROM ev)""", "ev"),
     "stream_channel_sync": sql("""SELECT coalesce(c.channel_id, n.channel_id) AS channel_id, coalesce(c.youtube_video_id, n.id) AS youtube_video_id, CASE WHEN n.id IS NOT NULL THEN 'new' ELSE 'video ' || c.youtube_video_id END AS title, CASE WHEN n.id IS NOT NULL THEN n.p ELSE c.published_at END AS published_at
-      FROM cat c FULL JOIN (SELECT l_suppkey AS channel_id, l_partkey::VARCHAR AS id, arg_min(l_shipdate, (l_orderkey, l_linenumber, l_partkey)) AS p FROM lineitem WHERE l_linenumber <= 3 GROUP BY ALL) n ON n.channel_id = c.channel_id AND n.id = c.youtube_video_id""", "cat"),
+      FROM cat c FULL JOIN (SELECT l_suppkey AS channel_id, l_partkey::VARCHAR AS id, arg_min(l_shipdate, (l_orderkey, l_linenumber, l_partkey)) AS p FROM lineitem GROUP BY ALL) n ON n.channel_id = c.channel_id AND n.id = c.youtube_video_id""", "cat"),
     "write_transcript_artifacts": "SELECT doc_id AS video_id, lang AS language, text, text || chr(10) AS plain FROM documents",
     "append_events": sql("SELECT item_id, 'ITEM_PHASE_ENTERED' AS event_type, attempt::INT AS attempt, phase FROM laneitems", "laneitems"),
     "write_replaced": sql("SELECT video_id, segment_id, CASE WHEN video_id % 10 = 0 THEN 'again' ELSE text END AS text FROM segments WHERE video_id % 5 > 0 OR video_id % 10 = 0", "segments"),

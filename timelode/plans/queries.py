@@ -149,7 +149,7 @@ def _drafts(t) -> DataFrame:
     i = F.col("doc_id")
     return t.raw("documents").select(
         (i % 50).alias("video_id"), F.lit(0).alias("batch"), i.alias("pos"), F.when(i % 4 == 0, "SUMMARY").otherwise("CLAIM").alias("type"), F.concat(F.lit("t"), i.cast("string")).alias("title"),
-        F.when(i % 3 == 0, F.concat(F.lit("The video explains how to "), F.substring("text", 1, 80))).otherwise(F.concat(F.substring("text", 1, 60), F.lit("\nTarget: n/a\nSettings: none specified."))).alias("content"),
+        F.when(i % 3 == 0, F.concat(F.lit("The video explains how to "), "text")).otherwise(F.concat("text", F.lit("\nTarget: n/a\nSettings: none specified."))).alias("content"),
         F.when(i % 5 > 0, (i % 10) / 10.0).alias("salience"), F.array(i % 7).alias("source_segment_indices"), F.lit(None).cast("string").alias("entity_type"), F.lit(None).cast("double").alias("start_seconds"), F.lit(None).cast("double").alias("end_seconds"),
     )
 
@@ -743,7 +743,7 @@ def stream_channel_sync(t):
     """The catalog after candidates that arrive as a stream are merged."""
     root, last = _stream_root(t, "sync"), []
     schema = t.raw("lineitem").schema
-    rows = t.spark.readStream.schema(schema).option("pathGlobFilter", "lineitem.parquet").parquet(t.root).filter("l_linenumber <= 3")
+    rows = t.spark.readStream.schema(schema).option("pathGlobFilter", "lineitem.parquet").parquet(t.root)
     candidates = rows.select(F.col("l_suppkey").alias("channel_id"), F.struct("l_orderkey", "l_linenumber", "l_partkey").alias("pos"), F.col("l_partkey").cast("string").alias("youtube_video_id"), F.lit("new").alias("title"), F.col("l_shipdate").alias("published_at"), F.lit("w").alias("watch_url"), F.lit("{}").alias("metadata"))
 
     def write(merged: DataFrame) -> None:
