@@ -3,6 +3,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from timelode.operators import events, runs, sinks
+from timelode.plans.jobs import channel_job
 
 ITEM = "item_id string, run_id string, status string, phase string, failed_phase string, attempt int, phase_updated_at timestamp, lease_expires_at timestamp, created_at timestamp, error_code string, error string, video_id string"
 EVENT = "event_id int, item_id string, run_id string, event_type string, phase string, attempt int, occurred_at timestamp, error_code string, status string"
@@ -96,3 +97,12 @@ def test_written_videos_can_end_empty(spark, tmp_path):
     kept = [tuple(r) for r in spark.read.parquet(root).select("video_id", "n").collect()]
     sinks.write_replaced(none, spark.createDataFrame(kept, old.schema), spark.createDataFrame([("a",)], "video_id string"), root, 64)
     assert sorted(tuple(r) for r in spark.read.parquet(root).select("video_id", "n").collect()) == [("b", 2), ("c", 3)]
+
+
+def test_channel_selection(spark):
+    catalog = spark.createDataFrame([("c", "v1", "t", None, "https://w/1", "{}", at(0), at(0))], "channel_id string, youtube_video_id string, title string, published_at timestamp, watch_url string, metadata string, first_seen_at timestamp, last_seen_at timestamp")
+    tables = {"youtube_channel_videos": catalog, "youtube_channels": spark.createDataFrame([("c", None)], "channel_id string, display_name string"), "videos": spark.createDataFrame([], "source string, source_video_id string")}
+    asked = spark.createDataFrame([(1, 0, " v1 "), (2, 0, "v1"), (2, 1, "zz")], "req_id int, pos int, youtube_video_id string")
+    out = channel_job(tables, spark.createDataFrame([], "channel_url string, json string"), F.lit(at(0)), asked)
+    assert [r.req_id for r in out["refused"].collect()] == [2]
+    assert [(r.item_id, r.url, r.status) for r in out["items"].collect()] == [("1-0", "https://w/1", "PENDING")]
