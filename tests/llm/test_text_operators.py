@@ -292,4 +292,4 @@ def test_share_at_the_ratio(spark):
     """Ten of a hundred pages are not more than a tenth, eleven are."""
     rows = [(i, "h", f"own {i}\n{'ten' if i < 10 else ''}\n{'eleven' if i < 11 else ''}") for i in range(100)]
     got = lines.drop_boilerplate(spark.createDataFrame(rows, "doc_id long, source string, text string")).filter("doc_id = 0").first()
-    assert got.text == "own 0\nten\n" and got["_n_dropped"] == 1
+    assert got.text == "own 0\nten" and got["_n_dropped"] == 1

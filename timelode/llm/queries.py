@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from timelode.llm import exact, langid, licenses, lines, mixing, nndescent, packing, pii, simhash, warc
+from timelode.llm import align, exact, langid, licenses, lines, mixing, nndescent, packing, pii, runs, simhash, urls, warc
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_packing": packing.op8_packing,
     "op9_licenses": licenses.op9_licenses,
     "op10_warc": warc.op10_warc,
+    "op11_runs": runs.op11_runs,
+    "op12_urls": urls.op12_urls,
+    "op13_align": align.op13_align,
 }
 
 ORACLES = {
