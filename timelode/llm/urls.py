@@ -16,7 +16,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from timelode.llm.common import fresh, picked, quoted
@@ -29,6 +29,13 @@ RULES = (
     ("allow", "com", "/fr/"),
     ("block", "com", "/de/"),
 )
+#: Words of the hosts in the small table of labelled URLs that the query's model is trained from. Chosen here; not tied to any data.
+BLOCKED_WORDS = "casino poker bets betting jackpot slots lottery win pills pharmacy viagra meds adult sex porn xxx escort dating ads adserver track tracker clicks popup spam farm linkfarm seo loans payday replica cheap free warez torrent crack".split()
+ALLOWED_WORDS = (
+    "news press journal times herald university college school library museum archive science physics history garden kitchen recipes travel city town council forum wiki docs manual guide music film theatre books letters poems "
+    "sport club chess health clinic doctor weather maps market bakery studio design craft wood stone river forest island harbour bridge castle church radio signal data code lab stat math bio art note shop house"
+).split()
+SYLLABLES = "an ber con der en fel gra hin is jor kel lor men nor on per qua rin sh ther tion ul ver whe xen yon zel".split()
 #: Labelled URLs of either verdict that train a model, at most.
 SAMPLE_URLS = 2_000
 BITS = 16
@@ -155,13 +162,19 @@ def judge(pages: DataFrame, weights: np.ndarray, id_col: str = "page_id", url_co
     return found.select(F.col("id").alias(id_col), "host", "path", F.col("found.rule").alias("rule"), verdict.alias("verdict"), "score")
 
 
-def labelled_by_rules(pages: DataFrame, url_col: str = "url", rules: Rules = RULES) -> DataFrame:
-    """The URLs that a rule fits, with its verdict: a table of labelled URLs."""
-    rows = add_host_path(picked(pages, url=url_col), "url")
-    return rows.select("url", rule_of(F.col("host"), F.col("path"), rules)["verdict"].alias("verdict")).filter("verdict IS NOT NULL")
+def labelled_urls(spark: SparkSession) -> DataFrame:
+    """A small table of labelled URLs: hosts of one or two words of a kind, or of syllables, which are allowed; alike in all the rest."""
+    n = len(SYLLABLES)
+    made = ["".join(SYLLABLES[(i * k + i // n) % n] for k in (1, 3, 7)[: 2 + i % 2]) for i in range(6 * n)]
+    hosts = [(v, h) for v, words in (("block", BLOCKED_WORDS), ("allow", ALLOWED_WORDS)) for i, w in enumerate(words) for h in (w, f"{w}-{words[i - 1]}", f"{words[i - 2]}-{w}", f"{w}{words[i - 3]}")]
+    hosts += [("allow", h) for h in made]
+    rows = []
+    for i, (verdict, host) in enumerate(hosts):
+        sub, top, lang = ("", "www.", "m.", "blog.")[i % 4], ("com", "net", "org", "example.com", "example.net")[i % 5], ("en", "de", "fr", "es")[i // 2 % 4]
+        rows.append((f"http{'s' * (i % 2)}://{sub}{host}.{top}/{lang}/{i * 7919 % 10**(1 + i % 6)}{('', '/', '.html')[i % 3]}", verdict))
+    return spark.createDataFrame(rows, "url string, verdict string")
 
 
 def op12_urls(spark, sf_dir: str) -> DataFrame:
-    """The model learns from the URLs that a rule labels, and judges those that none fits."""
-    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
-    return judge(pages, train(labelled_by_rules(pages)))
+    """Rules first; URLs that none fits are judged by a model trained from the small table of labelled URLs."""
+    return judge(spark.read.parquet(f"{sf_dir}/pages.parquet"), train(labelled_urls(spark)))
