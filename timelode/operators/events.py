@@ -245,11 +245,28 @@ def intake_items(verdicts: DataFrame, now: Column) -> tuple[DataFrame, DataFrame
 
 
 def items_from_events(events: DataFrame) -> DataFrame:
-    """The newest state of every item, folded from its events."""
-    last = F.max_by(F.struct("run_id", "event_type", "phase", F.coalesce("attempt", F.lit(1)).alias("attempt"), "occurred_at"), F.struct("occurred_at", "event_id"))
-    found = events.groupBy("item_id").agg(last.alias("e"))
+    """The newest state of every item, folded from its events in one aggregate with a rule for each field.
+
+    The newest event tells run, status, phase and attempt. The video is that of the newest ITEM_VIDEO_ATTACHED since the
+    last retry. The error is that of the newest failure or cancellation; a later retry or any sign of further work clears it.
+    Columns video_id, error_code and error of the events are optional; what is absent stays null.
+    """
+    named = events.select("*", *[F.lit(None).cast("string").alias(c) for c in ("video_id", "error_code", "error") if c not in events.columns])
+    order, kind = F.struct("occurred_at", "event_id"), F.col("event_type")
+
+    def newest(value: Column, when: Column | None = None) -> Column:
+        return F.max_by(value, order) if when is None else F.max_by(F.when(when, value), F.when(when, order))
+
+    found = named.groupBy("item_id").agg(
+        newest(F.struct("run_id", "event_type", "phase", F.coalesce("attempt", F.lit(1)).alias("attempt"), "occurred_at", "error_code", "error")).alias("e"),
+        newest(F.struct("video_id", order.alias("at")), kind == "ITEM_VIDEO_ATTACHED").alias("v"), F.max(F.when(kind == "ITEM_RETRY_REQUESTED", order)).alias("retried"),
+    )
     kind = F.col("e.event_type")
     status = F.when(kind == "ITEM_COMPLETED", "COMPLETED").when(kind == "ITEM_FAILED", "FAILED").when(kind == "ITEM_CANCELLED", "CANCELLED").when(kind.isin("ITEM_CREATED", "ITEM_RETRY_REQUESTED"), "PENDING").otherwise("IN_PROGRESS")
-    ended = status.isin("COMPLETED", "FAILED", "CANCELLED")
+    ended, broke = status.isin("COMPLETED", "FAILED", "CANCELLED"), status.isin("FAILED", "CANCELLED")
     phase = F.when(ended, "DONE").when(kind.isin("ITEM_CREATED", "ITEM_RETRY_REQUESTED"), "CREATED").otherwise(F.col("e.phase"))
-    return found.select("item_id", F.col("e.run_id").alias("run_id"), status.alias("status"), phase.alias("phase"), F.when(status.isin("FAILED", "CANCELLED"), F.col("e.phase")).alias("failed_phase"), F.col("e.attempt").alias("attempt"), F.col("e.occurred_at").alias("phase_updated_at"))
+    video = F.when(F.col("retried").isNull() | (F.col("v.at") > F.col("retried")), F.col("v.video_id"))
+    return found.select(
+        "item_id", F.col("e.run_id").alias("run_id"), video.alias("video_id"), status.alias("status"), phase.alias("phase"), F.when(broke, F.col("e.phase")).alias("failed_phase"), F.col("e.attempt").alias("attempt"),
+        F.when(broke, F.col("e.error_code")).alias("error_code"), F.when(broke, F.col("e.error")).alias("error"), F.col("e.occurred_at").alias("phase_updated_at"),
+    )

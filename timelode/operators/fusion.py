@@ -75,7 +75,7 @@ def window_ocr(frames: DataFrame, ocr: DataFrame, windows: DataFrame, window: fl
 
 
 def chrome_lines(window_lines: DataFrame, n_windows: DataFrame, ratio: float = 0.6, min_windows: int = 4) -> DataFrame:
-    """(video_id, line) repeated in at least `ratio` of a video's windows; `n_windows` is (video_id, n)."""
+    """(video_id, line) repeated in at least `ratio` of a video's windows that hold anything; `n_windows` is (video_id, n), their number."""
     if ratio >= 1.0:
         return window_lines.select("video_id", F.lit("").alias("line")).limit(0)
     counts = window_lines.select("video_id", "k", F.explode("lines").alias("line")).groupBy("video_id", "line").agg(F.count("*").alias("seen"))
@@ -83,7 +83,8 @@ def chrome_lines(window_lines: DataFrame, n_windows: DataFrame, ratio: float = 0
     return counts.join(enough, "video_id").filter(F.col("seen") >= F.lit(ratio) * F.col("n")).select("video_id", "line")
 
 
-def _windows_with_signals(videos, segments, speakers, frames, ocr, window, overlap, min_window, cap) -> DataFrame:
+def filled_windows(videos, segments, speakers, frames, ocr, window: float = WINDOW, overlap: float = OVERLAP, min_window: float = LEAST_WINDOW, cap: int = 2000) -> DataFrame:
+    """The windows in which something is said or shown, with what it is; the first `cap` of a video. Their number is what shares of windows are taken of."""
     windows = sliding_windows(timeline_extent(videos, segments, frames), window, overlap, min_window)
     spoken = window_transcript(speaker_labels(segments, speakers), windows, window, overlap)
     seen = window_ocr(frames, ocr, windows, window, overlap)
@@ -96,7 +97,7 @@ def _windows_with_signals(videos, segments, speakers, frames, ocr, window, overl
 
 def fuse_segments(videos, segments, speakers, frames, ocr, window: float = WINDOW, overlap: float = OVERLAP, min_window: float = LEAST_WINDOW, cap: int = 2000, ratio: float = 0.6, min_windows: int = 4) -> DataFrame:
     """Time-aligned rows of what was said, shown and by whom; lines that stay on screen all along are removed."""
-    found = _windows_with_signals(videos, segments, speakers, frames, ocr, window, overlap, min_window, cap)
+    found = filled_windows(videos, segments, speakers, frames, ocr, window, overlap, min_window, cap)
     # one pass: rows are partitioned by video already, which serves the counts per line and the regrouping too
     rows = found.withColumn("n", F.count("*").over(Window.partitionBy("video_id"))).select("*", F.posexplode_outer("lines").alias("pos", "line"))
     seen = F.count("line").over(Window.partitionBy("video_id", "line"))

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import ahocorasick
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -69,27 +73,119 @@ def extraction_verdict(batches: DataFrame, failed: DataFrame) -> DataFrame:
     return found.withColumn("fails", F.col("n_failed") > 0)
 
 
-def _hit(blob: Column, groups: Column) -> Column:
-    return F.exists(groups, lambda g: F.forall(g, lambda term: F.contains(blob, F.lower(term))))
+class Terms:
+    """The different terms of some rules, each a list of groups of terms, and one automaton that finds them all."""
+
+    def __init__(self, *rules: list[list[list[str | None]]]):
+        self.number: dict[str, int] = {}
+        # a group with a null term is never met
+        self.rules = [[[{self.number.setdefault(t, len(self.number)) for t in group} for group in groups or () if group is not None and None not in group] for groups in some] for some in rules]
+        self.automaton = ahocorasick.Automaton()
+        for term, n in self.number.items():
+            if term:
+                self.automaton.add_word(term, n)
+        self.automaton.make_automaton()
+        self.reach = max([1, *(len(t) - 1 for t in self.number)])  # characters that a term may have on one side of a cut
+        self.always = {n for t, n in self.number.items() if not t}
+
+    def found(self, text: str) -> set[int]:
+        return {n for _, n in self.automaton.iter(text)} | self.always if len(self.automaton) else set(self.always)
+
+    def met(self, which: int, found: set[int]) -> list[int]:
+        return [n for n, groups in enumerate(self.rules[which]) if any(g <= found for g in groups)]
+
+
+_UNIT = "arm {}, rep {}, unit_id {}, procedure boolean, found array<int>, n_noise bigint, head string, tail string, short boolean"
+_PIECE = "arm {}, rep {}, unit_id {}, n_units bigint, n_procedures bigint, n_noise bigint, found array<int>, head string, tail string, short boolean"
+
+
+def _scan_units(terms: Terms) -> Callable:
+    """Of each unit the terms in it, the noise rules it meets, and its ends."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            found = [terms.found(b) for b in frame["blob"]]
+            yield frame.drop(columns="blob").assign(
+                found=[sorted(f) for f in found], n_noise=[len(terms.met(1, f)) for f in found],
+                head=frame["blob"].str.slice(0, terms.reach), tail=frame["blob"].str.slice(-terms.reach), short=frame["blob"].str.len() <= terms.reach,
+            )
+
+    return run
+
+
+class _Joined:
+    """Texts joined by blanks, of which only the ends are held: what stands in them, and across their cuts."""
+
+    def __init__(self, terms: Terms):
+        self.terms, self.found, self.head, self.tail, self.short = terms, set(terms.always), None, "", True
+
+    def add(self, found: list[int], head: str, tail: str, short: bool) -> None:
+        reach = self.terms.reach
+        self.found.update(found)
+        if self.head is None:
+            self.head, self.tail, self.short = head, tail, short
+            return
+        across = f"{self.tail} {head}"
+        self.found |= self.terms.found(across)
+        if self.short:
+            self.head = f"{self.head} {head}"
+            self.short = short and len(self.head) <= reach
+            self.head = self.head[:reach]
+        self.tail = across[-reach:] if short else tail
+
+
+def _scan_pieces(terms: Terms) -> Callable:
+    """Of each stretch of units of a run that lies in one task: sums, the terms in it, and its ends."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, first, sums, text = None, None, [0, 0, 0], _Joined(terms)
+
+        def piece() -> pd.DataFrame:
+            return pd.DataFrame([[*key, first, *sums, sorted(text.found), text.head, text.tail, text.short]], columns=["arm", "rep", "unit_id", "n_units", "n_procedures", "n_noise", "found", "head", "tail", "short"])
+
+        for frame in frames:
+            for r in frame.itertuples(index=False):
+                if key != (r.arm, r.rep):
+                    if key is not None:
+                        yield piece()
+                    key, first, sums, text = (r.arm, r.rep), r.unit_id, [0, 0, 0], _Joined(terms)
+                sums = [sums[0] + 1, sums[1] + bool(r.procedure), sums[2] + r.n_noise]
+                text.add(r.found, r.head, r.tail, r.short)
+        if key is not None:
+            yield piece()
+
+    return run
 
 
 def fact_recall(units: DataFrame, facts: DataFrame, noise: DataFrame) -> DataFrame:
-    """(arm, rep, n_units, n_procedures, facts, n_facts, n_noise) of extracted units; facts and noise rules are small lists.
+    """(arm, rep, n_units, n_procedures, facts, n_facts, n_noise) of extracted units; facts and noise rules are short lists.
 
-    The lists (label, any_of) are broadcast; they are written by hand and their rows are checked.
+    A fact is found where all terms of one of its groups stand in the texts of the run, joined by blanks in the order of
+    their units. One automaton finds the terms of all rules in each unit. Terms that cross from one unit into the next are
+    found in the ends of units, which are all that is sorted: no task holds the texts of a run, and a run with most of
+    the units is cut into as many pieces as the sort has tasks. The lists (label, any_of) are written by hand; their rows are checked.
     """
-    text = F.lower(F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("content", F.lit(""))))
-    unit = units.select("arm", "rep", "unit_id", "type", text.alias("blob"))
-    runs = unit.groupBy("arm", "rep").agg(
-        F.count("*").alias("n_units"), F.count(F.when(F.col("type") == "PROCEDURE", 1)).alias("n_procedures"),
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("unit_id", "blob"))), lambda x: x["blob"]), " ").alias("blob"),
-    )
-    if facts.count() + noise.count() > 10_000:
+    rules = [x.select("label", F.transform("any_of", lambda g: F.transform(g, F.lower)).alias("any_of")).limit(10_001).collect() for x in (facts, noise)]
+    if sum(map(len, rules)) > 10_000:
         raise ValueError("facts and noise rules are meant to be short lists")
-    found = runs.join(F.broadcast(facts), _hit(F.col("blob"), F.col("any_of"))).groupBy("arm", "rep").agg(F.array_sort(F.collect_set("label")).alias("facts"))
-    noisy = unit.join(F.broadcast(noise), _hit(F.col("blob"), F.col("any_of"))).groupBy("arm", "rep").agg(F.count("*").alias("n_noise"))
-    scored = runs.drop("blob").join(found, ["arm", "rep"], "left").join(noisy, ["arm", "rep"], "left")
-    return scored.withColumn("facts", F.coalesce("facts", F.array().cast("array<string>"))).withColumn("n_facts", F.size("facts")).withColumn("n_noise", F.coalesce("n_noise", F.lit(0)))
+    terms, labels = Terms(*[[r.any_of for r in x] for x in rules]), [r.label for r in rules[0]]
+    text = F.lower(F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("content", F.lit(""))))
+    rows = units.select("arm", "rep", "unit_id", F.coalesce(F.col("type") == "PROCEDURE", F.lit(False)).alias("procedure"), text.alias("blob"))
+    types = [rows.schema[c].dataType.simpleString() for c in ("arm", "rep", "unit_id")]
+    order = ("arm", "rep", "unit_id", "head", "tail")
+    ends = rows.mapInPandas(_scan_units(terms), _UNIT.format(*types)).repartitionByRange("arm", "rep", "unit_id").sortWithinPartitions(*order)
+    pieces = ends.mapInPandas(_scan_pieces(terms), _PIECE.format(*types))
+
+    def whole(frame: pd.DataFrame) -> pd.DataFrame:
+        joined = _Joined(terms)
+        for r in frame.sort_values("unit_id").itertuples(index=False):
+            joined.add(r.found, r.head, r.tail, r.short)
+        met = sorted({labels[n] for n in terms.met(0, joined.found)} - {None})
+        sums = frame[["n_units", "n_procedures", "n_noise"]].sum()
+        return pd.DataFrame([[frame["arm"].iloc[0], frame["rep"].iloc[0], sums.iloc[0], sums.iloc[1], met, len(met), sums.iloc[2]]], columns=["arm", "rep", "n_units", "n_procedures", "facts", "n_facts", "n_noise"])
+
+    # as many rows a run as the sort has tasks
+    return pieces.groupBy("arm", "rep").applyInPandas(whole, f"arm {types[0]}, rep {types[1]}, n_units bigint, n_procedures bigint, facts array<string>, n_facts int, n_noise bigint")
 
 
 def compare_arms(scores: DataFrame) -> DataFrame:
@@ -104,6 +200,7 @@ def fact_hits(scores: DataFrame) -> DataFrame:
 
 
 def arm_delta(arms: DataFrame, one: str, other: str, floor: float = 3.0) -> DataFrame:
-    """Difference of mean facts found between two arms, and whether it lies within the noise floor."""
-    a, b = (arms.filter(F.col("arm") == x).select(F.col("mean_facts").alias(n)) for x, n in ((one, "a"), (other, "b")))
-    return a.join(b).select((F.col("a") - F.col("b")).alias("delta"), (F.abs(F.col("a") - F.col("b")) < floor).alias("within_floor"))
+    """Difference of mean facts found between two arms, and whether it lies within the noise floor; no row where an arm is missing."""
+    a, b = (F.max(F.when(F.col("arm") == x, F.col("mean_facts"))).alias(n) for x, n in ((one, "a"), (other, "b")))
+    both = arms.filter(F.col("arm").isin(one, other)).agg(a, b).filter("a IS NOT NULL AND b IS NOT NULL")
+    return both.select((F.col("a") - F.col("b")).alias("delta"), (F.abs(F.col("a") - F.col("b")) < floor).alias("within_floor"))

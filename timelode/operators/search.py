@@ -69,58 +69,102 @@ def search_units(units: DataFrame, videos: DataFrame, query_vec: list[float] | N
     return videos.select("video_id", "title", "channel_name").join(F.broadcast(near), "video_id", "right").orderBy(F.asc_nulls_last("distance"), "unit_id")
 
 
-QUERY_BLOCK = 1024
+#: Queries in a block, corpus vectors in a block, and bytes of queries that are broadcast at most; beyond that, blocks of both meet by a shuffle.
+QUERY_BLOCK, CORPUS_BLOCK, MOST_BROADCAST = 1024, 4096, 64 << 20
 
 
-def search_batch(corpus: DataFrame, queries: DataFrame, k: int = 10, metric: str = "l2", block_queries: int = QUERY_BLOCK) -> DataFrame:
-    """(query_id, id, distance, rank): exact top-k of many queries against (id, embedding).
+def search_batch(corpus: DataFrame, queries: DataFrame, k: int = 10, metric: str = "l2", block_queries: int = QUERY_BLOCK, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
+    """(query_id, id, distance, rank): exact top-k of many queries against (id, embedding), ties by id.
 
-    Queries are asked in blocks of bounded size: each block is broadcast, every Arrow batch of the corpus
-    is one matrix product that leaves k rows per query, and the rows of all tasks are ranked.
+    Queries and corpus are cut into blocks, which are rows with a matrix; the corpus is scanned once, whatever the
+    number of queries, and each of its blocks meets each block of queries in one matrix product. A task keeps the
+    best k of each query across all its blocks, so k rows a query and task are ranked. Vectors that are null or of
+    another length than the queries have no distance. Query ids are different from one another.
     """
-    queries = queries.select("query_id", "embedding").filter("embedding IS NOT NULL")
-    total, found = queries.count(), None
-    numbered = queries.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(max(1, -(-total // block_queries)))))
-    for block in range(max(1, -(-total // block_queries))):
-        part = numbered.filter(F.col("block") == block).toArrow()
-        near = corpus.select("id", "embedding").mapInArrow(_nearest(corpus, part, k, metric), f"query_id {queries.schema['query_id'].dataType.simpleString()}, id {corpus.schema['id'].dataType.simpleString()}, distance double")
-        found = near if found is None else found.unionByName(near)
+    asked = queries.select("query_id", "embedding").filter("embedding IS NOT NULL")
+    size = asked.agg(F.count("*").alias("n"), F.sum(F.size("embedding").cast("long") * 8).alias("bytes")).first()
+    blocks = max(1, -(-size.n // block_queries))
+    types = {"query_id": queries.schema["query_id"].dataType.simpleString(), "id": corpus.schema["id"].dataType.simpleString()}
+    dealt = asked.repartition(blocks, F.xxhash64("query_id"))
+    of_queries = dealt.mapInArrow(_blocks("query_id", block_queries), f"query_ids array<{types['query_id']}>, asked binary, dims int")
+    of_corpus = corpus.select("id", "embedding").mapInArrow(_blocks("id", CORPUS_BLOCK), f"ids array<{types['id']}>, vectors binary, corpus_dims int")
+    # a given set of queries against all rows, block by block: no pair of rows is emitted
+    met = of_corpus.join(F.broadcast(of_queries) if (size.bytes or 0) <= most_broadcast else of_queries, F.col("dims") == F.col("corpus_dims"))
+    near = met.mapInArrow(_nearest(k, metric), f"query_id {types['query_id']}, id {types['id']}, distance double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "id"))
-    return found.withColumn("rank", rank).filter(F.col("rank") <= k)
+    return near.withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
-def _matrix(column) -> np.ndarray:
-    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
-
-
-def _nearest(corpus: DataFrame, queries: pa.Table, k: int, metric: str) -> Callable:
-    asked = corpus.sparkSession.sparkContext.broadcast((queries["query_id"].combine_chunks(), _matrix(queries["embedding"].combine_chunks()) if len(queries) else np.zeros((0, 1))))
+def _blocks(name: str, most: int) -> Callable:
+    """Rows (ids, matrix, length of its rows) of up to `most` vectors; vectors of another length go to a block of their own."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, q = asked.value
-        if metric == "cosine":
-            q = q / np.linalg.norm(q, axis=1, keepdims=True)
         for batch in batches:
-            good = np.flatnonzero(batch.column("embedding").value_lengths().fill_null(-1).to_numpy() == q.shape[1])
-            if not len(good) or not len(q):
-                continue
-            batch = batch.take(pa.array(good))
-            x, out = _matrix(batch.column("embedding")), []
-            norms = (x * x).sum(axis=1)
-            if metric == "cosine":
-                rough = -(q @ x.T) / np.sqrt(norms)
-            else:
-                rough = norms - 2 * (q @ x.T)
-            slack = 1e-9 * (1 + np.abs(rough).max())
-            most = min(k, len(x))
-            for i, row in enumerate(rough):
-                # one matrix product finds who may be near; their distances are then taken anew, exact for equal vectors
-                near = np.flatnonzero(row <= np.partition(row, most - 1)[most - 1] + slack)
-                d = 1 + row[near] if metric == "cosine" else np.sqrt(((x[near] - q[i]) ** 2).sum(axis=1))
-                best = d <= np.partition(d, most - 1)[most - 1]  # ties stay for the ranking by id
-                out.append((np.full(best.sum(), i), near[best], d[best]))
-            rows, at, d = (np.concatenate([o[j] for o in out]) for j in range(3))
-            yield pa.RecordBatch.from_arrays([ids.take(pa.array(rows)), batch.column("id").take(pa.array(at)), pa.array(d)], ["query_id", "id", "distance"])
+            sizes = batch.column("embedding").value_lengths().fill_null(0).to_numpy()
+            for dims in np.unique(sizes[sizes > 0]):
+                rows = np.flatnonzero(sizes == dims)
+                for at in range(0, len(rows), most):
+                    part = batch.take(pa.array(rows[at : at + most]))
+                    matrix = part.column("embedding").flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+                    ids = pa.ListArray.from_arrays(pa.array([0, part.num_rows], pa.int32()), part.column(name))
+                    yield pa.RecordBatch.from_arrays([ids, pa.array([matrix.tobytes()], pa.binary()), pa.array([dims], pa.int32())], ["ids", "matrix", "dims"])
+
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["query_ids", "asked", "dims"] if name == "query_id" else ["ids", "vectors", "corpus_dims"]
+        return (b.rename_columns(names) for b in run(batches))
+
+    return named
+
+
+class _Best:
+    """The k nearest so far of each query of a block, by (distance, id)."""
+
+    def __init__(self, query_ids: pa.Array, q: np.ndarray, k: int, metric: str):
+        self.query_ids, self.k, self.metric = query_ids, k, metric
+        self.q = q / np.linalg.norm(q, axis=1, keepdims=True) if metric == "cosine" else q
+        self.bound = np.full(len(q), np.inf)
+        self.held: pa.Table | None = None
+
+    def see(self, ids: pa.Array, x: np.ndarray) -> None:
+        norms, product = (x * x).sum(axis=1), self.q @ x.T
+        rough = 1 - product / np.sqrt(norms) if self.metric == "cosine" else norms - 2 * product + (self.q * self.q).sum(axis=1)[:, None]
+        # one matrix product finds who may be near; their distances are then taken anew, exact for equal vectors
+        slack = 1e-9 * (1 + np.abs(rough).max())
+        most = min(self.k, len(x))
+        bound = np.minimum(np.partition(rough, most - 1, axis=1)[:, most - 1], self.bound if self.metric == "cosine" else self.bound**2)
+        row, at = np.nonzero(rough <= bound[:, None] + slack)
+        d = rough[row, at] if self.metric == "cosine" else self._exact(row, at, x)
+        new = pa.table({"row": pa.array(row), "distance": pa.array(d), "id": ids.take(pa.array(at))})
+        both = (pa.concat_tables([self.held, new]) if self.held else new).sort_by([("row", "ascending"), ("distance", "ascending"), ("id", "ascending")])
+        rows = both["row"].to_numpy()
+        place = np.arange(len(rows)) - np.searchsorted(rows, rows)
+        self.held = both.take(pa.array(np.flatnonzero(place < self.k)))
+        rows = self.held["row"].to_numpy()
+        last = np.flatnonzero(np.arange(len(rows)) - np.searchsorted(rows, rows) == self.k - 1)
+        self.bound[rows[last]] = self.held["distance"].to_numpy()[last]
+
+    def _exact(self, row: np.ndarray, at: np.ndarray, x: np.ndarray, portion: int = 1 << 14) -> np.ndarray:
+        parts = [np.sqrt(((x[at[i : i + portion]] - self.q[row[i : i + portion]]) ** 2).sum(axis=1)) for i in range(0, len(row), portion)]
+        return np.concatenate(parts) if parts else np.zeros(0)
+
+    def rows(self) -> pa.RecordBatch:
+        held = self.held.combine_chunks()
+        return pa.RecordBatch.from_arrays([self.query_ids.take(held["row"].combine_chunks()), held["id"].combine_chunks(), held["distance"].combine_chunks()], ["query_id", "id", "distance"])
+
+
+def _nearest(k: int, metric: str) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict = {}
+        for batch in batches:
+            for ids, vectors, query_ids, asked, dims in zip(*(batch.column(c) for c in ("ids", "vectors", "query_ids", "asked", "dims")), strict=True):
+                if not len(query_ids.values):
+                    continue
+                block = (query_ids.values[0].as_py(), dims.as_py())  # a query stands in one block only
+                if block not in best:
+                    best[block] = _Best(query_ids.values, np.frombuffer(asked.as_buffer(), np.float64).reshape(-1, dims.as_py()), k, metric)
+                best[block].see(ids.values, np.frombuffer(vectors.as_buffer(), np.float64).reshape(-1, dims.as_py()))
+        for found in best.values():
+            yield found.rows()
 
     return run
 

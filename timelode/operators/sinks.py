@@ -1,8 +1,12 @@
-"""Writers: replace by video, upsert, append, cascade."""
+"""Writers: replace by video, upsert, append, cascade, merges into buckets."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import json
+import uuid
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -90,3 +94,70 @@ def cascade_delete(tables: dict[str, DataFrame], kind: str, ids: DataFrame) -> d
         else:
             out[name] = out[name].join(hit, column, "left_anti")
     return out
+
+
+class BucketedTable:
+    """A Parquet table in hash buckets of its key, into which batches are merged: only buckets with a key of the batch are read and written.
+
+    A merge writes the new buckets beside the old ones and then, by one rename, a manifest that names each bucket's
+    folder and the batch. A reader sees the last manifest, so a merge that breaks off changes nothing, and a batch
+    that the manifest already holds (batch numbers ascend) is not merged again. One writer at a time.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, schema: str, key: list[str], buckets: int = 64):
+        self.spark, self.path, self.schema, self.key, self.buckets = spark, path.rstrip("/"), schema, key, buckets
+        jvm = spark._jvm.org.apache.hadoop.fs
+        self._at = lambda name: jvm.Path(f"{self.path}/{name}")
+        self._files = self._at("").getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def manifest(self) -> dict:
+        """The number of merges, the last batch and the folder of each bucket that has rows."""
+        folder = self._at("manifests")
+        names = [int(f.getPath().getName()) for f in self._files.listStatus(folder) if f.getPath().getName().isdigit()] if self._files.exists(folder) else []
+        if not names:
+            return {"merges": 0, "batch": None, "folders": {}}
+        return json.loads(self.spark.read.option("wholetext", True).text(f"{self.path}/manifests/{max(names)}").first().value)
+
+    def _read(self, folders: list[str]) -> DataFrame:
+        return self.spark.read.schema(self.schema).parquet(*[f"{self.path}/{f}" for f in folders]) if folders else self.spark.createDataFrame([], self.schema)
+
+    def read(self) -> DataFrame:
+        return self._read(list(self.manifest()["folders"].values()))
+
+    def merge(self, changes: DataFrame, merged: Callable[[DataFrame, DataFrame], DataFrame], batch: int | None = None) -> list[int]:
+        """The buckets written. merged(old, new) gets the rows of the touched buckets and the changes, and keeps to keys of either."""
+        now = self.manifest()
+        if batch is not None and now["batch"] is not None and batch <= now["batch"]:
+            return []
+        bucket = F.pmod(F.xxhash64(*self.key), F.lit(self.buckets)).cast("int")
+        touched = [r.bucket for r in changes.select(bucket.alias("bucket")).distinct().collect()]  # at most `buckets` numbers
+        old = self._read([now["folders"][str(b)] for b in touched if str(b) in now["folders"]])
+        data = f"data/{now['merges'] + 1}-{uuid.uuid4().hex[:8]}"
+        rows = merged(old, changes)
+        if touched:
+            rows.withColumn("_bucket", bucket).repartition(len(touched), "_bucket").write.partitionBy("_bucket").parquet(f"{self.path}/{data}")
+        written = {f.getPath().getName().removeprefix("_bucket="): f"{data}/{f.getPath().getName()}" for f in self._files.listStatus(self._at(data)) if f.isDirectory()} if touched else {}
+        folders = {b: f for b, f in now["folders"].items() if int(b) not in touched} | written
+        self._commit(now["merges"] + 1, {"merges": now["merges"] + 1, "batch": now["batch"] if batch is None else batch, "folders": folders})
+        return sorted(touched)
+
+    def _commit(self, number: int, manifest: dict) -> None:
+        draft = self._at(f"manifests/.{uuid.uuid4().hex}")
+        out = self._files.create(draft, False)
+        out.write(bytearray(json.dumps(manifest).encode()))
+        out.close()
+        if not self._files.rename(draft, self._at(f"manifests/{number}")):
+            raise RuntimeError(f"{self.path} has been changed by another writer")
+
+    def vacuum(self) -> int:
+        """Removes what the last manifest doesn't name; to be run while nobody reads. How many folders went."""
+        now, gone = self.manifest(), 0
+        kept = set(now["folders"].values())
+        for data in self._files.listStatus(self._at("data")) if self._files.exists(self._at("data")) else []:
+            for f in self._files.listStatus(data.getPath()):
+                if f.isDirectory() and f"data/{data.getPath().getName()}/{f.getPath().getName()}" not in kept:
+                    gone += bool(self._files.delete(f.getPath(), True))
+        for f in self._files.listStatus(self._at("manifests")):
+            if f.getPath().getName() != str(now["merges"]):
+                self._files.delete(f.getPath(), False)
+        return gone

@@ -138,9 +138,9 @@ ORACLES = {
     "sliding_windows": sql("SELECT * FROM windows", "windows"),
     "window_transcript": sql("SELECT s.video_id, s.k, transcript_text, coalesce(speaker_labels, '') AS speaker_labels FROM spoken s LEFT JOIN labelled l USING (video_id, k)", "spoken", "labelled"),
     "window_ocr": sql("SELECT video_id, k, string_agg(line, chr(10) ORDER BY p) AS lines FROM shown GROUP BY ALL", "shown"),
-    "chrome_lines": sql("SELECT video_id, line FROM (SELECT video_id, line, count(*) AS seen FROM shown GROUP BY ALL) JOIN (SELECT video_id, count(*) AS n FROM windows GROUP BY 1) USING (video_id) WHERE n >= 4 AND seen >= 0.6::DOUBLE * n", "shown"),
+    "chrome_lines": sql("SELECT video_id, line FROM (SELECT video_id, line, count(*) AS seen FROM shown GROUP BY ALL) JOIN (SELECT video_id, count(*) AS n FROM filled GROUP BY 1) USING (video_id) WHERE n >= 4 AND seen >= 0.6::DOUBLE * n", "shown", "filled"),
     "chrome_savings": sql("""SELECT video_id, sum(length(line))::BIGINT AS before, coalesce(sum(length(line)) FILTER (c IS NULL), 0)::BIGINT AS after, CASE WHEN sum(length(line)) > 0 THEN ((sum(length(line)) - coalesce(sum(length(line)) FILTER (c IS NULL), 0)) * 100 // sum(length(line)))::BIGINT ELSE 0 END AS percent
-      FROM shown LEFT JOIN (SELECT video_id, line, 1 AS c FROM (SELECT video_id, line, count(*) AS seen FROM shown GROUP BY ALL) JOIN (SELECT video_id, count(*) AS n FROM windows GROUP BY 1) USING (video_id) WHERE n >= 4 AND seen >= 0.6::DOUBLE * n) USING (video_id, line) GROUP BY 1""", "shown"),
+      FROM shown LEFT JOIN (SELECT video_id, line, 1 AS c FROM (SELECT video_id, line, count(*) AS seen FROM shown GROUP BY ALL) JOIN (SELECT video_id, count(*) AS n FROM filled GROUP BY 1) USING (video_id) WHERE n >= 4 AND seen >= 0.6::DOUBLE * n) USING (video_id, line) GROUP BY 1""", "shown", "filled"),
     "fuse_segments": sql("SELECT * FROM fused", "fused"),
     "signal_union": sql("SELECT video_id, count(moment) AS n_signals FROM (SELECT video_id, e AS moment FROM segments UNION ALL SELECT video_id, ts FROM frames UNION ALL SELECT doc_id, NULL FROM documents) GROUP BY 1", "segments", "frames"),
     "build_frames": sql("""SELECT f.video_id, f.frame_index::INT AS frame_index, coalesce(l.pts, 0.0) AS timestamp_seconds, 'f' || lpad(f.frame_index::VARCHAR, 4, '0') AS file_path, CASE WHEN l.pts IS NOT NULL THEN 640 END AS width, CASE WHEN l.pts IS NOT NULL THEN 360 END AS height,
@@ -200,8 +200,11 @@ ORACLES = {
     "item_events": sql("SELECT event_id, item_id, event_type, count(*) OVER () AS total FROM ev WHERE item_id = 7 ORDER BY occurred_at, event_id LIMIT 20 OFFSET 20", "ev"),
     "run_events": sql("SELECT event_id, run_id, event_type, count(*) OVER () AS total FROM ev WHERE run_id = 7 ORDER BY occurred_at, event_id LIMIT 100", "ev"),
     "event_tail": sql("SELECT event_id, item_id FROM (SELECT *, row_number() OVER (ORDER BY occurred_at, event_id) - 1 AS r, count(*) OVER () AS n FROM ev WHERE run_id = 7) WHERE r >= greatest(0, (n + 49) // 50 - 4) * 50", "ev"),
-    "items_from_events": sql("""SELECT item_id, e.run_id, status, CASE WHEN status IN ('COMPLETED', 'FAILED') THEN 'DONE' WHEN status = 'PENDING' THEN 'CREATED' ELSE e.phase END AS phase, CASE WHEN status = 'FAILED' THEN e.phase END AS failed_phase, e.attempt::INT AS attempt, e.occurred_at AS phase_updated_at
-      FROM (SELECT item_id, e, CASE e.event_type WHEN 'ITEM_COMPLETED' THEN 'COMPLETED' WHEN 'ITEM_FAILED' THEN 'FAILED' WHEN 'ITEM_CREATED' THEN 'PENDING' ELSE 'IN_PROGRESS' END AS status FROM (SELECT item_id, arg_max(struct_pack(run_id, event_type, phase, attempt, occurred_at), (occurred_at, event_id)) AS e FROM ev GROUP BY 1))""", "ev"),
+    "items_from_events": sql("""SELECT item_id, e.run_id, CASE WHEN retried IS NULL OR v.moment > retried THEN v.video_id END AS video_id, status, CASE WHEN status IN ('COMPLETED', 'FAILED') THEN 'DONE' WHEN status = 'PENDING' THEN 'CREATED' ELSE e.phase END AS phase,
+        CASE WHEN status = 'FAILED' THEN e.phase END AS failed_phase, e.attempt::INT AS attempt, CASE WHEN status = 'FAILED' THEN e.error_code END AS error_code, CASE WHEN status = 'FAILED' THEN e.error END AS error, e.occurred_at AS phase_updated_at
+      FROM (SELECT *, CASE e.kind WHEN 'ITEM_COMPLETED' THEN 'COMPLETED' WHEN 'ITEM_FAILED' THEN 'FAILED' WHEN 'ITEM_CREATED' THEN 'PENDING' WHEN 'ITEM_RETRY_REQUESTED' THEN 'PENDING' ELSE 'IN_PROGRESS' END AS status FROM (
+        SELECT item_id, arg_max(struct_pack(run_id, kind, phase, attempt, occurred_at, error_code, error), moment) AS e, arg_max(struct_pack(video_id, moment), moment) FILTER (kind = 'ITEM_VIDEO_ATTACHED') AS v, max(moment) FILTER (kind = 'ITEM_RETRY_REQUESTED') AS retried
+        FROM (SELECT *, (occurred_at, event_id) AS moment, event_id % 1000 AS video_id, 'error ' || event_id % 50 AS error, CASE WHEN event_type = 'ITEM_PHASE_ENTERED' AND event_id % 3 = 0 THEN 'ITEM_VIDEO_ATTACHED' WHEN event_type = 'ITEM_CREATED' AND event_id % 4 = 0 THEN 'ITEM_RETRY_REQUESTED' ELSE event_type END AS kind FROM ev) GROUP BY 1))""", "ev"),
     "intake_urls": sql("SELECT req_id, pos, url, CASE WHEN NOT regexp_matches(url, '^https?://') THEN 'url must start with http:// or https://' WHEN row_number() OVER (PARTITION BY req_id, url ORDER BY pos) > 1 THEN 'duplicate url in request' ELSE 'ACCEPTED' END AS verdict FROM req", "req"),
     "transition_events": sql("SELECT item_id, 'ITEM_FAILED' AS event_type, attempt::INT AS attempt, coalesce(failed_phase, phase) AS phase, status FROM laneitems WHERE status = 'FAILED'", "laneitems"),
     "run_previews": sql("""SELECT run_id, count(*) AS n_videos, arg_min(video_id, o) AS video_id, arg_min(title, o) AS title FROM (SELECT i.run_id, i.video_id, v.title, (CASE v.status WHEN 'COMPLETED' THEN 0 WHEN 'PROCESSING' THEN 1 WHEN 'TRANSCRIBING' THEN 2 WHEN 'DOWNLOADED' THEN 3 WHEN 'DOWNLOADING' THEN 4 WHEN 'EXTRACTING' THEN 5 WHEN 'PENDING' THEN 6 ELSE 7 END, v.created_at IS NULL, coalesce(v.created_at, TIMESTAMP '2000-01-01'), i.video_id) AS o
@@ -292,8 +295,11 @@ ORACLES["fuse_job"] = sql(
       ON a.video_id = w.video_id AND a.e > w.window_start AND a.s < w.window_end WHERE a.label IS NOT NULL GROUP BY ALL) GROUP BY ALL) g ON g.video_id = f.video_id AND g.k = f.start_seconds / 25""",
     "fused", "windows", "segments", "turns",
 )
-ORACLES["stream_run_status"] = f"""SELECT run_id, CASE WHEN live THEN 'IN_PROGRESS' WHEN failed THEN 'FAILED' ELSE 'COMPLETED' END AS status, CASE WHEN live THEN 'CREATED' ELSE 'DONE' END AS phase
-  FROM (SELECT run_id, bool_or(status IN ('PENDING', 'IN_PROGRESS')) AS live, bool_or(status = 'FAILED') AS failed FROM ({ORACLES['items_from_events']}) GROUP BY 1)"""
+ORACLES["stream_run_status"] = sql(
+    """SELECT run_id, CASE WHEN live THEN 'IN_PROGRESS' WHEN failed THEN 'FAILED' ELSE 'COMPLETED' END AS status, CASE WHEN live THEN 'CREATED' ELSE 'DONE' END AS phase
+      FROM (SELECT run_id, bool_or(kind NOT IN ('ITEM_COMPLETED', 'ITEM_FAILED')) AS live, bool_or(kind = 'ITEM_FAILED') AS failed FROM (SELECT item_id, arg_max(run_id, (occurred_at, event_id)) AS run_id, arg_max(event_type, (occurred_at, event_id)) AS kind FROM ev GROUP BY 1) GROUP BY 1)""",
+    "ev",
+)
 ORACLES["channel_job"] = sql(
     """SELECT channel_id, youtube_video_id FROM (SELECT channel_id::VARCHAR AS channel_id, youtube_video_id FROM cat
       UNION SELECT l_suppkey::VARCHAR, CASE WHEN l_partkey % 5 > 0 THEN l_partkey::VARCHAR ELSE 'u' || l_partkey END FROM lineitem WHERE l_partkey % 10 > 0) ANTI JOIN ing USING (youtube_video_id)""",

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -60,7 +61,8 @@ def window_ocr(t):
 
 def _chrome(t):
     lines = fusion.window_ocr(t.frames(), t.ocr(), _windows(t))
-    return lines, fusion.chrome_lines(lines, _windows(t).groupBy("video_id").agg(F.count("*").alias("n")))
+    filled = fusion.filled_windows(t.videos(), t.segments(), t.speakers(), t.frames(), t.ocr())
+    return lines, fusion.chrome_lines(lines, filled.groupBy("video_id").agg(F.count("*").alias("n")))
 
 
 @query
@@ -365,7 +367,10 @@ def event_tail(t):
 
 @query
 def items_from_events(t):
-    return events.items_from_events(t.events())
+    """Some events of the table stand for videos attached and for retries, so that every field has its own newest event."""
+    log, n = t.events(), F.col("event_id")
+    kind = F.when((F.col("event_type") == "ITEM_PHASE_ENTERED") & (n % 3 == 0), "ITEM_VIDEO_ATTACHED").when((F.col("event_type") == "ITEM_CREATED") & (n % 4 == 0), "ITEM_RETRY_REQUESTED").otherwise(F.col("event_type"))
+    return events.items_from_events(log.withColumns({"event_type": kind, "video_id": F.when(kind == "ITEM_VIDEO_ATTACHED", n % 1000), "error": F.when(F.col("event_type") == "ITEM_FAILED", F.concat(F.lit("error "), n % 50))}))
 
 
 @query
@@ -662,11 +667,14 @@ def storage_path(t):
 
 
 def _stream_root(t: Tables, label: str) -> str:
-    """A new folder in the shared checkpoint folder, or in the session's temporary folder where none is named."""
+    """A new folder in the shared checkpoint folder; in a local session that names none, in a temporary folder."""
     import tempfile
     import uuid
 
-    shared = t.spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='timelode-')}"
+    shared = t.spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not re.match(r"local(\[|$)", t.spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    shared = shared or f"file://{tempfile.mkdtemp(prefix='timelode-')}"
     return f"{shared.rstrip('/')}/{label}-{uuid.uuid4().hex[:12]}"
 
 
@@ -720,40 +728,32 @@ def stream_phase_durations(t):
 
 @query
 def stream_stuck_items(t):
-    return _plain_times(_run_stream(t, jobs.stream_stuck_items(_raw_stream(t), "36 hours"), "stuck"))
+    with jobs.keyed_state(t.spark):
+        return _plain_times(_run_stream(t, jobs.stream_stuck_items(_raw_stream(t), "36 hours"), "stuck"))
 
 
 @query
 def stream_run_status(t):
-    """Runs rolled up from an item table that every micro-batch is merged into."""
-    root, last = _stream_root(t, "status"), []
-
-    def write(items: DataFrame) -> None:
-        path = f"{root}/items-{len(last)}"
-        items.write.parquet(path)
-        last.append(path)
-
-    apply = jobs.run_status_batch(lambda: t.spark.read.parquet(last[-1]) if last else None, write)
-    _raw_stream(t).writeStream.option("checkpointLocation", f"{root}/state").foreachBatch(apply).trigger(availableNow=True).start().awaitTermination()
-    return jobs.runs_of(t.spark.read.parquet(last[-1])).select("run_id", "status", "phase")
+    """Runs rolled up by keyed state; each micro-batch puts the touched runs into their buckets."""
+    root = _stream_root(t, "status")
+    table = jobs.run_table(t.spark, f"{root}/runs")
+    sink = jobs.stream_run_status(_raw_stream(t)).writeStream.option("checkpointLocation", f"{root}/state").outputMode("update").foreachBatch(jobs.run_status_batch(table))
+    with jobs.keyed_state(t.spark):
+        sink.trigger(availableNow=True).start().awaitTermination()
+    return jobs.runs_of(table.read())
 
 
 @query
 def stream_channel_sync(t):
-    """The catalog after candidates that arrive as a stream are merged."""
-    root, last = _stream_root(t, "sync"), []
-    schema = t.raw("lineitem").schema
-    rows = t.spark.readStream.schema(schema).option("pathGlobFilter", "lineitem.parquet").parquet(t.root)
+    """The catalog after candidates that arrive as a stream are merged into its buckets."""
+    root = _stream_root(t, "sync")
+    rows = t.spark.readStream.schema(t.raw("lineitem").schema).option("pathGlobFilter", "lineitem.parquet").parquet(t.root)
     candidates = rows.select(F.col("l_suppkey").alias("channel_id"), F.struct("l_orderkey", "l_linenumber", "l_partkey").alias("pos"), F.col("l_partkey").cast("string").alias("youtube_video_id"), F.lit("new").alias("title"), F.col("l_shipdate").alias("published_at"), F.lit("w").alias("watch_url"), F.lit("{}").alias("metadata"))
-
-    def write(merged: DataFrame) -> None:
-        path = f"{root}/catalog-{len(last)}"
-        merged.write.parquet(path)
-        last.append(path)
-
-    apply = jobs.channel_sync_batch(lambda: t.spark.read.parquet(last[-1]) if last else t.catalog(), write, now())
-    candidates.writeStream.option("checkpointLocation", f"{root}/state").foreachBatch(apply).trigger(availableNow=True).start().awaitTermination()
-    return t.spark.read.parquet(last[-1]).select("channel_id", "youtube_video_id", "title", "published_at")
+    known = t.catalog()
+    table = jobs.catalog_table(t.spark, f"{root}/catalog", ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in known.schema), buckets=16)
+    table.merge(known, lambda old, new: new)
+    candidates.writeStream.option("checkpointLocation", f"{root}/state").foreachBatch(jobs.channel_sync_batch(table, now())).trigger(availableNow=True).start().awaitTermination()
+    return table.read().select("channel_id", "youtube_video_id", "title", "published_at")
 
 
 # whole jobs
