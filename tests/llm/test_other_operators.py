@@ -361,3 +361,27 @@ def test_packed_order_keeps_to_the_weights(spark):
     for source, share in (("a", 4 / 7), ("b", 2 / 7), ("none", 1 / 7)):
         assert np.abs(np.cumsum(of == source)[:600] - n * share).max() < 8 + 64
     assert (of[:600] == "none").sum() > 0 and (of[:600] == "b").sum() > 100
+
+
+@pytest.mark.parametrize(("n", "dims", "at"), [(20_000, 64, 0.94)])
+def test_sparse_links_in_a_large_label_are_found(spark, n, dims, at):
+    """One label of vectors that have nothing to do with one another, and forty pairs near the threshold."""
+    rng = np.random.default_rng(8)
+    x = rng.standard_normal((n, dims))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    for i in range(40):
+        across = rng.standard_normal(dims)
+        across -= across @ x[i] * x[i]
+        x[n - 1 - i] = at * x[i] + math.sqrt(1 - at * at) * across / np.linalg.norm(across)
+    rows = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int").repartition(8)
+    got = {r.vec_id: (r.n_links, r.component_id) for r in nndescent.embedding_groups(rows).filter("n_links > 0").collect()}
+    found = sum((n - 1 - i) in got and got[n - 1 - i] == (1, i) for i in range(40))
+    assert set(got) <= {*range(40), *range(n - 40, n)} and found >= 38
+
+
+def test_a_sample_without_links_measures_nothing(spark):
+    rows = spark.createDataFrame([(i, np.eye(64)[i].tolist(), 1) for i in range(64)], "id long, vec array<double>, label int")
+    nodes = common.save(nndescent.fold(rows), "nodes")
+    graph, recall = nndescent.neighbour_graph(nodes)
+    assert recall is None and graph.filter("sim >= 0.93").count() == 0
+    assert nndescent.seed_orders(nodes, 0.93) == nndescent.SEED_ORDERS and nndescent.seed_orders(nodes, 0.93, block=4) > nndescent.SEED_ORDERS

@@ -293,3 +293,32 @@ def test_share_at_the_ratio(spark):
     rows = [(i, "h", f"own {i}\n{'ten' if i < 10 else ''}\n{'eleven' if i < 11 else ''}") for i in range(100)]
     got = lines.drop_boilerplate(spark.createDataFrame(rows, "doc_id long, source string, text string")).filter("doc_id = 0").first()
     assert got.text == "own 0\nten" and got["_n_dropped"] == 1
+
+
+@pytest.mark.parametrize(
+    ("text", "labels", "required"),
+    [
+        ("/* SPDX-License-Identifier: GPL-2.0 */ and the rest", {"gpl-2"}, {"gpl-2"}),
+        ("SPDX-License-Identifier: MIT. Or contact us", {"mit"}, {"mit"}),
+        ("SPDX-License-Identifier: MIT SPDX-License-Identifier: Apache-2.0", {"mit", "apache-2"}, {"mit", "apache-2"}),
+        ("SPDX-License-Identifier: MIT or SPDX-License-Identifier: Zlib", {"mit", "zlib"}, {"mit", "zlib"}),
+        ("SPDX-License-Identifier: MIT, or Zlib", {"mit"}, {"mit"}),
+        ("SPDX-License-Identifier: GPL-2.0 and the rest", {"gpl-2"}, {"gpl-2"}),
+        ("# SPDX-License-Identifier: (MIT OR Zlib) AND X11-like", {"mit", "zlib", "x11-like"}, {"x11-like"}),
+        ("SPDX-License-Identifier: GPL-2.0+ WITH Classpath-exception-2.0 -- see file", {"gpl-2"}, {"gpl-2"}),
+        ("SPDX-License-Identifier:", set(), set()),
+        ("SPDX-License-Identifier: */ MIT", set(), set()),
+    ],
+)
+def test_expressions_end_where_they_end(text, labels, required):
+    found = licenses.scan(text.encode())
+    assert set(found["labels"]) == labels and set(found["required"]) == required
+
+
+def test_context_words_are_whole_words():
+    ssn = lambda t: [s[:3] for s in pii.spans_of(t) if s[0] == "ssn"]
+    assert ssn("The syntax of 123-45-6789") == [] and ssn("taxi 123-45-6789") == [] and ssn(f"{'x' * 60}syntax{' ' * 37}123-45-6789") == []
+    assert ssn("tax 123-45-6789") == [("ssn", 4, 15)] and ssn("123-45-6789 (SSN)") == [("ssn", 0, 11)] and ssn(f"tax{' ' * 37}123-45-6789") == [("ssn", 40, 51)]
+    assert ssn("tax serial 123-45-6789") == [] and ssn("serial tax 123-45-6789 ") == []
+    near, far = (pii.score(t, "phone", t.index("+"), len(t)) for t in ("phone +49301234567", f"phone{' ' * 30}+49301234567"))
+    assert 0.6 < far < near <= 1.0 and pii.score("ship 1.2.3.4", "ip", 5, 12) == pii.PRIOR["ip"] and pii.score("version 1.2.3.4", "ip", 8, 15) < pii.PRIOR["ip"]

@@ -2,9 +2,11 @@
 
 Texts are lower-cased (A-Z only) and cut into words; an automaton runs over the words joined by single
 spaces, so a phrase is found wherever its words stand consecutively. Another finds the identifier tags in
-the text itself; the expression behind a tag (``and``, ``or``, ``with``, brackets) is evaluated, to the end
-of its line, to the licences that it names and to those that bind whichever alternative is taken
-(``required``, which notices always are). One Arrow map, no shuffle.
+the text itself; the expression behind a tag (``and``, ``or``, ``with``, brackets) is evaluated to the licences
+that it names and to those that bind whichever alternative is taken (``required``, which notices always are).
+An expression ends with its line, at anything that is neither identifier, bracket nor blank (the end of a comment, a
+comma, a colon), at a full stop, and where a word behind an operator is no identifier: one of a known family, with a
+digit or hyphen, or in ONE_WORD. One Arrow map, no shuffle.
 
 Null and empty texts have no words and no labels. Repeated rows get a result each; labels are sorted, so
 ties have no say; texts are read whole, in time linear in their length; an empty table gives no rows. No
@@ -44,7 +46,9 @@ TAGS = ("spdx-license-identifier:", "spdx-licence-identifier:")
 #: Families of identifiers: the label for an identifier that starts so.
 FAMILIES = {"mit": "mit", "apache-2": "apache-2", "cc-by-nc": "cc-by-nc", "gpl-2": "gpl-2", "gpl-3": "gpl-3", "lgpl": "lgpl", "agpl": "agpl", "mpl-2": "mpl-2", "bsd": "bsd", "isc": "isc", "unlicense": "unlicense"}
 PRECEDENCE = {"or": 1, "and": 2, "with": 3}
-TOKEN = re.compile(rb"[()]|[a-z0-9.+-]+")
+#: Identifiers of one word without a digit that are no family; fixed values of the public list of licence identifiers.
+ONE_WORD = frozenset("aladdin beerware curl eupl gfdl ijg imlib info-zip intel json libpng libtiff ncsa nokia openssl php postgresql python qpl ruby sissl sleepycat tcl vim wtfpl xnet zed zend zlib none noassertion".split())
+TOKEN = re.compile(rb"[ \t]*([()]|[a-z0-9][a-z0-9.+-]*+(?!:))")
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _WORDS = bytes(c if 48 <= (c := _LOWER[b]) <= 57 or 97 <= c <= 122 or c >= 128 else 32 for b in range(256))
@@ -74,9 +78,26 @@ def family(identifier: str) -> str:
     return next((v for k, v in FAMILIES.items() if identifier.startswith(k)), identifier)
 
 
-def tokens(line: bytes, start: int = 0, end: int | None = None) -> Iterator[str]:
-    """The tokens of line[start:end], found as they are asked for, as an expression may end long before its line."""
-    return (m[0].decode() for m in TOKEN.finditer(line, start, len(line) if end is None else end))
+def tokens(line: bytes, start: int = 0, end: int | None = None, in_text: bool = False) -> Iterator[str]:
+    """The tokens that follow one another from `start`, found as they are asked for; a full stop ends them, as does what is no token.
+
+    in_text: running text may follow, so a word behind an operator that is no identifier ends them too.
+    """
+    end, before = len(line) if end is None else end, ""
+    while m := TOKEN.match(line, start, end):
+        word = m[1].decode()
+        token = word.rstrip(".")
+        if in_text and before in PRECEDENCE and before != "with" and token not in PRECEDENCE and word not in "()" and not identifier(token):
+            return
+        yield token
+        if token != word:
+            return
+        before, start = token, m.end()
+
+
+def identifier(token: str) -> bool:
+    """Whether a word behind an operator is one."""
+    return token in ONE_WORD or any(c.isdigit() or c == "-" for c in token) or family(token) != token or token in FAMILIES
 
 
 def postfix(expression: str | Iterator[str]) -> list[str]:
@@ -144,7 +165,7 @@ def expressions(raw: bytes) -> tuple[set[str], set[str]]:
     for at, _ in tag_automaton().iter(raw.decode("latin-1")):
         if line_end <= at:
             line_end = end if (end := raw.find(b"\n", at)) >= 0 else len(raw)
-        names, binding = evaluate(tokens(raw, at + 1, line_end))
+        names, binding = evaluate(tokens(raw, at + 1, line_end, in_text=True))
         named |= names
         bound |= binding
     return named, bound

@@ -3,14 +3,19 @@
 Vectors are compared only within a label, by cosine in double precision.
 
 1. Fold: equal vectors of a label become one node with a number of copies.
-2. Seed: nodes are sorted by label and random-hyperplane signs a few times over; overlapping blocks of
-   neighbours in the order are compared, so a crowd of look-alikes spreads over many blocks and tasks.
+2. Seed: nodes are sorted by label and random-hyperplane signs several times over; overlapping blocks of
+   neighbours in the order are compared, so a crowd of look-alikes spreads over many blocks and tasks. The number
+   of orders follows from the largest label: so many that a pair at the threshold stays unseen in all of them with
+   a chance of MISS at most (`seed_orders`). It grows as a small power of the label's size. The first few orders
+   give every node neighbours to start from, the others links only.
 3. Refine: every node's neighbours and reverse neighbours are compared with one another (the
    neighbours-of-neighbours join), and each node keeps its best. Reverse neighbours are limited per round.
 4. Enlarge: a node whose whole list links with it is saturated. Its list grows before the next round, it is
    offered every candidate of at least the threshold then, and what it has grown to it keeps.
-5. Audit: a bounded sample of nodes is compared with all nodes, in blocks; while too few of their links are
-   in the lists, or for saturated nodes in their component, another seed order and another round follow.
+5. Audit: a sample of nodes is compared with all nodes, and grows until AUDIT_LINKS true links are seen or
+   MOST_AUDITED nodes are asked; while too few of these links are in the lists, or for saturated nodes in their
+   component, another seed order and another round follow. A sample without any link measures nothing, whatever
+   the lists hold; then the bound of the seeds stands alone.
 6. Links of at least the threshold are kept; components come from them. Labels with saturated nodes are
    crowded: their components are brought together, and the links of saturated nodes counted, exactly, by
    comparing those nodes with the vectors that can reach them, block by block. Where the audit still finds
@@ -23,6 +28,7 @@ links. Rows with a null id are returned and link with nothing. An empty table gi
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,8 +41,8 @@ from timelode.llm.common import picked, quoted, save
 from timelode.llm.components import connected_components
 
 THRESHOLD, NEIGHBOURS, LONGEST, BLOCK = 0.93, 12, 48, 128
-SEED_ORDERS, ROUNDS, MOST_ROUNDS, SIGNS = 3, 2, 5, 32
-AUDIT_NODES, AUDIT_RECALL, CROWD = 512, 0.97, 1024
+SEED_ORDERS, ROUNDS, MOST_ROUNDS, SIGNS, MISS = 3, 2, 5, 32, 0.02
+AUDIT_NODES, MOST_AUDITED, AUDIT_LINKS, AUDIT_RECALL, CROWD = 512, 4096, 200, 0.97, 1024
 EDGES = "node bigint, other bigint, sim double"
 _LAST = np.iinfo(np.int64).max
 
@@ -62,8 +68,20 @@ def fold(rows: DataFrame) -> DataFrame:
     return rows.filter(fit).groupBy("label", "vec").agg(F.min("id").alias("node"), F.count("*").alias("copies"))
 
 
-def seed_edges(nodes: DataFrame, order: int, keep: int = NEIGHBOURS, block: int = BLOCK) -> DataFrame:
-    """Best neighbours of each node among overlapping blocks of one random order."""
+def seed_orders(nodes: DataFrame, threshold: float, block: int = BLOCK, miss: float = MISS) -> int:
+    """How many orders let a pair at the threshold meet in a block, but for a chance of `miss`.
+
+    Half a block of nodes on either side of a node is compared with it. In a label of n nodes those share some
+    log2(n / half a block) leading signs, and a pair at an angle a shares one sign with a chance of 1 - a / pi.
+    """
+    largest = nodes.groupBy("label", F.size("vec").alias("width")).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    bits = math.ceil(math.log2(largest / (block // 2))) if largest > block // 2 else 0
+    meet = (1 - math.acos(threshold) / math.pi) ** bits
+    return SEED_ORDERS if meet == 1 else max(SEED_ORDERS, math.ceil(math.log(miss) / math.log(1 - meet)))
+
+
+def seed_edges(nodes: DataFrame, order: int, keep: int = NEIGHBOURS, block: int = BLOCK, least: float = -2.0) -> DataFrame:
+    """Best neighbours of each node, of similarity `least` or more, among overlapping blocks of one random order."""
 
     def signs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         planes: dict[int, np.ndarray] = {}
@@ -88,9 +106,11 @@ def seed_edges(nodes: DataFrame, order: int, keep: int = NEIGHBOURS, block: int
                 np.fill_diagonal(sims, -2)
                 k = min(keep, stop - at - 1)
                 best = np.argpartition(-sims, k - 1, axis=1)[:, :k]
-                out[0].append(np.repeat(ids, k))
-                out[1].append(ids[best].ravel())
-                out[2].append(np.take_along_axis(sims, best, 1).ravel())
+                found = np.take_along_axis(sims, best, 1).ravel()
+                on = found >= least
+                out[0].append(np.repeat(ids, k)[on])
+                out[1].append(ids[best].ravel()[on])
+                out[2].append(found[on])
             at = stop
         return out
 
@@ -157,8 +177,20 @@ def refine(nodes: DataFrame, graph: DataFrame, threshold: float, keep: int = NEI
     return near.select("near").mapInArrow(run, EDGES)
 
 
-def audit(nodes: DataFrame, graph: DataFrame, threshold: float, keep: int = NEIGHBOURS, most: int = AUDIT_NODES) -> float:
-    """Share of the true links of a sample of nodes that the graph holds in either direction; the sample is broadcast, the pairs stay in Spark."""
+def audit(nodes: DataFrame, graph: DataFrame, threshold: float, keep: int = NEIGHBOURS, most: int = AUDIT_NODES) -> float | None:
+    """Share of the true links of a sample of nodes that the graph holds in either direction, or None where the sample has no link.
+
+    The sample grows from `most` nodes until it has AUDIT_LINKS links or MOST_AUDITED nodes; the pairs stay in Spark.
+    """
+    while True:
+        n, got, asked = _audited(nodes, graph, threshold, keep, most)
+        if n >= AUDIT_LINKS or asked < most or most >= MOST_AUDITED:
+            return got / n if n else None
+        most *= 8
+
+
+def _audited(nodes: DataFrame, graph: DataFrame, threshold: float, keep: int, most: int) -> tuple[int, int, int]:
+    """True links of the first `most` nodes in the order of their hashes, how many of them the graph holds, and the nodes asked; the sample is broadcast."""
     sample = nodes.orderBy(F.xxhash64("node"), "node").limit(most).select("node", "label", "vec").toArrow()
     ids, labels, vectors = sample["node"].to_numpy(), sample["label"].to_pylist(), [v / np.linalg.norm(v) for v in _vectors(sample["vec"].combine_chunks())]
     groups: dict[tuple, list[int]] = {}
@@ -190,7 +222,7 @@ def audit(nodes: DataFrame, graph: DataFrame, threshold: float, keep: int = NEIG
     led = both.join(full, "node", "left_semi").join(truth.select("node").distinct(), "node", "left_semi").select("node", F.col("other").alias("mid")).join(both.select(F.col("node").alias("mid"), "other"), "mid").select("node", "other").distinct()
     found = found.join(led.withColumn("led", F.lit(1)), ["node", "other"], "left")
     n, got = found.agg(F.count("*"), F.count(F.coalesce("found", "led"))).first()
-    return got / n if n else 1.0
+    return n, got, len(ids)
 
 
 def _both_ways(graph: DataFrame) -> DataFrame:
@@ -244,22 +276,23 @@ def compare_blocks(nodes: DataFrame, asked: DataFrame, group: list[str], thresho
     return found.filter("n >= 0").groupBy("node").agg(F.sum("n").alias("n")), found.filter("n < 0 AND node <> other").select(F.col("node").alias("a"), F.col("other").alias("b")).distinct()
 
 
-def neighbour_graph(nodes: DataFrame, threshold: float = THRESHOLD, keep: int = NEIGHBOURS, rounds: int = MOST_ROUNDS) -> tuple[DataFrame, float]:
-    """(node, other, sim) after seeding and refining, and the audited recall of its links."""
+def neighbour_graph(nodes: DataFrame, threshold: float = THRESHOLD, keep: int = NEIGHBOURS, rounds: int = MOST_ROUNDS) -> tuple[DataFrame, float | None]:
+    """(node, other, sim) after seeding and refining, and the audited recall of its links, None where it could not be measured."""
+    orders = seed_orders(nodes, threshold)
     graph = seed_edges(nodes, 0, keep)
-    for order in range(1, SEED_ORDERS):
-        graph = graph.unionByName(seed_edges(nodes, order, keep))
+    for order in range(1, orders):
+        graph = graph.unionByName(seed_edges(nodes, order, keep, least=-2.0 if order < SEED_ORDERS else threshold))
     graph = save(best_of(graph, keep=keep), "graph")
-    recall = 0.0
+    recall: float | None = 0.0
     for turn in range(rounds):
         # the lists of saturated nodes may be four times as long from now on, and a list stays as long as it has grown
         held = graph.groupBy("node").agg(F.count("*").alias("held"), F.min("sim").alias("least")).filter(F.col("held") >= keep)
         limits = held.select("node", F.when(F.col("least") >= threshold, F.least(F.col("held") * 4, F.lit(LONGEST))).otherwise(F.col("held")).alias("most"))
         offers = graph.unionByName(refine(nodes, graph, threshold, keep))
         if turn >= ROUNDS:
-            offers = offers.unionByName(seed_edges(nodes, SEED_ORDERS + turn, keep))
+            offers = offers.unionByName(seed_edges(nodes, orders + turn, keep))
         graph = save(best_of(offers, limits, keep), "graph")
-        if turn + 1 >= ROUNDS and (recall := audit(nodes, graph, threshold, keep)) >= AUDIT_RECALL:
+        if turn + 1 >= ROUNDS and ((recall := audit(nodes, graph, threshold, keep)) is None or recall >= AUDIT_RECALL):
             break
     return graph, recall
 
@@ -274,7 +307,7 @@ def embedding_groups(rows: DataFrame, id_col: str = "vec_id", vec_col: str = "em
     graph, recall = neighbour_graph(nodes, threshold, keep, rounds)
     links = save(_both_ways(graph.filter(F.col("sim") >= threshold)), "links")
     full = save(saturated(graph, threshold, keep).select("node"), "saturated")
-    if recall < AUDIT_RECALL:
+    if recall is not None and recall < AUDIT_RECALL:
         full = nodes.select("node")
     exact, stars = compare_blocks(nodes, full, ["label"], threshold)
     members = connected_components(links.select(F.col("node").alias("a"), F.col("other").alias("b")).unionByName(stars))
