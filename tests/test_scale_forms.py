@@ -127,3 +127,25 @@ def test_items_from_events_by_field(spark):
     assert got == {"a": ("v1", "FAILED", "E1", "OCR"), "b": (None, "PENDING", None, None), "c": ("v4", "CANCELLED", "DUP", "OCR"), "d": (None, "IN_PROGRESS", None, None)}
     bare = events.items_from_events(rows.drop("video_id", "error_code")).filter("item_id = 'a'").first()
     assert bare.video_id is None and bare.error_code is None and bare.status == "FAILED"
+
+
+def test_fusion_exchanges_signals_once(spark, tmp_path):
+    """Two exchanges by hash: frames with their lines, and all signals of a video; each table is scanned once."""
+    from timelode.operators import fusion
+
+    tables = {
+        "videos": ("video_id string, duration_seconds int", [("v", 40), ("w", None), ("n", 0)]),
+        "segments": ("video_id string, segment_id int, start_seconds float, end_seconds float, text string, speaker_id string", [("v", 1, 0.0, 5.0, " hi ", "a"), ("v", 2, 26.0, 31.0, "you", "b"), ("v", 3, 1.0, 2.0, " ", None), ("w", 1, 1.0, 3.0, "x", "a"), ("v", 4, None, 3.0, "lost", "a")]),
+        "speakers": ("video_id string, speaker_id string, label string", [("v", "a", "A"), ("v", None, "NOBODY"), ("x", "b", "B")]),
+        "frames": ("video_id string, frame_id string, timestamp_seconds double", [("v", "f1", 3.0), ("v", "f2", 27.0), ("v", None, 38.0), ("w", None, 2.0), ("w", "f9", None)]),
+        "ocr": ("frame_id string, line_no int, text string", [("f1", 1, "two"), ("f1", 0, " one "), ("f2", 0, "one"), ("f2", 1, "12"), ("gone", 0, "zzz"), (None, 0, "nobody's")]),
+    }
+    dfs = {}
+    for name, (schema, rows) in tables.items():
+        spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / name))
+        dfs[name] = spark.read.parquet(str(tmp_path / name))
+    found = fusion.fuse_segments(dfs["videos"], dfs["segments"], dfs["speakers"], dfs["frames"], dfs["ocr"])
+    got = {(r.video_id, r.segment_index): (r.start_seconds, r.end_seconds, r.transcript_text, r.ocr_text, r.speaker_labels) for r in found.collect()}
+    assert got == {("v", 0): (0.0, 30.0, "hi you", "one\ntwo", ["A"]), ("v", 1): (25.0, 40.0, "you", "one", None), ("w", 0): (0.0, 3.0, "x", None, None)}
+    physical = plan_of(found).split("== Physical Plan ==")[1].split("+- == Initial Plan ==")[-1]
+    assert physical.count("Exchange hashpartitioning") == 2 and physical.count("Scan parquet") == 5 and "Join" not in physical

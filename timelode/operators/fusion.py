@@ -83,15 +83,61 @@ def chrome_lines(window_lines: DataFrame, n_windows: DataFrame, ratio: float = 0
     return counts.join(enough, "video_id").filter(F.col("seen") >= F.lit(ratio) * F.col("n")).select("video_id", "line")
 
 
+def _frames_with_lines(frames: DataFrame, ocr: DataFrame) -> DataFrame:
+    """(video_id, frame_id, ts, lines) of every frame, whether or not it has lines, by one exchange of frames and lines together."""
+    lines = ocr.withColumn("text", java_trim("text")).filter(carries_meaning("text"))
+    kind = {c: frames.schema[c].dataType for c in ("video_id", "frame_id")}
+    none = F.lit(None)
+    rows = frames.select("frame_id", "video_id", F.col("timestamp_seconds").cast("double").alias("ts"), F.col("video_id").isNotNull().alias("own"), none.cast("bigint").alias("line_no"), none.cast("string").alias("text")).unionByName(
+        lines.select(F.col("frame_id").cast(kind["frame_id"]).alias("frame_id"), none.cast(kind["video_id"]).alias("video_id"), none.cast("double").alias("ts"), F.lit(False).alias("own"), F.col("line_no").cast("bigint").alias("line_no"), "text")
+    )
+    # a frame without an id has no lines, and is no other's
+    alone = F.when(F.col("frame_id").isNull(), F.struct("video_id", "ts"))
+    shown = F.array_sort(F.collect_list(F.when(F.col("text").isNotNull(), F.struct("line_no", "text")))).alias("lines")
+    return rows.groupBy("frame_id", alone.alias("alone")).agg(F.max("video_id").alias("video_id"), F.max("ts").alias("ts"), F.bool_or("own").alias("own"), shown).filter("own").select("video_id", "frame_id", "ts", "lines")
+
+
+def _signals(videos: DataFrame, segments: DataFrame, speakers: DataFrame, frames: DataFrame, ocr: DataFrame) -> DataFrame:
+    """All that is known of a video as rows of one table: what is said, shown and declared, each with the last moment it reaches, `at`."""
+    kinds = {"video_id": videos.schema["video_id"].dataType, "speaker_id": segments.schema["speaker_id"].dataType, "said": None, "shown": None}
+    said = segments.select("video_id", "speaker_id", F.col("end_seconds").cast("double").alias("at"), F.struct(F.col("start_seconds").cast("double").alias("s"), F.col("end_seconds").cast("double").alias("e"), "segment_id", "text").alias("said"))
+    shown = _frames_with_lines(frames, ocr).select("video_id", F.col("ts").alias("at"), F.struct("ts", "frame_id", "lines").alias("shown"))
+    kinds["said"], kinds["shown"] = said.schema["said"].dataType, shown.schema["shown"].dataType
+    known = speakers.select("video_id", "speaker_id", "label")
+    declared = videos.select("video_id", F.col("duration_seconds").cast("double").alias("at"))
+    kinds |= {"at": declared.schema["at"].dataType, "label": known.schema["label"].dataType}
+    rows = [df.select(*[(F.col(c) if c in df.columns else F.lit(None)).cast(t).alias(c) for c, t in kinds.items()]) for df in (said, shown, known, declared)]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2]).unionByName(rows[3])
+
+
 def filled_windows(videos, segments, speakers, frames, ocr, window: float = WINDOW, overlap: float = OVERLAP, min_window: float = LEAST_WINDOW, cap: int = 2000) -> DataFrame:
-    """The windows in which something is said or shown, with what it is; the first `cap` of a video. Their number is what shares of windows are taken of."""
-    windows = sliding_windows(timeline_extent(videos, segments, frames), window, overlap, min_window)
-    spoken = window_transcript(speaker_labels(segments, speakers), windows, window, overlap)
-    seen = window_ocr(frames, ocr, windows, window, overlap)
-    found = windows.join(spoken, ["video_id", "k"], "left").join(seen, ["video_id", "k"], "left")
+    """The windows in which something is said or shown, with what it is; the first `cap` of a video. Their number is what shares of windows are taken of.
+
+    The signals of a video meet once, by an exchange on the video; extent, labels, windows and their contents follow
+    within that partitioning. The window of a signal is arithmetic, so windows are not a table to be joined.
+    """
+    step = _check(window, overlap)
+    by = Window.partitionBy("video_id")
+    rows = _signals(videos, segments, speakers, frames, ocr).withColumn("extent", F.max("at").over(by)).filter("extent > 0")
+    # rows of one speaker: the label of its declaration; a segment without a speaker has none
+    label = F.when(F.col("speaker_id").isNotNull(), F.max("label").over(Window.partitionBy("video_id", "speaker_id")))
+    rows = rows.withColumn("speaker_label", label).filter("said IS NOT NULL OR shown IS NOT NULL")
+    first = F.floor((F.coalesce("said.s", "shown.ts") - window) / step)
+    last = F.when(F.col("said").isNotNull(), F.ceil(F.col("said.e") / step)).otherwise(F.floor(F.col("shown.ts") / step))
+    start = F.col("k") * F.lit(step)
+    rows = _spread(rows, first, F.least(last, F.ceil(F.col("extent") / step) - 1)).withColumn("window_start", start).withColumn("window_end", F.least(start + window, "extent"))
+    rows = rows.filter((F.col("window_end") > F.col("window_start")) & (F.col("window_end") - F.col("window_start") >= min_window))
+    rows = rows.filter("CASE WHEN said IS NOT NULL THEN said.e > window_start AND said.s < window_end ELSE shown.ts >= window_start AND shown.ts < window_end END")
+    spoken = F.collect_list(F.when(F.col("said").isNotNull(), F.struct("said.s", "said.segment_id", "said.text", "speaker_label")))
+    found = rows.groupBy("video_id", "k", "window_start", "window_end").agg(F.array_sort(spoken).alias("spoken"), F.array_sort(F.collect_list("shown")).alias("seen"))
+    texts = F.filter(F.transform("spoken", lambda p: java_trim(p["text"])), lambda t: ~is_blank(t))
+    found = found.select(
+        "video_id", "k", "window_start", "window_end", F.nullif(F.array_join(texts, " "), F.lit("")).alias("transcript_text"), F.array_distinct(_filled(F.transform("spoken", lambda p: p["speaker_label"]))).alias("speaker_labels"),
+        F.array_distinct(F.flatten(F.transform("seen", lambda f: F.transform(f["lines"], lambda x: x["text"])))).alias("lines"),
+    )
     # emptiness is judged before repeated lines are removed
-    found = found.filter(F.col("transcript_text").isNotNull() | (F.coalesce(F.size("lines"), F.lit(0)) > 0) | (F.coalesce(F.size("speaker_labels"), F.lit(0)) > 0))
-    index = F.row_number().over(Window.partitionBy("video_id").orderBy("k")) - 1
+    found = found.filter(F.col("transcript_text").isNotNull() | (F.size("lines") > 0) | (F.size("speaker_labels") > 0))
+    index = F.row_number().over(by.orderBy("k")) - 1
     return found.withColumn("segment_index", index).filter(F.col("segment_index") < cap)
 
 
