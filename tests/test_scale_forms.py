@@ -149,3 +149,75 @@ def test_fusion_exchanges_signals_once(spark, tmp_path):
     assert got == {("v", 0): (0.0, 30.0, "hi you", "one\ntwo", ["A"]), ("v", 1): (25.0, 40.0, "you", "one", None), ("w", 0): (0.0, 3.0, "x", None, None)}
     physical = plan_of(found).split("== Physical Plan ==")[1].split("+- == Initial Plan ==")[-1]
     assert physical.count("Exchange hashpartitioning") == 2 and physical.count("Scan parquet") == 5 and "Join" not in physical
+
+
+def test_pages_by_directory_and_by_cursor(spark, tmp_path):
+    """All pages hold each row once, in the order of one sort, with nulls and either direction."""
+    from timelode.operators import paging
+
+    rnd = random.Random(9)
+    rows = [(rnd.choice([None, *range(6)]), rnd.choice([None, "x", "y", "z"]), i) for i in range(503)]
+    df = spark.createDataFrame(rows, "a int, b string, n int").repartition(5)
+    for k, order in enumerate(([("a", True), ("b", False), ("n", False)], [("b", True), ("a", False), ("n", True)], [("n", False)])):
+        key = lambda r: tuple(((v is None) == down, (0 if v is None else -v if down else v) if not isinstance(v, str) else [(-1 if down else 1) * ord(c) for c in v]) for c, down in order for v in (r["abn".index(c)],))  # noqa: B023, E731
+        want = sorted(rows, key=lambda r: tuple((x, y if isinstance(y, int) else y[0]) for x, y in key(r)))
+        directory = paging.write_page_directory(df, order, 50, str(tmp_path / f"d{k}"))
+        assert directory.count() == 11
+        got = [[tuple(r)[:3] for r in paging.page_from_directory(df, order, directory, p).collect()] for p in (0, 1, 7, 10, 11)]
+        assert got == [want[50 * p : 50 * p + 50] for p in (0, 1, 7, 10)] + [[]]
+        last, walked = None, []
+        for _ in range(3):
+            page = paging.page_after(df, order, last, 60).collect()
+            walked += [tuple(r) for r in page]
+            last = page[-1]
+        assert walked == want[:180]
+    empty = paging.write_page_directory(df.limit(0), [("n", False)], 50, str(tmp_path / "empty"))
+    assert empty.count() == 0 and paging.page_from_directory(df, [("n", False)], empty, 0).count() == 0
+
+
+def test_a_deep_page_reads_a_part_of_the_table(spark, tmp_path):
+    from timelode.operators import paging
+
+    spark.range(400_000).select(F.col("id").alias("n"), (F.col("id") % 7).alias("x")).repartitionByRange(40, "n").sortWithinPartitions("n").write.parquet(str(tmp_path / "t"))
+    table, order = spark.read.parquet(str(tmp_path / "t")), [("n", False)]
+    directory = paging.write_page_directory(table, order, 20, str(tmp_path / "d"))
+    page = paging.page_from_directory(table, order, directory, 10_000)
+    got = page.collect()
+    assert [r.n for r in got] == list(range(200_000, 200_020)) and got[0].total == 400_000
+    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
+    text = plan_of(paging.page_from_directory(table, order, directory, 10_000))
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
+    assert "LessThan(n,200020)" in text and "GreaterThan(n,200000)" in text
+    import glob
+
+    import pyarrow.parquet as pq
+
+    stats = [pq.ParquetFile(f).metadata.row_group(g).column(0).statistics for f in glob.glob(str(tmp_path / "t" / "*.parquet")) for g in range(pq.ParquetFile(f).metadata.num_row_groups)]
+    assert len(stats) >= 30 and sum(s.max >= 200_000 and s.min < 200_020 for s in stats) <= 2  # the row groups that the filters leave
+
+
+def test_late_rows_are_counted(spark, tmp_path):
+    """Two hours behind an hour's watermark: exactly the sentinels are dropped, and told."""
+    import datetime as dt
+    import time
+
+    from timelode.streaming import jobs
+
+    t0 = dt.datetime(2024, 1, 1, 12)
+    log = lambda rows: spark.createDataFrame([(n, 1, 1, "ITEM_CREATED", "OCR", 1, t0 + dt.timedelta(minutes=m)) for n, m in rows], jobs.EVENT_SCHEMA).coalesce(1).write.mode("append").parquet(str(tmp_path / "log"))
+    seen = jobs.LateRows()
+    spark.streams.addListener(seen)
+    try:
+        for part in ([(i, i) for i in range(60)], [(100 + i, 60 + i) for i in range(10)], [(200, 70), (201, -120), (202, -90), (203, -61), (204, 50)]):
+            log(part)
+            counted = jobs.stream_event_counts(jobs.observed_events(jobs.stream_events(spark, str(tmp_path / "log"))), "1 hour", watermark=None)
+            stream = counted.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start(str(tmp_path / "out"))
+            stream.awaitTermination()
+            run = str(stream.runId)
+        end = time.time() + 30
+        while time.time() < end and sum(b["rows"] for b in seen.batches) < 75:
+            time.sleep(0.2)
+    finally:
+        spark.streams.removeListener(seen)
+    assert seen.dropped(run) == 3 == seen.dropped() and sum(b["rows"] for b in seen.batches) == 75
+    assert sum(b["observed"]["events"]["n"] for b in seen.batches if "events" in b["observed"]) == 72

@@ -300,6 +300,8 @@ ORACLES["stream_run_status"] = sql(
       FROM (SELECT run_id, bool_or(kind NOT IN ('ITEM_COMPLETED', 'ITEM_FAILED')) AS live, bool_or(kind = 'ITEM_FAILED') AS failed FROM (SELECT item_id, arg_max(run_id, (occurred_at, event_id)) AS run_id, arg_max(event_type, (occurred_at, event_id)) AS kind FROM ev GROUP BY 1) GROUP BY 1)""",
     "ev",
 )
+ORACLES["deep_page"] = """SELECT l_shipdate, l_orderkey, l_linenumber, l_partkey, l_suppkey, count(*) OVER () AS total FROM lineitem
+  ORDER BY l_shipdate DESC NULLS LAST, l_orderkey NULLS FIRST, l_linenumber NULLS FIRST, l_partkey NULLS FIRST, l_suppkey NULLS FIRST LIMIT 100 OFFSET 3000"""
 ORACLES["channel_job"] = sql(
     """SELECT channel_id, youtube_video_id FROM (SELECT channel_id::VARCHAR AS channel_id, youtube_video_id FROM cat
       UNION SELECT l_suppkey::VARCHAR, CASE WHEN l_partkey % 5 > 0 THEN l_partkey::VARCHAR ELSE 'u' || l_partkey END FROM lineitem WHERE l_partkey % 10 > 0) ANTI JOIN ing USING (youtube_video_id)""",

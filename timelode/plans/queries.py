@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from timelode.functions import scalars as s
-from timelode.operators import catalog, events, fusion, knowledge, runs, search, sinks, videos
+from timelode.operators import catalog, events, fusion, knowledge, paging, runs, search, sinks, videos
 from timelode.plans import jobs as plans
 from timelode.plans.adapters import Tables, now
 from timelode.sources import parsers
@@ -756,6 +756,15 @@ def stream_channel_sync(t):
     return table.read().select("channel_id", "youtube_video_id", "title", "published_at")
 
 
+@query
+def deep_page(t):
+    """Page 30 of the items by a directory of pages, newest first."""
+    rows = t.raw("lineitem").select("l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    order = [("l_shipdate", True), ("l_orderkey", False), ("l_linenumber", False), ("l_partkey", False), ("l_suppkey", False)]
+    directory = paging.write_page_directory(rows, order, 100, _stream_root(t, "pages"))
+    return paging.page_from_directory(rows, order, directory, 30)
+
+
 # whole jobs
 
 

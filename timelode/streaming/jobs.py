@@ -12,6 +12,7 @@ from contextlib import contextmanager
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.listener import StreamingQueryListener
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from timelode.functions.scalars import is_blank, java_trim
@@ -21,26 +22,65 @@ from timelode.operators.sinks import BucketedTable
 EVENT_SCHEMA = "event_id bigint, item_id bigint, run_id bigint, event_type string, phase string, attempt int, occurred_at timestamp"
 
 
+def _watermarked(events: DataFrame, watermark: str | None) -> DataFrame:
+    """None: the stream has its watermark already, as that of `stream_events`, and a second one is not allowed."""
+    return events if watermark is None else events.withWatermark("occurred_at", watermark)
+
+
 def stream_events(spark: SparkSession, path: str, watermark: str = "1 hour", schema: str = EVENT_SCHEMA) -> DataFrame:
     """The event log as a stream, each event id once within the watermark."""
     return spark.readStream.schema(schema).parquet(path).withWatermark("occurred_at", watermark).dropDuplicatesWithinWatermark(["event_id"])
 
 
-def stream_phase_durations(events: DataFrame, max_gap: str = "6 hours", watermark: str = "1 hour") -> DataFrame:
+class LateRows(StreamingQueryListener):
+    """Counts, per micro-batch of the streams of a session, of rows read and of rows that were behind the watermark and dropped.
+
+    To be added by `spark.streams.addListener`. A stateful operator counts what it drops; behind a grouping those are
+    groups. Of a stream from `stream_events`, the operator that keeps each event once sees the rows themselves first.
+    """
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.batches: list[dict] = []
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        p = event.progress
+        self.batches.append({"run": str(p.runId), "batch": p.batchId, "rows": p.numInputRows, "watermark": p.eventTime.get("watermark"), "dropped": [o.numRowsDroppedByWatermark for o in p.stateOperators], "observed": {k: v.asDict() for k, v in p.observedMetrics.items()}})
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        pass
+
+    def dropped(self, run: str | None = None) -> int:
+        """Rows dropped over all batches (of one run of a stream)."""
+        return sum(sum(b["dropped"]) for b in self.batches if run in (None, b["run"]))
+
+
+def observed_events(events: DataFrame, name: str = "events") -> DataFrame:
+    """The stream with the number and the earliest and latest time of its rows as metrics of each batch."""
+    return events.observe(name, F.count("*").alias("n"), F.min("occurred_at").alias("earliest"), F.max("occurred_at").alias("latest"))
+
+
+def stream_phase_durations(events: DataFrame, max_gap: str = "6 hours", watermark: str | None = "1 hour") -> DataFrame:
     """Pairs of an entry and an end of a phase in the same attempt, with their milliseconds.
 
     Every pair within `max_gap` is emitted; the batch lanes take the first entry and the last end instead.
     """
-    of = events.withWatermark("occurred_at", watermark)
+    of = _watermarked(events, watermark)
     entered = of.filter("event_type = 'ITEM_PHASE_ENTERED'").select(F.col("item_id").alias("i"), F.col("attempt").alias("a"), F.col("phase").alias("p"), F.col("occurred_at").alias("entered_at"))
     ended = of.filter("event_type = 'ITEM_PHASE_COMPLETED'").select("item_id", "attempt", "phase", F.col("occurred_at").alias("completed_at"))
     joined = entered.join(ended, F.expr(f"i = item_id AND a = attempt AND p = phase AND completed_at >= entered_at AND completed_at <= entered_at + INTERVAL {max_gap}"))
     return joined.select("item_id", "attempt", "phase", "entered_at", "completed_at", (F.unix_millis("completed_at") - F.unix_millis("entered_at")).alias("millis"))
 
 
-def stream_event_counts(events: DataFrame, window: str = "1 hour", slide: str | None = None, session_gap: str | None = None, watermark: str = "1 hour") -> DataFrame:
+def stream_event_counts(events: DataFrame, window: str = "1 hour", slide: str | None = None, session_gap: str | None = None, watermark: str | None = "1 hour") -> DataFrame:
     """Event counts per window and type, or with `session_gap` per session of an item."""
-    of = events.withWatermark("occurred_at", watermark)
+    of = _watermarked(events, watermark)
     if session_gap:
         counted = of.groupBy("item_id", F.session_window("occurred_at", session_gap).alias("w")).agg(F.count("*").alias("n"))
         return counted.select("item_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
@@ -184,13 +224,13 @@ class _Silence(StatefulProcessor):
 ENDED = ("ITEM_COMPLETED", "ITEM_FAILED", "ITEM_CANCELLED")
 
 
-def stream_stuck_items(events: DataFrame, stale_after: str = "1 hour", watermark: str = "10 minutes", silence: type[_Silence] = _Silence) -> DataFrame:
+def stream_stuck_items(events: DataFrame, stale_after: str = "1 hour", watermark: str | None = "10 minutes", silence: type[_Silence] = _Silence) -> DataFrame:
     """(item_id, last_event, last_at) of items that fall silent for `stale_after` of event time before they end.
 
     An item that goes on afterwards is watched anew. `silence` may be a subclass with further fields behind the state's own.
     """
     gap = int(pd.Timedelta(stale_after).total_seconds() * 1000)
-    of = events.withWatermark("occurred_at", watermark).select("event_id", "item_id", "event_type", "occurred_at")
+    of = _watermarked(events, watermark).select("event_id", "item_id", "event_type", "occurred_at")
     return of.groupBy("item_id").transformWithStateInPandas(silence(gap), f"item_id {of.schema['item_id'].dataType.simpleString()}, last_event string, last_at timestamp", "Append", "EventTime")
 
 
