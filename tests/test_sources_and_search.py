@@ -86,3 +86,20 @@ def test_embedding_replies(spark):
     df = spark.createDataFrame([("a",), (None,)], "t string")
     assert all(len(r.embedding) == 8 for r in search.embed_texts(df, "t", search.hash_embedder(8), dims=8).collect())
     assert all(r.embedding is None for r in search.embed_texts(df, "t", search.hash_embedder(4), dims=8, on_error="null").collect())
+
+
+def test_tables_of_a_database(spark):
+    """The embedded database that ships with Spark: ranges of a key, filters and columns in the scan, JSON as variant."""
+    url, driver = "jdbc:derby:memory:timelode;create=true", "org.apache.derby.iapi.jdbc.AutoloadedDriver"
+    rows = spark.range(1000).selectExpr("CAST(id AS INT) AS channel_row", "concat('c', id % 7) AS channel_id", "IF(id % 10 = 0, 'bad json', concat('{\"n\": ', id, '}')) AS metadata")
+    rows.unionByName(spark.sql("SELECT CAST(NULL AS INT) AS channel_row, 'none' AS channel_id, CAST(NULL AS STRING) AS metadata")).write.jdbc(url, "youtube_channels", "overwrite", {"driver": driver})
+    found = parsers.read_jdbc_tables(spark, url, {"youtube_channels": "channel_row"}, driver=driver)["youtube_channels"]
+    assert found.rdd.getNumPartitions() == 8 and found.count() == 1001
+    some = found.filter("channel_row >= 990 AND channel_row < 995").select("channel_row", F.try_variant_get("metadata", "$.n", "int").alias("n"))
+    assert sorted(tuple(r) for r in some.collect()) == [(990, None), (991, 991), (992, 992), (993, 993), (994, 994)]
+    plan = some._jdf.queryExecution().toString().split("== Physical Plan ==")[1]
+    assert "PushedFilters: [*IsNotNull(channel_row), *GreaterThanOrEqual(channel_row,990)" in plan and "channel_id" not in plan.split("ReadSchema")[1]
+    empty = rows.limit(0)
+    empty.write.jdbc(url, "nothing", "overwrite", {"driver": driver})
+    assert parsers.read_jdbc_table(spark, url, "nothing", "channel_row", driver=driver).count() == 0
+    assert parsers.read_jdbc_table(spark, url, "youtube_channels", driver=driver).rdd.getNumPartitions() == 1

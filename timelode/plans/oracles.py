@@ -133,6 +133,11 @@ RETRIED = f"""SELECT * FROM items WHERE run_id IN (SELECT run_id FROM runs WHERE
 
 _HOUR = "date_trunc('hour', occurred_at)"
 
+#: How much of everything a video has.
+COUNTS = """SELECT v.video_id, coalesce(a.n, 0) AS n_speakers, coalesce(b.n, 0) AS n_ocr_frames, coalesce(c.n, 0) AS n_fused, coalesce(d.n, 0) AS n_segments, coalesce(e.n, 0) AS n_units FROM videos v
+      LEFT JOIN (SELECT video_id, count(*) AS n FROM speakers GROUP BY 1) a ON a.video_id = v.video_id LEFT JOIN (SELECT video_id, count(*) AS n FROM frames GROUP BY 1) b ON b.video_id = v.video_id LEFT JOIN (SELECT video_id, count(*) AS n FROM fused GROUP BY 1) c ON c.video_id = v.video_id
+      LEFT JOIN (SELECT video_id, count(*) AS n FROM segments GROUP BY 1) d ON d.video_id = v.video_id LEFT JOIN (SELECT video_id, count(*) AS n FROM units GROUP BY 1) e ON e.video_id = v.video_id"""
+
 ORACLES = {
     "timeline_extent": sql("SELECT * FROM extents", "extents"),
     "sliding_windows": sql("SELECT * FROM windows", "windows"),
@@ -145,7 +150,7 @@ ORACLES = {
     "signal_union": sql("SELECT video_id, count(moment) AS n_signals FROM (SELECT video_id, e AS moment FROM segments UNION ALL SELECT video_id, ts FROM frames UNION ALL SELECT doc_id, NULL FROM documents) GROUP BY 1", "segments", "frames"),
     "build_frames": sql("""SELECT f.video_id, f.frame_index::INT AS frame_index, coalesce(l.pts, 0.0) AS timestamp_seconds, 'f' || lpad(f.frame_index::VARCHAR, 4, '0') AS file_path, CASE WHEN l.pts IS NOT NULL THEN 640 END AS width, CASE WHEN l.pts IS NOT NULL THEN 360 END AS height,
         CASE WHEN least(coalesce(l.pts, 0) % 10, 10 - coalesce(l.pts, 0) % 10) <= 0.5 THEN 'INTERVAL' ELSE 'SCENE_CHANGE' END AS sampling_reason
-      FROM frames f LEFT JOIN (SELECT video_id, row_number() OVER (PARTITION BY video_id ORDER BY frame_index) - 1 AS frame_index, ts::DOUBLE * 1.04::DOUBLE AS pts FROM frames WHERE frame_index % 7 <> 6) l ON l.video_id = f.video_id AND l.frame_index = f.frame_index WHERE f.frame_index < 60""", "frames"),
+      FROM frames f LEFT JOIN (SELECT video_id, row_number() OVER (PARTITION BY video_id ORDER BY frame_index) - 1 AS frame_index, ts::DOUBLE * 1.04::DOUBLE AS pts FROM frames WHERE frame_index % 7 <> 6) l ON l.video_id = f.video_id AND l.frame_index = f.frame_index WHERE f.frame_index < 600""", "frames"),
     "assign_speakers": sql("""SELECT g.video_id, g.segment_id, CASE WHEN max(least(g.e, t.e) - greatest(g.s, t.s)) >= 0.25 THEN arg_max(t.label, (least(g.e, t.e) - greatest(g.s, t.s), -t.seq)) END AS speaker_label
       FROM segments g LEFT JOIN turns t ON t.video_id = g.video_id AND least(g.e, t.e) > greatest(g.s, t.s) GROUP BY ALL""", "segments", "turns"),
     "speaker_labels": sql("SELECT video_id, segment_id, 'SPEAKER_' || speaker_id AS speaker_label FROM segments", "segments"),
@@ -159,7 +164,7 @@ ORACLES = {
     "parse_units": sql(f"""SELECT video_id, batch, 0 AS pos, CASE WHEN doc_id % 6 = 1 THEN 'TOPIC' ELSE 'CLAIM' END AS type, 'title ' || doc_id AS title, {_trim('text')} AS content, (doc_id % 10) / 10.0::DOUBLE AS salience, (doc_id % 7) || ',' || (doc_id % 3) AS source_segment_indices
       FROM replies WHERE doc_id % 6 IN (0, 1, 2) AND NOT regexp_matches(text, '^\\s*$')""", "replies"),
     "extraction_verdict": sql("SELECT video_id, count(*) AS n_batches, count(*) FILTER (doc_id % 6 >= 4 OR (doc_id % 6 <> 3 AND regexp_matches(text, '^\\s*$'))) AS n_failed, n_failed > 0 AS fails FROM replies GROUP BY 1", "replies"),
-    "filter_units": "SELECT video_id, pos FROM (SELECT doc_id % 50 AS video_id, doc_id AS pos, row_number() OVER (PARTITION BY doc_id % 50 ORDER BY doc_id) AS r FROM documents WHERE doc_id % 4 > 0 AND (doc_id % 5 = 0 OR (doc_id % 10) / 10.0 >= 0.2)) WHERE r <= 10",
+    "filter_units": "SELECT video_id, pos FROM (SELECT doc_id % 50 AS video_id, doc_id AS pos, row_number() OVER (PARTITION BY doc_id % 50 ORDER BY doc_id) AS r FROM documents WHERE doc_id % 4 > 0 AND (doc_id % 5 = 0 OR (doc_id % 10) / 10.0 >= 0.2)) WHERE r <= 300",
     "fact_recall": sql("SELECT * FROM scores", "scores"),
     "compare_arms": sql("SELECT * FROM arms", "arms"),
     "fact_hits": sql("SELECT arm, label AS fact, count(*) AS hits FROM runfacts GROUP BY ALL", "runfacts"),
@@ -233,13 +238,12 @@ ORACLES = {
     "list_units": sql("SELECT unit_id, start_seconds FROM units WHERE video_id = 3", "units"),
     "speakers_with_counts": sql("SELECT s.video_id, s.label, count(g.segment_id) AS n_segments FROM speakers s LEFT JOIN segments g ON g.video_id = s.video_id AND g.speaker_id = s.speaker_id GROUP BY ALL", "speakers", "segments"),
     "rename_speakers": sql("SELECT video_id, speaker_id, CASE WHEN video_id % 4 = 0 THEN NULL WHEN video_id % 2 = 0 THEN 'Ann' ELSE speaker_id END AS display_name FROM speakers", "speakers"),
-    "filter_ocr_lines": sql("SELECT video_id, frame_id, line_no FROM (SELECT video_id, frame_id, line_no, row_number() OVER (PARTITION BY video_id ORDER BY ts, frame_id, line_no) AS r FROM ocr JOIN frames USING (frame_id) WHERE NOT regexp_matches(text, '^\\s*$') AND confidence >= 0.5) WHERE r <= 50", "ocr", "frames"),
+    "filter_ocr_lines": sql("SELECT video_id, frame_id, line_no FROM (SELECT video_id, frame_id, line_no, row_number() OVER (PARTITION BY video_id ORDER BY ts, frame_id, line_no) AS r FROM ocr JOIN frames USING (frame_id) WHERE NOT regexp_matches(text, '^\\s*$') AND confidence >= 0.5) WHERE r <= 10000", "ocr", "frames"),
     "ocr_by_frame": sql("SELECT video_id, frame_id, string_agg(text, chr(10) ORDER BY line_no) AS lines FROM frames JOIN ocr USING (frame_id) GROUP BY ALL", "frames", "ocr"),
     "ocr_frame_page": sql("SELECT frame_id, string_agg(text, chr(10) ORDER BY line_no) AS lines, (SELECT count(DISTINCT frame_id) FROM frames SEMI JOIN ocr USING (frame_id) WHERE video_id = 7) AS total FROM ocr WHERE frame_id IN (SELECT frame_id FROM frames WHERE video_id = 7 ORDER BY ts, frame_id LIMIT 3 OFFSET 3) GROUP BY 1", "frames", "ocr"),
-    "video_counts": sql("""SELECT v.video_id, coalesce(a.n, 0) AS n_speakers, coalesce(b.n, 0) AS n_ocr_frames, coalesce(c.n, 0) AS n_fused, coalesce(d.n, 0) AS n_segments, coalesce(e.n, 0) AS n_units FROM videos v
-      LEFT JOIN (SELECT video_id, count(*) AS n FROM speakers GROUP BY 1) a ON a.video_id = v.video_id LEFT JOIN (SELECT video_id, count(*) AS n FROM frames GROUP BY 1) b ON b.video_id = v.video_id LEFT JOIN (SELECT video_id, count(*) AS n FROM fused GROUP BY 1) c ON c.video_id = v.video_id
-      LEFT JOIN (SELECT video_id, count(*) AS n FROM segments GROUP BY 1) d ON d.video_id = v.video_id LEFT JOIN (SELECT video_id, count(*) AS n FROM units GROUP BY 1) e ON e.video_id = v.video_id""", "videos", "speakers", "frames", "fused", "units"),
-    "video_detail": sql(f"SELECT video_id, title, channel_name, true AS has_transcript, length(text)::INT AS n_chars, CASE WHEN NOT regexp_matches(text, '^\\s*$') THEN substr({_trim('text')}, 1, 400) END AS snippet FROM videos", "videos"),
+    "video_counts": sql(COUNTS, "videos", "speakers", "frames", "fused", "units"),
+    "video_detail": sql(f"""SELECT video_id, title, channel_name, true AS has_transcript, length(text)::INT AS n_chars, CASE WHEN NOT regexp_matches(text, '^\\s*$') THEN substr({_trim('text')}, 1, 400) END AS snippet, n_speakers, n_ocr_frames, n_fused, n_segments, n_units
+      FROM videos JOIN ({COUNTS}) USING (video_id)""", "videos", "speakers", "frames", "fused", "units"),
     "stale_videos": sql("SELECT video_id, title, channel_name, count(*) AS n_units, min(v)::INT AS oldest, max(v)::INT AS newest, max(u.created_at) AS last_created FROM units u JOIN videos USING (video_id) GROUP BY ALL HAVING min(v) < 3", "units", "videos"),
     "ocr_phase_verdict": sql("""SELECT *, failed + missing = total AS fails FROM (SELECT video_id, count(*) AS total, count(*) FILTER (frame_id % 4 > 0 AND bad) AS failed, count(*) FILTER (frame_id % 4 = 0) AS missing, count(*) FILTER (frame_id % 4 > 0 AND NOT bad AND frame_id % 3 = 1) AS skipped, count(*) FILTER (frame_id % 4 > 0 AND NOT bad AND frame_id % 3 = 2) AS with_text
       FROM (SELECT *, frame_id % 3 = 0 OR frame_id % 200000 < 100000 AS bad FROM frames) GROUP BY 1)""", "frames"),
@@ -261,7 +265,7 @@ ORACLES = {
       FROM (SELECT *, regexp_replace(substr(trim(regexp_replace(regexp_replace(regexp_replace(text, '[<>:"/\\\\|?*]', '_', 'g'), '[\\x00-\\x1f\\x7f]', '', 'g'), '\\s+', ' ', 'g')), 1, 200), '[.\\s_]+$', '') AS f FROM documents)""",
     "scalar_urls": sql("SELECT req_id, pos, CASE WHEN NOT regexp_matches(url, '^https?://') THEN 'url must start with http:// or https://' END AS problem, CASE WHEN regexp_matches(url, '^https?://') THEN regexp_replace(url, '/+$', '') END AS channel_url FROM req", "req"),
     "storage_path": sql("""SELECT video_id, f || '/' || name || CASE WHEN n > 1 THEN ' (' || n || ')' ELSE '' END || '.mkv' AS path FROM (SELECT *, row_number() OVER (PARTITION BY f ORDER BY video_id) AS n FROM (SELECT video_id, '/lib/' || channel_name || '/' || name AS f, name
-      FROM (SELECT video_id, channel_name, strftime(created_at, '%Y%m%d') || '.' || CASE WHEN c = '' THEN 'video' ELSE c END AS name FROM (SELECT *, regexp_replace(trim(regexp_replace(regexp_replace(substr(title, 1, 8), '[<>:"/\\\\|?*]', '_', 'g'), '[\\x00-\\x1f\\x7f]+', '', 'g')), '[.\\s_]+$', '') AS c FROM videos))))""", "videos"),
+      FROM (SELECT video_id, channel_name, strftime(created_at, '%Y%m%d') || '.' || CASE WHEN c = '' THEN 'video' ELSE c END AS name FROM (SELECT *, regexp_replace(trim(regexp_replace(regexp_replace(title, '[<>:"/\\\\|?*]', '_', 'g'), '[\\x00-\\x1f\\x7f]+', '', 'g')), '[.\\s_]+$', '') AS c FROM videos))))""", "videos"),
     "clean_units": f"""SELECT doc_id % 50 AS video_id, doc_id AS pos, 't' || doc_id AS title, CASE WHEN doc_id % 3 = 0 THEN CASE WHEN rest = '' THEN body ELSE upper(substr(rest, 1, 1)) || substr(rest, 2) END ELSE kept END AS content,
         '{{' || CASE WHEN doc_id % 5 > 0 THEN '"salience":' || (doc_id % 10) / 10.0::DOUBLE || ',' ELSE '' END || '"source_segment_indices":[' || doc_id % 7 || '],"prompt_version":3,"chat_model":"model"}}' AS metadata
       FROM (SELECT doc_id, 'The video explains how to ' || text AS body, text AS rest, CASE WHEN doc_id % 3 > 0 THEN {_strip('text')} END AS kept FROM documents)""",
@@ -300,6 +304,7 @@ ORACLES["stream_run_status"] = sql(
       FROM (SELECT run_id, bool_or(kind NOT IN ('ITEM_COMPLETED', 'ITEM_FAILED')) AS live, bool_or(kind = 'ITEM_FAILED') AS failed FROM (SELECT item_id, arg_max(run_id, (occurred_at, event_id)) AS run_id, arg_max(event_type, (occurred_at, event_id)) AS kind FROM ev GROUP BY 1) GROUP BY 1)""",
     "ev",
 )
+ORACLES["embed_texts"] = "SELECT doc_id, 64 AS dims, len(regexp_extract_all(coalesce(text, ''), '\\S+')) % 2 = 1 AS odd FROM documents"
 ORACLES["deep_page"] = """SELECT l_shipdate, l_orderkey, l_linenumber, l_partkey, l_suppkey, count(*) OVER () AS total FROM lineitem
   ORDER BY l_shipdate DESC NULLS LAST, l_orderkey NULLS FIRST, l_linenumber NULLS FIRST, l_partkey NULLS FIRST, l_suppkey NULLS FIRST LIMIT 100 OFFSET 3000"""
 ORACLES["channel_job"] = sql(

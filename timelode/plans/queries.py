@@ -89,7 +89,7 @@ def signal_union(t):
 def build_frames(t):
     files = t.frames().select("video_id", F.concat(F.lit("f"), F.lpad(F.col("frame_index").cast("string"), 4, "0")).alias("file_path"))
     log = t.frames().filter("frame_index % 7 <> 6").select("video_id", F.col("frame_index").alias("seq"), (F.col("timestamp_seconds") * 1.04).alias("pts_time"), F.lit(640).alias("width"), F.lit(360).alias("height"))
-    return fusion.build_frames(log, files, cap=60)
+    return fusion.build_frames(log, files)
 
 
 @query
@@ -158,7 +158,7 @@ def _drafts(t) -> DataFrame:
 
 @query
 def filter_units(t):
-    return knowledge.filter_units(_drafts(t), ["CLAIM"], cap=10).select("video_id", "pos")
+    return knowledge.filter_units(_drafts(t), ["CLAIM"]).select("video_id", "pos")
 
 
 @query
@@ -232,9 +232,9 @@ def search_batch(t):
 
 @query
 def embed_texts(t):
-    """Shape and weight of vectors from the stand-in model; its vectors have no SQL form."""
+    """Shape of vectors from the stand-in model, and whether the sum of their weights is odd, as it is where the words are odd in number."""
     found = search.embed_texts(t.raw("documents").select("doc_id", "text"), "text", search.hash_embedder(64), dims=64)
-    return found.select("doc_id", F.size("embedding").alias("dims"), F.aggregate("embedding", F.lit(0.0), lambda acc, x: acc + F.abs(x.cast("double"))).alias("weight"))
+    return found.select("doc_id", F.size("embedding").alias("dims"), (F.aggregate("embedding", F.lit(0.0), lambda acc, x: acc + F.abs(x.cast("double"))) % 2 == 1).alias("odd"))
 
 
 # event log
@@ -497,7 +497,7 @@ def rename_speakers(t):
 
 @query
 def filter_ocr_lines(t):
-    return videos.filter_ocr_lines(t.ocr(), t.frames(), cap=50).select("video_id", "frame_id", "line_no")
+    return videos.filter_ocr_lines(t.ocr(), t.frames()).select("video_id", "frame_id", "line_no")
 
 
 @query
@@ -521,7 +521,7 @@ def video_counts(t):
 
 @query
 def video_detail(t):
-    return videos.video_detail(t.videos(), t.transcriptions(), t.videos().select("video_id"))
+    return videos.video_detail(t.videos(), t.transcriptions(), _counts(t))
 
 
 @query
@@ -659,7 +659,7 @@ def classify_frame(t):
 
 @query
 def storage_path(t):
-    rows = t.videos().select("video_id", "channel_name", F.substring("title", 1, 8).alias("title"), F.col("created_at").alias("published_at"), F.lit("mkv").alias("ext"))
+    rows = t.videos().select("video_id", "channel_name", "title", F.col("created_at").alias("published_at"), F.lit("mkv").alias("ext"))
     return s.storage_path(rows, "/lib").select("video_id", "path")
 
 
@@ -772,7 +772,9 @@ def deep_page(t):
 def fuse_job(t):
     segments = t.segments().groupBy("video_id").agg(F.array_sort(F.collect_list(F.struct(F.col("segment_id").alias("n"), F.col("start_seconds").cast("double").alias("start"), F.col("end_seconds").cast("double").alias("end"), "text"))).alias("segments"))
     turns = t.turns().groupBy("video_id").agg(F.array_sort(F.collect_list(F.struct("seq", F.col("start_seconds").cast("double").alias("start"), F.col("end_seconds").cast("double").alias("end"), "label"))).alias("segments"))
-    tables = {"raw_transcripts": segments.select("video_id", F.to_json(F.struct("segments")).alias("json")), "raw_diarization": turns.select("video_id", F.to_json(F.struct("segments")).alias("json")), "videos": t.videos(), "video_frames": t.frames(), "ocr_results": t.ocr()}
+    tables = {"raw_transcripts": segments.select("video_id", F.to_json(F.struct("segments")).alias("json")), "raw_diarization": turns.select("video_id", F.to_json(F.struct("segments")).alias("json")), "videos": t.videos(), "video_frames": t.frames()}
+    seen = t.ocr().groupBy("frame_id").agg(F.array_sort(F.collect_list(F.struct(F.col("line_no").alias("n"), "text", F.col("confidence").alias("score")))).alias("lines"))
+    tables["raw_ocr"] = seen.select("frame_id", F.to_json(F.struct("lines")).alias("json"))
     return plans.fuse_job(tables)["multimodal_segments"].select("video_id", "segment_index", "transcript_text", F.array_join("speaker_labels", ",").alias("speaker_labels"))
 
 

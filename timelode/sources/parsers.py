@@ -14,6 +14,33 @@ def read_tables(spark: SparkSession, root: str) -> dict[str, DataFrame]:
     return {name: spark.read.schema(schema).parquet(f"{root}/{name}") for name, schema in TABLES.items()}
 
 
+def read_jdbc_table(spark: SparkSession, url: str, table: str, key: str | None = None, partitions: int = 8, json_columns: tuple[str, ...] = (), **options: str) -> DataFrame:
+    """A table of a database, read by `partitions` tasks over equal ranges of a numeric or time `key`; without a key, or of an empty table, by one.
+
+    The bounds are the least and largest key now, asked by one query; rows with a null key or beyond them are read by
+    the outer ranges. Filters and columns are passed on to the database. `json_columns` come back as variants, null
+    where their text is no JSON. Further options, as user, password, driver and fetchsize, are Spark's.
+    """
+    reader = lambda **more: spark.read.format("jdbc").options(url=url, **options, **more)
+    more: dict = {}
+    if key:
+        name = spark._jvm.org.apache.spark.sql.jdbc.JdbcDialects.get(url).quoteIdentifier(key)
+        low, high = reader(query=f"SELECT MIN({name}) AS low_key, MAX({name}) AS high_key FROM {table}").load().first()
+        if low is not None:
+            more = {"partitionColumn": key, "lowerBound": str(low), "upperBound": str(high), "numPartitions": str(partitions)}
+    rows = reader(dbtable=table, **more).load()
+    return rows.withColumns({c: F.try_parse_json(c) for c in json_columns})
+
+
+def read_jdbc_tables(spark: SparkSession, url: str, keys: dict[str, str | None], **options: str) -> dict[str, DataFrame]:
+    """Tables of the data model by their names, each with the key that its reading is cut by; their `metadata` as variants."""
+    found = {}
+    for name, key in keys.items():
+        known = [part.split(" ")[0] for part in TABLES[name].split(", ")]
+        found[name] = read_jdbc_table(spark, url, name, key, json_columns=("metadata",) if "metadata" in known else (), **options)
+    return found
+
+
 def _get(v: Column, kind: str, *keys: str) -> Column:
     return F.coalesce(*[F.try_variant_get(v, f"$.{k}", kind) for k in keys])
 
