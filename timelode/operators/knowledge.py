@@ -40,6 +40,7 @@ def render_batch_prompt(batched: DataFrame) -> DataFrame:
         return F.when(~is_blank(c), F.concat(F.lit(f"{name}: "), java_trim(c), F.lit("\n"))).otherwise("")
 
     index = F.row_number().over(Window.partitionBy("video_id").orderBy("segment_index")) - 1
+    # the wording of the prompt is fixed: replies refer to it
     time = F.when(F.col("start_seconds").isNotNull() & F.col("end_seconds").isNotNull(), F.format_string("time: [%.2f, %.2f]\n", "start_seconds", "end_seconds")).otherwise("")
     block = F.concat(F.lit("---\nindex: "), F.col("index").cast("string"), F.lit("\n"), time, line("transcript", "transcript_text"), line("on_screen_text", "ocr_text"))
     blocks = batched.withColumn("index", index).withColumn("block", block)

@@ -12,6 +12,7 @@ ERROR_CODES = ("DUPLICATE_VIDEO", "UPSTREAM_TOOL_FAILURE", "TRANSCRIPTION_FAILUR
 VIDEO_STATUSES = ("PENDING", "DOWNLOADING", "DOWNLOADED", "EXTRACTING", "TRANSCRIBING", "PROCESSING", "COMPLETED", "FAILED")
 UNIT_TYPES = ("ENTITY", "TOPIC", "SUMMARY", "CLAIM", "QUESTION", "PROCEDURE")
 
+# The columns of the data model.
 TABLES = {
     "pipeline_runs": "run_id string, status string, phase string, error_code string, error string, video_url string, skip_phases string, phase_updated_at timestamp, created_at timestamp, updated_at timestamp",
     "videos": "video_id string, source string, source_video_id string, channel_name string, title string, description string, file_path string, status string, duration_seconds int, published_at timestamp, downloaded_at timestamp, created_at timestamp, metadata string",

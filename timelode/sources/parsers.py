@@ -1,4 +1,7 @@
-"""Raw JSON and text into typed rows, through the variant type."""
+"""Raw JSON and text into typed rows, through the variant type.
+
+The names of JSON keys, with their aliases in order, are fixed values: they are what the tools that write the files use.
+"""
 
 from __future__ import annotations
 
