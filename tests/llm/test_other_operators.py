@@ -4,6 +4,7 @@ import hashlib
 import math
 import os
 import re
+import time
 import uuid
 import zlib
 from fractions import Fraction
@@ -58,11 +59,11 @@ def plain_edf(weights, n):
     return out
 
 
-@pytest.mark.parametrize("weights", [{"a": 0.999, "b": 0.001}, {"a": 0.5, "b": 0.3, "c": 0.15, "d": 0.05}, {"a": 7, "b": 2.5, "c": 1}])
+@pytest.mark.parametrize("weights", [{"a": 0.999, "b": 0.001}, {"a": 0.12345, "b": 0.87655}, {"a": "1/3", "b": "2/3"}, {"a": 0.5, "b": 0.3, "c": 0.15, "d": 0.05}, {"a": 7, "b": 2.5, "c": 1}])
 def test_mix_follows_the_given_weights_exactly(spark, weights):
     total = sum(Fraction(str(w)) for w in weights.values())
     exact = {s: Fraction(str(w)) / total for s, w in weights.items()}
-    n = 2000
+    n = 25_000 if "b" in weights and weights["b"] == 0.87655 else 2000
     got = mixed(spark, {s: math.ceil(n * w) for s, w in exact.items()}, weights=weights).sort_values("_slot").head(n)["_source"].tolist()
     assert got == plain_edf(exact, n)
     for s, w in exact.items():
@@ -80,6 +81,26 @@ def test_mix_many_sources(spark):
         mixing.parts_of({"a": 0, "b": 1})
 
 
+def test_mix_a_thousand_sources_by_size(spark):
+    """One schedule of a round serves all phases; it took over a minute for 150 sources when each phase had its own."""
+    sizes = {f"s{i:04d}": 1 + i % 7 for i in range(1000)}
+    began = time.time()
+    got = mixed(spark, sizes, round_slots=1500)
+    assert time.time() - began < 60
+    assert sorted(got["_slot"]) == list(range(sum(sizes.values())))
+    assert ((got["_release"] <= got["_turn"]) & (got["_turn"] < got["_deadline"])).all()
+
+
+def test_mix_shuffles_a_plan_beyond_the_bound(spark, monkeypatch):
+    sizes = {"a": 30, "b": 12, None: 7}
+    want = mixed(spark, sizes, round_slots=40)
+    monkeypatch.setattr(mixing, "PLAN_ROWS", 0)
+    monkeypatch.setattr(mixing, "BROADCAST_PHASES", 0)
+    got = mixed(spark, sizes, round_slots=40)
+    columns = ["_id", "_slot", "_turn", "_start"]
+    assert got[columns].sort_values("_id").values.tolist() == want[columns].sort_values("_id").values.tolist()
+
+
 def test_packing(spark):
     rng = np.random.default_rng(1)
     sizes = [*rng.integers(0, 300, 500), 5000, 4096, 4097, 0]

@@ -1,12 +1,14 @@
 """Registered queries without SQL, as they are registered, against plain versions on the smallest tables."""
 
 import hashlib
+import math
 import os
 import re
 
 import pytest
 import xxhash
 
+from timelode.llm import mixing
 from timelode.llm.queries import QUERIES
 
 DATA = "/root/testdata/sf0.001"
@@ -66,3 +68,36 @@ def test_op2(spark, docs):
                 a, b = sorted((root(i), root(j)))
                 least[b] = a
     assert got == {i: (f"{p:016x}", root(i)) for i, p in prints.items()}
+
+
+def test_op3(spark, docs):
+    """The path that the query takes, by size: places within the sources, then every turn and slot of a plain schedule."""
+    source = {r.doc_id: r.source for r in spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "source").collect()}
+    got = QUERIES["op3_mixing"](spark, DATA).collect()
+    assert sorted(r.doc_id for r in got) == sorted(docs) and all(r.source == source[r.doc_id] for r in got)
+    names = sorted(set(source.values()), key=lambda s: (s is None, s or ""))
+    chars, blocks = {}, {}
+    for s in names:
+        mine, at = sorted((r.start, len(docs[r.doc_id]), r.block) for r in got if r.source == s), 0
+        chars[s] = sum(n for _, n, _ in mine)
+        blocks[s] = max(1, -(-chars[s] // mixing.BLOCK_CHARS))
+        for start, n, block in mine:
+            assert (start, block) == (at, min(at // mixing.BLOCK_CHARS, blocks[s] - 1))
+            at += n
+    root = {s: max(c, 1) ** mixing.TEMPERING for s, c in chars.items()}
+    turns = {s: max(1, math.floor(w / sum(root.values()) * mixing.ROUND_SLOTS + 0.5)) for s, w in root.items()}
+    length, done, order = sum(turns.values()), dict.fromkeys(names, 0), []
+    for t in range(length):
+        ready = [(-(-(done[s] + 1) * length // turns[s]), k, s) for k, s in enumerate(names) if done[s] < turns[s] and done[s] * length // turns[s] <= t]
+        order.append(min(ready)[2])
+        done[order[-1]] += 1
+    left, at, slot, place = dict(blocks), 0, 0, {}
+    while any(left.values()):
+        s = order[at % length]
+        if left[s]:
+            place[s, blocks[s] - left[s]] = (at, slot)
+            left[s], slot = left[s] - 1, slot + 1
+        at += 1
+    for r in got:
+        assert (r.turn, r.slot) == place[r.source, r.block]
+        assert r.release == r.block * length // turns[r.source] <= r.turn < r.deadline == -(-(r.block + 1) * length // turns[r.source])
