@@ -151,9 +151,11 @@ def test_exact_with_colliding_keys(spark, monkeypatch):
     assert got == [(1, 3, 2), (2, 2, 1), (3, 3, 2), (4, 4, 1)]
 
 
-def test_exact_with_many_runs_and_scans(spark, monkeypatch):
+@pytest.mark.parametrize("filtered", [64, 2])
+def test_exact_with_many_runs(spark, monkeypatch, filtered):
+    """Whether the filters of all runs fit a worker or not, the texts are scanned once and the result is the same."""
     monkeypatch.setattr(exact, "RUN_KEYS", 3)
-    monkeypatch.setattr(exact, "RUNS_PER_SCAN", 2)
+    monkeypatch.setattr(exact, "FILTERED_RUNS", filtered)
     df = spark.createDataFrame([(i, f"t{i % 40}") for i in range(100)], "doc_id long, text string")
     got = {r.doc_id: (r.keep_id, r.group_size) for r in exact.exact_dedup(df).collect()}
     assert got == {i: (i % 40 + (80 if i % 40 < 20 else 40), 3 if i % 40 < 20 else 2) for i in range(100)}
@@ -225,6 +227,17 @@ def test_crowded_keys_lose_no_component(spark):
     assert one == other
 
 
+def test_keys_crowded_with_probes(spark, monkeypatch):
+    """One home row under a key that many probe: the key counts as crowded, and no component is lost."""
+    home = 0b1011 << 30
+    prints = sorted({home} | {home ^ (1 << i) ^ (1 << j) for i in range(22, 43) for j in range(i)})
+    df = spark.createDataFrame([(p, i) for i, p in enumerate(prints)], "fp long, rep long")
+    one = sorted(tuple(r) for r in simhash.connected_components(simhash.fingerprint_links(df, 10**6)).collect())
+    monkeypatch.setattr(simhash, "PROBES_A_HOME", 0)
+    links = simhash.fingerprint_links(df, 10**6)
+    assert sorted(tuple(r) for r in simhash.connected_components(links).collect()) == one
+
+
 def test_similar_groups(spark):
     rng = np.random.default_rng(3)
     words = [f"w{i}" for i in range(2000)]

@@ -8,11 +8,12 @@
    several copies, the hits, make runs of their own, each of at most RUN_KEYS keys by a range of key hashes
    and with a Bloom filter of its keys, sized for them.
 4. Hits ship their bytes once, to be compared with the bytes of the copy that stays. The filters of the hit
-   runs decide which texts a scan ships: a scan looks into the filters of as many runs as FILTER_BYTES
-   hold, and more runs take more scans, so the filters neither fill up nor outgrow a worker. Texts that
-   share a key without being equal are grouped by their bytes instead.
+   runs decide which texts the scan ships, as long as the filters of all runs fit a worker (FILTERED_RUNS).
+   Beyond that, where a good part of the texts are copies, all texts are shipped and the join with the hit runs
+   alone decides; either way texts are read once for the log and once for their bytes. Texts that share a key
+   without being equal are grouped by their bytes instead.
 
-Work is one narrow shuffle of keys plus the bytes of repeated texts; no group is gathered in one task.
+Work is one narrow shuffle of keys plus the bytes of repeated texts (or of all, beyond FILTERED_RUNS); no group is gathered in one task.
 Null counts as the empty text, so nulls and empty texts are copies of one another. Rows with a null id
 take part; they stay only where a group has no other id. Rows that share a group's chosen id all stay, as
 nothing tells them apart. An empty table gives no rows.
@@ -22,7 +23,6 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -32,8 +32,8 @@ from pyspark.sql import functions as F
 from timelode.llm.common import picked, save
 
 MEMTABLE_ROWS = 100_000
-#: Keys of a hit run, bits of its filter (16 a key), and runs whose filters one scan looks into: 2 MB each, 32 MB in all.
-RUN_KEYS, FILTER_BITS, FILTER_PROBES, RUNS_PER_SCAN = 1 << 20, 1 << 24, 6, 16
+#: Keys of a hit run, bits of its filter (16 a key), and runs whose filters a worker holds: 2 MB each, 32 MB in all.
+RUN_KEYS, FILTER_BITS, FILTER_PROBES, FILTERED_RUNS = 1 << 20, 1 << 24, 6, 16
 WORDS = FILTER_BITS // 64
 
 
@@ -147,23 +147,19 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     runs = max(1, -(-index.filter("copies > 1").count() // RUN_KEYS))
     hits = save(index.filter("copies > 1").select("key", (F.col("best") * sign).alias("keep_id"), F.expr(f"CAST(pmod(shiftright(key, 20), {runs}) AS INT)").alias("run")), "hit-runs")
 
-    def shipped(some: range) -> DataFrame:
-        filters = spark.sparkContext.broadcast(run_filters(hits, some))
+    filters = spark.sparkContext.broadcast(run_filters(hits, range(runs)) if runs <= FILTERED_RUNS else None)
 
-        def ship(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                texts, digests = _digests(batch)
-                keys = _keys(digests)
-                rows = np.flatnonzero(might_hold(filters.value, keys, runs))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("id").take(pa.array(rows)), pa.array(keys[rows]), pa.array([digests[i].hex() for i in rows], pa.string()), pa.array([texts[i] for i in rows], pa.binary())],
-                    ["id", "key", "sha256", "text"],
-                )
+    def ship(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, digests = _digests(batch)
+            keys = _keys(digests)
+            rows = np.arange(len(keys)) if filters.value is None else np.flatnonzero(might_hold(filters.value, keys, runs))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("id").take(pa.array(rows)), pa.array(keys[rows]), pa.array([digests[i].hex() for i in rows], pa.string()), pa.array([texts[i] for i in rows], pa.binary())],
+                ["id", "key", "sha256", "text"],
+            )
 
-        return source.mapInArrow(ship, "id bigint, key bigint, sha256 string, text binary")
-
-    scans = [shipped(range(i, min(runs, i + RUNS_PER_SCAN))) for i in range(0, runs, RUNS_PER_SCAN)]
-    members = save(reduce(DataFrame.unionByName, scans).join(hits.drop("run"), "key"), "hits")
+    members = save(source.mapInArrow(ship, "id bigint, key bigint, sha256 string, text binary").join(hits.drop("run"), "key"), "hits")
     # written, not only aggregated, so that both sides of the joins below come straight from a shuffle that a hot key can be split in
     stay = save(members.filter(F.col("id").eqNullSafe(F.col("keep_id"))).groupBy("key").agg(F.max("text").alias("stay_text")), "stay")
     same = F.col("text") == F.col("stay_text")

@@ -9,8 +9,8 @@ the segment itself, *probe* rows those of all words at most one bit away (at mos
 bit apart therefore always meet, and joining home to probe rows and counting the differing bits gives
 every link.
 
-Equal fingerprints are folded first. A key under which very many different fingerprints meet (a large
-family of near copies) is not joined pairwise: its fingerprints are linked through the 65 words at most
+Equal fingerprints are folded first. A key under which very many different fingerprints meet, at home or as
+probes (a large family of near copies), is not joined pairwise: its fingerprints are linked through the 65 words at most
 one bit away from each, as two fingerprints differ in at most two bits exactly if they share such a
 word. Each word links its fingerprints to the smallest one, so links stay linear and none is lost
 between components.
@@ -43,7 +43,8 @@ SEED = 42
 WIDTHS = {2: (22, 21, 21), 3: (16, 16, 16, 16)}
 #: Generator polynomial of the cyclic (23, 12) Golay code.
 GENERATOR = 0b110001110101
-BUCKET_LIMIT = 200
+#: Home rows of a key beyond which it is crowded, and how many times as many probe rows make it so.
+BUCKET_LIMIT, PROBES_A_HOME = 200, 32
 BROADCAST_ROWS = 50_000
 
 _BYTE_BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.float64)
@@ -125,15 +126,18 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return picked(docs, id=F.col(f"`{id_col}`").cast("long"), text=F.col(f"`{text_col}`").cast("binary")).mapInArrow(run, "id bigint, fp bigint")
 
 
-def _keyed(prints: DataFrame, near: bool) -> DataFrame:
+def _keyed(prints: DataFrame) -> DataFrame:
+    """Home rows, and probe rows (`near`), of all fingerprints."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in (batch.slice(i, SLICE) for i in range(0, batch.num_rows, SLICE)):
-                rows, keys = golay_keys(part.column("fp").to_numpy(), near)
-                at = pa.array(rows)
-                yield pa.RecordBatch.from_arrays([pa.array(keys), part.column("fp").take(at), part.column("rep").take(at)], ["key", "fp", "rep"])
+                for near in (False, True):
+                    rows, keys = golay_keys(part.column("fp").to_numpy(), near)
+                    at = pa.array(rows)
+                    yield pa.RecordBatch.from_arrays([pa.array(keys), part.column("fp").take(at), part.column("rep").take(at), pa.array([near] * len(rows))], ["key", "fp", "rep", "near"])
 
-    return prints.mapInArrow(run, "key bigint, fp bigint, rep bigint")
+    return prints.mapInArrow(run, "key bigint, fp bigint, rep bigint, near boolean")
 
 
 def fingerprint_links(prints: DataFrame, bucket_limit: int = BUCKET_LIMIT) -> DataFrame:
@@ -141,8 +145,12 @@ def fingerprint_links(prints: DataFrame, bucket_limit: int = BUCKET_LIMIT) -> Da
 
     `prints`: different fingerprints fp, each with its node rep.
     """
-    home, probe = _keyed(prints, near=False), _keyed(prints, near=True)
-    hot = save(home.groupBy("key").count().filter(F.col("count") > bucket_limit).select("key"), "hot-keys")
+    keyed = save(_keyed(prints), "golay-keys")
+    home, probe = keyed.filter("NOT near").drop("near"), keyed.filter("near").drop("near")
+    # crowded on either side: a probe key has about 16 times the rows of a home key, and few homes may meet very many of them
+    sides = keyed.groupBy("key").agg(F.count_if(~F.col("near")).alias("homes"), F.count_if("near").alias("probes"))
+    crowded = (F.col("homes") > bucket_limit) | ((F.col("homes") > 0) & (F.col("probes") > PROBES_A_HOME * bucket_limit))
+    hot = save(sides.filter(crowded).select("key"), "hot-keys")
     if hot.count() <= BROADCAST_ROWS:
         hot = F.broadcast(hot)
     cold = home.join(hot, "key", "left_anti").alias("h").join(
