@@ -285,6 +285,34 @@ def test_similar_groups_finds_every_kind_of_edit(spark):
         assert [got[i] for i in range(len(texts))] == reach
 
 
+@pytest.mark.parametrize("cell", [5, 16_384])
+def test_similar_texts_under_a_key_dealt_to_cells(spark, monkeypatch, cell):
+    """Texts that share a rare passage but little else, with pairs among them: one key holds them all, in one cell or in many."""
+    monkeypatch.setattr(similar, "DEALT", cell)
+    monkeypatch.setattr(similar, "COMMON_TEXTS", 10**6)  # no shingle counts as common, so the passage's are among the keys
+    crowds, dealt = [], similar._dealt
+    monkeypatch.setattr(similar, "_dealt", lambda *sides: crowds.append(sides[2].agg({"n": "max"}).first()[0]) or dealt(*sides))
+    passage = [f"p{j}" for j in range(12)]
+    own = [[f"o{i}x{j}" for j in range(40)] for i in range(24)]
+    texts = [passage + o for o in own] + [passage + o[:38] for o in own[::2]] + [o[:3] + passage + o[3:] for o in own[:4]]
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    sets = [{tuple(t[j : j + 5]) for j in range(len(t) - 4)} for t in texts]
+    reach = list(range(len(sets)))
+    for _ in range(3):
+        for i, a in enumerate(sets):
+            for j, b in enumerate(sets):
+                if 9 * len(a & b) >= 4 * (len(a) + len(b)):
+                    reach[i] = reach[j] = min(reach[i], reach[j])
+    assert sum(r != i for i, r in enumerate(reach)) >= 12
+    rows = spark.createDataFrame([(1, i, "x") for i in range(30)], "key long, node long, component string")
+    of_key = spark.createDataFrame([(1, 30, 12)], "key long, n long, apart long")
+    side, other = dealt(rows.filter("node < 12"), rows, of_key)
+    met = side.alias("h").join(other.alias("p"), ["key", "cell"]).selectExpr("h.node AS a", "p.node AS b").collect()
+    assert sorted((r.a, r.b) for r in met) == [(a, b) for a in range(12) for b in range(30)]
+    got = {r.doc_id: r.component_id for r in similar.similar_groups(df, bucket_limit=1).collect()}
+    assert [got[i] for i in range(len(texts))] == reach and max(crowds) > 10
+
+
 def test_lines(spark):
     page = lambda i, host, *more: (i, host, "\n".join(["  Cookie notice ", *more, f"own {i}"]), 5)
     rows = [page(i, "a", "", "often" if i < 3 else "") for i in range(30)] + [page(100 + i, "b") for i in range(10)] + [(200, None, None, 1), (201, "a", "Cookie notice", 1), (202, "a", "", 1)]

@@ -13,7 +13,8 @@ components of that relation.
 4. Under a key with few texts all pairs are asked. Under a crowded one every text is first asked against a
    pivot, the text in which the key comes first, so that a family of copies costs a few
    comparisons per member; of what is then still in different components, those outside the pivot's component
-   are asked against the others, after further pivots where that would be many. Texts that share a long passage
+   are asked against the others, after further pivots where that would be many; there, the texts of a key on both
+   sides are dealt to cells of bounded size, so that no task holds a key however crowded. Texts that share a long passage
    have many keys in common, one after the other; they are asked under the first of such a run only, where the
    bounds let the pair pass if they do under any later one.
 5. Pairs whose sketches differ in too many bits go; the rest is decided on whole shingle sets, in integers.
@@ -42,6 +43,8 @@ PIVOT_ROUNDS, ASKED_PER_ROW = 3, 256
 PIVOTS = 1
 #: Keys of a text before each of its keys that are looked at for an earlier one in common.
 KEYS_BEFORE = 8
+#: Texts of either side of a key that one task compares in the last round; keys with more are cut into cells of that size.
+DEALT = 16_384
 #: Texts of the sample that tells which shingles are common, the least number of them that must hold one, and how many are told.
 SAMPLE_TEXTS, COMMON_TEXTS, COMMON_SHINGLES = 8_192, 3, 500_000
 #: Longs of a text's sketch: one bit per hash range that holds any of its shingles.
@@ -55,6 +58,23 @@ def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
+def _dealt(side: DataFrame, other: DataFrame, of_key: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both sides of a join by key with a column `cell`: every two rows of a key meet in one cell, of DEALT rows a side or so.
+
+    `of_key` tells the rows of a key on either side (apart, n). A key that needs one cell has each row once.
+    """
+    parts = (F.ceil(F.col(c) / DEALT).cast("long").alias(name) for c, name in (("apart", "down"), ("n", "across")))
+    cut = _small(save(of_key.filter(F.col("n") > DEALT).select("key", *parts), "cut-keys"))
+
+    def dealt(df: DataFrame, own: str, others: str, cell: str) -> DataFrame:
+        rows = df.join(cut, "key", "left").na.fill(1, ["down", "across"])
+        rows = rows.withColumn("own", F.pmod(F.xxhash64("node", F.lit("cell")), F.col(own)))
+        rows = rows.withColumn("met", F.explode(F.expr(f"sequence(0L, {others} - 1)")))
+        return rows.select(*df.columns, F.expr(cell).alias("cell"))
+
+    return dealt(side, "down", "across", "own * across + met"), dealt(other, "across", "down", "met * across + own")
+
+
 def _shingle_set(text: bytes | None, size: int) -> np.ndarray:
     return np.unique(shingle_hashes(words_of(text or b""), size))
 
@@ -246,14 +266,16 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             break
         placed = save(placed.join(asked.select("key", "main").distinct(), "key"), "placed")
         crowd, inside = placed.drop("component", "main"), F.count(F.when(F.col("component") == F.col("main"), 1))
-        work = placed.groupBy("key").agg(F.count("*").alias("n"), inside.alias("k")).agg(F.sum(F.col("n") * (F.col("n") - F.col("k"))).alias("asked"), F.sum("n").alias("n")).first()
+        of_key = save(placed.groupBy("key").agg(F.count("*").alias("n"), (F.count("*") - inside).alias("apart")), "of-keys")
+        work = of_key.agg(F.sum(F.col("n") * F.col("apart")).alias("asked"), F.sum("n").alias("n")).first()
         last = turn == PIVOT_ROUNDS or work["asked"] <= ASKED_PER_ROW * work["n"]
         side, other, bound = placed, asked, fits
         if last:  # sketches on both sides, so that rows come only of pairs that pass all bounds, once where their keys follow one another
             drawn = placed.withColumn("before", F.collect_list("key").over(Window.partitionBy("node").orderBy(F.desc("rest")).rowsBetween(-KEYS_BEFORE, -1)))
             drawn = save(drawn.join(sketches.drop("size"), "node"), "drawn")
             once = "(h.node > p.node OR p.component = p.main) AND NOT arrays_overlap(h.before, p.before)"
-            side, other, bound = drawn.filter("component <> main"), drawn, f"{fits} AND {once} AND {near}"
+            side, other = _dealt(drawn.filter("component <> main"), drawn, of_key)
+            bound = f"h.cell = p.cell AND {fits} AND {once} AND {near}"
         pairs = likely(pairs_of("h.node", "p.node", side.alias("h").join(other.alias("p"), F.expr(f"h.key = p.key AND h.component <> p.component AND {bound}"))))
         groups = joined(groups, verified(pairs))
         if last:
