@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from timelode.operators.events import LIVE, page_of
@@ -31,11 +31,16 @@ def run_previews(items: DataFrame, videos: DataFrame) -> DataFrame:
 def run_details(runs: DataFrame, items: DataFrame, videos: DataFrame) -> DataFrame:
     """One row per item with its video's channel and title, by run and created_at; a run without items gets one row made of itself."""
     known = videos.select("video_id", "channel_name", "title")
-    real = items.join(runs.select("run_id"), "run_id", "left_semi").join(known, "video_id", "left")
-    real = real.select("run_id", "item_id", "url", "status", "phase", F.coalesce("attempt", F.lit(1)).alias("attempt"), "channel_name", "title", "created_at")
-    bare = runs.join(items.select("run_id"), "run_id", "left_anti")
-    made = bare.select("run_id", F.lit(None).cast(items.schema["item_id"].dataType).alias("item_id"), F.col("video_url").alias("url"), "status", "phase", F.lit(1).alias("attempt"), F.lit(None).cast("string").alias("channel_name"), F.lit(None).cast("string").alias("title"), "created_at")
-    return real.unionByName(made).orderBy("run_id", "created_at", "item_id")
+    told = ("run_id", "item_id", "url", "status", "phase", "attempt", "channel_name", "title", "created_at")
+    real = items.join(known, "video_id", "left").withColumn("attempt", F.coalesce("attempt", F.lit(1))).select(*told, F.lit(0).alias("_runs"))
+    none = F.lit(None).cast("string")
+    own = {"item_id": F.lit(None).cast(items.schema["item_id"].dataType), "url": F.col("video_url"), "attempt": F.lit(1), "channel_name": none, "title": none}
+    made = runs.select(*[own.get(c, F.col(c)).alias(c) for c in told], F.lit(1).alias("_runs"))
+    # items and runs meet in the exchange that also puts them in order: a row is a run's own where `_runs` is 1
+    rows, by = real.unionByName(made).repartitionByRange("run_id"), Window.partitionBy("run_id")
+    rows = rows.withColumn("_known", F.max("_runs").over(by)).withColumn("_items", F.min("_runs").over(by) == 0)
+    kept = ((F.col("_runs") == 0) & (F.col("_known") == 1) & F.col("run_id").isNotNull()) | ((F.col("_runs") == 1) & (F.col("run_id").isNull() | ~F.col("_items")))
+    return rows.filter(kept).select(*told).orderBy("run_id", "created_at", "item_id")
 
 
 def live_summaries(runs: DataFrame, ids: DataFrame) -> DataFrame:
