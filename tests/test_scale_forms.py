@@ -1,8 +1,10 @@
 """Vector search over many queries, recall of facts across units, folds of the event log: against plain versions."""
 
 import random
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -221,3 +223,28 @@ def test_late_rows_are_counted(spark, tmp_path):
         spark.streams.removeListener(seen)
     assert seen.dropped(run) == 3 == seen.dropped() and sum(b["rows"] for b in seen.batches) == 75
     assert sum(b["observed"]["events"]["n"] for b in seen.batches if "events" in b["observed"]) == 72
+
+
+def test_units_are_scanned_a_few_at_a_time():
+    """A batch of Spark's 10 000 units is scanned in many small parts, so that its texts are not all held as strings at once."""
+    texts = [f"unit {i} all rights reserved " * (i % 200) for i in range(10_000)]
+    n = len(texts)
+    batch = pa.RecordBatch.from_pydict({"arm": ["a"] * n, "rep": [i % 5 for i in range(n)], "unit_id": list(range(n)), "procedure": [i % 2 == 0 for i in range(n)], "blob": texts})
+    texts.clear()
+    terms, at = knowledge.Terms([[["unit 7 all", "reserved"]]], [[["rights"]]]), 0
+    tracemalloc.start()
+    for part in knowledge._scan_units(terms)(iter([batch])):
+        blobs = batch.column("blob").slice(at, part.num_rows).to_pylist()
+        assert 0 < len(blobs) <= 256 and part.column("found").to_pylist() == [sorted(terms.found(b)) for b in blobs] and part.column("n_noise").to_pylist() == [int("rights" in b) for b in blobs]
+        assert part.column("head").to_pylist() == [b[:9] for b in blobs] and part.column("tail").to_pylist() == [b[-9:] for b in blobs] and part.column("short").to_pylist() == [len(b) <= 9 for b in blobs]
+        at += len(blobs)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert at == n and peak < batch.nbytes / 4
+
+
+def test_recall_of_units_without_arm_or_rep(spark):
+    units = [(None, 1, 1, "CLAIM", "t", "this free"), (None, 1, 2, "CLAIM", "", "licence is"), ("a", None, 3, "PROCEDURE", "t", "free"), ("a", None, 4, "CLAIM", "", "licence")]
+    facts = spark.createDataFrame([("f", [["free  Licence"]])], "label string, any_of array<array<string>>")
+    found = knowledge.fact_recall(spark.createDataFrame(units, UNITS), facts, facts.limit(0)).collect()
+    assert {(r.arm, r.rep): (r.n_units, r.n_procedures, r.facts) for r in found} == {(None, 1): (2, 0, ["f"]), ("a", None): (2, 1, ["f"])}
