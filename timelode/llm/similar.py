@@ -17,7 +17,8 @@ components of that relation.
    sides are dealt to cells of bounded size, so that no task holds a key however crowded. Texts that share a long passage
    have many keys in common, one after the other; they are asked under the first of such a run only, where the
    bounds let the pair pass if they do under any later one.
-5. Pairs whose sketches differ in too many bits go; the rest is decided on whole shingle sets, in integers.
+5. Pairs whose sketches differ in too many bits go; the rest is decided on whole shingle sets, in integers. A sketch's
+   bits are sums modulo two, so that sketches of long texts are as far apart as those of short ones.
 """
 
 from __future__ import annotations
@@ -45,10 +46,10 @@ PIVOTS = 1
 KEYS_BEFORE = 8
 #: Texts of either side of a key that one task compares in the last round; keys with more are cut into cells of that size.
 DEALT = 16_384
-#: Texts of the sample that tells which shingles are common, the least number of them that must hold one, and how many are told.
-SAMPLE_TEXTS, COMMON_TEXTS, COMMON_SHINGLES = 8_192, 3, 500_000
-#: Longs of a text's sketch: one bit per hash range that holds any of its shingles.
-SKETCH_WORDS = 32
+#: The sample that tells which shingles are common: one text in so many, but so many texts at least; the least number of them that must hold a shingle, and how many are told.
+SAMPLE_SHARE, SAMPLE_TEXTS, COMMON_TEXTS, COMMON_SHINGLES = 8, 8_192, 3, 2_000_000
+#: Longs of a text's sketch: one bit per hash range, which tells whether an odd number of its shingles lie there.
+SKETCH_WORDS = 64
 #: Rows of longs up to which a side is broadcast.
 BROADCAST_ROWS = 200_000
 
@@ -82,9 +83,10 @@ def _shingle_set(text: bytes | None, size: int) -> np.ndarray:
 def common_shingles(texts: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the shingles that many texts of a sample of `texts` (id, text) hold, ascending, and how many hold them.
 
-    They only set the order in which shingles count as rare, so the sample changes the work, not the result.
+    They only set the order in which shingles count as rare, so the sample changes the work, not the result. It grows with
+    the table: a shingle that it misses is held by so many texts at most, however large the table.
     """
-    sample = texts.filter(F.pmod(F.xxhash64("id"), F.lit(-(-max(texts.count(), 1) // SAMPLE_TEXTS))) == 0)
+    sample = texts.filter(F.pmod(F.xxhash64("id"), F.lit(min(SAMPLE_SHARE, -(-max(texts.count(), 1) // SAMPLE_TEXTS)))) == 0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -92,7 +94,7 @@ def common_shingles(texts: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray
                 yield pa.RecordBatch.from_arrays([pa.array(_shingle_set(t.as_py(), size).view(np.int64))], ["key"])
 
     counts = sample.mapInArrow(run, "key bigint").groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") >= COMMON_TEXTS)
-    found = counts.orderBy(F.desc("n"), "key").limit(COMMON_SHINGLES).toArrow()
+    found = save(counts, "common-shingles").orderBy(F.desc("n"), "key").limit(COMMON_SHINGLES).toArrow()
     keys, counts = found["key"].to_numpy().view(np.uint64), found["n"].to_numpy()
     order = np.argsort(keys)
     return keys[order], counts[order]
@@ -113,9 +115,9 @@ def prefix(hashes: np.ndarray, common: tuple[np.ndarray, np.ndarray], share: Fra
 
 
 def _sketch(hashes: np.ndarray) -> np.ndarray:
-    bits = np.zeros(64 * SKETCH_WORDS, dtype=bool)
-    bits[(hashes >> np.uint64(32)) % np.uint64(len(bits))] = True
-    return np.packbits(bits).view(np.int64)
+    n = 64 * SKETCH_WORDS
+    held = np.bincount(((hashes >> np.uint64(32)) % np.uint64(n)).astype(np.int64), minlength=n)
+    return np.packbits((held & 1).astype(bool)).view(np.int64)
 
 
 PROFILE = "id bigint, same binary, fp bigint, size int, sketch array<bigint>, keys array<bigint>"
@@ -276,8 +278,8 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             once = "(h.node > p.node OR p.component = p.main) AND NOT arrays_overlap(h.before, p.before)"
             side, other = _dealt(drawn.filter("component <> main"), drawn, of_key)
             bound = f"h.cell = p.cell AND {fits} AND {once} AND {near}"
-        pairs = likely(pairs_of("h.node", "p.node", side.alias("h").join(other.alias("p"), F.expr(f"h.key = p.key AND h.component <> p.component AND {bound}"))))
-        groups = joined(groups, verified(pairs))
+        pairs = pairs_of("h.node", "p.node", side.alias("h").join(other.alias("p"), F.expr(f"h.key = p.key AND h.component <> p.component AND {bound}")))
+        groups = joined(groups, verified(save(pairs.distinct(), "pairs") if last else likely(pairs)))
         if last:
             break
     of_node = nodes.join(groups, "node", "left").select("same", F.coalesce("component", "node").alias("component_id"))
